@@ -70,25 +70,26 @@ def as_text(a: Column) -> Column:
 def with_next(docs: DataFrame, columns: list[str], rows_each: int = 64, most: int = 1024) -> DataFrame:
     """Add next_<column> of the document that follows in descending doc_id (after the last: the first).
 
-    Rows go once to ranges of doc_id, each sorted by itself; a small table with the first row of
-    every range closes the gaps between ranges. Rows with equal doc_id follow each other by text;
+    Rows go once to ranges of doc_id, each sorted by itself; the first row of every range also
+    goes, as a guest, to the end of the range before, so no join is needed. Rows with equal doc_id follow each other by text;
     rows without doc_id come last; repeated rows count as neighbours of each other.
     """
     n = docs.count()
     bounds = split_bounds(docs, "doc_id", min(most, max(1, n // rows_each)))
-    ranged = docs.withColumn("_range", range_index(F.col("doc_id"), bounds))
-    order = Window.partitionBy("_range").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text"))
-    own = F.struct(*columns)
-    out = ranged.withColumn("_next", F.lead(own).over(order)).withColumn("_last", F.lead(F.lit(1)).over(order).isNull())
-    tops = [r["top"] for r in ranged.groupBy("_range").agg(F.max("doc_id").alias("top")).collect()]  # at most `most` + 1 values
-    heads = ranged.where(F.col("doc_id").isin([t for t in tops if t is not None]) | F.col("doc_id").isNull())
-    heads = heads.groupBy("_range").agg(F.min_by(own, F.struct("text")).alias("_head"))
-    line = Window.orderBy(F.col("_range").desc())
-    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    follow = heads.select("_range", F.coalesce(F.lead("_head").over(line), F.first("_head").over(whole)).alias("_after"))
-    ends = out.where("_last").join(follow, "_range").withColumn("_next", F.col("_after")).drop("_after")
-    joined = out.where("not _last").unionByName(ends)
-    return joined.select(*docs.columns, *[F.col("_next")[c].alias(f"next_{c}") for c in columns])
+    index = range_index(F.col("doc_id"), bounds)
+    tops = docs.groupBy(index.alias("range")).agg(F.max("doc_id").alias("top"), F.min_by(content_key(F.col("text")), "text").alias("key")).orderBy("range").collect()  # at most `most` + 1 rows
+    full = [r["range"] for r in tops]
+    after = dict(zip(full, [*full[1:], *full[:1]], strict=True))  # the range whose last row the first row of this one follows
+    is_top = F.col("doc_id").isin([r["top"] for r in tops if r["top"] is not None]) | (F.col("doc_id").isNull() & F.lit(False))
+    for r in tops:
+        if r["top"] is None:
+            is_top = F.coalesce(is_top, F.lit(False)) | (F.col("doc_id").isNull() & (content_key(F.col("text")) == r["key"]))
+    also = F.element_at(F.array(*[F.lit(after.get(k, 0)) for k in range(-1, len(bounds) + 1)]), index + 2)
+    place = F.explode(F.when(F.coalesce(is_top, F.lit(False)), F.array(F.struct(index.alias("range"), F.lit(False).alias("guest")), F.struct(also.alias("range"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct(index.alias("range"), F.lit(False).alias("guest")))))
+    ranged = docs.select(*docs.columns, place.alias("_at"))
+    order = Window.partitionBy("_at.range").orderBy("_at.guest", F.col("doc_id").desc_nulls_last(), F.col("text"))
+    out = ranged.withColumn("_next", F.lead(F.struct(*columns)).over(order)).where(~F.col("_at.guest"))
+    return out.select(*docs.columns, *[F.col("_next")[c].alias(f"next_{c}") for c in columns])
 
 
 def document_fingerprints(docs: DataFrame, keep: int = KEEP) -> DataFrame:
