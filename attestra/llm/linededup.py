@@ -34,15 +34,17 @@ def _shingle(code: Column, at: Column, shingle: int) -> Column:
 def band_keys(lines: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(key, a, b): a row per band of every distinct line.
 
-    One generated row per shingle, hashed once; the signature is the least value of the hash
-    under each mask, so it is an aggregate of plain minima that combines before the shuffle.
+    One generated row per shingle, hashed once; the hash also deals shingles to bands, and a
+    band's signature is the least hash of its shingles under each mask. Equal lines meet
+    first, and the minima are taken where they met, so signatures are not shuffled.
     """
-    code = lines.select("a", "b", F.encode("line", "utf-32").alias("code"), F.length("line").alias("n"))
+    once = lines.groupBy("a", "b").agg(F.first("line").alias("line"))
+    code = once.select("a", "b", F.encode("line", "utf-32").alias("code"), F.length("line").alias("n"))
     cut = code.select("a", "b", "code", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - shingle, F.lit(0)))).alias("i"))
     hashed = cut.select("a", "b", F.hash(_shingle(F.col("code"), F.col("i"), shingle)).alias("h"))
-    sig = hashed.groupBy("a", "b").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{j}") for j, m in enumerate(_masks(bands * rows))])
-    keys = F.array(*[F.xxhash64(F.lit(k), *[f"m{k * rows + j}" for j in range(rows)]) for k in range(bands)])
-    return sig.select("a", "b", F.explode(keys).alias("key"))
+    least = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{j}") for j, m in enumerate(_masks(rows))]
+    sig = hashed.groupBy("a", "b", F.pmod(F.col("h"), F.lit(bands)).alias("band")).agg(*least)
+    return sig.select("a", "b", F.xxhash64("band", *[f"m{j}" for j in range(rows)]).alias("key"))
 
 
 def _likeness(x: Column, y: Column) -> Column:
@@ -50,8 +52,8 @@ def _likeness(x: Column, y: Column) -> Column:
     return both / (F.size(x) + F.size(y) - both)
 
 
-def similar_lines(docs: DataFrame, likeness: float = LIKENESS, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(a, b, root_a, root_b) for every distinct line that is linked to another one.
+def similar_lines(docs: DataFrame, likeness: float = LIKENESS, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """Returns all lines, and (a, b, root_a, root_b) for every distinct line that is linked to another one.
 
     Links are pairs that share a band and whose shingle sets have at least the given Jaccard
     likeness. Within a bucket only what union-find needs is compared, in three steps: each line
@@ -68,21 +70,20 @@ def similar_lines(docs: DataFrame, likeness: float = LIKENESS, shingle: int = SH
 
     ids = stash(members.select("a", "b", "x").distinct(), "lines")
     n_ids = ids.count()
-    texts = lines_of(docs).select("a", "b", "line").join(small(ids, n_ids, 5 * BROADCAST_ROWS), ["a", "b"])
-    texts = stash(texts.groupBy("x").agg(F.first("line").alias("line")), "texts")
+    lines = lines_of(docs).join(small(ids, n_ids, 5 * BROADCAST_ROWS), ["a", "b"], "left")
+    lines = stash(lines.select("doc_id", "text_key", "line_no", "a", "b", "x", F.when(F.col("x").isNotNull(), F.col("line")).alias("line")), "occurrences")
+    texts = stash(lines.where("x is not null").groupBy("x").agg(F.first("line").alias("line")), "texts")
 
     def grams(line: Column) -> Column:
         code = F.encode(line, "utf-32")
         at = F.sequence(F.lit(0), F.greatest(F.length(line) - shingle, F.lit(0)))
         return F.array_distinct(F.get(F.transform(F.array(code), lambda c: F.transform(at, lambda i: F.xxhash64(_shingle(c, i, shingle)))), F.lit(0)))
 
-    sets = stash(texts.select("x", F.length("line").alias("len"), grams(F.col("line")).alias("set")), "sets")
-
     def verified(pairs: DataFrame) -> DataFrame:
-        """Of (x, y) those alike; lengths that rule a link out are tested before the sets."""
-        left = sets.select("x", F.col("set").alias("sx"))
-        right = sets.select(F.col("x").alias("y"), F.col("set").alias("sy"))
-        return pairs.join(left, "x").join(right, "y").where(F.least(F.size("sx"), F.size("sy")) >= likeness * F.greatest(F.size("sx"), F.size("sy"))).where(_likeness(F.col("sx"), F.col("sy")) >= likeness).select("x", "y")
+        """Of (x, y) those alike. Pairs bring the text of x; each y has its set made once."""
+        right = pairs.select("y").distinct().join(texts.withColumnRenamed("x", "y"), "y").select("y", grams(F.col("line")).alias("sy"))
+        both = pairs.join(texts, "x").join(right, "y").withColumn("sx", grams(F.col("line")))
+        return both.where(_likeness(F.col("sx"), F.col("sy")) >= likeness).select("x", "y")
 
     def rooted(edges: DataFrame) -> DataFrame:
         """members with their root so far, of buckets that are not in one component."""
@@ -111,7 +112,7 @@ def similar_lines(docs: DataFrame, likeness: float = LIKENESS, shingle: int = SH
     def part(c: str, k: int) -> Column:
         return F.split(c, ":")[k].cast("long")
 
-    return stash(roots.select(part("node", 0).alias("a"), part("node", 1).alias("b"), part("root", 0).alias("root_a"), part("root", 1).alias("root_b")), "classes")
+    return lines.drop("x", "line"), stash(roots.select(part("node", 0).alias("a"), part("node", 1).alias("b"), part("root", 0).alias("root_a"), part("root", 1).alias("root_b")), "classes")
 
 
 def line_classes(docs: DataFrame, **options) -> DataFrame:
@@ -121,8 +122,7 @@ def line_classes(docs: DataFrame, **options) -> DataFrame:
     and line number. Blank lines are not listed; equal lines are alike whatever their length.
     Null and empty texts have no lines; repeated rows share the decision. No rows: no rows.
     """
-    classes = similar_lines(docs, **options)
-    lines = stash(lines_of(docs).select("doc_id", "text_key", "line_no", "a", "b"), "occurrences")
+    lines, classes = similar_lines(docs, **options)
     lines = lines.join(classes, ["a", "b"], "left").select("doc_id", "text_key", "line_no", F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
     lines = stash(lines, "rooted")
     place = F.struct("doc_id", "text_key", "line_no")
