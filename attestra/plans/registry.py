@@ -1,15 +1,291 @@
-"""All registered queries and their SQL."""
+"""All registered queries of the evidence graph, each beside its SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from attestra.functions import text as tx
+from attestra.operators import catalog as kt
+from attestra.operators import claims as cl
+from attestra.operators import entities as en
+from attestra.operators import graph as gr
+from attestra.plans import fixtures as fx
+from attestra.streaming import speaker as sp
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def _add(name: str, fn, sql: str | None = None) -> None:
+    _QUERIES[name] = fn
+    if sql:
+        _SQL[name] = sql
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sample documents to mentions to entities, the 50 most mentioned."""
+    return en.corpus_entities(en.usable(fx.mentions(spark, sf_dir))).orderBy(F.desc("mentions"), "entity_id").limit(50)
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _stops() -> str:
+    return "[" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + "]"
+
+
+# B: text
+_add(
+    "b1_cue_offsets",
+    lambda s, d: fx.cues(s, d).select("video_id", "cue_idx", F.coalesce(F.sum(F.length("text") + 1).over(Window.partitionBy("video_id").orderBy("cue_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("char_start"), F.length("text").cast("long").alias("n_chars")),
+    f"with {fx.CUES} select video_id, cue_idx, coalesce(sum(length(text) + 1) over (partition by video_id order by cue_idx rows between unbounded preceding and 1 preceding), 0)::bigint char_start, length(text)::bigint n_chars from cues",
+)
+
+
+def _b2(s: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("video_id").orderBy("cue_idx").rowsBetween(Window.unboundedPreceding, -1)
+    c = fx.cues(s, d).withColumn("pos", F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0)).cast("long"))
+    probes = c.groupBy("video_id").agg(F.max("pos").alias("m")).select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m"), F.lit(97).cast("long"))).alias("pos"))
+    both = c.select("video_id", "pos", F.lit(0).alias("kind"), "cue_idx").unionByName(probes.select("video_id", "pos", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("cue_idx")))
+    at = F.last("cue_idx", ignorenulls=True).over(Window.partitionBy("video_id").orderBy("pos", "kind", "cue_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return both.withColumn("at", at).where("kind = 1").select("video_id", "pos", F.col("at").alias("cue_idx"), (F.col("at") * 4.0).alias("time"))
+
+
+_add(
+    "b2_offset_to_cue",
+    _b2,
+    f"""with {fx.CUES}, c as (select *, coalesce(sum(length(text) + 1) over (partition by video_id order by cue_idx rows between unbounded preceding and 1 preceding), 0)::bigint pos from cues),
+p as (select video_id, unnest(range(0, max(pos) + 1, 97))::bigint pos from c group by 1)
+select p.video_id, p.pos, c.cue_idx, c.cue_idx * 4.0::double as time from p asof join c on p.video_id = c.video_id and p.pos >= c.pos""",
+)
+_TOK = "list_distinct([x for x in string_split_regex(lower(text), '[^a-z0-9]+') if length(x) > {n}])"
+for _n, _name, _stop in ((2, "b7_tokens", None), (2, "b8_tokens_without_stop_words", tx.STOP_WORDS), (3, "b9_long_tokens", None)):
+    _expr = _TOK.format(n=_n)
+    if _stop:
+        _expr = f"[x for x in {_expr} if not list_contains({_stops()}, x)]"
+    _add(
+        _name,
+        lambda s, d, n=_n, stop=_stop: fx.claims(s, d).select("claim_id", F.array_join(F.array_sort(tx.token_set(F.col("text"), n, stop)), " ").alias("tokens")),
+        f"with {fx.LI}, {fx.CLAIMS} select claim_id, array_to_string(list_sort({_expr}), ' ') tokens from claims",
+    )
+_add(
+    "b10_jaccard_of_neighbours",
+    lambda s, d: fx.dependencies(s, d).join(fx.claims(s, d).select(F.col("claim_id").alias("source"), tx.token_set(F.col("text")).alias("a")), "source").join(fx.claims(s, d).select(F.col("claim_id").alias("target"), tx.token_set(F.col("text")).alias("b")), "target").select("source", "target", F.round(tx.jaccard(F.col("a"), F.col("b")), 6).alias("likeness")),
+    f"with {fx.LI}, {fx.CLAIMS}, {fx.DEPS}, t as (select claim_id, {_TOK.format(n=2)} w from claims) select source, target, coalesce(round(len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(list_concat(a.w, b.w))), 0), 6), 0)::double likeness from deps join t a on source = a.claim_id join t b on target = b.claim_id",
+)
+_add("b11_line_search", lambda s, d: fx.cues(s, d).where(F.lower("text").contains("ing th")).select("video_id", "cue_idx"), f"with {fx.CUES} select video_id, cue_idx from cues where contains(lower(text), 'ing th')")
+_add(
+    "b12_b15_links_and_clock",
+    lambda s, d: fx.cues(s, d).select("video_id", "cue_idx", tx.deep_link(F.col("video_id"), F.col("start") + 0.5).alias("link"), tx.clock(F.col("start")).alias("clock")),
+    f"with {fx.CUES} select video_id, cue_idx, 'https://watch.example/' || video_id || '?t=' || (cue_idx * 4) link, lpad((cue_idx * 4 // 60)::varchar, greatest(2, length((cue_idx * 4 // 60)::varchar))::int, '0') || ':' || lpad((cue_idx * 4 % 60)::varchar, 2, '0') clock from cues",
+)
+
+# C, E: mentions and entities
+_PRON = "[" + ", ".join(f"'{w}'" for w in tx.PRONOUNS) + "]"
+_USABLE = f"usable as (select * from (select *, lower(surface) norm from mentions) where label <> 'technology' and not list_contains({_PRON}, norm) and length(norm) >= 2)"
+_ENT = "ent as (select entity_id, count(*)::bigint mentions, count(distinct video_id)::bigint documents, max({'l': length(surface), 's': surface}).s canonical from (select *, label || ':' || lower(surface) entity_id from usable) group by 1)"
+_add("c3_c4_usable_mentions", lambda s, d: en.usable(fx.mentions(s, d)).groupBy("label", "norm").agg(F.count(F.lit(1)).alias("n")), f"with {fx.MENTIONS}, {_USABLE} select label, norm, count(*)::bigint n from usable group by all")
+_add(
+    "c5_canonical_surface",
+    lambda s, d: en.canonical(en.usable(fx.mentions(s, d))),
+    f"with {fx.MENTIONS}, {_USABLE} select label, norm, surface canonical from (select label, norm, surface, row_number() over (partition by label, norm order by length(surface) * 1000 + count(*) desc, surface) r from usable group by 1, 2, 3) where r = 1",
+)
+_add("c6_mention_ids", lambda s, d: en.numbered(en.usable(fx.mentions(s, d))).select("video_id", "ordinal", "mention_id"), f"with {fx.MENTIONS}, {_USABLE}, n as (select *, (row_number() over (partition by video_id order by ordinal))::varchar k from usable) select video_id, ordinal, 'm_' || case when length(k) > 4 then left(k, 4) else lpad(k, 4, '0') end mention_id from n")
+_add("c13_visible_mentions", lambda s, d: fx.mentions(s, d).where(~F.col("label").isin("event", "facility")).groupBy("video_id").agg(F.count(F.lit(1)).alias("n")), f"with {fx.MENTIONS} select video_id, count(*)::bigint n from mentions where label not in ('event', 'facility') group by 1")
+_add("e1_e2_corpus_entities", lambda s, d: en.corpus_entities(en.usable(fx.mentions(s, d))), f"with {fx.MENTIONS}, {_USABLE}, {_ENT} select * from ent")
+
+
+def _merges(s: SparkSession, d: str) -> DataFrame:
+    """Every part that is not a multiple of 5 is merged into the one before."""
+    p = fx.table(s, d, "part").where("p_partkey % 5 <> 0")
+    return p.select(F.concat(F.lit("thing:p"), "p_partkey").alias("source"), F.concat(F.lit("thing:p"), F.col("p_partkey") - 1).alias("target"))
+
+
+_MERGED = "final as (select 'thing:p' || p_partkey source, 'thing:p' || (p_partkey - p_partkey % 5) final from part where p_partkey % 5 <> 0)"
+_add("e4_merge_chains", lambda s, d: en.close_merges(_merges(s, d)), f"with {_MERGED} select source, final from final")
+_add(
+    "e5_resolved_and_deleted",
+    lambda s, d: en.resolve(fx.claims(s, d).select("claim_id", F.get("entities", F.lit(0)).alias("entity_id")), en.close_merges(_merges(s, d)), fx.table(s, d, "part").where("p_partkey % 7 = 0").select(F.concat(F.lit("thing:p"), "p_partkey").alias("entity_id"))).groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")),
+    f"with {fx.LI}, {fx.CLAIMS}, {_MERGED}, r as (select coalesce(final, entities[1]) entity_id from claims left join final on source = entities[1]) select entity_id, count(*)::bigint n from r where entity_id not in (select 'thing:p' || p_partkey from part where p_partkey % 7 = 0) group by 1",
+)
+_add(
+    "e17_prefix_merges",
+    lambda s, d: en.prefix_merges(fx.mentions(s, d)),
+    f"with {fx.MENTIONS}, k as (select distinct video_id, label, lower(surface) s from mentions) select video_id, label, s source, min(t) target from (select a.video_id, a.label, a.s, b.s t from k a join k b on a.video_id = b.video_id and a.label = b.label and starts_with(b.s, a.s) and length(b.s) > length(a.s) where length(a.s) >= 4) group by 1, 2, 3 having count(*) = 1",
+)
+_add(
+    "e22_audit_tiers",
+    lambda s, d: en.tiers(en.corpus_entities(en.usable(fx.mentions(s, d)))),
+    f"with {fx.MENTIONS}, {_USABLE}, {_ENT} select entity_id, mentions, documents, tier from (select *, case when row_number() over (partition by split_part(entity_id, ':', 1) order by mentions desc, entity_id) <= 5 then 'top' when documents >= 5 then 'wide' end tier from ent) where tier is not null",
+)
+
+
+def _status(s: SparkSession, d: str) -> DataFrame:
+    e = fx.table(s, d, "part").select(F.concat(F.lit("thing:p"), "p_partkey").alias("entity_id"))
+    return en.status(e, en.close_merges(_merges(s, d)), e.where(F.pmod(F.substring_index("entity_id", "p", -1).cast("long"), F.lit(7)) == 0))
+
+
+_STATUS = "st as (select 'thing:p' || p_partkey entity_id, case when p_partkey % 7 = 0 then 'deleted' when p_partkey % 5 <> 0 then 'merged' else 'active' end status from part)"
+_add("e32_entity_status", _status, f"with {_STATUS} select * from st")
+_add("e27_audit_report", lambda s, d: en.audit(_status(s, d)), f"with {_STATUS} select split_part(entity_id, ':', 1) as label, count(*)::bigint total, count(*) filter (status = 'deleted')::bigint deleted, count(*) filter (status = 'merged')::bigint merged, count(*) filter (status = 'active')::bigint active from st group by 1")
+_add(
+    "e28_override_upserts",
+    lambda s, d: en.latest(fx.table(s, d, "events").select("user_id", "event_type", "event_id", F.when(F.col("event_id") % 3 == 0, "remove").otherwise("set").alias("op"), "value"), ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id", "value"),
+    "select user_id, event_type, event_id, value from (select *, row_number() over (partition by user_id, event_type order by event_id desc) r from events) where r = 1 and event_id % 3 <> 0",
+)
+_add("e30_audit_log", lambda s, d: fx.table(s, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(500).select("event_id", "user_id", "event_type"), "select event_id, user_id, event_type from events order by ts desc, event_id desc limit 500")
+
+# F, G, H: graph
+_NODES = "nodes as (select entity_id, count(*)::bigint weight from (select subject_id entity_id from rel union all select object_id from rel) group by 1)"
+_EDGES = "edges as (select subject_id, predicate, object_id, count(*)::bigint n from rel group by all)"
+_CHECK = "case predicate when 'located_in' then split_part(object_id, ':', 1) in ('location', 'facility') when 'works_for' then split_part(subject_id, ':', 1) = 'person' and split_part(object_id, ':', 1) in ('organization', 'group_or_movement') else true end"
+_rel = fx.relationships
+_add("f3_type_check", lambda s, d: gr.type_checked(_rel(s, d)).groupBy("predicate").agg(F.count(F.lit(1)).alias("n")), f"with {fx.REL} select predicate, count(*)::bigint n from rel where {_CHECK} group by 1")
+_add("f5_relationship_upsert", lambda s, d: gr.upsert(_rel(s, d)), f"with {fx.REL} select rel_id, max(confidence) confidence, case when min(provenance) <> max(provenance) then 'both' else min(provenance) end provenance from rel group by 1")
+_add("f9_entity_index", lambda s, d: _rel(s, d).groupBy(F.col("object_id").alias("entity_id")).agg(F.countDistinct("transcript_id").alias("documents"), F.count(F.lit(1)).alias("mentions")), f"with {fx.REL} select object_id entity_id, count(distinct transcript_id)::bigint documents, count(*)::bigint mentions from rel group by 1")
+_add("f10_entity_documents", lambda s, d: _rel(s, d).groupBy(F.col("object_id").alias("entity_id"), "transcript_id").agg(F.array_join(F.array_sort(F.collect_set("char_start")).cast("array<string>"), ",").alias("spans")), f"with {fx.REL} select object_id entity_id, transcript_id, array_to_string(list_sort(list_distinct(list(char_start)))::varchar[], ',') spans from rel group by 1, 2")
+_add("f11_graph_nodes", lambda s, d: gr.nodes(_rel(s, d)), f"with {fx.REL}, {_NODES} select * from nodes")
+_add("f12_graph_edges", lambda s, d: gr.edges(_rel(s, d)), f"with {fx.REL}, {_EDGES} select * from edges")
+_add("f4_well_formed", lambda s, d: _rel(s, d).where("char_end > char_start and confidence between 0 and 1").select("rel_id").distinct(), f"with {fx.REL} select distinct rel_id from rel where char_end > char_start and confidence between 0 and 1")
+_add(
+    "g2_graph_search",
+    lambda s, d: gr.search(gr.nodes(_rel(s, d)), "c1"),
+    f"with {fx.REL}, {_NODES} select entity_id, weight, (case when split_part(entity_id, ':', 2) = 'c1' then 100 when starts_with(split_part(entity_id, ':', 2), 'c1') then 50 else 10 end + weight)::bigint score from nodes where contains(split_part(entity_id, ':', 2), 'c1') order by score desc, entity_id limit 20",
+)
+_add("g3_search_by_position", lambda s, d: gr.search_by_position(gr.nodes(_rel(s, d)), "s1"), f"with {fx.REL}, {_NODES} select entity_id, weight, instr(lower(entity_id), 's1')::int as position from nodes where instr(lower(entity_id), 's1') > 0 order by position, weight desc, entity_id limit 20")
+_add("g5_entity_page", lambda s, d: gr.by_predicate(_rel(s, d)), f"with {fx.REL} select subject_id, predicate, count(*)::bigint n, array_to_string(list_sort(list_distinct(list(object_id))), ',') objects from rel group by 1, 2")
+_add("g6_role_query", lambda s, d: gr.by_role(_rel(s, d), "organization:s1", "object", "denies").select("rel_id", "subject_id"), f"with {fx.REL} select rel_id, subject_id from rel where object_id = 'organization:s1' and predicate = 'denies'")
+_add(
+    "g9_g10_neighbour_page",
+    lambda s, d: gr.neighbour_page(gr.edges(_rel(s, d)), gr.nodes(_rel(s, d))),
+    f"with {fx.REL}, {_NODES}, p as (select distinct subject_id entity_id, object_id other from rel union select distinct object_id, subject_id from rel), r as (select p.*, weight, row_number() over (partition by p.entity_id order by weight desc, other)::int rank, count(*) over (partition by p.entity_id)::bigint total from p join nodes on other = nodes.entity_id) select * from r where rank <= 5",
+)
+_add("g11_edges_within_set", lambda s, d: gr.within(gr.edges(_rel(s, d)), gr.nodes(_rel(s, d)).where("weight >= 40")), f"with {fx.REL}, {_NODES}, {_EDGES}, h as (select entity_id from nodes where weight >= 40) select * from edges where subject_id in (from h) and object_id in (from h)")
+_add("g13_view_slice", lambda s, d: _rel(s, d).where("predicate in ('denies', 'endorses') and coalesce(direct_truth, 0) >= 0.3").groupBy("subject_id").agg(F.count(F.lit(1)).alias("n")), f"with {fx.REL} select subject_id, count(*)::bigint n from rel where predicate in ('denies', 'endorses') and coalesce(direct_truth, 0) >= 0.3 group by 1")
+_add("g16_undirected_edges", lambda s, d: gr.undirected(gr.edges(_rel(s, d))), f"with {fx.REL}, {_EDGES} select least(subject_id, object_id) lo, predicate, greatest(subject_id, object_id) hi, sum(n)::bigint n from edges group by all")
+_add(
+    "h6_truth_conflicts",
+    lambda s, d: gr.conflicts(_rel(s, d)),
+    f"with {fx.REL}, t as (select distinct subject_id, predicate, object_id, rel_id, direct_truth v from rel where direct_truth is not null) select a.rel_id true_rel, b.rel_id false_rel, a.v true_value, b.v false_value from t a join t b using (subject_id, predicate, object_id) where a.v >= 0.5 and b.v < 0.5",
+)
+_EXC = " union all ".join(f"select a.subject_id, a.object_id, a.r left_rel, b.r right_rel, '{p}/{q}' predicates from t a join t b using (subject_id, object_id) where a.predicate = '{p}' and b.predicate = '{q}'" for p, q in gr.EXCLUSIVE)
+_add("h7_exclusive_predicates", lambda s, d: gr.exclusive(_rel(s, d), 0.2), f"with {fx.REL}, t as (select subject_id, object_id, predicate, min(rel_id) r from rel where direct_truth >= 0.2 group by 1, 2, 3) {_EXC}")
+
+
+def _h4(s: SparkSession, d: str) -> DataFrame:
+    e = _rel(s, d).groupBy("rel_id", "subject_id", "object_id").agg(F.max("confidence").alias("confidence"), F.max("direct_truth").alias("anchor")).withColumn("value", F.col("anchor"))
+    return gr.propagate_round(e).select("rel_id", F.round("value", 5).alias("value"))
+
+
+_add(
+    "h4_propagation_round",
+    _h4,
+    f"""with {fx.REL}, e as (select rel_id, subject_id s, object_id o, max(confidence) c, max(direct_truth) v from rel group by 1, 2, 3), w as (select *, case when v is not null then c else 0 end w, case when v is not null then c * v else 0 end wv from e),
+n as (select x, sum(w) w, sum(wv) wv from (select s x, w, wv from w union all select o, w, wv from w) group by 1), p as (select s, o, sum(w) w, sum(wv) wv from w group by 1, 2),
+m as (select w.*, a.w + b.w - p.w - w.w nw, a.wv + b.wv - p.wv - w.wv nwv from w join n a on w.s = a.x join n b on w.o = b.x join p on w.s = p.s and w.o = p.o)
+select rel_id, round(case when v is not null then case when nw > 1e-9 then 0.6 * v + 0.4 * nwv / nw else v end when nw > 1e-9 then nwv / nw end, 5) as value from m""",
+)
+
+# I, J, L: claims
+_C, _D = fx.claims, fx.dependencies
+_CD = f"with {fx.LI}, {fx.CLAIMS}, {fx.DEPS}"
+_SUB = "nullif(lower(regexp_extract(rationale, '^\\s*\\[(logical|debunks|alternative|undercuts)\\]', 1)), '')"
+_add("i5_subkinds", lambda s, d: _D(s, d).select("source", tx.subkind(F.col("rationale")).alias("subkind"), tx.without_subkind(F.col("rationale")).alias("rest")), f"{_CD} select source, {_SUB} subkind, regexp_replace(rationale, '^\\s*\\[(logical|debunks|alternative|undercuts)\\]\\s*', '') rest from deps")
+_add("i12_dependency_edges", lambda s, d: _D(s, d).join(_C(s, d).where("l_orderkey % 11 = 0").select(F.col("claim_id").alias("target")), "target", "left_anti").select("source", "target", "kind"), f"{_CD} select source, target, kind from deps where target not in (select claim_id from claims where l_orderkey % 11 = 0)")
+_add("i13_index_header", lambda s, d: _C(s, d).agg(F.countDistinct("video_id").alias("documents"), F.count(F.lit(1)).alias("claims"), F.count("truth").alias("with_truth")), f"{_CD} select count(distinct video_id)::bigint documents, count(*)::bigint claims, count(truth)::bigint with_truth from claims")
+_add(
+    "i14_pair_contradictions",
+    lambda s, d: cl.pair_contradictions(_D(s, d), _C(s, d)),
+    f"{_CD}, x as (select d.source, d.target, coalesce({_SUB}, 'logical') subkind, least(coalesce(a.truth, 0), coalesce(b.truth, 0)) low from deps d join claims a on d.source = a.claim_id join claims b on d.target = b.claim_id where d.kind = 'contradicts') select source, target, subkind from x where subkind = 'logical' and low >= 0.5 or subkind = 'debunks' and low >= 0.7",
+)
+_add("i15_broken_presuppositions", lambda s, d: cl.broken_presuppositions(_D(s, d), _C(s, d)), f"{_CD} select source, target, a.truth source_truth, b.truth target_truth from deps d join claims a on source = a.claim_id join claims b on target = b.claim_id where d.kind = 'presupposes' and b.truth < 0.3 and a.truth >= 0.5")
+_PAIRS = f"""t as (select *, [x for x in {_TOK.format(n=2)} if not list_contains({_stops()}, x)] w from claims where stance <> 'uncertain'),
+j as (select case when a.video_id < b.video_id then a.claim_id else b.claim_id end as l, case when a.video_id < b.video_id then b.claim_id else a.claim_id end as r, len(list_intersect(a.entities, b.entities))::int shared,
+  coalesce(len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(list_concat(a.w, b.w))), 0), 0) sim from t a join t b on a.entities[1] = b.entities[1] and a.stance = 'asserts' and b.stance = 'denies' and a.video_id <> b.video_id),
+pairs as (select l as left, r as right, shared, round(sim, 6)::double similarity, case when sim >= 0.1 then 'jaccard' else 'strong-overlap' end reason from j where sim >= 0.1 or shared >= 2)"""
+_add("i16_cross_document_pairs", lambda s, d: cl.cross_document(_C(s, d)), f"{_CD}, {_PAIRS} select * from pairs")
+
+
+def _verdicts(c: DataFrame) -> DataFrame:
+    k = F.substring_index(F.substring_index("left", "_", 2), "_", -1).cast("long") % 7
+    names = F.array(*[F.lit(x) for x in ("LOGICAL-CONTRADICTION", "DEBUNKS", "SAME-CLAIM", "IRRELEVANT", "UNDERCUTS")])
+    return c.where(k < 5).select("left", "right", F.element_at(names, (k + 1).cast("int")).alias("verdict"))
+
+
+_K = "(split_part(p.left, '_', 2)::bigint % 7)"
+_add(
+    "i21_i23_verdict_routes",
+    lambda s, d: cl.routed(p := cl.cross_document(_C(s, d)), _verdicts(p)).groupBy("route", "verdict").agg(F.count(F.lit(1)).alias("n")),
+    f"{_CD}, {_PAIRS}, v as (select case when {_K} < 5 then ['LOGICAL-CONTRADICTION', 'DEBUNKS', 'SAME-CLAIM', 'IRRELEVANT', 'UNDERCUTS'][{_K} + 1] end verdict from pairs p) select case when verdict is null then 'pending' when verdict = 'SAME-CLAIM' then 'agreement' when verdict = 'IRRELEVANT' then 'dropped' else 'contradiction' end route, verdict, count(*)::bigint n from v group by 1, 2",
+)
+_add(
+    "i19_dismissed_pairs",
+    lambda s, d: cl.undismissed(_D(s, d).select(F.col("source").alias("left"), F.col("target").alias("right"), "kind"), _D(s, d).where("kind = 'supports'").select(F.col("target").alias("left"), F.col("source").alias("right"))),
+    f"{_CD} select source as left, target as right, kind from deps where kind <> 'supports'",
+)
+_add("i36_extraction_summary", lambda s, d: _C(s, d).groupBy("video_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.count("truth").alias("with_truth")), f"{_CD} select video_id, kind, count(*)::bigint n, count(truth)::bigint with_truth from claims group by 1, 2")
+
+
+def _i7(s: SparkSession, d: str) -> DataFrame:
+    c = _C(s, d).select("claim_id", "confidence", F.col("truth").alias("anchor"), F.col("truth").alias("value"))
+    return cl.propagate_round(c, _D(s, d)).select("claim_id", F.round("value", 5).alias("value"))
+
+
+_add(
+    "i7_claim_propagation_round",
+    _i7,
+    f"""{_CD}, i as (select d.target, d.kind, coalesce({_SUB}, 'logical') sk, truth v, confidence c from deps d join claims on claim_id = d.source where truth is not null),
+x as (select target, sum(w) sw, sum(w * y) swy, min(u) u from (select *, case when kind = 'supports' then c when kind = 'contradicts' and sk = 'alternative' then c / 2 when kind = 'contradicts' and sk <> 'undercuts' then c end w, case when kind = 'supports' then v else 1 - v end y, case when kind = 'contradicts' and sk = 'undercuts' then 1 - 0.2 * v * c end u from i) group by 1),
+n as (select source, min(truth) cap from deps d join claims on claim_id = d.target where d.kind = 'presupposes' group by 1),
+r as (select claim_id, cap, u, case when truth is null then case when sw > 0 then swy / sw end when sw > 0 then 0.6 * truth + 0.4 * swy / sw else truth end v from claims left join x on x.target = claim_id left join n on n.source = claim_id)
+select claim_id, round(case when v is not null then greatest(0, least(v, coalesce(cap, 1), coalesce(u, 1), 1)) end, 5) as value from r""",
+)
+_add("j1_topic_match", lambda s, d: _C(s, d).where(F.exists("entities", lambda e: e.contains("p12")) | F.col("kind").contains("opin")).select("claim_id"), f"{_CD} select claim_id from claims where kind like '%opin%' or len([e for e in entities if contains(e, 'p12')]) > 0")
+_SEL = {"kind": ("kind", ["opinion", "historical"]), "stance": ("stance", ["denies"]), "label": ("label", [])}
+_add(
+    "j3_leave_one_out_facets",
+    lambda s, d: cl.leave_one_out(_C(s, d).withColumn("label", tx.truth_label(F.col("truth"))), _SEL),
+    f"""{_CD}, c as (select *, case when truth >= 0.85 then 'very likely true' when truth >= 0.65 then 'likely true' when truth > 0.55 then 'leans true' when truth >= 0.45 then 'uncertain' when truth > 0.35 then 'leans false' when truth > 0.15 then 'likely false' when truth is not null then 'very likely false' end as label from claims)
+select 'kind' facet, kind bucket, count(*)::bigint n from c where stance = 'denies' group by 2 union all select 'stance', stance, count(*) from c where kind in ('opinion', 'historical') group by 2 union all select 'label', label, count(*) from c where stance = 'denies' and kind in ('opinion', 'historical') group by 2""",
+)
+_add("j4_most_certain", lambda s, d: _C(s, d).where("truth is not null").orderBy(F.desc(F.round(F.abs(F.col("truth") - 0.5), 6)), "claim_id").limit(100).select("claim_id", "truth"), f"{_CD} select claim_id, truth from claims where truth is not null order by round(abs(truth - 0.5), 6) desc, claim_id limit 100")
+_add("j5_degrees", lambda s, d: cl.degrees(_D(s, d)), f"{_CD} select claim_id, sum(o)::bigint out_degree, sum(i)::bigint in_degree from (select source claim_id, 1 o, 0 i from deps union all select target, 0, 1 from deps) group by 1")
+_add("j6_unit_histogram", lambda s, d: cl.unit_histogram(_C(s, d), "truth"), f"{_CD} select g::int bin, count(truth)::bigint n from range(10) t(g) left join claims on least(9, floor(truth * 10)) = g group by 1")
+_add("j8_month_histogram", lambda s, d: cl.month_histogram(_C(s, d), "published"), f"{_CD}, m as (select date_trunc('month', published) m from claims), g as (select unnest(generate_series((select min(m) from m)::timestamp, (select max(m) from m)::timestamp, interval 1 month)) m) select strftime(g.m, '%Y-%m') as month, count(m.m)::bigint n from g left join m on g.m = m.m group by 1")
+_add("j23_truth_timeline", lambda s, d: _C(s, d).where("truth is not null").select("claim_id", (F.round(2 * F.col("truth") - 1, 6) + 0.0).alias("mid"), (F.round(F.greatest(F.lit(-1.0), 2 * F.col("truth") - 1 - F.sqrt(1 - F.col("confidence"))), 6) + 0.0).alias("lo"), (F.round(F.least(F.lit(1.0), 2 * F.col("truth") - 1 + F.sqrt(1 - F.col("confidence"))), 6) + 0.0).alias("hi")), f"{_CD} select claim_id, round(2 * truth - 1, 6) + 0.0 mid, round(greatest(-1.0, 2 * truth - 1 - sqrt(1 - confidence)), 6) + 0.0 lo, round(least(1.0, 2 * truth - 1 + sqrt(1 - confidence)), 6) + 0.0 hi from claims where truth is not null")
+_add("j26_document_totals", lambda s, d: _C(s, d).groupBy("video_id").agg(F.count(F.lit(1)).alias("claims"), F.count("truth").alias("with_truth"), F.count_if(F.col("stance") == "denies").alias("denied")), f"{_CD} select video_id, count(*)::bigint claims, count(truth)::bigint with_truth, count(*) filter (stance = 'denies')::bigint denied from claims group by 1")
+_add("l6_floor_percentile", lambda s, d: cl.floor_percentile(_C(s, d), "kind", "confidence", 0.9), f"{_CD}, r as (select kind, confidence, row_number() over (partition by kind order by confidence) - 1 r, count(*) over (partition by kind) n from claims) select kind, confidence as value from r where r = least(n - 1, floor(n * 0.9))")
+
+
+def _metrics(c: DataFrame) -> DataFrame:
+    m = c.agg(F.count(F.lit(1)).cast("double").alias("claims"), F.round(F.count("truth") / F.count(F.lit(1)) * 100, 2).alias("truth_coverage"), F.round(F.count_if(F.col("stance") == "denies") / F.count(F.lit(1)) * 100, 2).alias("denies_share"))
+    return m.unpivot([], ["claims", "truth_coverage", "denies_share"], "name", "value")
+
+
+_add(
+    "l3_l8_metric_gate",
+    lambda s, d: cl.gate(_metrics(_C(s, d)), _metrics(_C(s, d).where("l_orderkey % 2 = 0")), ["denies_share"]),
+    f"""{_CD}, m as (select 'all' k, * from claims union all select 'base', * from claims where l_orderkey % 2 = 0), a as (select k, count(*)::double n, round(count(truth) / count(*) * 100, 2) t, round(count(*) filter (stance = 'denies') / count(*) * 100, 2) d from m group by 1),
+u as (select k, 'claims' as name, n v from a union all select k, 'truth_coverage', t from a union all select k, 'denies_share', d from a), j as (select x.name, x.v, y.v b, case when x.name = 'denies_share' then 1 else -1 end * (x.v - y.v) / greatest(1, abs(y.v)) w from u x join u y on x.name = y.name and x.k = 'all' and y.k = 'base')
+select name, v as value, b as base, case when w > 0.05 then 'regressed' when w < -0.05 then 'improved' else 'ok' end status from j""",
+)
 
+# K: catalogue
+_K8 = "case when has_transcript and status = 'fetched' then 'ok' when status = 'failed-needs-user' then 'needs-user' else 'retry' end bucket, case when has_transcript and status = 'fetched' then 'transcript present' when status = 'failed-needs-user' then coalesce(last_error, 'no captions available; upload or pick another source') else coalesce(last_error, 'not yet fetched') end reason"
+_add("k8_gap_buckets", lambda s, d: kt.classify_gaps(fx.catalog(s, d)).groupBy("bucket", "reason").agg(F.count(F.lit(1)).alias("n")), f"with {fx.CATALOG} select bucket, reason, count(*)::bigint n from (select {_K8} from catalog) group by 1, 2")
+_add("k1_k2_catalog_filter", lambda s, d: kt.matching(fx.catalog(s, d).where("status = 'fetched'"), "BUILD").select("video_id", "title"), f"with {fx.CATALOG} select video_id, title from catalog where status = 'fetched' and contains(lower(title || ' ' || video_id || ' ' || channel), 'build')")
+_add("k4_k5_catalog_page", lambda s, d: kt.page(fx.catalog(s, d), 3, 50).select("video_id", "published", "rank"), f"with {fx.CATALOG} select video_id, published, row_number() over (order by published desc nulls last, video_id)::int rank from catalog qualify rank between 101 and 150")
+_add("k13_status_histogram", lambda s, d: fx.catalog(s, d).groupBy("status", "channel").agg(F.count(F.lit(1)).alias("n")), f"with {fx.CATALOG} select status, channel, count(*)::bigint n from catalog group by 1, 2")
+_add("k18_newest_per_channel", lambda s, d: kt.newest(fx.catalog(s, d)), f"with {fx.CATALOG} select channel, max({{'p': published, 'v': video_id}}).v video_id, max(published) published from catalog where published is not null group by 1")
+_add("d4_d5_day_parts", lambda s, d: fx.table(s, d, "events").select("event_id", tx.time_of_day(F.hour("ts")).alias("time_of_day"), tx.week_start(F.col("ts").cast("date")).alias("week")), "select event_id, case when hour(ts) between 5 and 11 then 'morning' when hour(ts) between 12 and 16 then 'day' when hour(ts) between 17 and 20 then 'evening' else 'night' end time_of_day, (ts::date - dayofweek(ts)::int)::date as week from events")
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+# M: speakers
+_WEIGHT = " + ".join(f"case when contains(lower(text), '{p.replace(chr(39), chr(39) * 2)}') then {sp.WEIGHTS[k]} else 0 end" for k, ps in (("hedge", sp.HEDGES), ("evasion", sp.EVASIONS), ("absolute", sp.ABSOLUTES)) for p in ps)
+_add("m1_language_signals", lambda s, d: fx.table(s, d, "conversations").select("conv_id", "turn", F.round(sp.signal_weight(F.col("text")), 4).alias("weight")), f"select conv_id, turn, round(({_WEIGHT})::double, 4) weight from conversations")
+_add("m2_speaker_scores", lambda s, d: sp.score_batch(fx.table(s, d, "events").select(F.col("user_id").cast("string").alias("speaker"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "click", -0.03).when(F.col("event_type") == "purchase", 0.05).otherwise(0.0).alias("weight"))))
