@@ -21,11 +21,14 @@ def sketch(text: Column, keep: int = KEEP, shingle: int = SHINGLE) -> Column:
     def joined(parts: Column, more: Column, by: int) -> Column:
         return F.zip_with(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - by, F.lit(0))), F.slice(more, F.lit(by + 1), F.size(more)), lambda a, b: F.xxhash64(a, b))
 
+    def widened(grams: Column, by: int) -> Column:
+        return F.get(F.transform(F.array(grams), lambda g: joined(g, g, by)), F.lit(0))
+
     def shingles(h: Column) -> Column:
         grams, width = h, 1
         while width < shingle:  # runs of twice the width, then what is left
             by = min(width, shingle - width)
-            grams, width = F.get(F.transform(F.array(grams), lambda g, by=by: joined(g, g, by)), F.lit(0)), width + by
+            grams, width = widened(grams, by), width + by
         least = F.slice(F.sort_array(F.array_distinct(grams)), 1, keep)
         return F.when(F.size(h) == 0, F.array().cast("array<bigint>")).when(F.size(h) < shingle, F.array(F.xxhash64(h))).otherwise(least)
 
