@@ -33,6 +33,20 @@ def features(text: str | None) -> np.ndarray:
     return np.flatnonzero(seen).astype(np.int32)
 
 
+def pack(found: np.ndarray) -> bytes:
+    """Ascending numbers as compressed differences."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(np.diff(found, prepend=0).astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    import zstandard
+
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.cumsum(np.ascontiguousarray(flat.reshape(4, -1).T).view(np.uint32).reshape(-1)).astype(np.int32)
+
+
 @dataclass
 class Model:
     """Weights already multiplied by the log-count ratios, and the intercept."""
@@ -98,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         for b in batches:
             found = [features(t) for t in b.column(0).to_pylist()]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f.tobytes() for f in found]), b.column(1), b.column(2)], names=["at", "label", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array([pack(f) for f in found]), b.column(1), b.column(2)], names=["at", "label", "part"])
 
     held = stash(rows.mapInArrow(featurize, "at binary, label int, part int"), "features")
 
@@ -108,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         size = 1 << BITS
         n1, n0, c1, c0 = 0, 0, np.zeros(size, np.int32), np.zeros(size, np.int32)
         for at, label in zip(table.column("at"), table.column("label"), strict=True):
-            f = np.frombuffer(at.as_py(), np.int32)
+            f = unpack(at.as_py())
             if label.as_py():
                 n1, _ = n1 + 1, np.add.at(c1, f, 1)
             else:
@@ -125,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     def train(table):
         import pyarrow as pa
 
-        found = [np.frombuffer(at.as_py(), np.int32) for at in table.column("at")]
+        found = [unpack(at.as_py()) for at in table.column("at")]
         w, b = fit_part(found, np.array(table.column("label").to_pylist(), np.float64), shared.value)
         return pa.table({"w": [w.astype(np.float32).tobytes()], "b": [float(b)], "n": [len(found)]})
 
