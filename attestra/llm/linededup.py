@@ -12,6 +12,8 @@ from .components import components
 
 #: Characters in a shingle, likeness, bands, rows in a band: a pair at the threshold meets with probability 0.995.
 SHINGLE, LIKENESS, BANDS, ROWS = 7, 0.8, 10, 4
+#: Lines of a bucket that are compared in one row.
+BLOCK = 48
 _BYTES = 4  # of a character in UTF-32
 
 
@@ -92,6 +94,32 @@ def similar_lines(docs: DataFrame, likeness: float = LIKENESS, shingle: int = SH
         apart = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
         return stash(now.join(apart, "key"), "apart")
 
+    def root_links(apart: DataFrame) -> DataFrame:
+        """Linked lines of a bucket, or their roots: small buckets by pairs, at most BLOCK a line; larger ones in
+        blocks of members held as arrays, without a row per pair."""
+        who = [F.bit_xor(F.xxhash64(F.lit(k), "x")).alias(f"who{k}") for k in (1, 2)]
+        sizes = apart.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *who)
+        once = sizes.groupBy("n", "who1", "who2").agg(F.min("key").alias("key"))  # buckets of the same lines
+        held = stash(apart.join(once.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key"), "held")
+        few = held.where("blocks = 1")
+        other = few.select("key", F.col("x").alias("y"), F.col("root").alias("root_y"))
+        pairs = few.join(other, "key").where("root < root_y").select("x", "y").distinct()
+        pairs = pairs.join(tested, ["x", "y"], "left_anti").join(tested.select(F.col("x").alias("y"), F.col("y").alias("x")), ["x", "y"], "left_anti")
+        pairs = verified(stash(pairs, "pairs"))
+        held = held.where("blocks > 1")
+        made = held.select("x").distinct().join(texts, "x").select("x", grams(F.col("line")).alias("set"))
+        held = held.join(made, "x").withColumn("block", F.pmod(F.xxhash64(F.lit(9), "x"), F.col("blocks")).cast("int"))
+        lists = stash(held.groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("root", "set")).alias("rows")), "blocks")
+        left = lists.select("key", F.col("block").alias("b"), F.col("rows").alias("left"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
+        both = left.join(lists.select("key", "block", F.col("rows").alias("right")), ["key", "block"])
+
+        def near(p: Column, q: Column) -> Column:
+            sizes_fit = F.least(F.size(p["set"]), F.size(q["set"])) >= likeness * F.greatest(F.size(p["set"]), F.size(q["set"]))
+            return (p["root"] != q["root"]) & sizes_fit & (_likeness(p["set"], q["set"]) >= likeness)
+
+        links = F.flatten(F.transform("left", lambda p: F.transform(F.filter("right", lambda q: near(p, q)), lambda q: F.struct(F.least(p["root"], q["root"]).alias("x"), F.greatest(p["root"], q["root"]).alias("y")))))
+        return pairs.union(both.select(F.explode(F.array_distinct(links)).alias("l")).select("l.x", "l.y").distinct())
+
     tested = stash(members.groupBy("x").agg(F.min("head").alias("y")).where("x <> y"), "pairs")
     edges = stash(verified(tested), "links")
     apart = rooted(edges)
@@ -103,10 +131,7 @@ def similar_lines(docs: DataFrame, likeness: float = LIKENESS, shingle: int = SH
         tested = tested.union(near)
         apart = rooted(edges)
         if not apart.isEmpty():
-            other = apart.select("key", F.col("x").alias("y"), F.col("root").alias("root_y"))
-            rest = apart.join(other, "key").where("root < root_y").select("x", "y").distinct()
-            rest = rest.join(tested, ["x", "y"], "left_anti").join(tested.select(F.col("x").alias("y"), F.col("y").alias("x")), ["x", "y"], "left_anti")
-            edges = stash(edges.union(verified(stash(rest, "pairs"))), "links")
+            edges = stash(edges.union(root_links(apart)), "links")
     roots = components(edges, "x", "y")
 
     def part(c: str, k: int) -> Column:
