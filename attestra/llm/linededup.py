@@ -12,8 +12,8 @@ from .components import components
 
 #: Characters in a shingle, likeness, bands, rows in a band: a pair at the threshold meets with probability 0.995.
 SHINGLE, LIKENESS, BANDS, ROWS = 7, 0.8, 10, 4
-#: Lines of a bucket that are compared in one row.
-BLOCK = 48
+#: Lines outside a bucket's main component that are held in one row, about.
+BLOCK = 32
 _BYTES = 4  # of a character in UTF-32
 
 
@@ -60,14 +60,15 @@ def similar_lines(docs: DataFrame, likeness: float = LIKENESS, shingle: int = SH
     Links are pairs that share a band and whose shingle sets have at least the given Jaccard
     likeness. Within a bucket only what union-find needs is compared, in three steps: each line
     with the first of its buckets' heads; then, where bucket members are still apart, members
-    with the head; at last all members of a bucket that are still in different components, so
-    no link between components is missed.
+    with each bucket's head; at last all members of a bucket that are still in different
+    components, so no link between components is missed. A bucket's head is drawn by a hash of
+    the bucket, so that a line meets other heads in other buckets.
     """
     found = band_keys(lines_of(docs), shingle, bands, rows)
     bucket = Window.partitionBy("key")
     many = found.withColumn("n", F.count(F.lit(1)).over(bucket)).where("n > 1").select("key", F.concat_ws(":", "a", "b").alias("x"), "a", "b")
     many = stash(many, "buckets")
-    heads = many.groupBy("key").agg(F.min("x").alias("head"))
+    heads = many.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "x").alias("rank"), "x")).alias("h")).select("key", F.col("h.x").alias("head"))
     members = stash(many.join(heads, "key").select("key", "x", "a", "b", "head"), "members")
 
     ids = stash(members.select("a", "b", "x").distinct(), "lines")
@@ -95,30 +96,31 @@ def similar_lines(docs: DataFrame, likeness: float = LIKENESS, shingle: int = SH
         return stash(now.join(apart, "key"), "apart")
 
     def root_links(apart: DataFrame) -> DataFrame:
-        """Linked lines of a bucket, or their roots: small buckets by pairs, at most BLOCK a line; larger ones in
-        blocks of members held as arrays, without a row per pair."""
-        who = [F.bit_xor(F.xxhash64(F.lit(k), "x")).alias(f"who{k}") for k in (1, 2)]
-        sizes = apart.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *who)
-        once = sizes.groupBy("n", "who1", "who2").agg(F.min("key").alias("key"))  # buckets of the same lines
-        held = stash(apart.join(once.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key"), "held")
-        few = held.where("blocks = 1")
-        other = few.select("key", F.col("x").alias("y"), F.col("root").alias("root_y"))
-        pairs = few.join(other, "key").where("root < root_y").select("x", "y").distinct()
-        pairs = pairs.join(tested, ["x", "y"], "left_anti").join(tested.select(F.col("x").alias("y"), F.col("y").alias("x")), ["x", "y"], "left_anti")
-        pairs = verified(stash(pairs, "pairs"))
-        held = held.where("blocks > 1")
-        made = held.select("x").distinct().join(texts, "x").select("x", grams(F.col("line")).alias("set"))
-        held = held.join(made, "x").withColumn("block", F.pmod(F.xxhash64(F.lit(9), "x"), F.col("blocks")).cast("int"))
-        lists = stash(held.groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("root", "set")).alias("rows")), "blocks")
-        left = lists.select("key", F.col("block").alias("b"), F.col("rows").alias("left"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
-        both = left.join(lists.select("key", "block", F.col("rows").alias("right")), ["key", "block"])
-
-        def near(p: Column, q: Column) -> Column:
-            sizes_fit = F.least(F.size(p["set"]), F.size(q["set"])) >= likeness * F.greatest(F.size(p["set"]), F.size(q["set"]))
-            return (p["root"] != q["root"]) & sizes_fit & (_likeness(p["set"], q["set"]) >= likeness)
-
-        links = F.flatten(F.transform("left", lambda p: F.transform(F.filter("right", lambda q: near(p, q)), lambda q: F.struct(F.least(p["root"], q["root"]).alias("x"), F.greatest(p["root"], q["root"]).alias("y")))))
-        return pairs.union(both.select(F.explode(F.array_distinct(links)).alias("l")).select("l.x", "l.y").distinct())
+        """Links between the components of a bucket, as pairs of roots.
+
+        Lines outside the bucket's largest component are held in arrays of about BLOCK, and every
+        member of the bucket meets each array once: no row per pair, and no pair inside the
+        largest component. A pair with several buckets is compared in the first of them.
+        """
+        by_root = apart.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+        main = by_root.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"))
+        main = main.select("key", F.col("most.root").alias("main"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("blocks"))
+        held = apart.join(main, "key").select("key", "x", "root", "blocks", (F.col("root") != F.col("main")).alias("out"))
+        keys = apart.groupBy("x").agg(F.collect_list("key").alias("keys"))  # a key per band at most
+        held = stash(held.join(keys, "x").join(texts, "x"), "held")
+        outer = held.where("out").withColumn("block", F.pmod(F.xxhash64(F.lit(9), "x"), F.col("blocks")))
+        outer = outer.groupBy("key", "block").agg(F.collect_list(F.struct("x", "root", "keys", grams(F.col("line")).alias("set"))).alias("others"))
+        both = held.join(outer, "key").select("key", "x", "root", "out", "keys", "others", F.array(grams(F.col("line"))).alias("sets"))
+
+        def near(p: Column, own: Column) -> Column:
+            fit = F.least(F.size(own), F.size(p["set"])) >= likeness * F.greatest(F.size(own), F.size(p["set"]))
+            first = F.array_min(F.array_intersect("keys", p["keys"])) == F.col("key")
+            return (p["root"] != F.col("root")) & (~F.col("out") | (F.col("x") < p["x"])) & fit & first & (_likeness(own, p["set"]) >= likeness)
+
+        # one lambda over the array of one set, so that the set is made once a row
+        linked = F.flatten(F.transform("sets", lambda own: F.transform(F.filter("others", lambda p: near(p, own)), lambda p: p["root"])))
+        found = both.select("root", F.explode(F.array_distinct(linked)).alias("other"))
+        return found.select(F.least("root", "other").alias("x"), F.greatest("root", "other").alias("y")).distinct()
 
     tested = stash(members.groupBy("x").agg(F.min("head").alias("y")).where("x <> y"), "pairs")
     edges = stash(verified(tested), "links")
@@ -128,7 +130,6 @@ def similar_lines(docs: DataFrame, likeness: float = LIKENESS, shingle: int = SH
         near = apart.join(root_of, (F.col("key") == F.col("k")) & (F.col("head") == F.col("y"))).where("root <> root_y").select("x", "y").distinct()
         near = stash(near.join(tested, ["x", "y"], "left_anti"), "pairs")
         edges = stash(edges.union(verified(near)), "links")
-        tested = tested.union(near)
         apart = rooted(edges)
         if not apart.isEmpty():
             edges = stash(edges.union(root_links(apart)), "links")
