@@ -49,9 +49,9 @@ def band_keys(lines: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
     return sig.select("a", "b", F.xxhash64("band", *[f"m{j}" for j in range(rows)]).alias("key"))
 
 
-def _likeness(x: Column, y: Column) -> Column:
-    both = F.size(F.array_intersect(x, y))
-    return both / (F.size(x) + F.size(y) - both)
+def _alike(x: Column, y: Column, likeness: float) -> Column:
+    """Whether two sets have the Jaccard likeness, with one intersection (lambdas don't share subexpressions)."""
+    return F.size(F.array_intersect(x, y)) * (1 + likeness) >= likeness * (F.size(x) + F.size(y)) - 1e-6
 
 
 def similar_lines(docs: DataFrame, likeness: float = LIKENESS, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
@@ -86,7 +86,7 @@ def similar_lines(docs: DataFrame, likeness: float = LIKENESS, shingle: int = SH
         """Of (x, y) those alike. Pairs bring the text of x; each y has its set made once."""
         right = pairs.select("y").distinct().join(texts.withColumnRenamed("x", "y"), "y").select("y", grams(F.col("line")).alias("sy"))
         both = pairs.join(texts, "x").join(right, "y").withColumn("sx", grams(F.col("line")))
-        return both.where(_likeness(F.col("sx"), F.col("sy")) >= likeness).select("x", "y")
+        return both.where(_alike(F.col("sx"), F.col("sy"), likeness)).select("x", "y")
 
     def rooted(edges: DataFrame) -> DataFrame:
         """members with their root so far, of buckets that are not in one component."""
@@ -115,7 +115,7 @@ def similar_lines(docs: DataFrame, likeness: float = LIKENESS, shingle: int = SH
         def near(p: Column, own: Column) -> Column:
             fit = F.least(F.size(own), F.size(p["set"])) >= likeness * F.greatest(F.size(own), F.size(p["set"]))
             first = F.array_min(F.array_intersect("keys", p["keys"])) == F.col("key")
-            return (p["root"] != F.col("root")) & (~F.col("out") | (F.col("x") < p["x"])) & fit & first & (_likeness(own, p["set"]) >= likeness)
+            return (p["root"] != F.col("root")) & (~F.col("out") | (F.col("x") < p["x"])) & fit & first & _alike(own, p["set"], likeness)
 
         # one lambda over the array of one set, so that the set is made once a row
         linked = F.flatten(F.transform("sets", lambda own: F.transform(F.filter("others", lambda p: near(p, own)), lambda p: p["root"])))
