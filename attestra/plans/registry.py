@@ -11,6 +11,7 @@ from attestra.operators import claims as cl
 from attestra.operators import entities as en
 from attestra.operators import graph as gr
 from attestra.plans import fixtures as fx
+from attestra.plans import more
 from attestra.streaming import speaker as sp
 
 _QUERIES: dict = {}
@@ -29,11 +30,11 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    return {**_QUERIES, **more.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {**_SQL, **more.SQL}
 
 
 def _stops() -> str:
