@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, content_key, small, stash
@@ -29,8 +29,13 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.withColumn("a", F.xxhash64("line")).withColumn("b", F.xxhash64(F.lit(1), "line"))
 
 
+def _starts(length: Column, shingle: int) -> Column:
+    """Where the shingles of a text in UTF-32 start, in bytes from 1; a shorter text is one shingle."""
+    return F.sequence(F.lit(1), F.greatest(length - shingle, F.lit(0)) * _BYTES + 1, F.lit(_BYTES))
+
+
 def _shingle(code: Column, at: Column, shingle: int) -> Column:
-    return F.substring(code, at * _BYTES + 1, F.lit(shingle * _BYTES))
+    return F.substring(code, at, F.lit(shingle * _BYTES))
 
 
 def band_keys(lines: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -42,7 +47,7 @@ def band_keys(lines: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
     """
     once = lines.groupBy("a", "b").agg(F.first("line").alias("line"))
     code = once.select("a", "b", F.encode("line", "utf-32").alias("code"), F.length("line").alias("n"))
-    cut = code.select("a", "b", "code", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - shingle, F.lit(0)))).alias("i"))
+    cut = code.select("a", "b", "code", F.explode(_starts(F.col("n"), shingle)).alias("i"))
     hashed = cut.select("a", "b", F.hash(_shingle(F.col("code"), F.col("i"), shingle)).alias("h"))
     least = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{j}") for j, m in enumerate(_masks(rows))]
     sig = hashed.groupBy("a", "b", F.pmod(F.col("h"), F.lit(bands)).alias("band")).agg(*least)
@@ -54,46 +59,43 @@ def _alike(x: Column, y: Column, likeness: float) -> Column:
     return F.size(F.array_intersect(x, y)) * (1 + likeness) >= likeness * (F.size(x) + F.size(y)) - 1e-6
 
 
+def bucket_members(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(key, x, a, b, head) of buckets of two lines or more; the head is one of the bucket's lines, drawn by a hash of the bucket.
+
+    Keys are counted apart from the lines, so that no task gathers a bucket.
+    """
+    found = stash(band_keys(lines_of(docs), shingle, bands, rows), "bands")
+    shared = stash(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "buckets")
+    many = found.join(small(shared, shared.count(), 5 * BROADCAST_ROWS), "key").withColumn("x", F.concat_ws(":", "a", "b"))
+    heads = many.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "x").alias("rank"), "x")).alias("h")).select("key", F.col("h.x").alias("head"))
+    return stash(many.join(heads, "key").select("key", "x", "a", "b", "head"), "members")
+
+
 def similar_lines(docs: DataFrame, likeness: float = LIKENESS, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """Returns all lines, and (a, b, root_a, root_b) for every distinct line that is linked to another one.
 
     Links are pairs that share a band and whose shingle sets have at least the given Jaccard
-    likeness. Within a bucket only what union-find needs is compared, in three steps: each line
-    with the first of its buckets' heads; then, where bucket members are still apart, members
-    with each bucket's head; at last all members of a bucket that are still in different
-    components, so no link between components is missed. A bucket's head is drawn by a hash of
-    the bucket, so that a line meets other heads in other buckets.
+    likeness. Within a bucket only what union-find needs is compared, in two steps: each line
+    with the heads of its buckets; then all other members of a bucket that are still in
+    different components, so no link between components is missed.
     """
-    found = band_keys(lines_of(docs), shingle, bands, rows)
-    bucket = Window.partitionBy("key")
-    many = found.withColumn("n", F.count(F.lit(1)).over(bucket)).where("n > 1").select("key", F.concat_ws(":", "a", "b").alias("x"), "a", "b")
-    many = stash(many, "buckets")
-    heads = many.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "x").alias("rank"), "x")).alias("h")).select("key", F.col("h.x").alias("head"))
-    members = stash(many.join(heads, "key").select("key", "x", "a", "b", "head"), "members")
-
+    members = bucket_members(docs, shingle, bands, rows)
     ids = stash(members.select("a", "b", "x").distinct(), "lines")
-    n_ids = ids.count()
-    lines = lines_of(docs).join(small(ids, n_ids, 5 * BROADCAST_ROWS), ["a", "b"], "left")
+    lines = lines_of(docs).join(small(ids, ids.count(), 5 * BROADCAST_ROWS), ["a", "b"], "left")
     lines = stash(lines.select("doc_id", "text_key", "line_no", "a", "b", "x", F.when(F.col("x").isNotNull(), F.col("line")).alias("line")), "occurrences")
     texts = stash(lines.where("x is not null").groupBy("x").agg(F.first("line").alias("line")), "texts")
 
     def grams(line: Column) -> Column:
         code = F.encode(line, "utf-32")
-        at = F.sequence(F.lit(0), F.greatest(F.length(line) - shingle, F.lit(0)))
+        at = _starts(F.length(line), shingle)
         return F.array_distinct(F.get(F.transform(F.array(code), lambda c: F.transform(at, lambda i: F.xxhash64(_shingle(c, i, shingle)))), F.lit(0)))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of (x, y) those alike. Pairs bring the text of x; each y has its set made once."""
         right = pairs.select("y").distinct().join(texts.withColumnRenamed("x", "y"), "y").select("y", grams(F.col("line")).alias("sy"))
-        both = pairs.join(texts, "x").join(right, "y").withColumn("sx", grams(F.col("line")))
-        return both.where(_alike(F.col("sx"), F.col("sy"), likeness)).select("x", "y")
-
-    def rooted(edges: DataFrame) -> DataFrame:
-        """members with their root so far, of buckets that are not in one component."""
-        roots = components(edges, "x", "y").withColumnRenamed("node", "x")
-        now = members.join(roots, "x", "left").withColumn("root", F.coalesce("root", "x"))
-        apart = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        return stash(now.join(apart, "key"), "apart")
+        both = pairs.join(texts, "x").join(right, "y")
+        # a lambda over the array of one set, so that the set of x is made once a pair
+        return both.where(F.exists(F.array(grams(F.col("line"))), lambda sx: _alike(sx, F.col("sy"), likeness))).select("x", "y")
 
     def root_links(apart: DataFrame) -> DataFrame:
         """Links between the components of a bucket, as pairs of roots.
@@ -122,18 +124,16 @@ def similar_lines(docs: DataFrame, likeness: float = LIKENESS, shingle: int = SH
         found = both.select("root", F.explode(F.array_distinct(linked)).alias("other"))
         return found.select(F.least("root", "other").alias("x"), F.greatest("root", "other").alias("y")).distinct()
 
-    tested = stash(members.groupBy("x").agg(F.min("head").alias("y")).where("x <> y"), "pairs")
-    edges = stash(verified(tested), "links")
-    apart = rooted(edges)
+    tested = members.select("x", F.col("head").alias("y")).where("x <> y").distinct()
+    roots = components(stash(verified(stash(tested, "pairs")), "links"), "x", "y")
+    # heads have met all members of their buckets, so only the other members are left
+    now = members.where("x <> head").join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
+    apart = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    apart = stash(now.join(apart, "key").select("key", "x", "root"), "apart")
     if not apart.isEmpty():
-        root_of = apart.select(F.col("key").alias("k"), F.col("x").alias("y"), F.col("root").alias("root_y"))
-        near = apart.join(root_of, (F.col("key") == F.col("k")) & (F.col("head") == F.col("y"))).where("root <> root_y").select("x", "y").distinct()
-        near = stash(near.join(tested, ["x", "y"], "left_anti"), "pairs")
-        edges = stash(edges.union(verified(near)), "links")
-        apart = rooted(edges)
-        if not apart.isEmpty():
-            edges = stash(edges.union(root_links(apart)), "links")
-    roots = components(edges, "x", "y")
+        joined = components(stash(root_links(apart), "links"), "x", "y").select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+        alone = joined.join(roots, F.col("_node") == F.col("node"), "left_anti").select(F.col("_node").alias("node"), F.col("_root").alias("root"))
+        roots = roots.join(joined, F.col("root") == F.col("_node"), "left").select("node", F.coalesce("_root", "root").alias("root")).union(alone)
 
     def part(c: str, k: int) -> Column:
         return F.split(c, ":")[k].cast("long")
