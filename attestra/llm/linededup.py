@@ -14,6 +14,8 @@ from .components import components
 SHINGLE, LIKENESS, BANDS, ROWS = 7, 0.8, 10, 4
 #: Lines outside a bucket's main component that are held in one row, about.
 BLOCK = 32
+#: 64-bit words of a set's bitmap.
+WORDS = 16
 _BYTES = 4  # of a character in UTF-32
 
 
@@ -54,6 +56,23 @@ def band_keys(lines: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
     return sig.select("a", "b", F.xxhash64("band", *[f"m{j}" for j in range(rows)]).alias("key"))
 
 
+def bitmaps(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(x, bits) of texts (x, line): bits is an array of WORDS longs with one bit for each shingle's hash."""
+    code = texts.select("x", F.encode("line", "utf-32").alias("code"), F.length("line").alias("n"))
+    cut = code.select("x", "code", F.explode(_starts(F.col("n"), shingle)).alias("i"))
+    hashed = cut.select("x", F.xxhash64(_shingle(F.col("code"), F.col("i"), shingle)).alias("h"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned("h", 32), F.lit(64)).cast("int"))
+    placed = hashed.select("x", F.pmod("h", F.lit(WORDS)).alias("word"), bit.alias("bit"))
+    words = placed.groupBy("x").agg(*[F.bit_or(F.when(F.col("word") == j, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{j}") for j in range(WORDS)])
+    return words.select("x", F.array(*[f"w{j}" for j in range(WORDS)]).alias("bits"))
+
+
+def _may_be_alike(x: Column, y: Column, sizes: Column, likeness: float) -> Column:
+    """False only where the bitmaps differ in more bits than the sets of alike texts differ in shingles; sizes is of both sets."""
+    apart = sum((F.bit_count(x[j].bitwiseXOR(y[j])) for j in range(1, WORDS)), F.bit_count(x[0].bitwiseXOR(y[0])))
+    return apart * (1 + likeness) <= (1 - likeness) * sizes + 1e-6
+
+
 def _alike(x: Column, y: Column, likeness: float) -> Column:
     """Whether two sets have the Jaccard likeness, with one intersection (lambdas don't share subexpressions)."""
     return F.size(F.array_intersect(x, y)) * (1 + likeness) >= likeness * (F.size(x) + F.size(y)) - 1e-6
@@ -102,20 +121,23 @@ def similar_lines(docs: DataFrame, likeness: float = LIKENESS, shingle: int = SH
 
         Lines outside the bucket's largest component are held in arrays of about BLOCK, and every
         member of the bucket meets each array once: no row per pair, and no pair inside the
-        largest component. A pair with several buckets is compared in the first of them.
+        largest component. A pair with several buckets is compared in the first of them, and its
+        sets are intersected where their bitmaps do not rule it out.
         """
         by_root = apart.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
         main = by_root.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"))
         main = main.select("key", F.col("most.root").alias("main"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("blocks"))
         held = apart.join(main, "key").select("key", "x", "root", "blocks", (F.col("root") != F.col("main")).alias("out"))
         keys = apart.groupBy("x").agg(F.collect_list("key").alias("keys"))  # a key per band at most
-        held = stash(held.join(keys, "x").join(texts, "x"), "held")
+        own = texts.join(keys, "x")
+        held = stash(held.join(own.join(bitmaps(own, shingle), "x"), "x"), "held")
         outer = held.where("out").withColumn("block", F.pmod(F.xxhash64(F.lit(9), "x"), F.col("blocks")))
-        outer = outer.groupBy("key", "block").agg(F.collect_list(F.struct("x", "root", "keys", grams(F.col("line")).alias("set"))).alias("others"))
-        both = held.join(outer, "key").select("key", "x", "root", "out", "keys", "others", F.array(grams(F.col("line"))).alias("sets"))
+        outer = outer.groupBy("key", "block").agg(F.collect_list(F.struct("x", "root", "keys", "bits", grams(F.col("line")).alias("set"))).alias("others"))
+        both = held.join(outer, "key").select("key", "x", "root", "out", "keys", "bits", "others", F.array(grams(F.col("line"))).alias("sets"))
 
         def near(p: Column, own: Column) -> Column:
             fit = F.least(F.size(own), F.size(p["set"])) >= likeness * F.greatest(F.size(own), F.size(p["set"]))
+            fit = fit & _may_be_alike(F.col("bits"), p["bits"], F.size(own) + F.size(p["set"]), likeness)
             first = F.array_min(F.array_intersect("keys", p["keys"])) == F.col("key")
             return (p["root"] != F.col("root")) & (~F.col("out") | (F.col("x") < p["x"])) & fit & first & _alike(own, p["set"], likeness)
 
