@@ -27,19 +27,27 @@ def broken_presuppositions(deps: DataFrame, claims: DataFrame) -> DataFrame:
     return with_ends(deps.where("kind = 'presupposes'"), claims).where("target_truth < 0.3 and source_truth >= 0.5").select("source", "target", "source_truth", "target_truth")
 
 
-def cross_document(claims: DataFrame, prefix: str = "thing:", floor: float = 0.1, overlap: int = 2) -> DataFrame:
+def cross_document(claims: DataFrame, prefix: str = "", floor: float = 0.1, overlap: int = 2, block: int = 2000) -> DataFrame:
     """I16 without vectors: opposed claims of different documents that share an entity and words or entities enough.
 
-    Entities are the join key; only asserting claims meet denying ones, so a hub entity pairs
-    its two stances and never all with all. Token sets are made once per claim, before the join.
+    Entities that begin with prefix (all by default) are the join key; only asserting claims meet
+    denying ones, so a hub entity pairs its two stances and never all with all. Claims of an entity
+    with more than block of them are cut into blocks, and each two blocks meet in a place of their
+    own. A pair counts in the least entity it shares. Token sets are made once per claim, before the join.
     """
-    c = claims.where("stance in ('asserts', 'denies')").select("video_id", "claim_id", "stance", "entities", token_set(F.col("text"), 2, STOP_WORDS).alias("tokens"), F.explode(F.filter("entities", lambda e: e.startswith(prefix))).alias("entity"))
-    a = c.where("stance = 'asserts'").select("entity", F.col("video_id").alias("av"), F.col("claim_id").alias("a"), F.col("tokens").alias("at"), F.col("entities").alias("ae"))
-    d = c.where("stance = 'denies'").select("entity", F.col("video_id").alias("dv"), F.col("claim_id").alias("d"), F.col("tokens").alias("dt"), F.col("entities").alias("de"))
-    j = a.join(d, "entity").where("av <> dv").withColumn("similarity", jaccard(F.col("at"), F.col("dt"))).withColumn("shared", F.size(F.array_intersect("ae", "de")))
+    c = claims.where("stance in ('asserts', 'denies')").select("video_id", "claim_id", "stance", F.array_distinct("entities").alias("entities"), token_set(F.col("text"), 2, STOP_WORDS).alias("tokens"))
+    c = c.withColumn("entity", F.explode(F.filter("entities", lambda e: e.startswith(prefix))))
+    heavy = c.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)  # no more than a block-th of the rows
+    c = c.join(F.broadcast(heavy.select("entity", F.ceil(F.col("n") / block).cast("int").alias("blocks"))), "entity", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    mine, others = F.pmod(F.xxhash64("claim_id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = c.where("stance = 'asserts'").select("entity", mine.alias("p"), others.alias("q"), F.col("video_id").alias("av"), F.col("claim_id").alias("a"), F.col("tokens").alias("at"), F.col("entities").alias("ae"))
+    d = c.where("stance = 'denies'").select("entity", mine.alias("q"), others.alias("p"), F.col("video_id").alias("dv"), F.col("claim_id").alias("d"), F.col("tokens").alias("dt"), F.col("entities").alias("de"))
+    both = F.array_intersect("ae", "de")
+    j = a.join(d, ["entity", "p", "q"]).where("av <> dv").where(F.col("entity") == F.array_min(F.filter(both, lambda e: e.startswith(prefix))))
+    j = j.withColumn("similarity", jaccard(F.col("at"), F.col("dt"))).withColumn("shared", F.size(both))
     j = j.withColumn("reason", F.when(F.col("similarity") >= floor, "jaccard").when(F.col("shared") >= overlap, "strong-overlap")).where("reason is not null")
     first = F.col("av") < F.col("dv")
-    return j.select(F.when(first, F.col("a")).otherwise(F.col("d")).alias("left"), F.when(first, F.col("d")).otherwise(F.col("a")).alias("right"), "shared", F.round("similarity", 6).alias("similarity"), "reason").dropDuplicates(["left", "right"])
+    return j.select(F.when(first, F.col("a")).otherwise(F.col("d")).alias("left"), F.when(first, F.col("d")).otherwise(F.col("a")).alias("right"), "shared", F.round("similarity", 6).alias("similarity"), "reason")
 
 
 def routed(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -210,7 +210,15 @@ _PAIRS = f"""t as (select *, [x for x in {_TOK.format(n=2)} if not list_contains
 j as (select case when a.video_id < b.video_id then a.claim_id else b.claim_id end as l, case when a.video_id < b.video_id then b.claim_id else a.claim_id end as r, len(list_intersect(a.entities, b.entities))::int shared,
   coalesce(len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(list_concat(a.w, b.w))), 0), 0) sim from t a join t b on a.entities[1] = b.entities[1] and a.stance = 'asserts' and b.stance = 'denies' and a.video_id <> b.video_id),
 pairs as (select l as left, r as right, shared, round(sim, 6)::double similarity, case when sim >= 0.1 then 'jaccard' else 'strong-overlap' end reason from j where sim >= 0.1 or shared >= 2)"""
-_add("i16_cross_document_pairs", lambda s, d: cl.cross_document(_C(s, d)), f"{_CD}, {_PAIRS} select * from pairs")
+# by things alone; i16_shared_entity_pairs takes all entities
+_add("i16_cross_document_pairs", lambda s, d: cl.cross_document(_C(s, d), "thing:"), f"{_CD}, {_PAIRS} select * from pairs")
+_ALL_PAIRS = f"""t as (select *, [x for x in {_TOK.format(n=2)} if not list_contains({_stops()}, x)] w from claims where stance <> 'uncertain'),
+u as (select claim_id, video_id, stance, unnest(list_distinct(entities)) entity from t),
+m as (select distinct a.claim_id ac, b.claim_id bc from u a join u b on a.entity = b.entity and a.stance = 'asserts' and b.stance = 'denies' and a.video_id <> b.video_id),
+j as (select case when a.video_id < b.video_id then a.claim_id else b.claim_id end as l, case when a.video_id < b.video_id then b.claim_id else a.claim_id end as r, len(list_intersect(a.entities, b.entities))::int shared,
+  coalesce(len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(list_concat(a.w, b.w))), 0), 0) sim from m join t a on a.claim_id = ac join t b on b.claim_id = bc),
+pairs as (select l as left, r as right, shared, round(sim, 6)::double similarity, case when sim >= 0.1 then 'jaccard' else 'strong-overlap' end reason from j where sim >= 0.1 or shared >= 2)"""
+_add("i16_shared_entity_pairs", lambda s, d: cl.cross_document(_C(s, d)), f"{_CD}, {_ALL_PAIRS} select * from pairs")
 
 
 def _verdicts(c: DataFrame) -> DataFrame:
@@ -222,9 +230,14 @@ def _verdicts(c: DataFrame) -> DataFrame:
 _K = "(split_part(p.left, '_', 2)::bigint % 7)"
 _add(
     "i21_i23_verdict_routes",
-    lambda s, d: cl.routed(p := cl.cross_document(_C(s, d)), _verdicts(p)).groupBy("route", "verdict").agg(F.count(F.lit(1)).alias("n")),
+    lambda s, d: cl.routed(p := cl.cross_document(_C(s, d), "thing:"), _verdicts(p)).groupBy("route", "verdict").agg(F.count(F.lit(1)).alias("n")),
     f"{_CD}, {_PAIRS}, v as (select case when {_K} < 5 then ['LOGICAL-CONTRADICTION', 'DEBUNKS', 'SAME-CLAIM', 'IRRELEVANT', 'UNDERCUTS'][{_K} + 1] end verdict from pairs p) select case when verdict is null then 'pending' when verdict = 'SAME-CLAIM' then 'agreement' when verdict = 'IRRELEVANT' then 'dropped' else 'contradiction' end route, verdict, count(*)::bigint n from v group by 1, 2",
 )
+_add(
+    "i21_i23_shared_entity_routes",
+    lambda s, d: cl.routed(p := cl.cross_document(_C(s, d)), _verdicts(p)).groupBy("route", "verdict").agg(F.count(F.lit(1)).alias("n")),
+    f"{_CD}, {_ALL_PAIRS}, v as (select case when {_K} < 5 then ['LOGICAL-CONTRADICTION', 'DEBUNKS', 'SAME-CLAIM', 'IRRELEVANT', 'UNDERCUTS'][{_K} + 1] end verdict from pairs p) select case when verdict is null then 'pending' when verdict = 'SAME-CLAIM' then 'agreement' when verdict = 'IRRELEVANT' then 'dropped' else 'contradiction' end route, verdict, count(*)::bigint n from v group by 1, 2",
+)
 _add(
     "i19_dismissed_pairs",
     lambda s, d: cl.undismissed(_D(s, d).select(F.col("source").alias("left"), F.col("target").alias("right"), "kind"), _D(s, d).where("kind = 'supports'").select(F.col("target").alias("left"), F.col("source").alias("right"))),

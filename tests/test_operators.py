@@ -63,3 +63,12 @@ def test_speaker_scores_agree_as_batch_and_stream(spark, tmp_path):
     q.awaitTermination(120)
     last = {r["speaker"]: r["score"] for r in spark.sql("select speaker, max_by(score, seq) score from speaker_scores group by 1").collect()}
     assert {k: round(v, 6) for k, v in last.items()} == batch
+
+
+def test_cross_document_takes_any_shared_entity_once(spark):
+    rows = [("v1", "x", "asserts", ["thing:a", "organization:o"], "red blue green"), ("v2", "y", "denies", ["organization:o", "thing:b"], "red blue black"), ("v3", "z", "denies", ["thing:a", "organization:o"], "unlike words"), ("v1", "w", "denies", ["organization:o"], "red blue green"), ("v4", "n", "denies", None, "red blue green")]
+    df = spark.createDataFrame(rows, "video_id string, claim_id string, stance string, entities array<string>, text string")
+    for block in (2000, 1):
+        got = sorted((r["left"], r["right"], r["shared"], r["reason"]) for r in cl.cross_document(df, block=block).collect())
+        assert got == [("x", "y", 1, "jaccard"), ("x", "z", 2, "strong-overlap")]
+    assert [tuple(r)[:2] for r in cl.cross_document(df, "thing:").collect()] == [("x", "z")]
