@@ -71,6 +71,19 @@ def tiers(entities: DataFrame, top: int = 5, wide: int = 5) -> DataFrame:
     return entities.withColumn("rank", F.row_number().over(w)).withColumn("tier", F.when(F.col("rank") <= top, "top").when(F.col("documents") >= wide, "wide")).where("tier is not null").select("entity_id", "mentions", "documents", "tier")
 
 
+def audit_tiers(entities: DataFrame, top: int = 100, wide: int = 5, wide_limit: int = 500, rare: int = 5, rare_limit: int = 2000) -> DataFrame:
+    """Per label three tiers by mentions: the top, those in many documents, and those with few mentions, each up to its limit.
+
+    An entity is in every tier that it meets. Each tier ranks on its own, so that ranks are cut before rows move.
+    """
+    w = Window.partitionBy(F.substring_index("entity_id", ":", 1)).orderBy(F.desc("mentions"), "entity_id")
+
+    def tier(name: str, rows: DataFrame, limit: int) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("entity_id", "mentions", "documents", F.lit(name).alias("tier"))
+
+    return tier("top", entities, top).union(tier("wide", entities.where(F.col("documents") >= wide), wide_limit)).union(tier("rare", entities.where(F.col("mentions") <= rare), rare_limit))
+
+
 def status(entities: DataFrame, merges: DataFrame, deleted: DataFrame) -> DataFrame:
     """Active, merged or deleted."""
     j = entities.join(merges.select(F.col("source").alias("entity_id"), "final"), "entity_id", "left").join(deleted.select("entity_id", F.lit(True).alias("gone")), "entity_id", "left")

@@ -120,11 +120,18 @@ _add(
     lambda s, d: en.prefix_merges(fx.mentions(s, d)),
     f"with {fx.MENTIONS}, k as (select distinct video_id, label, lower(surface) s from mentions) select video_id, label, s source, min(t) target from (select a.video_id, a.label, a.s, b.s t from k a join k b on a.video_id = b.video_id and a.label = b.label and starts_with(b.s, a.s) and length(b.s) > length(a.s) where length(a.s) >= 4) group by 1, 2, 3 having count(*) = 1",
 )
+# top 5 and wide alone; e22_audit_tiers_at_full_limits has all three tiers
 _add(
     "e22_audit_tiers",
     lambda s, d: en.tiers(en.corpus_entities(en.usable(fx.mentions(s, d)))),
     f"with {fx.MENTIONS}, {_USABLE}, {_ENT} select entity_id, mentions, documents, tier from (select *, case when row_number() over (partition by split_part(entity_id, ':', 1) order by mentions desc, entity_id) <= 5 then 'top' when documents >= 5 then 'wide' end tier from ent) where tier is not null",
 )
+_RANKED = "select entity_id, mentions, documents, '{0}' tier from ent where {1} qualify row_number() over (partition by split_part(entity_id, ':', 1) order by mentions desc, entity_id) <= {2}"
+_add(
+    "e22_audit_tiers_at_full_limits",
+    lambda s, d: en.audit_tiers(en.corpus_entities(en.usable(fx.mentions(s, d)))),
+    f"with {fx.MENTIONS}, {_USABLE}, {_ENT} {_RANKED.format('top', 'true', 100)} union all {_RANKED.format('wide', 'documents >= 5', 500)} union all {_RANKED.format('rare', 'mentions <= 5', 2000)}",
+)
 
 
 def _status(s: SparkSession, d: str) -> DataFrame:

@@ -72,3 +72,13 @@ def test_cross_document_takes_any_shared_entity_once(spark):
         got = sorted((r["left"], r["right"], r["shared"], r["reason"]) for r in cl.cross_document(df, block=block).collect())
         assert got == [("x", "y", 1, "jaccard"), ("x", "z", 2, "strong-overlap")]
     assert [tuple(r)[:2] for r in cl.cross_document(df, "thing:").collect()] == [("x", "z")]
+
+
+def test_audit_tiers_have_three_limits(spark):
+    rows = [(f"person:p{i:04}", 3000 - i if i < 700 else 5, 5 if i < 650 else 1) for i in range(2800)]
+    df = spark.createDataFrame(rows, "entity_id string, mentions long, documents long")
+    got = {}
+    for r in en.audit_tiers(df).collect():
+        got.setdefault(r["tier"], []).append(r["entity_id"])
+    ids = [r[0] for r in rows]
+    assert {k: sorted(v) for k, v in got.items()} == {"top": ids[:100], "wide": ids[:500], "rare": ids[700:2700]}
