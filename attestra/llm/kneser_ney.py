@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney bigram model, counted by Spark, kept as sorted arrays that workers map into memory."""
+"""Interpolated modified Kneser-Ney model of any order from two, counted by Spark, kept as sorted arrays that workers map into memory."""
 
 from __future__ import annotations
 
@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import shared_path, stash
 
-#: Tokens or distinct pairs in a shard of the model.
+#: Tokens or distinct n-grams in a shard of the model.
 SHARD_ROWS = 2_000_000
+#: Bytes of text, and n-grams, that a task has in memory at a time.
+PIECE_BYTES, HELD_GRAMS = 2 << 20, 2_000_000
 #: A token no text holds, as words have no white space.
 END = b"\n"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -80,15 +82,14 @@ class Model:
 
     folder: str
     vocab_sizes: tuple  # of the shards of the vocabulary
-    pair_shards: int
+    shards: int  # of each level of n-grams
     tokens: int
     docs: int
-    hot: tuple  # identifiers of contexts whose pairs are dealt by the second word
-    hot_stats: tuple  # their (n1, n2, n3)
-    pair_discounts: tuple
-    word_discounts: tuple
+    hot: tuple  # identifiers of frequent words; contexts of such words only are dealt by the last word too
+    discounts: tuple  # of the words, then of each level from pairs on
     types: int  # distinct pairs
     word_gamma: float
+    order: int
 
     @property
     def vocab(self) -> int:
@@ -145,25 +146,27 @@ class Arrays:
                 out[here] = a[ids[here] - self.base[k]]
         return out
 
-    def pairs(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of pairs, and the (n1, n2, n3) of their first words."""
-        count, stats = np.zeros(len(first), np.int64), np.zeros((len(first), 3), np.int64)
-        at = shard_of_pair(first, second, self.m.pair_shards, np.array(self.m.hot, np.int64))
-        key = (first.astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
-        for k in np.unique(at):
-            here = np.flatnonzero(at == k)
-            keys = self.get(f"pairs-{k}.key", np.uint64)
+    def grams(self, cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of n-grams of known words, and the (total, n1, n2, n3) of their contexts, which must be known too."""
+        k, hot = len(cols), np.array(self.m.hot, np.int64)
+        count, stats = np.zeros(len(cols[0]), np.int64), np.tile(np.array([1, 1, 0, 0], np.int64), (len(cols[0]), 1))
+        at, key, ctx = shard_of_gram(cols, self.m.shards, hot), name_of(cols), name_of(cols[:-1])
+
+        def fill(out, here, name, field, values, kind):
+            keys = self.get(f"{name}.{field}", np.uint64)
             if len(keys):
-                pos = np.minimum(np.searchsorted(keys, key[here]), len(keys) - 1)
-                good = keys[pos] == key[here]
-                count[here[good]] = self.get(f"pairs-{k}.n", np.uint32)[pos[good]]
-            ctx = self.get(f"pairs-{k}.ctx", np.uint32)
-            if len(ctx):
-                pos = np.minimum(np.searchsorted(ctx, first[here].astype(np.uint32)), len(ctx) - 1)
-                good = ctx[pos] == first[here]
-                stats[here[good]] = self.get(f"pairs-{k}.stats", np.uint32).reshape(-1, 3)[pos[good]]
-        for v, s in zip(self.m.hot, self.m.hot_stats, strict=True):
-            stats[first == v] = s
+                wanted = (key if field in ("key", "bigkey") else ctx)[here]
+                pos = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                good = keys[pos] == wanted
+                v = self.get(f"{name}.{values}", kind)
+                out[here[good]] = (v.reshape(-1, 4) if out.ndim == 2 else v)[pos[good]]
+
+        for j in np.unique(at):
+            here = np.flatnonzero(at == j)
+            fill(count, here, f"grams{k}-{j}", "key", "n", np.uint8)
+            fill(count, here[count[here] == 255], f"grams{k}-{j}", "bigkey", "bign", np.uint32)
+            fill(stats, here, f"grams{k}-{j}", "ctx", "stats", np.uint32)
+        fill(stats, np.flatnonzero(is_hot(cols, hot)), f"hot{k}", "ctx", "stats", np.int64)
         return count, stats
 
 
@@ -172,9 +175,41 @@ def shard_of_hash(hashes: np.ndarray, shards: int) -> np.ndarray:
     return np.minimum(((hashes >> np.uint64(40)).astype(np.float64) / (1 << 24) * shards).astype(np.int64), shards - 1)
 
 
-def shard_of_pair(first: np.ndarray, second: np.ndarray, shards: int, hot: np.ndarray) -> np.ndarray:
-    by = np.where(np.isin(first, hot), mix(mix(first) + second.astype(np.uint64)), mix(first))
-    return (by % np.uint64(shards)).astype(np.int64)
+def name_of(cols: list[np.ndarray]) -> np.ndarray:
+    """64-bit names of rows of identifiers: exact up to two, hashed beyond."""
+    out = cols[0].astype(np.uint64)
+    if len(cols) > 1:
+        out = (out << np.uint64(32)) | cols[1].astype(np.uint64)
+    for c in cols[2:]:
+        out = mix(mix(mix(out) + c.astype(np.uint64)))
+    return out
+
+
+def is_hot(cols: list[np.ndarray], hot: np.ndarray) -> np.ndarray:
+    """Whether all words of the contexts are frequent: a frequent context has no others."""
+    return np.logical_and.reduce([np.isin(c, hot) for c in cols[:-1]])
+
+
+def shard_of_gram(cols: list[np.ndarray], shards: int, hot: np.ndarray) -> np.ndarray:
+    by = mix(name_of(cols[:-1]))
+    by = np.where(is_hot(cols, hot), mix(by + cols[-1].astype(np.uint64)), by)
+    return ((by >> np.uint64(7)) % np.uint64(shards)).astype(np.int64)
+
+
+def summed(cols: list[np.ndarray], n: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of identifiers in ascending order, and the sums of n (of 1) over each."""
+    bits = max(int(c.max(initial=1)).bit_length() for c in cols)
+    if len(cols) * bits <= 64:
+        keys = [sum(c.astype(np.uint64) << np.uint64(bits * (len(cols) - 1 - i)) for i, c in enumerate(cols))]
+    else:
+        keys = [name_of(cols[:2]), *cols[2:]]
+    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+    keys = [x[order] for x in keys]
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in keys])
+    starts = np.flatnonzero(new)
+    n = np.ones(len(order), np.int64) if n is None else n[order].astype(np.int64)
+    return [c[order[starts]] for c in cols], np.add.reduceat(n, starts) if len(starts) else n
 
 
 class Numberer:
@@ -183,9 +218,9 @@ class Numberer:
     def __init__(self, arrays: Arrays):
         self.arrays = arrays
 
-    def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Identifiers of all tokens, and the number of tokens of each text."""
-        lists = [tokens_of(t) for t in texts]
+    def __call__(self, texts: list[bytes | None], most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Identifiers of all tokens, or of the first most of each text, and the number of them of each text."""
+        lists = [tokens_of(t)[:most] for t in texts]
         flat = [w for ws in lists for w in ws]
         local = {w: i for i, w in enumerate(dict.fromkeys(flat))}
         numbers = np.fromiter(map(local.__getitem__, flat), np.int64, len(flat))
@@ -193,12 +228,20 @@ class Numberer:
         return self.arrays.ids(hashes)[numbers], np.fromiter(map(len, lists), np.int64, len(lists))
 
 
-def _contexts(ids: np.ndarray, lengths: np.ndarray, begin: int) -> np.ndarray:
-    """The identifier before each token, begin at the beginning of texts."""
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = begin
-    return before
+def _windows(ids: np.ndarray, lengths: np.ndarray, begin: int, k: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The k identifiers that end in each token, one begin before each text; and each token's place in its text.
+
+    Tokens before place k - 2 have no such run: what stands in their rows means nothing.
+    """
+    ends = np.cumsum(lengths)
+    place = np.arange(len(ids)) - np.repeat(ends - lengths, lengths)
+    cols = [ids]
+    for back in range(1, k):
+        c = np.full(len(ids), begin, np.int64)
+        c[back:] = ids[:-back]
+        c[place < back] = begin
+        cols.insert(0, c)
+    return cols, place
 
 
 def _discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float, float]:
@@ -208,6 +251,19 @@ def _discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float
     return tuple(min(max(x, 0.05), k) for k, x in enumerate(d, 1))
 
 
+def _pieces(batches, most: int = PIECE_BYTES):
+    """The batches cut by rows into pieces of so many bytes of text, or of one text."""
+    import pyarrow.compute as pc
+
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(ends):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+            yield b.slice(start, stop - start)
+            start = stop
+
+
 def _batches_of(b) -> list[bytes | None]:
     import pyarrow as pa
 
@@ -219,21 +275,24 @@ _arrays: dict[str, Arrays] = {}
 
 def arrays_of(model: Model) -> Arrays:
     """One per Python worker and model."""
-    key = f"{model.folder}#{model.pair_shards}#{model.types}#{model.tokens}"
+    key = f"{model.folder}#{model.shards}#{model.types}#{model.tokens}"
     if key not in _arrays:
         _arrays.clear()
         _arrays[key] = Arrays(model)
     return _arrays[key]
 
 
-def train(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> Model:
+def train(docs: DataFrame, shard_rows: int = SHARD_ROWS, order: int = 2) -> Model:
     """Count the texts of docs and write the model's arrays to a new folder of the shared one.
 
-    Three passes: words (counted in tasks, summed by a shuffle, sorted by hash: the place in
-    that order is the identifier), pairs (shuffled as compressed sorted runs to shards by the
-    first word; first words with more than a shard's share are dealt by both), and the number
-    of distinct words before each word. Null texts are empty. No documents: an empty model.
+    Words first (counted in tasks, summed by a shuffle, sorted by hash: the place in that order
+    is the identifier). Then the runs of order words, shuffled as compressed sorted runs to shards
+    by their context; contexts of frequent words only are dealt by the last word too. Each level
+    below has the number of distinct words before each run, or how often the run begins a text,
+    down to the words. Null texts are empty. No documents: an empty model.
     """
+    if order < 2:
+        raise ValueError("order must be 2 at least")
     spark = docs.sparkSession
     folder = shared_path(spark, "lm")
     texts = docs.select("text")
@@ -279,7 +338,7 @@ def train(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> Model:
 
     sizes = dict(dealt.groupBy("shard").applyInArrow(vocabulary, "shard int, n long").collect())
     p_shards = max(1, math.ceil(n_tokens / (1.5 * shard_rows)))
-    model = Model(folder, tuple(sizes.get(k, 0) for k in range(v_shards)), p_shards, n_tokens, n_docs, (), (), (0.5, 1, 1.5), (0.5, 1, 1.5), 0, 1.0)
+    model = Model(folder, tuple(sizes.get(k, 0) for k in range(v_shards)), p_shards, n_tokens, n_docs, (), ((0.5, 1, 1.5),) * order, 0, 1.0, order)
     if not n_docs:
         return model
     often = [r["h"] for r in vocab.where(F.col("c") > n_tokens / (2 * p_shards)).select("h").collect()] if p_shards > 1 else []  # fewer than 2 p_shards
@@ -288,66 +347,85 @@ def train(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> Model:
         hot = np.append(hot, n_vocab)
     begin = n_vocab
 
-    def pairs(batches):
-        import pyarrow as pa
-
-        number, held, size = Numberer(arrays_of(model)), [], 0
-        schema = pa.schema([("shard", pa.int32()), ("blob", pa.binary())])
-
-        def out():
-            key, n = np.unique(np.concatenate(held), return_counts=True)
-            v, w = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            at = shard_of_pair(v, w, p_shards, hot)
-            order = np.argsort(at, kind="stable")
-            cuts = np.searchsorted(at[order], np.arange(p_shards + 1))
-            rows = [(k, squeeze(v[o], w[o], n[o])) for k in range(p_shards) if len(o := order[cuts[k] : cuts[k + 1]])]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=schema)
-
-        for b in batches:
-            ids, lengths = number(_batches_of(b))
-            if len(ids):
-                held.append((_contexts(ids, lengths, begin).astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64))
-                size += len(ids)
-            if size > 4_000_000:
+    def grams_of(k):
+        """The runs of k words that the level counts by themselves: all at the top, below only those that begin a text."""
+
+        def grams(batches):
+            import pyarrow as pa
+
+            number, held, size = Numberer(arrays_of(model)), [], 0
+            schema = pa.schema([("shard", pa.int32()), ("blob", pa.binary())])
+
+            def out():
+                cols, n = summed([np.concatenate(c) for c in zip(*held, strict=True)])
+                rows = dealt_rows(cols, n)
+                return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=schema)
+
+            for b in _pieces(batches):
+                ids, lengths = number(_batches_of(b), None if k == order else k - 1)
+                cols, place = _windows(ids, lengths, begin, k)
+                good = place >= k - 2 if k == order else place == k - 2
+                if good.any():
+                    held.append([c[good] for c in cols])
+                    size += int(good.sum())
+                if size > HELD_GRAMS:
+                    yield out()
+                    held, size = [], 0
+            if held:
                 yield out()
-                held, size = [], 0
-        if held:
-            yield out()
-
-    def count_pairs(table):
-        import pyarrow as pa
 
-        k = table.column("shard")[0].as_py()
-        keys, counts = [], []
-        for blob in table.column("blob"):
-            v, w, n = expand(blob.as_py(), 3)
-            keys.append((v.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64))
-            counts.append(n)
-        key, n = np.concatenate(keys), np.concatenate(counts)
-        order = np.argsort(key, kind="stable")
-        key, n = key[order], n[order].astype(np.int64)
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        key, n = key[starts], np.add.reduceat(n, starts)
-        v, w = (key >> np.uint64(32)).astype(np.uint32), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        ctx, begins = np.unique(v, return_index=True)
-        stats = np.stack([np.add.reduceat(x.astype(np.int64), begins) for x in (n == 1, n == 2, n >= 3)], 1)
-        write_arrays(folder, f"pairs-{k}", key=key, n=n.astype(np.uint32), ctx=ctx, stats=stats.astype(np.uint32))
-        of_counts = [int((n == c).sum()) for c in (1, 2, 3, 4)]
-        rows = [("pairs", 0, squeeze(np.zeros(1, np.int64), np.zeros(1, np.int64)), *of_counts, len(key))]
-        is_hot = np.isin(ctx.astype(np.int64), hot)
-        rows += [("hot", int(c), b"", *map(int, s), 0, 0) for c, s in zip(ctx[is_hot], stats[is_hot], strict=True)]
-        u, c = np.unique(w, return_counts=True)
-        base = np.concatenate([[0], np.cumsum(model.vocab_sizes)])
-        cuts = np.searchsorted(u, base)
-        rows += [("words", s, squeeze(u[cuts[s] : cuts[s + 1]], c[cuts[s] : cuts[s + 1]]), 0, 0, 0, 0, 0) for s in range(v_shards) if cuts[s + 1] > cuts[s]]
-        kinds = [pa.string(), pa.int64(), pa.binary()] + [pa.int64()] * 5
-        return pa.table([pa.array([r[i] for r in rows], kinds[i]) for i in range(8)], names=["kind", "at", "blob", "n1", "n2", "n3", "n4", "types"])
-
-    counted = texts.mapInArrow(pairs, "shard int, blob binary").groupBy("shard").applyInArrow(count_pairs, "kind string, at long, blob binary, n1 long, n2 long, n3 long, n4 long, types long")
-    counted = stash(counted, "pairs")
-    sums = counted.where("kind <> 'words'").groupBy("kind", "at").agg(*[F.sum(c).alias(c) for c in ("n1", "n2", "n3", "n4", "types")]).collect()  # a row per hot context
-    total = next(r for r in sums if r["kind"] == "pairs")
-    hot_stats = {r["at"]: (r["n1"], r["n2"], r["n3"]) for r in sums if r["kind"] == "hot"}
+        return grams
+
+    def dealt_rows(cols, n):
+        at = shard_of_gram(cols, p_shards, hot)
+        by = np.argsort(at, kind="stable")
+        cuts = np.searchsorted(at[by], np.arange(p_shards + 1))
+        return [(j, squeeze(*[c[o] for c in cols], n[o])) for j in range(p_shards) if len(o := by[cuts[j] : cuts[j + 1]])]
+
+    def counter(k):
+        def count_grams(table):
+            import pyarrow as pa
+
+            shard = table.column("shard")[0].as_py()
+            parts = [expand(blob.as_py(), k + 1) for blob in table.column("blob")]
+            *cols, n = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            cols, n = summed([c.astype(np.int64) for c in cols], n)
+            of_counts = [int((n == c).sum()) for c in (1, 2, 3, 4)]
+            rows = [("all", 0, b"", 0, *of_counts, len(n))]
+            begins = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:-1]])]))  # rows of a context follow each other
+            stats = np.stack([np.add.reduceat(x.astype(np.int64), begins) for x in (n, n == 1, n == 2, n >= 3)], 1)
+            ctx, often = name_of(cols[:-1])[begins], is_hot([c[begins] for c in cols], hot)
+            rows += [("hot", int(c), b"", *map(int, s), 0, 0) for c, s in zip(ctx[often].view(np.int64), stats[often], strict=True)]
+            more = ~often & (stats[:, 0] > 1)  # a known context that is not here was seen once
+            ctx, stats = ctx[more], stats[more]
+            by = np.argsort(ctx)
+            key = name_of(cols)
+            o = np.argsort(key)
+            big = o[n[o] >= 255]
+            write_arrays(folder, f"grams{k}-{shard}", key=key[o], n=np.minimum(n[o], 255).astype(np.uint8), bigkey=key[big], bign=n[big].astype(np.uint32), ctx=ctx[by], stats=stats[by].astype(np.uint32))
+            if k > 2:
+                rows += [("next", j, blob, 0, 0, 0, 0, 0, 0) for j, blob in dealt_rows(*summed(cols[1:]))]
+            else:
+                u, c = np.unique(cols[1], return_counts=True)
+                cuts = np.searchsorted(u, np.concatenate([[0], np.cumsum(model.vocab_sizes)]))
+                rows += [("next", j, squeeze(u[cuts[j] : cuts[j + 1]], c[cuts[j] : cuts[j + 1]]), 0, 0, 0, 0, 0, 0) for j in range(v_shards) if cuts[j + 1] > cuts[j]]
+            kinds = [pa.string(), pa.int64(), pa.binary()] + [pa.int64()] * 6
+            return pa.table([pa.array([r[i] for r in rows], kinds[i]) for i in range(9)], names=["kind", "at", "blob", "total", "n1", "n2", "n3", "n4", "types"])
+
+        return count_grams
+
+    discounts, blobs = [], texts.mapInArrow(grams_of(order), "shard int, blob binary")
+    for k in range(order, 1, -1):
+        counted = blobs.groupBy("shard").applyInArrow(counter(k), "kind string, at long, blob binary, total long, n1 long, n2 long, n3 long, n4 long, types long")
+        counted = stash(counted, f"grams{k}")
+        sums = counted.where("kind <> 'next'").groupBy("kind", "at").agg(*[F.sum(c).alias(c) for c in ("total", "n1", "n2", "n3", "n4", "types")]).collect()  # a row per hot context
+        total = next((r for r in sums if r["kind"] == "all"), dict.fromkeys(("n1", "n2", "n3", "n4", "types"), 0))
+        found = sorted((r["at"] % (1 << 64), r["total"], r["n1"], r["n2"], r["n3"]) for r in sums if r["kind"] == "hot")
+        if found:
+            write_arrays(folder, f"hot{k}", ctx=np.array([r[0] for r in found], np.uint64), stats=np.array([r[1:] for r in found], np.int64))
+        discounts.insert(0, _discounts(total["n1"], total["n2"], total["n3"], total["n4"]))
+        if k > 2:
+            blobs = counted.where("kind = 'next'").select(F.col("at").cast("int").alias("shard"), "blob").union(texts.mapInArrow(grams_of(k - 1), "shard int, blob binary"))
 
     def before_words(table):
         import pyarrow as pa
@@ -362,13 +440,13 @@ def train(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> Model:
         n = [int((out == c).sum()) for c in (1, 2, 3, 4)]
         return pa.table({"n1": [n[0]], "n2": [n[1]], "n3": [n[2]], "n4": [n[3]], "more": [int((out >= 3).sum())]})
 
-    w = counted.where("kind = 'words'").select("at", "blob").groupBy("at").applyInArrow(before_words, "n1 long, n2 long, n3 long, n4 long, more long").agg(*[F.sum(c).alias(c) for c in ("n1", "n2", "n3", "n4", "more")]).first()
+    w = counted.where("kind = 'next'").select("at", "blob").groupBy("at").applyInArrow(before_words, "n1 long, n2 long, n3 long, n4 long, more long").agg(*[F.sum(c).alias(c) for c in ("n1", "n2", "n3", "n4", "more")]).first()
     d1 = _discounts(w["n1"], w["n2"], w["n3"], w["n4"])
     gamma = (d1[0] * w["n1"] + d1[1] * w["n2"] + d1[2] * w["more"]) / total["types"]
-    return Model(folder, model.vocab_sizes, p_shards, n_tokens, n_docs, tuple(int(h) for h in hot), tuple(hot_stats.get(int(h), (0, 0, 0)) for h in hot), _discounts(total["n1"], total["n2"], total["n3"], total["n4"]), d1, total["types"], gamma)
+    return Model(folder, model.vocab_sizes, p_shards, n_tokens, n_docs, tuple(int(h) for h in hot), (d1, *discounts), total["types"], gamma, order)
 
 
-def log_probabilities(model: Model, ids: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def log_probabilities(model: Model, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """log10 of the model's and of the base probability of each token, and the token counts."""
     a, v = arrays_of(model), model.vocab
     count = a.by_id("count", ids)
@@ -376,20 +454,24 @@ def log_probabilities(model: Model, ids: np.ndarray, before: np.ndarray) -> tupl
     if not model.types:
         return np.full(len(ids), -math.log10(v + 1)), base, count
     cont = a.by_id("before", ids)
-    d = np.array([0, *model.word_discounts])
-    low = np.maximum(cont - d[np.minimum(cont, 3)], 0) / model.types + model.word_gamma / (v + 1)
-    total = a.by_id("count", np.where(before < v, before, -1))
-    total[before == v] = model.docs
-    seen = total > 0
-    pair, stats = np.zeros(len(ids), np.int64), np.zeros((len(ids), 3), np.int64)
-    first, second = before[seen], ids[seen]
-    key, back = np.unique((first.astype(np.uint64) << np.uint64(32)) | (second + 1).astype(np.uint64), return_inverse=True)
-    n, s = a.pairs((key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64) - 1)
-    pair[seen], stats[seen] = n[back], s[back]
-    e = np.array([0, *model.pair_discounts])
-    weight = stats @ e[1:]
-    safe = np.maximum(total, 1)
-    p = np.where(seen, np.maximum(pair - e[np.minimum(pair, 3)], 0) / safe + weight / safe * low, low)
+    d = np.array([0, *model.discounts[0]])
+    p = np.maximum(cont - d[np.minimum(cont, 3)], 0) / model.types + model.word_gamma / (v + 1)
+    windows, place = _windows(ids, lengths, v, model.order)
+    found = ids >= 0  # the run of the level below that ends in the token
+    for k in range(2, model.order + 1):
+        known = np.concatenate([[False], found[:-1]])
+        known = np.where(place == k - 2, known if k > 2 else model.docs > 0, known & (place > k - 2))
+        here = np.flatnonzero(known)
+        cols = [c[here] for c in windows[-k:]]
+        new = cols[-1] < 0
+        cols[-1] = np.where(new, v + 1, cols[-1])  # no n-gram has it
+        key, at, back = np.unique(name_of(cols), return_index=True, return_inverse=True)
+        n, s = a.grams([c[at] for c in cols])
+        n, s = n[back], s[back]
+        d = np.array([0, *model.discounts[k - 1]])
+        p[here] = np.maximum(n - d[np.minimum(n, 3)], 0) / s[:, 0] + s[:, 1:] @ d[1:] / s[:, 0] * p[here]
+        found = np.zeros(len(ids), bool)
+        found[here] = n > 0
     return np.log10(p), base, count
 
 
@@ -401,13 +483,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         import pyarrow as pa
 
         number = Numberer(arrays_of(model))
-        for b in batches:
+        for b in _pieces(batches):
             texts = _batches_of(b)
             if not texts:
                 continue
             ids, lengths = number(texts)
-            before = _contexts(ids, lengths, model.vocab)
-            lp, base, count = log_probabilities(model, ids, before)
+            lp, base, count = log_probabilities(model, ids, lengths)
             at = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             s = np.add.reduceat(lp, at)
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(lengths), pa.array(np.add.reduceat((count > 0).astype(np.int64), at)), pa.array(np.add.reduceat(base, at)), pa.array(s), pa.array(10 ** (-s / lengths))], names=[c.split()[0] for c in kind.split(", ")])

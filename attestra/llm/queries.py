@@ -112,7 +112,7 @@ select conv_id, count(*)::bigint n_turns, sha256(string_agg(r || chr(10) || x ||
 def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
-    model = kneser_ney.train(docs.where(~held | F.col("doc_id").isNull()))
+    model = kneser_ney.train(docs.where(~held | F.col("doc_id").isNull()), order=3)
     out = kneser_ney.score(docs, model).withColumn("held_out", F.coalesce(held, F.lit(False)))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -245,3 +245,39 @@ def test_kneser_ney_sums_to_one_and_matches_plain_python(spark, odd, empty, shar
         assert abs(got[i] - want) < 1e-6
     assert len(kneser_ney.score(odd, model).collect()) == 10
     assert kneser_ney.score(empty, kneser_ney.train(empty)).count() == 0
+
+
+@pytest.mark.parametrize("shard_rows", [2_000_000, 40])
+def test_kneser_ney_of_order_three_matches_plain_python(spark, empty, shard_rows):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("a b c d e f g h".split()) for _ in range(rng.randint(0, 30))) for _ in range(60)] + ["a b c d"] * 300
+    model = kneser_ney.train(docs_of(spark, [(i, t, "a") for i, t in enumerate(texts)]), shard_rows, 3)
+    level = {1: {}, 2: {}, 3: {}}
+    for t in texts:
+        ws = [None, *t.split(), "\n"]
+        level[2][tuple(ws[:2])] = level[2].get(tuple(ws[:2]), 0) + 1
+        for k in range(2, len(ws)):
+            g = tuple(ws[k - 2 : k + 1])
+            level[3][g] = level[3].get(g, 0) + 1
+    for k in (3, 2):
+        for g in level[k]:
+            level[k - 1][g[1:]] = level[k - 1].get(g[1:], 0) + 1
+    d = {k: kneser_ney._discounts(*[sum(n == m for n in level[k].values()) for m in (1, 2, 3, 4)]) for k in level}
+    off = lambda k, n: d[k][min(n, 3) - 1] if n else 0
+    V = len(level[1])
+
+    def p(ctx, w):
+        k = len(ctx) + 1
+        row = {g[-1]: n for g, n in level[k].items() if g[:-1] == ctx}
+        low = p(ctx[1:], w) if ctx else 1 / (V + 1)
+        if not row:
+            return low
+        return (max(row.get(w, 0) - off(k, row.get(w, 0)), 0) + sum(off(k, n) for n in row.values()) * low) / sum(row.values())
+
+    assert abs(sum(p(("a", "b"), w) for w in [*(g[0] for g in level[1]), "unknown"]) - 1) < 1e-9
+    probe = ["a b c d e f", "a b zz c d", "", "h g a", None]
+    got = {r["doc_id"]: r["score"] for r in kneser_ney.score(docs_of(spark, [(i, t, "a") for i, t in enumerate(probe)]), model).collect()}
+    for i, t in enumerate(probe):
+        ws = [None, *(t or "").split(), "\n"]
+        assert abs(got[i] - sum(np.log10(p(tuple(ws[max(0, k - 2) : k]), ws[k])) for k in range(1, len(ws)))) < 1e-6
+    assert kneser_ney.score(empty, kneser_ney.train(empty, order=3)).count() == 0
