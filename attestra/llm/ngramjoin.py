@@ -118,6 +118,14 @@ def link_documents(docs: DataFrame, likeness: float = LIKENESS, shingle: int = S
     with the same words are one node throughout. Documents without words and null texts link
     with nothing. Repeated rows are copies of each other. An empty table gives no rows.
     """
+    return link_rows(docs, likeness, shingle, trees, depth, recall).drop("one_id", "one_key")
+
+
+def link_rows(docs: DataFrame, likeness: float = LIKENESS, shingle: int = SHINGLE, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
+    """link_documents with (one_id, one_key): doc_id and text_key of the one document that stands for the component.
+
+    It is the least by doc_id, null last, then text_key; both are null for documents without words.
+    """
     length, m = prefix_length(likeness, trees, depth, recall), masks(trees, depth)
 
     def sign(batches):
@@ -140,7 +148,7 @@ def link_documents(docs: DataFrame, likeness: float = LIKENESS, shingle: int = S
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), content_key(F.col("text")).alias("text_key"), "text")
     signed = stash(rows.mapInArrow(sign, "doc_id long, text_key long, node string, keys binary, n_shingles long"), "signed")
-    nodes = signed.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_key")).alias("one"))
+    nodes = signed.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_key")).alias("one"), F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "text_key")).alias("first"))
     nodes = stash(nodes, "nodes")
     one = signed.where("node is not null").groupBy("node").agg(F.first("keys").alias("keys"), F.first("n_shingles").alias("n_shingles"))
     names = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.substring(F.col("keys"), t * 8 + 1, F.lit(8)).alias("prefix")))
@@ -196,8 +204,8 @@ def link_documents(docs: DataFrame, likeness: float = LIKENESS, shingle: int = S
     roots = components(links.where("node <> root").select("node", "root"), "node", "root")
     per = links.groupBy("node").agg(F.sum("texts").alias("n_text_links"), F.sum("links").alias("n_links"))
     info = nodes.join(per, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = info.where("n_text_links is not null").groupBy("root").agg(F.min("first_id").alias("least_id"))
-    info = info.join(least, "root", "left").select("node", F.coalesce("least_id", "first_id").alias("class_id"), (F.col("copies") - 1).alias("n_copies"), F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    least = info.where("n_text_links is not null").groupBy("root").agg(F.min("first_id").alias("least_id"), F.min("first").alias("least"))
+    info = info.join(least, "root", "left").select("node", F.coalesce("least_id", "first_id").alias("class_id"), F.coalesce("least", "first").alias("stands"), (F.col("copies") - 1).alias("n_copies"), F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = signed.select("doc_id", "text_key", "node").join(info, "node", "left")
     zero = F.lit(0).cast("long")
-    return out.select("doc_id", "text_key", F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("n_links", zero) + F.coalesce("n_copies", zero)).alias("n_links"), F.coalesce("n_text_links", zero).alias("n_text_links"), F.coalesce("n_copies", zero).alias("n_copies"))
+    return out.select("doc_id", "text_key", F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("n_links", zero) + F.coalesce("n_copies", zero)).alias("n_links"), F.coalesce("n_text_links", zero).alias("n_text_links"), F.coalesce("n_copies", zero).alias("n_copies"), F.col("stands.doc_id").alias("one_id"), F.col("stands.text_key").alias("one_key"))

@@ -23,11 +23,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least doc_id stays (of equal rows, one)."""
-    linked = ngramjoin.link_documents(docs).where("n_links > 0 and (doc_id <> class_id or class_id is null)")
-    gone = linked.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct()
-    kept = docs.withColumn("_key", content_key(F.col("text"))).join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left_anti")
-    return kept.select(*COLUMNS)
+    """Of each group of linked documents one row stays: with the least doc_id, null last (of equal rows, one)."""
+    linked = ngramjoin.link_rows(docs).where("n_links > 0").groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).agg(F.count(F.lit(1)).alias("rows"), F.first(F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("text_key") == F.col("one_key"))).alias("stays"))
+    linked = stash(linked, "linked")
+    keyed, same = docs.withColumn("_key", content_key(F.col("text"))), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k"))
+    kept = keyed.join(linked.where("not stays or rows > 1"), same, "left_anti")
+    once = keyed.join(linked.where("stays and rows > 1"), same, "left_semi").dropDuplicates(["doc_id", "_key"])
+    return kept.union(once).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -140,3 +140,14 @@ def test_run_applies_all_stages(spark, folder):
     out = corpus_pipeline.run(spark, folder[0])
     assert out.columns == ["doc_id", "source", "size", "source_size", "target", "taken"]
     assert 0 < out.count() < 90
+
+
+def test_near_copies_leave_one_row_with_null_ids_and_repeated_rows(spark):
+    w = [f"w{i}" for i in range(60)]
+    a, b, c, d, e = (" ".join(x + y for y in w) for x in "abcde")
+    rows = [(None, a), (None, a), (None, a + " end"), (1, b), (None, b), (2, c), (2, c), (2, c), (3, d), (3, d + " end"), (4, e), (None, None), (None, None), (5, ""), (5, "")]
+    df = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], DOCS)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()]
+    assert sum((t or "").startswith("aw0") for _, t in got) == 1 and sum((t or "").startswith("dw0") for _, t in got) == 1
+    assert sorted((i for i, t in got if t and t[0] in "bce")) == [1, 2, 4]
+    assert sum(not t for _, t in got) == 4 and len(got) == 9
