@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: an LSH forest over MinHash signatures, then exact verification in blocks."""
+"""N-gram Jaccard join: bands of MinHash signatures of one length, then exact verification in blocks."""
 
 from __future__ import annotations
 
@@ -50,17 +50,18 @@ def shingle_hashes(words: list[str], shingle: int = SHINGLE) -> np.ndarray:
     return s
 
 
-def signature(shingles: np.ndarray, masks: np.ndarray) -> np.ndarray:
-    """The least value of the upper half of the shingles' hashes under each mask."""
-    least = np.full(len(masks), np.iinfo(np.uint32).max, np.uint32)
+def signature(shingles: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """The least value of the upper half of the shingles' hashes times each factor."""
+    least = np.full(len(factors), np.iinfo(np.uint32).max, np.uint32)
     short = (shingles >> np.uint64(32)).astype(np.uint32)
     for at in range(0, len(short), 512):
-        np.minimum(least, (short[at : at + 512, None] ^ masks).min(axis=0), out=least)
+        np.minimum(least, (short[at : at + 512, None] * factors).min(axis=0), out=least)
     return least
 
 
-def masks(trees: int = TREES, depth: int = DEPTH) -> np.ndarray:
-    return np.random.default_rng(3).integers(0, 1 << 32, trees * depth, np.uint32)
+def factors(trees: int = TREES, depth: int = DEPTH) -> np.ndarray:
+    """Odd numbers: each permutes the hashes in its own way, where XOR masks over one hash would depend on each other."""
+    return np.random.default_rng(3).integers(0, 1 << 32, trees * depth, np.uint32) | np.uint32(1)
 
 
 def prefixes(sig: np.ndarray, trees: int, length: int) -> np.ndarray:
@@ -126,7 +127,7 @@ def link_rows(docs: DataFrame, likeness: float = LIKENESS, shingle: int = SHINGL
 
     It is the least by doc_id, null last, then text_key; both are null for documents without words.
     """
-    length, m = prefix_length(likeness, trees, depth, recall), masks(trees, depth)
+    length, m = prefix_length(likeness, trees, depth, recall), factors(trees, depth)
 
     def sign(batches):
         import pyarrow as pa

@@ -281,3 +281,13 @@ def test_kneser_ney_of_order_three_matches_plain_python(spark, empty, shard_rows
         ws = [None, *(t or "").split(), "\n"]
         assert abs(got[i] - sum(np.log10(p(tuple(ws[max(0, k - 2) : k]), ws[k])) for k in range(1, len(ws)))) < 1e-6
     assert kneser_ney.score(empty, kneser_ney.train(empty, order=3)).count() == 0
+
+
+def test_short_near_copies_meet_in_a_band():
+    """Eight of ten shingles shared: independent values meet in 99.96 of 100 pairs; XOR masks reached 99.4."""
+    rng, f, met = np.random.default_rng(1), ngramjoin.factors(), 0
+    for _ in range(6000):
+        x = rng.integers(0, 1 << 64, 10, np.uint64)
+        a, b = (ngramjoin.prefixes(ngramjoin.signature(s, f), ngramjoin.TREES, ngramjoin.prefix_length(0.8)) for s in (x[:9], np.delete(x, 8)))
+        met += bool((a == b).any())
+    assert met >= 0.998 * 6000
