@@ -7,6 +7,7 @@ import hashlib
 import math
 import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -70,7 +71,7 @@ def pack(records: list[bytes], level: int = 3) -> bytes:
     import zstandard as zstd
 
     sample, size = [], 0
-    for r in records:
+    for r in sorted(records, key=zlib.crc32):  # from all over the archive, alike in each run
         if size >= SAMPLE_BYTES:
             break
         sample.append(r)
@@ -107,30 +108,38 @@ def unpack(archive: bytes) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
-def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+def _named(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload, digest, n_bytes and name of every page; pages of one name have one page_id and payload."""
+    p = pages.select("page_id", F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html"), F.lit("")), "utf-8").alias("payload"))
+    p = p.withColumn("digest", F.sha1("payload")).withColumn("n_bytes", F.length("payload").cast("long"))
+    return p.withColumn("name", F.concat_ws(":", "digest", "n_bytes", "page_id"))
+
+
+def plan_records(pages: DataFrame, least_bytes: int = 0, parts: int | None = None) -> DataFrame:
     """Add digest, keeper: of equal payloads of at least least_bytes, the page with the smallest page_id.
 
     keeper is null where the payload is its own response. Pages that tie for the smallest
-    page_id are all responses; pages without page_id are the keepers of nothing.
+    page_id are all responses; pages without page_id are the keepers of nothing. Payloads move
+    once, to parts partitions by name; who refers to whom is found from digests alone.
     """
-    p = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    p = p.withColumn("payload", F.encode("html", "utf-8")).withColumn("digest", F.sha1("payload")).withColumn("n_bytes", F.length("payload").cast("long")).drop("html")
-    many = p.where(F.col("n_bytes") >= least_bytes).groupBy("digest", "n_bytes").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    p = p.join(many, ["digest", "n_bytes"], "left")
-    return p.withColumn("keeper", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))).drop("first_id")
+    slim = _named(pages).where(F.col("n_bytes") >= least_bytes).select("page_id", "digest", "n_bytes", "name")
+    many = slim.groupBy("digest", "n_bytes").agg(F.min("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1 and keeper is not null").drop("n")
+    repeats = slim.distinct().join(many, ["digest", "n_bytes"]).where(~F.col("page_id").eqNullSafe(F.col("keeper"))).select("name", "keeper")
+    p = _named(pages)
+    if parts:  # numbered before the join, so that it takes the partitions as they are
+        p = p.repartition(parts, "name").withColumn("part", F.spark_partition_id())
+    return p.join(repeats, "name", "left")
 
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, date: str = "2024-01-01T00:00:00Z", least_bytes: int = 0, level: int = 3) -> None:
     """Write a record per page into folder (any URI pyarrow's file systems know), *.warc.zst.
 
-    Pages go to partitions by a hash of page_id and are sorted there, so a task that runs again
+    Pages go to partitions by page_id and payload and are sorted there, so a task that runs again
     writes the same archives under the same names; each is written under another name and then
     renamed. Null html is an empty payload; other columns are ignored; an empty table writes none.
     """
-    planned = plan_records(pages, least_bytes)
     total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    parts = max(1, math.ceil(total / archive_bytes))
-    rows = planned.repartition(parts, F.xxhash64("page_id")).sortWithinPartitions("page_id", "url", "digest").select("page_id", "url", "payload", "keeper", F.spark_partition_id().alias("part"))
+    rows = plan_records(pages, least_bytes, max(1, math.ceil(total / archive_bytes))).sortWithinPartitions("name", "url").select("page_id", "url", "payload", "keeper", "part")
 
     def write(batches):
         from pyarrow import fs
