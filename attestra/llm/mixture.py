@@ -7,10 +7,12 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, content_key, stash
+from .common import BLANKS, content_key, small, stash
 
-#: Words in a block, repeats of a source at most, documents in a range of the shuffled order.
-BLOCK, REPEATS, RANGE_ROWS = 4096, 3, 128
+#: Words in a block at most, slots at least (fewer only where there are fewer words), repeats of a source at most.
+BLOCK, SLOTS, REPEATS = 4096, 1 << 16, 3
+#: Documents in a range of the shuffled order, slots in a run.
+RANGE_ROWS, RUN_SLOTS = 4096, 8192
 GOLDEN = (math.sqrt(5) - 1) / 2
 
 
@@ -41,31 +43,37 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), rep
     return s.select("source", "source_size", "position", "weight", F.least(F.col("cap"), F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), block: int = BLOCK, repeats: int = REPEATS, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), block: int | None = None, repeats: int = REPEATS, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """Returns (documents, segments).
 
-    documents: doc_id, text_key, source, size, source_size, target, one row per row of docs.
-    segments, the mix itself: slot, source, rank, doc_id, text_key, copy, first_word, n_words;
+    documents: row, doc_id, text_key, source, size, source_size, target, one row per row of docs.
+    segments, the mix itself: slot, source, rank, row, doc_id, text_key, copy, first_word, n_words;
     ordered by slot it is the training order. Each source's documents, in a hashed order that
-    does not change between runs, form one stream, read at most repeats times; it is cut into
-    blocks of `block` words. Slot i belongs to the source in whose share of the targets the
-    point frac(i * golden ratio) falls, and takes that source's next block; blocks that the
-    schedule leaves over follow at its end. A source gives round(target) words, the last block
-    being short. Null and empty texts have size 0 and are in no segment. Repeated rows are
+    does not change between runs, form one stream, read at most repeats times and cut into
+    blocks of `block` words (by default so many that there are SLOTS slots, BLOCK at most). Slot i belongs to the
+    source in whose share of the targets the point frac(i * golden ratio) falls, and takes that
+    source's next block. How much a source gives is thus the number of its slots, which differs
+    from its share by a few slots however many there are; the slots of a stream that has ended
+    stay empty. Null and empty texts have size 0 and are in no segment. Repeated rows are
     documents of their own. No documents: no rows.
     """
     slim = docs.select("doc_id", "source", content_key(F.col("text")).alias("text_key"), word_count(F.col("text")).alias("size"))
-    slim = stash(slim.withColumn("mark", F.xxhash64(F.lit(seed), "doc_id", "text_key")), "sizes")
-    sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
-    sources = stash(sources, "sources")
-    targets = source_targets(sources.select("source", "source_size"), weights, repeats).withColumn("quota", F.least(F.round("target").cast("long"), F.col("source_size") * repeats))
+    slim = stash(slim.select("*", F.xxhash64(F.lit(seed), "doc_id", "text_key").alias("mark"), F.monotonically_increasing_id().alias("row")), "sizes")
+    sources = stash(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")), "sources")
+    targets = source_targets(sources.select("source", "source_size"), weights, repeats)
     targets = stash(targets.join(sources.select(F.col("source").alias("_s"), "rows"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "targets")
-
-    known = slim.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    ranges = F.greatest(F.ceil(F.col("rows") / RANGE_ROWS), F.lit(1)).cast("double")
+    n_sources, total = targets.agg(F.count(F.lit(1)), F.sum("source_size")).first()
+    block = block or max(1, min(BLOCK, (total or 0) // SLOTS))
+    slots = stash(schedule(targets, -(-(total or 0) // block), n_sources), "slots")
+    given = slots.groupBy("position").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("position", "_p")
+    quotas = targets.join(given, F.col("position") == F.col("_p"), "left").drop("_p")
+    quotas = quotas.withColumn("quota", F.least(F.coalesce("_n", F.lit(0)) * block, F.col("source_size") * repeats)).drop("_n")
+
+    known = slim.join(small(quotas.withColumnRenamed("source", "_s"), n_sources), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    ranges = F.ceil(F.col("rows") / RANGE_ROWS).cast("double")
     share = (F.col("mark").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
     known = known.withColumn("part", F.least(F.floor(share * ranges), ranges - 1).cast("long"))
-    inside = Window.partitionBy("position", "part").orderBy("mark", "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("position", "part").orderBy("mark", "doc_id", "text_key", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = known.withColumn("upto", F.sum("size").over(inside))
     sums = known.groupBy("position", "part").agg(F.sum("size").alias("part_size"))
     earlier = Window.partitionBy("position").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -76,32 +84,31 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), block: int = BLOC
     turn = turn.withColumn("begin", F.col("copy") * F.col("source_size") + F.col("start")).withColumn("end", F.least(F.col("begin") + F.col("size"), F.col("quota"))).where("begin < end")
     pieces = turn.select("*", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("end") - 1) / block))).alias("rank"))
     lo, hi = F.greatest(F.col("begin"), F.col("rank") * block), F.least(F.col("end"), (F.col("rank") + 1) * block)
-    pieces = pieces.select("source", "position", "rank", "doc_id", "text_key", "copy", (lo - F.col("begin")).alias("first_word"), (hi - lo).alias("n_words"))
+    pieces = pieces.select("source", "position", "rank", "row", "doc_id", "text_key", "copy", (lo - F.col("begin")).alias("first_word"), (hi - lo).alias("n_words"))
 
-    slots = stash(schedule(targets, block), "slots")
-    n_slots = targets.agg(F.sum(F.ceil(F.col("quota") / block))).first()[0] or 0
-    segments = pieces.join(slots, ["position", "rank"], "left")
-    segments = segments.select(F.coalesce("slot", F.lit(n_slots) + F.col("rank")).alias("slot"), "source", "rank", "doc_id", "text_key", "copy", "first_word", "n_words")
-    return slim.join(targets.select(F.col("source").alias("_s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "mark"), segments
+    segments = pieces.join(slots, ["position", "rank"]).select("slot", "source", "rank", "row", "doc_id", "text_key", "copy", "first_word", "n_words")
+    about = small(targets.select(F.col("source").alias("_s"), "source_size", "target"), n_sources)
+    return slim.join(about, F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "mark"), segments
 
 
-def schedule(targets: DataFrame, block: int) -> DataFrame:
-    """(slot, position, rank): golden-ratio points through the cumulative targets, slots ranked per source.
+def schedule(targets: DataFrame, n: int, n_sources: int) -> DataFrame:
+    """(slot, position, rank) of n slots: golden-ratio points through the cumulative targets, slots ranked per source.
 
-    Slots fall into runs of 1,024; a source's rank is its count in earlier runs plus that in its run,
-    so no task sees more than a run of slots or a source's run counts.
+    A point finds its source by the cell of a grid that it falls in: the cells are as many as
+    the sources, and each holds the sources that reach into it. Slots fall into runs of
+    RUN_SLOTS; a source's rank is its count in earlier runs plus that in its run, so no task
+    sees more than a run of slots or a source's run counts.
     """
-    spark = targets.sparkSession
     whole = Window.orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = targets.select("position", F.sum("target").over(whole).alias("upto"), "target", "quota")
-    line = cum.agg(F.sum("target").alias("all"), F.sum(F.ceil(F.col("quota") / block)).alias("n"), F.array_sort(F.collect_list(F.struct("upto", "position"))).alias("cuts"))
-    n = line.first()["n"] or 0
-    one = line.select("all", "cuts")
+    cum = targets.where("target > 0").select("position", F.sum("target").over(whole).alias("hi"), "target")
+    everything = F.max("hi").over(Window.partitionBy(F.lit(0)))
+    cum = cum.select("position", ((F.col("hi") - F.col("target")) / everything).alias("lo"), (F.col("hi") / everything).alias("hi"))
+    cum = cum.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("position")), F.lit(0.0)))  # no gaps by rounding
+    cells = max(1, n_sources)
+    grid = cum.select("position", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.least(F.floor(F.col("hi") * cells), F.lit(cells - 1)))).alias("cell"))
     point = (F.col("id").cast("double") * GOLDEN) % 1.0
-    slots = spark.range(n).select(F.col("id").alias("slot"), point.alias("x"), F.lit(1).alias("_one"))
-    slots = slots.join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one")
-    slots = slots.select("slot", F.element_at(F.filter("cuts", lambda c: c["upto"] > F.col("x") * F.col("all")), 1)["position"].alias("position")).where("position is not null")
-    slots = slots.withColumn("run", F.floor(F.col("slot") / 1024))
+    slots = targets.sparkSession.range(n).select(F.col("id").alias("slot"), point.alias("x")).withColumn("cell", F.floor(F.col("x") * cells))
+    slots = slots.join(small(grid, 2 * cells), "cell").where("x >= lo and x < hi").select("slot", "position", F.floor(F.col("slot") / RUN_SLOTS).alias("run"))
     counts = slots.groupBy("position", "run").agg(F.count(F.lit(1)).alias("c"))
     base = counts.select("position", "run", F.coalesce(F.sum("c").over(Window.partitionBy("position").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     ranked = slots.withColumn("r", F.row_number().over(Window.partitionBy("position", "run").orderBy("slot")) - 1)
@@ -111,9 +118,5 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, text_key, source, size, source_size, target, taken (words, repeats counted)."""
     base, segments = mix(docs, **options)
-    taken = segments.groupBy("doc_id", "text_key", "source").agg(F.sum("n_words").alias("_taken")).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.col("source").alias("_s"), "_taken")
-    copies = Window.partitionBy("doc_id", "text_key", "source")
-    out = base.join(taken, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k")) & F.col("source").eqNullSafe(F.col("_s")), "left")
-    n, i = F.count(F.lit(1)).over(copies), F.row_number().over(copies.orderBy("size"))
-    even = F.floor(F.coalesce("_taken", F.lit(0)) / n) + F.when(i <= F.coalesce("_taken", F.lit(0)) % n, 1).otherwise(0)
-    return out.withColumn("taken", even.cast("long")).drop("_d", "_k", "_s", "_taken")
+    taken = segments.groupBy("row").agg(F.sum("n_words").alias("_taken"))
+    return base.join(taken, "row", "left").withColumn("taken", F.coalesce("_taken", F.lit(0)).cast("long")).drop("row", "_taken")
