@@ -11,7 +11,8 @@ they them also such which what when where while who whom whose""".split()
 # Surfaces that name nobody.
 PRONOUNS = """i me my mine myself you your yours yourself yourselves he him his himself she her hers herself we us our
 ours ourselves they them their theirs themselves it its itself this that these those who whom whose which what
-one ones someone anyone everyone nobody thing things something anything everything""".split()
+i'm you're he's she's we're they're it's i've you've we've they've i'd you'd he'd she'd we'd they'd i'll you'll he'll
+she'll we'll they'll one ones someone anyone everyone nobody thing things something anything everything""".split()
 # Phrases of hesitation, evasion and exaggeration, with the weight of each kind.
 HEDGES = ["maybe", "i think", "i guess", "sort of", "kind of", "i suppose", "probably", "possibly"]
 EVASIONS = ["no comment", "i don't recall", "can't recall", "not that i know of", "i'd have to check", "i don't remember"]
@@ -45,8 +46,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def clean_surface(text: Column) -> Column:
-    """Lower case, without non-word characters at the ends, spaces collapsed."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text), r"^[^a-z0-9]+|[^a-z0-9]+$", ""), r"\s+", " ")
+    """Lower case, without characters other than ASCII letters, digits and _ at the ends, spaces collapsed."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), r"^[^a-z0-9_]+|[^a-z0-9_]+$", ""), r"[ \t\n\r\u00A0]+", " ")
 
 
 def deep_link(video_id: Column, seconds: Column, base: str = "https://watch.example/") -> Column:
@@ -54,9 +55,9 @@ def deep_link(video_id: Column, seconds: Column, base: str = "https://watch.exam
 
 
 def clock(seconds: Column) -> Column:
-    """mm:ss."""
+    """mm:ss, with more digits for minutes from 100 on."""
     s = F.floor(seconds).cast("long")
-    return F.concat(F.lpad(F.floor(s / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"))
+    return F.format_string("%02d:%02d", F.floor(s / 60), s % 60)
 
 
 def subkind(rationale: Column) -> Column:

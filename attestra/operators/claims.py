@@ -50,11 +50,62 @@ def cross_document(claims: DataFrame, prefix: str = "", floor: float = 0.1, over
     return j.select(F.when(first, F.col("a")).otherwise(F.col("d")).alias("left"), F.when(first, F.col("d")).otherwise(F.col("a")).alias("right"), "shared", F.round("similarity", 6).alias("similarity"), "reason")
 
 
-def routed(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Where a candidate pair goes by its verdict; without one it is pending."""
+def opposed(a: Column, b: Column) -> Column:
+    """Whether one side asserts what the other denies."""
+    return F.coalesce(((a == "asserts") & (b == "denies")) | ((a == "denies") & (b == "asserts")), F.lit(False))
+
+
+def routed(pairs: DataFrame, verdicts: DataFrame, claims: DataFrame) -> DataFrame:
+    """Where a candidate pair goes by its verdict; without one it is pending.
+
+    A verdict of one claim said twice makes an agreement, unless the stances are opposed: then the
+    pair is dropped under a verdict of its own. Verdicts stand for the texts that they were given
+    on: where verdicts has left_hash and right_hash, they must be the texts' sha1.
+    """
+    side = lambda s: claims.select(F.col("claim_id").alias(s), F.col("stance").alias(f"_{s}_stance"), F.sha1(F.coalesce("text", F.lit(""))).alias(f"_{s}_hash"))
+    j = pairs.join(verdicts, ["left", "right"], "left").join(side("left"), "left", "left").join(side("right"), "right", "left")
     v = F.col("verdict")
-    route = F.when(v.isNull(), "pending").when(v.isin("LOGICAL-CONTRADICTION", "DEBUNKS", "UNDERCUTS", "ALTERNATIVE"), "contradiction").when(v == "SAME-CLAIM", "agreement").otherwise("dropped")
-    return pairs.join(verdicts, ["left", "right"], "left").withColumn("route", route)
+    if "left_hash" in verdicts.columns:
+        fresh = (F.col("left_hash") == F.col("_left_hash")) & (F.col("right_hash") == F.col("_right_hash"))
+        j = j.withColumn("verdict", F.when(fresh, v)).drop("left_hash", "right_hash")
+    apart = (v == "SAME-CLAIM") & opposed(F.col("_left_stance"), F.col("_right_stance"))
+    route = F.when(v.isNull(), "pending").when(v.isin("LOGICAL-CONTRADICTION", "DEBUNKS", "UNDERCUTS", "ALTERNATIVE"), "contradiction").when(apart, "dropped").when(v == "SAME-CLAIM", "agreement").otherwise("dropped")
+    j = j.withColumn("route", route).withColumn("verdict", F.when(apart, "SAME-CLAIM-stance-mismatch").otherwise(v))
+    return j.drop("_left_stance", "_right_stance", "_left_hash", "_right_hash")
+
+
+def dropped_totals(routes: DataFrame) -> DataFrame:
+    """Pairs that are not shown as contradictions, by verdict: agreements count here too."""
+    return routes.where("route in ('dropped', 'agreement')").groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+def vector_pairs(claims: DataFrame, vectors: DataFrame, near: float = 0.55, strict: float = 0.70, block: int = 2000) -> DataFrame:
+    """I16 with vectors: claims of different documents that share an entity, by the cosine of their vectors.
+
+    Opposed stances need near, others strict. vectors: (claim_id, vec); claims without one are in
+    no pair here. Norms are divided out before the join; heavy entities are cut into blocks as in
+    cross_document, and a pair counts in the least entity it shares.
+    """
+    unit = vectors.select("claim_id", F.expr("transform(vec, x -> cast(x as double))").alias("v")).withColumn("norm", F.sqrt(F.expr("aggregate(v, 0D, (s, x) -> s + x * x)")))
+    unit = unit.select("claim_id", F.when(F.col("norm") > 0, F.expr("transform(v, x -> x / norm)")).otherwise(F.col("v")).alias("v"))
+    c = claims.join(unit, "claim_id").select("video_id", "claim_id", "stance", F.array_distinct("entities").alias("entities"), "v").withColumn("entity", F.explode("entities"))
+    heavy = c.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)  # no more than a block-th of the rows
+    c = c.join(F.broadcast(heavy.select("entity", F.ceil(F.col("n") / block).cast("int").alias("blocks"))), "entity", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    mine, others = F.pmod(F.xxhash64("claim_id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = c.select("entity", mine.alias("p"), others.alias("q"), F.col("video_id").alias("av"), F.col("claim_id").alias("left"), F.col("stance").alias("ast"), F.col("entities").alias("ae"), F.col("v").alias("x"))
+    b = c.select("entity", mine.alias("q"), others.alias("p"), F.col("video_id").alias("bv"), F.col("claim_id").alias("right"), F.col("stance").alias("bst"), F.col("entities").alias("be"), F.col("v").alias("y"))
+    both = F.array_intersect("ae", "be")
+    j = a.join(b, ["entity", "p", "q"]).where("av < bv").where(F.col("entity") == F.array_min(both))
+    j = j.withColumn("similarity", F.expr("aggregate(zip_with(x, y, (p, q) -> p * q), 0D, (s, z) -> s + z)"))
+    against = opposed(F.col("ast"), F.col("bst"))
+    return j.where(((F.col("similarity") >= near) & against) | (F.col("similarity") >= strict)).select("left", "right", F.size(both).alias("shared"), F.round("similarity", 6).alias("similarity"), F.lit("cosine").alias("reason"))
+
+
+def manual_contradictions(custom: DataFrame, claims: DataFrame, dismissed: DataFrame) -> DataFrame:
+    """operators' pairs (left, right) both of whose claims exist and that nobody dismissed."""
+    ids = claims.select("claim_id")
+    both = custom.join(ids.withColumnRenamed("claim_id", "left"), "left", "left_semi").join(ids.withColumnRenamed("claim_id", "right"), "right", "left_semi")
+    return undismissed(both, dismissed).withColumn("kind", F.lit("manual"))
 
 
 def undismissed(pairs: DataFrame, dismissed: DataFrame) -> DataFrame:
@@ -125,10 +176,27 @@ def floor_percentile(df: DataFrame, group: str, column: str, p: float) -> DataFr
     return r.where(F.col("_r") == F.least(F.col("_n") - 1, F.floor(F.col("_n") * p))).select(group, F.col(column).alias("value"))
 
 
-def gate(metrics: DataFrame, baseline: DataFrame, higher_is_worse: list[str], tolerance: float = 0.05) -> DataFrame:
-    """L8 without bounds: drift of each metric against a baseline."""
+def gate(metrics: DataFrame, baseline: DataFrame, higher_is_better: dict[str, bool], tolerance: float = 0.05, bounds: dict[str, dict] | None = None) -> DataFrame:
+    """(name, value, base, status, warning) of each metric against bounds and a baseline.
+
+    bounds: name -> min, max (a breach is a regression), target_min, target_max (a warning only).
+    A drift beyond the tolerance is regressed or improved by the metric's direction; one without
+    a direction is new, for information. Metrics without a baseline are new, without a value missing.
+    """
     j = metrics.join(baseline.select("name", F.col("value").alias("base")), "name", "full")
-    rel = (F.col("value") - F.col("base")) / F.greatest(F.lit(1.0), F.abs("base"))
-    worse = F.when(F.col("name").isin(higher_is_worse), rel).otherwise(-rel)
-    s = F.when(F.col("value").isNull(), "missing").when(F.col("base").isNull(), "new").when(worse > tolerance, "regressed").when(worse < -tolerance, "improved").otherwise("ok")
-    return j.select("name", "value", "base", s.alias("status"))
+    value, none = F.col("value"), F.lit(None).cast("boolean")
+
+    def beyond(low: str, high: str) -> Column:
+        out = none
+        for name, b in (bounds or {}).items():
+            out = F.when(F.col("name") == name, (value < F.lit(b.get(low)).cast("double")) | F.coalesce(value > F.lit(b.get(high)).cast("double"), F.lit(False))).otherwise(out)
+        return F.coalesce(out, F.lit(False))
+
+    better = F.lit(None).cast("boolean")
+    for name, up in higher_is_better.items():
+        better = F.when(F.col("name") == name, F.lit(up)).otherwise(better)
+    moved = (value - F.col("base")) / F.greatest(F.lit(1.0), F.abs("base"))
+    drift = F.when(F.abs(moved) <= tolerance, "ok").when(better.isNull(), "new").when((moved > 0) == better, "improved").otherwise("regressed")
+    status = F.when(value.isNull(), "missing").when(beyond("min", "max"), "regressed").when(F.col("base").isNull(), "new").otherwise(drift)
+    soft = F.when(beyond("min", "max") | value.isNull(), None).when(beyond("target_min", "target_max"), "beyond target")
+    return j.select("name", "value", "base", status.alias("status"), soft.alias("warning"))

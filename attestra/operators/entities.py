@@ -22,9 +22,9 @@ def canonical(mentions: DataFrame) -> DataFrame:
 
 
 def numbered(mentions: DataFrame) -> DataFrame:
-    """m_0001, m_0002, ... within each document."""
+    """m_0001, m_0002, ... within each document; from the 10,000th on with more digits."""
     w = Window.partitionBy("video_id").orderBy("ordinal")
-    return mentions.withColumn("mention_id", F.concat(F.lit("m_"), F.lpad(F.row_number().over(w).cast("string"), 4, "0")))
+    return mentions.withColumn("mention_id", F.format_string("m_%04d", F.row_number().over(w)))
 
 
 def corpus_entities(mentions: DataFrame) -> DataFrame:

@@ -5,32 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Who may stand where in a predicate; predicates not listed take any arguments.
-_PO = ["person", "organization", "group_or_movement"]
+# Labels that a predicate's subject and object may have; other predicates take any.
+PERSON_OR_GROUP = ["person", "organization", "group_or_movement"]
+GROUP = ["organization", "group_or_movement"]
+PLACE = ["location", "facility"]
+PLACE_OR_TIME = ["location", "facility", "date_time"]
+ANY_LABEL = ["person", "organization", "location", "facility", "event", "work_of_media", "technology", "date_time", "quantity", "nationality_or_ethnicity", "group_or_movement", "ideology", "role", "law_or_policy", "time_of_day", "specific_date_time", "specific_week"]
 ARGUMENTS = {
-    "located_in": (["person", "organization", "location", "facility", "event", "group_or_movement"], ["location", "facility"]),
-    "works_for": (["person"], ["organization", "group_or_movement"]),
-    "allied_with": (_PO, _PO),
-    "member_of": (["person", "organization"], ["organization", "group_or_movement"]),
+    "located_in": (["person", "organization", "location", "facility", "event", "group_or_movement"], PLACE),
+    "member_of": (["person", "organization"], GROUP),
+    "part_of": (["organization", "location", "facility", "work_of_media", "technology", "group_or_movement"], ["organization", "location", "facility", "work_of_media", "technology", "event", "group_or_movement"]),
+    "authored": (PERSON_OR_GROUP, ["work_of_media"]),
+    "published": (PERSON_OR_GROUP, ["work_of_media"]),
+    "founded": (["person", "organization"], ["organization", "group_or_movement", "facility"]),
+    "works_for": (["person"], GROUP),
     "led_by": (["organization", "group_or_movement", "event"], ["person"]),
-    "met_with": (_PO, _PO),
-    "prosecuted_by": (_PO, _PO),
+    "born_in": (["person"], PLACE_OR_TIME),
+    "died_in": (["person"], PLACE_OR_TIME),
+    "operates_in": (["person", "organization", "facility"], PLACE),
+    "met_with": (PERSON_OR_GROUP, PERSON_OR_GROUP),
+    "allied_with": (PERSON_OR_GROUP, PERSON_OR_GROUP),
+    "opposed_by": (ANY_LABEL, PERSON_OR_GROUP),
+    "funded_by": (ANY_LABEL, PERSON_OR_GROUP),
+    "investigated_by": (ANY_LABEL, PERSON_OR_GROUP),
+    "prosecuted_by": (PERSON_OR_GROUP, PERSON_OR_GROUP),
     "convicted_of": (["person"], ["event", "role"]),
+    "created": (PERSON_OR_GROUP, ["work_of_media", "technology", "organization", "facility"]),
+    "occurred_on": (["event"], ["date_time", "specific_date_time", "specific_week", "time_of_day"]),
 }
 
 
 def type_checked(rel: DataFrame) -> DataFrame:
-    """relations whose argument labels (read from the ids) suit the predicate."""
+    """relations whose argument labels (read from the ids) suit the predicate; ids without a label suit all."""
+    subject, object_ = (F.when(F.instr(c, ":") > 1, F.substring_index(c, ":", 1)) for c in ("subject_id", "object_id"))
     ok = F.lit(True)
     for name, (subjects, objects) in ARGUMENTS.items():
-        fits = F.substring_index("subject_id", ":", 1).isin(subjects) & F.substring_index("object_id", ":", 1).isin(objects)
-        ok = F.when(F.col("predicate") == name, fits).otherwise(ok)
+        ok = F.when(F.col("predicate") == name, subject.isNull() | object_.isNull() | (subject.isin(subjects) & object_.isin(objects))).otherwise(ok)
     return rel.where(ok)
 
 
 def upsert(rel: DataFrame) -> DataFrame:
-    """one row per rel_id: highest confidence; provenance "both" where sources differ."""
-    return rel.groupBy("rel_id").agg(F.max("confidence").alias("confidence"), F.when(F.min("provenance") != F.max("provenance"), "both").otherwise(F.min("provenance")).alias("provenance"))
+    """one row per rel_id: highest confidence; provenance "both" where sources differ.
+
+    Subject, predicate, object and span are in the rel_id and so the same in all its rows; the
+    truth is that of the surest row, ties by the greater truth.
+    """
+    kept = [F.first(c).alias(c) for c in ("subject_id", "predicate", "object_id", "transcript_id", "char_start", "char_end", "time_start")]
+    truth = F.max(F.struct("confidence", F.col("direct_truth").isNotNull(), "direct_truth"))["direct_truth"].alias("direct_truth")
+    provenance = F.when(F.min("provenance") != F.max("provenance"), "both").otherwise(F.min("provenance")).alias("provenance")
+    return rel.groupBy("rel_id").agg(*kept, truth, F.max("confidence").alias("confidence"), provenance)
 
 
 def nodes(rel: DataFrame) -> DataFrame:
@@ -124,17 +147,19 @@ def propagate_round(edges_: DataFrame, blend: float = 0.4) -> DataFrame:
     endpoint and per pair of endpoints, less the edge itself, so no list of edge pairs is made.
     """
     w = F.when(F.col("value").isNotNull(), F.col("confidence")).otherwise(0.0)
-    v = edges_.withColumn("w", w).withColumn("wv", w * F.coalesce("value", F.lit(0.0)))
-    ends = v.select("w", "wv", F.explode(F.array_distinct(F.array("subject_id", "object_id"))).alias("node")).groupBy("node").agg(F.sum("w").alias("w"), F.sum("wv").alias("wv"))
+    v = edges_.withColumn("w", w).withColumn("wv", w * F.coalesce("value", F.lit(0.0))).withColumn("k", (F.col("w") > 0).cast("long"))
+    sums = [F.sum("w").alias("w"), F.sum("wv").alias("wv"), F.sum("k").alias("k")]
+    ends = v.select("w", "wv", "k", F.explode(F.array_distinct(F.array("subject_id", "object_id"))).alias("node")).groupBy("node").agg(*sums)
     pair = v.withColumn("lo", F.least("subject_id", "object_id")).withColumn("hi", F.greatest("subject_id", "object_id"))
-    both = pair.where("lo <> hi").groupBy("lo", "hi").agg(F.sum("w").alias("pw"), F.sum("wv").alias("pwv"))
-    s = ends.select(F.col("node").alias("subject_id"), F.col("w").alias("sw"), F.col("wv").alias("swv"))
-    o = ends.select(F.col("node").alias("object_id"), F.col("w").alias("ow"), F.col("wv").alias("owv"))
+    both = pair.where("lo <> hi").groupBy("lo", "hi").agg(F.sum("w").alias("pw"), F.sum("wv").alias("pwv"), F.sum("k").alias("pk"))
+    s = ends.select(F.col("node").alias("subject_id"), F.col("w").alias("sw"), F.col("wv").alias("swv"), F.col("k").alias("sk"))
+    o = ends.select(F.col("node").alias("object_id"), F.col("w").alias("ow"), F.col("wv").alias("owv"), F.col("k").alias("ok"))
     j = pair.join(s, "subject_id").join(o, "object_id").join(both, ["lo", "hi"], "left")
     loop = F.col("lo") == F.col("hi")
     nw = F.col("sw") + F.when(loop, 0.0).otherwise(F.col("ow") - F.col("pw")) - F.col("w")
     nwv = F.col("swv") + F.when(loop, 0.0).otherwise(F.col("owv") - F.col("pwv")) - F.col("wv")
-    mean = F.when(nw > 1e-9, nwv / nw)
+    many = F.col("sk") + F.when(loop, 0).otherwise(F.col("ok") - F.col("pk")) - F.col("k")  # counted, as sums may not cancel to 0
+    mean = F.when(many > 0, nwv / nw)
     nxt = F.when(F.col("anchor").isNotNull(), F.when(mean.isNotNull(), (1 - blend) * F.col("anchor") + blend * mean).otherwise(F.col("anchor"))).otherwise(mean)
     return j.select("rel_id", "subject_id", "object_id", "confidence", "anchor", nxt.alias("value"))
 

@@ -114,12 +114,6 @@ _add(
 )
 _add("i28_has_dependents", lambda s, d: _C(s, d).select("claim_id").join(_D(s, d).select(F.col("target").alias("claim_id")), "claim_id", "left_semi"), f"{_CD} select claim_id from claims where claim_id in (select target from deps)")
 _add("i33_documents_without_denials", lambda s, d: _C(s, d).select("video_id").distinct().join(_C(s, d).where("stance = 'denies' and kind = 'opinion' and l_linenumber >= 5").select("video_id"), "video_id", "left_anti"), f"{_CD} select distinct video_id from claims where video_id not in (select video_id from claims where stance = 'denies' and kind = 'opinion' and l_linenumber >= 5)")
-_add(
-    "i9_i10_truth_sources",
-    lambda s, d: _C(s, d).select("claim_id", F.when(F.col("l_orderkey") % 11 == 0, "override").when(F.col("l_linenumber") == 1, "derived").when(F.col("truth").isNotNull(), "direct").otherwise("uncalibrated").alias("truth_source")).groupBy("truth_source").agg(F.count(F.lit(1)).alias("n")),
-    f"{_CD} select case when l_orderkey % 11 = 0 then 'override' when l_linenumber = 1 then 'derived' when truth is not null then 'direct' else 'uncalibrated' end truth_source, count(*)::bigint n from claims group by 1",
-)
-
 # K: jobs
 NEEDS = [("fetched", None), ("nlp", "fetched"), ("claims", "nlp"), ("graph", "claims"), ("graph", "nlp")]
 _STAGES = {"fetched": (0, 97), "nlp": (1, 5), "claims": (2, 4), "graph": (3, 3)}

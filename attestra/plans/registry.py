@@ -11,7 +11,7 @@ from attestra.operators import claims as cl
 from attestra.operators import entities as en
 from attestra.operators import graph as gr
 from attestra.plans import fixtures as fx
-from attestra.plans import more
+from attestra.plans import claim_queries, more
 from attestra.streaming import speaker as sp
 
 _QUERIES: dict = {}
@@ -30,11 +30,11 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {**_QUERIES, **more.QUERIES}
+    return {**_QUERIES, **more.QUERIES, **claim_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**_SQL, **more.SQL}
+    return {**_SQL, **more.SQL, **claim_queries.SQL}
 
 
 def _stops() -> str:
@@ -88,7 +88,7 @@ _add(
 )
 
 # C, E: mentions and entities
-_PRON = "[" + ", ".join(f"'{w}'" for w in tx.PRONOUNS) + "]"
+_PRON = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in tx.PRONOUNS) + "]"
 _USABLE = f"usable as (select * from (select *, lower(surface) norm from mentions) where label <> 'technology' and not list_contains({_PRON}, norm) and length(norm) >= 2)"
 _ENT = "ent as (select entity_id, count(*)::bigint mentions, count(distinct video_id)::bigint documents, max({'l': length(surface), 's': surface}).s canonical from (select *, label || ':' || lower(surface) entity_id from usable) group by 1)"
 _add("c3_c4_usable_mentions", lambda s, d: en.usable(fx.mentions(s, d)).groupBy("label", "norm").agg(F.count(F.lit(1)).alias("n")), f"with {fx.MENTIONS}, {_USABLE} select label, norm, count(*)::bigint n from usable group by all")
@@ -97,7 +97,7 @@ _add(
     lambda s, d: en.canonical(en.usable(fx.mentions(s, d))),
     f"with {fx.MENTIONS}, {_USABLE} select label, norm, surface canonical from (select label, norm, surface, row_number() over (partition by label, norm order by length(surface) * 1000 + count(*) desc, surface) r from usable group by 1, 2, 3) where r = 1",
 )
-_add("c6_mention_ids", lambda s, d: en.numbered(en.usable(fx.mentions(s, d))).select("video_id", "ordinal", "mention_id"), f"with {fx.MENTIONS}, {_USABLE}, n as (select *, (row_number() over (partition by video_id order by ordinal))::varchar k from usable) select video_id, ordinal, 'm_' || case when length(k) > 4 then left(k, 4) else lpad(k, 4, '0') end mention_id from n")
+_add("c6_mention_ids", lambda s, d: en.numbered(en.usable(fx.mentions(s, d))).select("video_id", "ordinal", "mention_id"), f"with {fx.MENTIONS}, {_USABLE}, n as (select *, row_number() over (partition by video_id order by ordinal) k from usable) select video_id, ordinal, printf('m_%04d', k) mention_id from n")
 _add("c13_visible_mentions", lambda s, d: fx.mentions(s, d).where(~F.col("label").isin("event", "facility")).groupBy("video_id").agg(F.count(F.lit(1)).alias("n")), f"with {fx.MENTIONS} select video_id, count(*)::bigint n from mentions where label not in ('event', 'facility') group by 1")
 _add("e1_e2_corpus_entities", lambda s, d: en.corpus_entities(en.usable(fx.mentions(s, d))), f"with {fx.MENTIONS}, {_USABLE}, {_ENT} select * from ent")
 
@@ -152,10 +152,11 @@ _add("e30_audit_log", lambda s, d: fx.table(s, d, "events").orderBy(F.desc("ts")
 # F, G, H: graph
 _NODES = "nodes as (select entity_id, count(*)::bigint weight from (select subject_id entity_id from rel union all select object_id from rel) group by 1)"
 _EDGES = "edges as (select subject_id, predicate, object_id, count(*)::bigint n from rel group by all)"
-_CHECK = "case predicate when 'located_in' then split_part(object_id, ':', 1) in ('location', 'facility') when 'works_for' then split_part(subject_id, ':', 1) = 'person' and split_part(object_id, ':', 1) in ('organization', 'group_or_movement') else true end"
+_ALLOWED = " or ".join(f"predicate = '{p}' and split_part(subject_id, ':', 1) in ({', '.join(map(repr, a))}) and split_part(object_id, ':', 1) in ({', '.join(map(repr, b))})" for p, (a, b) in gr.ARGUMENTS.items())
+_CHECK = f"(predicate not in ({', '.join(map(repr, gr.ARGUMENTS))}) or instr(subject_id, ':') <= 1 or instr(object_id, ':') <= 1 or {_ALLOWED})"
 _rel = fx.relationships
 _add("f3_type_check", lambda s, d: gr.type_checked(_rel(s, d)).groupBy("predicate").agg(F.count(F.lit(1)).alias("n")), f"with {fx.REL} select predicate, count(*)::bigint n from rel where {_CHECK} group by 1")
-_add("f5_relationship_upsert", lambda s, d: gr.upsert(_rel(s, d)), f"with {fx.REL} select rel_id, max(confidence) confidence, case when min(provenance) <> max(provenance) then 'both' else min(provenance) end provenance from rel group by 1")
+_add("f5_relationship_upsert", lambda s, d: gr.upsert(_rel(s, d)), f"with {fx.REL} select rel_id, subject_id, predicate, object_id, transcript_id, char_start, char_end, time_start, max({{'c': confidence, 'k': direct_truth is not null, 't': direct_truth}}).t direct_truth, max(confidence) confidence, case when min(provenance) <> max(provenance) then 'both' else min(provenance) end provenance from rel group by 1, 2, 3, 4, 5, 6, 7, 8")
 _add("f9_entity_index", lambda s, d: _rel(s, d).groupBy(F.col("object_id").alias("entity_id")).agg(F.countDistinct("transcript_id").alias("documents"), F.count(F.lit(1)).alias("mentions")), f"with {fx.REL} select object_id entity_id, count(distinct transcript_id)::bigint documents, count(*)::bigint mentions from rel group by 1")
 _add("f10_entity_documents", lambda s, d: _rel(s, d).groupBy(F.col("object_id").alias("entity_id"), "transcript_id").agg(F.array_join(F.array_sort(F.collect_set("char_start")).cast("array<string>"), ",").alias("spans")), f"with {fx.REL} select object_id entity_id, transcript_id, array_to_string(list_sort(list_distinct(list(char_start)))::varchar[], ',') spans from rel group by 1, 2")
 _add("f11_graph_nodes", lambda s, d: gr.nodes(_rel(s, d)), f"with {fx.REL}, {_NODES} select * from nodes")
@@ -237,13 +238,13 @@ def _verdicts(c: DataFrame) -> DataFrame:
 _K = "(split_part(p.left, '_', 2)::bigint % 7)"
 _add(
     "i21_i23_verdict_routes",
-    lambda s, d: cl.routed(p := cl.cross_document(_C(s, d), "thing:"), _verdicts(p)).groupBy("route", "verdict").agg(F.count(F.lit(1)).alias("n")),
-    f"{_CD}, {_PAIRS}, v as (select case when {_K} < 5 then ['LOGICAL-CONTRADICTION', 'DEBUNKS', 'SAME-CLAIM', 'IRRELEVANT', 'UNDERCUTS'][{_K} + 1] end verdict from pairs p) select case when verdict is null then 'pending' when verdict = 'SAME-CLAIM' then 'agreement' when verdict = 'IRRELEVANT' then 'dropped' else 'contradiction' end route, verdict, count(*)::bigint n from v group by 1, 2",
+    lambda s, d: cl.routed(p := cl.cross_document(_C(s, d), "thing:"), _verdicts(p), _C(s, d)).groupBy("route", "verdict").agg(F.count(F.lit(1)).alias("n")),
+    f"{_CD}, {_PAIRS}, v as (select case when {_K} < 5 then ['LOGICAL-CONTRADICTION', 'DEBUNKS', 'SAME-CLAIM', 'IRRELEVANT', 'UNDERCUTS'][{_K} + 1] end verdict from pairs p) select case when verdict is null then 'pending' when verdict in ('SAME-CLAIM', 'IRRELEVANT') then 'dropped' else 'contradiction' end route, case when verdict = 'SAME-CLAIM' then 'SAME-CLAIM-stance-mismatch' else verdict end verdict, count(*)::bigint n from v group by 1, 2",
 )
 _add(
     "i21_i23_shared_entity_routes",
-    lambda s, d: cl.routed(p := cl.cross_document(_C(s, d)), _verdicts(p)).groupBy("route", "verdict").agg(F.count(F.lit(1)).alias("n")),
-    f"{_CD}, {_ALL_PAIRS}, v as (select case when {_K} < 5 then ['LOGICAL-CONTRADICTION', 'DEBUNKS', 'SAME-CLAIM', 'IRRELEVANT', 'UNDERCUTS'][{_K} + 1] end verdict from pairs p) select case when verdict is null then 'pending' when verdict = 'SAME-CLAIM' then 'agreement' when verdict = 'IRRELEVANT' then 'dropped' else 'contradiction' end route, verdict, count(*)::bigint n from v group by 1, 2",
+    lambda s, d: cl.routed(p := cl.cross_document(_C(s, d)), _verdicts(p), _C(s, d)).groupBy("route", "verdict").agg(F.count(F.lit(1)).alias("n")),
+    f"{_CD}, {_ALL_PAIRS}, v as (select case when {_K} < 5 then ['LOGICAL-CONTRADICTION', 'DEBUNKS', 'SAME-CLAIM', 'IRRELEVANT', 'UNDERCUTS'][{_K} + 1] end verdict from pairs p) select case when verdict is null then 'pending' when verdict in ('SAME-CLAIM', 'IRRELEVANT') then 'dropped' else 'contradiction' end route, case when verdict = 'SAME-CLAIM' then 'SAME-CLAIM-stance-mismatch' else verdict end verdict, count(*)::bigint n from v group by 1, 2",
 )
 _add(
     "i19_dismissed_pairs",
@@ -291,10 +292,10 @@ def _metrics(c: DataFrame) -> DataFrame:
 
 _add(
     "l3_l8_metric_gate",
-    lambda s, d: cl.gate(_metrics(_C(s, d)), _metrics(_C(s, d).where("l_orderkey % 2 = 0")), ["denies_share"]),
+    lambda s, d: cl.gate(_metrics(_C(s, d)), _metrics(_C(s, d).where("l_orderkey % 2 = 0")), {"denies_share": False, "truth_coverage": True}, 0.001, {"truth_coverage": {"min": 1.0, "target_min": 99.0}}),
     f"""{_CD}, m as (select 'all' k, * from claims union all select 'base', * from claims where l_orderkey % 2 = 0), a as (select k, count(*)::double n, round(count(truth) / count(*) * 100, 2) t, round(count(*) filter (stance = 'denies') / count(*) * 100, 2) d from m group by 1),
-u as (select k, 'claims' as name, n v from a union all select k, 'truth_coverage', t from a union all select k, 'denies_share', d from a), j as (select x.name, x.v, y.v b, case when x.name = 'denies_share' then 1 else -1 end * (x.v - y.v) / greatest(1, abs(y.v)) w from u x join u y on x.name = y.name and x.k = 'all' and y.k = 'base')
-select name, v as value, b as base, case when w > 0.05 then 'regressed' when w < -0.05 then 'improved' else 'ok' end status from j""",
+u as (select k, 'claims' as name, n v from a union all select k, 'truth_coverage', t from a union all select k, 'denies_share', d from a), j as (select x.name, x.v, y.v b, (x.v - y.v) / greatest(1, abs(y.v)) w from u x join u y on x.name = y.name and x.k = 'all' and y.k = 'base')
+select name, v as value, b as base, case when name = 'truth_coverage' and v < 1 then 'regressed' when abs(w) <= 0.001 then 'ok' when name = 'claims' then 'new' when (w > 0) = (name = 'truth_coverage') then 'improved' else 'regressed' end status, case when name = 'truth_coverage' and v >= 1 and v < 99 then 'beyond target' end warning from j""",
 )
 
 # K: catalogue
