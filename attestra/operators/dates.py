@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.functions import text as tx
@@ -99,3 +99,23 @@ def derived_values(parsed: DataFrame) -> DataFrame:
     items = F.array(*[F.struct(F.lit(k).alias("label"), v.alias("canonical")) for k, v in values.items()])
     keep = [c for c in parsed.columns if c not in ("y", "m", "d", "minutes", "decade", "day_part")]
     return parsed.select(*keep, F.inline(F.filter(items, lambda x: x["canonical"].isNotNull())))
+
+
+def derived_mentions(mentions: DataFrame) -> DataFrame:
+    """The values derived from date mentions as mentions of their own: the source's span, score 1, derived_from, ids d_0001, ... in each document."""
+    out = derived_values(parse_surfaces(mentions))
+    w = Window.partitionBy("video_id").orderBy("start", "mention_id", "label")
+    return out.withColumns({"derived_id": F.format_string("d_%04d", F.row_number().over(w)), "score": F.lit(1.0), "derived_from": F.col("mention_id")})
+
+
+def time_axis(rows: DataFrame) -> DataFrame:
+    """Rows (label, canonical) with sort_value, milliseconds since 1970, and axis_label; both null where the canonical is no such time."""
+    c = F.col("canonical")
+    forms = {"year": (r"^\d{4}$", F.concat(c, F.lit("-01-01"))), "decade": (r"^\d{4}s$", F.concat(F.substring(c, 1, 4), F.lit("-01-01"))), "specific_month": (r"^\d{4}-\d{2}$", F.concat(c, F.lit("-01"))), "specific_week": (r"^\d{4}-\d{2}-\d{2}$", c)}
+    day = F.lit(None).cast("string")
+    for label, (pattern, text) in forms.items():
+        day = F.when((F.col("label") == label) & c.rlike(pattern), text).otherwise(day)
+    at = F.try_to_timestamp(day, F.lit("yyyy-MM-dd")).cast("date")
+    rows = rows.withColumn("sort_value", F.unix_date(at) * F.lit(86_400_000).cast("long"))
+    shown = F.when(F.col("label") == "year", F.date_format(at, "yyyy")).when(F.col("label") == "decade", F.concat(F.date_format(at, "yyyy"), F.lit("s"))).when(F.col("label") == "specific_month", F.date_format(at, "yyyy-MM")).otherwise(F.date_format(at, "yyyy-MM-dd"))
+    return rows.withColumn("axis_label", shown)

@@ -118,11 +118,12 @@ _FLAT = [
 
 def flat_overrides(s: SparkSession, d: str) -> DataFrame:
     o = fx.table(s, d, "orders").select("o_orderkey").distinct()
-    key, value = F.lit(""), F.lit("")
-    for i, (a, b, _, _) in enumerate(_FLAT):
-        fill = lambda t: F.replace(F.lit(t), F.lit("{k}"), F.col("o_orderkey").cast("string"))
-        key, value = F.when(F.col("o_orderkey") % 11 == i, fill(a)).otherwise(key), F.when(F.col("o_orderkey") % 11 == i, fill(b)).otherwise(value)
-    return o.select(key.alias("key"), value.alias("value"))
+    at = (F.col("o_orderkey") % 11).cast("int")
+
+    def filled(texts: list[str]) -> F.Column:
+        return F.replace(F.get(F.array(*[F.lit(t) for t in texts]), at), F.lit("{k}"), F.col("o_orderkey").cast("string"))
+
+    return o.select(filled([x[0] for x in _FLAT]).alias("key"), filled([x[1] for x in _FLAT]).alias("value"))
 
 
 _ROWS = " union all ".join(f"select '{sec}' section, replace('{' / '.join(fields)}', '{{k}}', k) fields from o where k::bigint % 11 = {i}" for i, (_, _, sec, fields) in enumerate(_FLAT) if sec)
@@ -163,10 +164,8 @@ _SEED = ["https://example.org/watch?v={i}&t=3", "https://youtu.be/{i}", "https:/
 
 def seed_lines(s: SparkSession, d: str) -> DataFrame:
     o = fx.table(s, d, "orders").select("o_orderkey").distinct()
-    line = F.lit("")
-    for k, t in enumerate(_SEED):
-        line = F.when(F.col("o_orderkey") % 8 == k, F.replace(F.lit(t), F.lit("{i}"), F.lpad(F.col("o_orderkey").cast("string"), 11, "x"))).otherwise(line)
-    return o.select(line.alias("line"))
+    form = F.get(F.array(*[F.lit(t) for t in _SEED]), (F.col("o_orderkey") % 8).cast("int"))
+    return o.select(F.replace(form, F.lit("{i}"), F.lpad(F.col("o_orderkey").cast("string"), 11, "x")).alias("line"))
 
 
 _SEEDS = "sd as (select k, id, case k % 8 when 0 then 'https://example.org/watch?v=' || id || '&t=3' when 1 then 'https://youtu.be/' || id when 2 then 'https://example.org/shorts/' || id || '?x' else 'https://www.youtube.com/watch?v=' || id end url from (select distinct o_orderkey k, lpad(o_orderkey::varchar, 11, 'x') id from orders) where k % 8 < 4)"
