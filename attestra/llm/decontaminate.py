@@ -1,4 +1,4 @@
-"""Benchmark decontamination: winnowed fingerprints joined, then extended to maximal shared spans."""
+"""Benchmark decontamination: winnowed fingerprints joined, then extended along their diagonals to maximal shared spans."""
 
 from __future__ import annotations
 
@@ -33,6 +33,11 @@ def _holding(hashes: Column, at: Column, mark: Column, window: int, gram: int) -
     return F.explode(F.array_compact(F.array(*[F.when(_gram(hashes, at + j, gram) == mark, at + j) for j in range(window - gram + 1)])))
 
 
+def _first_holding(hashes: Column, at: Column, mark: Column, window: int, gram: int) -> Column:
+    """The first position in the window whose gram hash is its mark."""
+    return F.coalesce(*[F.when(_gram(hashes, at + j, gram) == mark, at + j) for j in range(window - gram + 1)])
+
+
 def _words(df: DataFrame) -> DataFrame:
     """Add the number of words and their hashes; full lower-casing can only add candidates, which are then compared."""
     return df.withColumn("n", F.size("words")).withColumn("h", F.transform("words", lambda w: F.xxhash64(F.lower(w))))
@@ -62,35 +67,32 @@ def shared_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
 
     d = docs.select("doc_id", "text").where("text is not null").select("doc_id", content_key(F.col("text")).alias("text_key"), plain_words(F.col("text")).alias("words"))
     d = _words(d).withColumnRenamed("n", "dn")
-    found = []
-    for k in [window, *shorts]:
-        rows = d.where(F.col("dn") >= k).select("doc_id", "text_key", "words", "dn", "h", _starts(F.col("dn"), k).alias("i"))
-        rows = rows.withColumn("mark", _least(h, i, window, gram) if k == window else _gram(h, i, k))
-        marks = table.where(F.col("n") >= window if k == window else F.col("n") == k)
-        if n_marks <= BROADCAST_ROWS:
-            hits = rows.join(F.broadcast(marks), "mark")
-        else:  # only marks are shuffled; the texts come back for documents with a match
-            pairs = rows.select("doc_id", "text_key", "i", "mark").join(marks, "mark").withColumnRenamed("doc_id", "_d").withColumnRenamed("text_key", "_k")
-            hits = d.join(pairs, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k"))).drop("_d", "_k")
-        place = _holding(h, i, F.col("mark"), window, gram) if k == window else i
-        found.append(hits.select("doc_id", "text_key", "item_id", "item_key", "n", "q", F.col("words").alias("dw"), "dn", place.alias("p")))
-    at = found[0]
-    for more in found[1:]:
-        at = at.unionByName(more)
-    at = at.withColumn("before", F.least("p", "q")).withColumn("after", F.least(F.col("dn") - F.col("p"), F.col("n") - F.col("q")))
-    at = at.select("doc_id", "text_key", "item_id", "item_key", "n", "p", "q", "before", "after", F.transform(F.slice("dw", F.col("p") - F.col("before") + 1, F.col("before") + F.col("after")), ascii_lower).alias("seg"))
-    full = at.join(small(item, n_words, ITEM_WORDS), ["item_id", "item_key"])
-    same = F.zip_with("seg", F.slice("iw", F.col("q") - F.col("before") + 1, F.col("before") + F.col("after")), lambda a, b: a == b)
-
-    def run(flags: Column, most: Column) -> Column:
-        stop = F.array_position(flags, F.lit(False)).cast("int")
-        return F.when(stop == 0, most).otherwise(stop - 1)
-
-    full = full.withColumn("same", same)
-    full = full.withColumn("left", run(F.reverse(F.slice("same", F.lit(1), F.col("before"))), F.col("before")))
-    full = full.withColumn("right", run(F.slice("same", F.col("before") + 1, F.col("after")), F.col("after")))
-    found = full.where(F.col("left") + F.col("right") >= F.least(F.lit(window), F.col("n")))
-    return found.select("doc_id", "text_key", "item_id", (F.col("p") - F.col("left")).alias("begin"), (F.col("p") + F.col("right")).alias("end")).distinct()
+    # one pass over the documents for full windows and all lengths of shorter items
+    widths = F.explode(F.filter(F.array(*[F.lit(k) for k in (window, *shorts)]), lambda k: k <= F.col("dn")))
+    rows = d.select("doc_id", "text_key", "words", "dn", "h", widths.alias("k")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("dn") - F.col("k"))))
+    mark, place = F.when(F.col("k") == window, _least(h, i, window, gram)), F.when(F.col("k") == window, _first_holding(h, i, F.col("mark"), window, gram)).otherwise(i)
+    for k in shorts:
+        mark = mark.when(F.col("k") == k, _gram(h, i, k))
+    rows = rows.withColumn("mark", mark)
+    marks = table.withColumn("k", F.least(F.col("n"), F.lit(window)))
+    diagonal = ["doc_id", "text_key", "item_id", "item_key", "shift"]
+    if n_marks <= BROADCAST_ROWS:
+        hits = rows.join(F.broadcast(marks), ["k", "mark"]).select("doc_id", "text_key", "item_id", "item_key", "n", (place - F.col("q")).alias("shift"), F.col("words").alias("dw")).dropDuplicates(diagonal)
+    else:  # only fingerprints are shuffled, each once a document; the texts come back for documents with a match
+        prints = rows.select("doc_id", "text_key", "k", "mark", place.alias("p")).distinct()
+        shifts = prints.join(marks, ["k", "mark"]).select("doc_id", "text_key", "item_id", "item_key", "n", (F.col("p") - F.col("q")).alias("shift")).distinct()
+        shifts = shifts.withColumnRenamed("doc_id", "_d").withColumnRenamed("text_key", "_k")
+        texts = d.select("doc_id", "text_key", F.col("words").alias("dw")).dropDuplicates(["doc_id", "text_key"])
+        hits = texts.join(shifts, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k"))).drop("_d", "_k")
+    # a diagonal is compared once, over all that document and item overlap on it
+    begin, at = F.greatest(F.col("shift"), F.lit(0)), F.greatest(-F.col("shift"), F.lit(0))
+    size = F.least(F.size("dw") - begin, F.col("n") - at)
+    hits = hits.select("doc_id", "text_key", "item_id", "item_key", "n", begin.alias("begin"), at.alias("at"), size.alias("size"), F.transform(F.slice("dw", begin + 1, size), ascii_lower).alias("seg"))
+    full = hits.join(small(item, n_words, ITEM_WORDS), ["item_id", "item_key"])
+    same = full.select("doc_id", "text_key", "item_id", "begin", "size", F.least(F.col("n"), F.lit(window)).alias("least"), F.zip_with("seg", F.slice("iw", F.col("at") + 1, F.col("size")), lambda x, y: x == y).alias("same"))
+    stops = F.concat(F.array(F.lit(-1)), F.filter(F.sequence(F.lit(0), F.col("size") - 1), lambda j: ~F.get("same", j)), F.array(F.col("size")))
+    runs = same.withColumn("stops", stops).select("doc_id", "text_key", "item_id", "begin", "least", F.explode(F.zip_with("stops", F.slice("stops", 2, F.size("stops")), lambda x, y: F.struct((x + 1).alias("a"), y.alias("b")))).alias("run"))
+    return runs.where(F.col("run.b") - F.col("run.a") >= F.col("least")).select("doc_id", "text_key", "item_id", (F.col("begin") + F.col("run.a")).alias("begin"), (F.col("begin") + F.col("run.b")).alias("end")).distinct()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
