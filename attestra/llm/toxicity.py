@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import small, stash
 
 #: Lengths of the n-grams, bits of a feature's number.
 LENGTHS, BITS = (3, 4, 5), 18
@@ -103,7 +103,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     n = known.count()
     if n > fit_rows:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * fit_rows / n))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id")
+        n = known.count()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(small(known, n), "doc_id")
     rows = rows.select("text", "label", F.pmod(F.xxhash64("text", "doc_id"), F.lit(PARTS)).cast("int").alias("part"))
 
     def featurize(batches):
@@ -150,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs plus a score column (0 to 1); columns of docs named score or text keep their meaning, others pass through."""
+    """docs plus a score column (0 to 1), in place of a column of that name if docs has one; others pass through."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     @F.pandas_udf("double")
