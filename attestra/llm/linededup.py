@@ -179,11 +179,18 @@ def line_classes(docs: DataFrame, **options) -> DataFrame:
     return out.select("doc_id", "text_key", "line_no", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.text_key").alias("keep_key"), F.col("keep.line_no").alias("keep_line_no"), place.eqNullSafe(F.col("keep")).alias("kept"))
 
 
-def dedup_lines(docs: DataFrame, **options) -> DataFrame:
-    """docs with the lines that do not stay taken out of text (blank lines stay); other columns as they are."""
+def dedup_lines(docs: DataFrame, drop_emptied: bool = False, **options) -> DataFrame:
+    """docs with the lines that do not stay taken out of text (blank lines stay); other columns as they are.
+
+    With drop_emptied, documents of which nothing but white space is left go: all they said is
+    said elsewhere. Null, empty and blank texts stay either way.
+    """
     gone = line_classes(docs, **options).where("not kept").groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("_gone"))
     gone = gone.withColumnRenamed("doc_id", "_d").withColumnRenamed("text_key", "_k")
     joined = docs.withColumn("_key", content_key(F.col("text"))).join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
     left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col("_gone"), i))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return joined.withColumn("text", text).select(*docs.columns)
+    joined = joined.withColumn("text", text)
+    if drop_emptied:
+        joined = joined.where(F.col("_gone").isNull() | F.col("text").rlike(r"\S"))
+    return joined.select(*docs.columns)

@@ -52,11 +52,22 @@ def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+OP4_SQL = """
+with p as (select page_id, encode(coalesce(html, '')) b from pages),
+h as (select page_id, octet_length(b)::bigint payload_bytes, sha1(b) x from p),
+g as (select x, payload_bytes, min(page_id) lo from h group by 1, 2)
+select h.page_id, h.payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h.x, 1 + 5 * (k // 4), 5))::int >> (15 - 5 * (k % 4))::int) & 31), 1)), '') payload_digest,
+  case when h.page_id = lo then 'response' else 'revisit' end record_type, case when h.page_id <> lo then lo end refers_to
+from h join g on h.x = g.x and h.payload_bytes = g.payload_bytes
+"""
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, _table(spark, sf_dir, "labels")))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
@@ -114,7 +125,7 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
     model = kneser_ney.train(docs.where(~held | F.col("doc_id").isNull()), order=3)
     out = kneser_ney.score(docs, model).withColumn("held_out", F.coalesce(held, F.lit(False)))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
 
 
 def queries() -> dict:
@@ -123,4 +134,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_decontamination": OP1_SQL, "op8_ngram_jaccard_join": OP8_SQL, "op9_chat_format": OP9_SQL}
+    return {"op1_benchmark_decontamination": OP1_SQL, "op4_warc_archives": OP4_SQL, "op8_ngram_jaccard_join": OP8_SQL, "op9_chat_format": OP9_SQL}
