@@ -232,6 +232,6 @@ sn as (select x.e a, y.e b, count(*) sn from nr x join nr y using (m) where x.e
 p0 as materialized (select sn.a, sn.b, sn, coalesce(st, 0) st, 2.0 * sn + coalesce(st, 0) base from sn left join st using (a, b) where not exists (from nr where e = sn.a and m = sn.b) and sn + coalesce(st, 0) >= 2),
 mo as (select e, sum(c) c from en group by 1), cut as (select min(base) v from (select base from p0 order by base desc limit 50)), p as materialized (select p0.* from p0 join mo x on x.e = a join mo y on y.e = b, cut where base + 0.1 * (x.c + y.c) >= v - 1e-9),
 su as (select a, b, sum(c) s from (select distinct a, b, rel_id, c from p join en on en.e = p.a where exists (from nr where nr.e = p.b and nr.m = en.o) or exists (from tt where tt.e = p.b and tt.t = en.t) union all select distinct a, b, rel_id, c from p join en on en.e = p.b where exists (from nr where nr.e = p.a and nr.m = en.o) or exists (from tt where tt.e = p.a and tt.t = en.t)) group by 1, 2)
-select a, b, sn::bigint shared_nodes, st::bigint shared_transcripts, round(coalesce(s, 0), 6) support, round(base + 0.1 * coalesce(s, 0), 6) score, printf('%s <-?-> %s  score=%.2f  shared=%d+%d', a, b, round(base + 0.1 * coalesce(s, 0), 6), sn, st) line from p left join su using (a, b) order by score desc, a, b limit 50"""
-_add("h10_h11_novel_links", lambda s, d: bd.novel_links(_rel(s, d)).drop("line"), _NOVEL.replace(", printf('%s <-?-> %s  score=%.2f  shared=%d+%d', a, b, round(base + 0.1 * coalesce(s, 0), 6), sn, st) line", ""))
+select a, b, sn::bigint shared_nodes, st::bigint shared_transcripts, round(coalesce(s, 0), 6) support, round(base + 0.1 * coalesce(s, 0), 6) score, a || ' <-?-> ' || b || '  score=' || round((base + 0.1 * coalesce(s, 0))::decimal(18, 6), 2)::decimal(18, 2) || '  shared=' || sn || '+' || st line from p left join su using (a, b) order by score desc, a, b limit 50"""
+_add("h10_h11_novel_links", lambda s, d: bd.novel_links(_rel(s, d)).drop("line"), f"select * exclude (line) from ({_NOVEL})")
 _add("h11_novel_lines", lambda s, d: bd.novel_links(_rel(s, d)).select("line"), f"select line from ({_NOVEL})")
