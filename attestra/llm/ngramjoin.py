@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: bands of MinHash signatures of one length, then exact verification in blocks."""
+"""N-gram Jaccard join: an LSH forest of MinHash signatures, whose prefixes are shortened as the links found ask for, and exact verification in blocks."""
 
 from __future__ import annotations
 
@@ -19,10 +19,15 @@ BLOCK_ROWS, BLOCK_BYTES = 256, 4 << 20
 _hashes: dict[str, int] = {}
 
 
-def prefix_length(likeness: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """Shorten the prefix from the full depth until pairs at the threshold meet in some tree often enough."""
+def meeting(likeness: float, length: int, trees: int = TREES) -> float:
+    """The probability that two texts share a prefix of the length in some tree."""
+    return 1 - (1 - likeness**length) ** trees
+
+
+def least_length(likeness: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
+    """The longest prefix at which even pairs at the threshold meet often enough: no shorter one is ever needed."""
     d = depth
-    while d > 1 and 1 - (1 - likeness**d) ** trees < recall:
+    while d > 1 and meeting(likeness, d, trees) < recall:
         d -= 1
     return d
 
@@ -64,24 +69,20 @@ def factors(trees: int = TREES, depth: int = DEPTH) -> np.ndarray:
     return np.random.default_rng(3).integers(0, 1 << 32, trees * depth, np.uint32) | np.uint32(1)
 
 
-def prefixes(sig: np.ndarray, trees: int, length: int) -> np.ndarray:
-    """A 64-bit name of each tree's prefix."""
-    s = sig.reshape(trees, -1)[:, :length].astype(np.uint64)
-    out = np.arange(1, trees + 1, dtype=np.uint64)
-    for j in range(length):
-        out = (out ^ s[:, j]) * np.uint64(0xC2B2AE3D27D4EB4F)
-        out ^= out >> np.uint64(29)
-    return out
+def shared_lengths(sigs: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """How long a prefix each signature (texts, trees, depth) shares with one in each tree."""
+    return np.logical_and.accumulate(sigs == one, axis=2).sum(axis=2)
 
 
-def compare_block(left: np.ndarray, right: np.ndarray | None, keys: list[np.ndarray], sets: list[np.ndarray], copies: np.ndarray, tree: int, likeness: float):
-    """Links within left, or between left and right (row numbers): counts per row and a spanning forest.
+def compare_block(left: np.ndarray, right: np.ndarray | None, sigs: np.ndarray, sets: list[np.ndarray], copies: np.ndarray, tree: int, length: int, likeness: float):
+    """Links within left, or between left and right (row numbers): counts per row, a spanning forest, and the links to expect.
 
-    A pair counts in the first tree whose prefix both share, so that each is counted once.
+    A pair counts in the first tree whose prefix of the length both share, and not at all if
+    they share a longer one in any tree: then it was compared before. The last result is, for
+    each length, the sum over the links of 1 / the probability to meet at it.
     """
-    n = len(keys)
-    texts, docs, parent = np.zeros(n, np.int64), np.zeros(n, np.int64), list(range(n))
-    table = np.stack(keys) if n else np.zeros((0, 1), np.uint64)
+    n, depth = len(sets), sigs.shape[2]
+    texts, docs, parent, expected = np.zeros(n, np.int64), np.zeros(n, np.int64), list(range(n)), np.zeros((n, depth))
     sizes = np.array([len(s) for s in sets])
 
     def top(i: int) -> int:
@@ -92,21 +93,23 @@ def compare_block(left: np.ndarray, right: np.ndarray | None, keys: list[np.ndar
 
     for pos, i in enumerate(left):
         others = left[pos + 1 :] if right is None else right
+        others = others[np.minimum(sizes[others], sizes[i]) >= likeness * np.maximum(sizes[others], sizes[i])]
         if not len(others):
             continue
-        same = table[others] == table[i]
-        others = others[same[:, tree] & ~same[:, :tree].any(axis=1)]
-        others = others[np.minimum(sizes[others], sizes[i]) >= likeness * np.maximum(sizes[others], sizes[i])]
-        for j in others:
+        shared = shared_lengths(sigs[others], sigs[i])
+        new = (shared[:, tree] >= length) & ~(shared[:, :tree] >= length).any(axis=1) & ~(shared > length).any(axis=1)
+        for j in others[new]:
             both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if both >= likeness * (sizes[i] + sizes[j] - both) - 1e-9:
                 texts[i] += 1
                 texts[j] += 1
                 docs[i] += copies[j]
                 docs[j] += copies[i]
+                alike = both / (sizes[i] + sizes[j] - both)
+                expected[i] += [1 / meeting(alike, d, sigs.shape[1]) for d in range(1, depth + 1)]
                 a, b = top(i), top(j)
                 parent[max(a, b)] = min(a, b)
-    return texts, docs, [top(i) for i in range(n)]
+    return texts, docs, [top(i) for i in range(n)], expected
 
 
 def link_documents(docs: DataFrame, likeness: float = LIKENESS, shingle: int = SHINGLE, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
@@ -126,8 +129,14 @@ def link_rows(docs: DataFrame, likeness: float = LIKENESS, shingle: int = SHINGL
     """link_documents with (one_id, one_key): doc_id and text_key of the one document that stands for the component.
 
     It is the least by doc_id, null last, then text_key; both are null for documents without words.
+
+    Each text has a signature of depth values in each of the trees: its path in a trie. Texts
+    that share a path of full depth are compared first; then, level by level, those that share
+    a shorter one and no longer one. How many links a level has missed is estimated from the
+    likeness of those found, each standing for 1 / its probability to meet so deep; when those
+    found reach the target recall, no shorter prefixes are tried.
     """
-    length, m = prefix_length(likeness, trees, depth, recall), factors(trees, depth)
+    least, m = least_length(likeness, trees, depth, recall), factors(trees, depth)
 
     def sign(batches):
         import pyarrow as pa
@@ -143,7 +152,7 @@ def link_rows(docs: DataFrame, likeness: float = LIKENESS, shingle: int = SHINGL
                     continue
                 s = shingle_hashes(w, shingle)
                 nodes.append(hashlib.md5(" ".join(w).encode("utf-8", "surrogatepass")).hexdigest())
-                keys.append(prefixes(signature(s, m), trees, length).tobytes())
+                keys.append(signature(s, m).tobytes())
                 sizes.append(len(s))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.string()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "text_key", "node", "keys", "n_shingles"])
 
@@ -152,15 +161,21 @@ def link_rows(docs: DataFrame, likeness: float = LIKENESS, shingle: int = SHINGL
     nodes = signed.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_key")).alias("one"), F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "text_key")).alias("first"))
     nodes = stash(nodes, "nodes")
     one = signed.where("node is not null").groupBy("node").agg(F.first("keys").alias("keys"), F.first("n_shingles").alias("n_shingles"))
-    names = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.substring(F.col("keys"), t * 8 + 1, F.lit(8)).alias("prefix")))
-    entries = one.select("node", "n_shingles", F.explode(names).alias("e")).select("e.tree", F.xxhash64("e.tree", "e.prefix").alias("bucket"), "node", "n_shingles")
-    counted = entries.groupBy("bucket", "tree").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"), F.bit_xor(F.xxhash64("node")).alias("who"), F.bit_xor(F.xxhash64(F.lit(5), "node")).alias("who2")).where("n > 1")
-    # buckets of the same texts: the one of the first tree stands for all
-    counted = counted.groupBy("n", "who", "who2").agg(F.min(F.struct("tree", "bucket", "total")).alias("b")).select("b.tree", "b.bucket", "b.total", "n")
-    counted = counted.withColumn("blocks", F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("total") * 8 / BLOCK_BYTES)).cast("int"))
-    members = stash(entries.select("bucket", "node").join(counted, "bucket"), "members")
-
-    wanted = members.select("node").distinct().join(nodes.select("node", "copies", "one"), "node").join(one.select("node", "keys"), "node")
+    one = stash(one, "one")
+
+    def buckets(length: int) -> tuple[DataFrame, DataFrame]:
+        """The (bucket, tree, node) of all texts, and the buckets of two texts or more. Of buckets of the same texts, that of the first tree stands for all."""
+        paths = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(t, F.substring(F.col("keys"), t * (4 * depth) + 1, F.lit(4 * length))).alias("bucket")))
+        entries = one.select("node", "n_shingles", F.explode(paths).alias("e")).select("e.tree", "e.bucket", "node", "n_shingles")
+        counted = entries.groupBy("bucket", "tree").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"), F.bit_xor(F.xxhash64("node")).alias("who"), F.bit_xor(F.xxhash64(F.lit(5), "node")).alias("who2")).where("n > 1")
+        counted = counted.groupBy("n", "who", "who2").agg(F.min(F.struct("tree", "bucket", "total")).alias("b")).select("b.tree", "b.bucket", "b.total", "n", "who", "who2")
+        counted = counted.withColumn("blocks", F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("total") * 8 / BLOCK_BYTES)).cast("int"))
+        return entries.drop("n_shingles", "tree"), stash(counted, "buckets")
+
+    entries, counted = buckets(least)
+    known_buckets = {least: (entries, counted)}
+    # texts that meet no other at the shortest prefix meet none at a longer one
+    wanted = entries.join(counted.select("bucket"), "bucket").select("node").distinct().join(nodes.select("node", "copies", "one"), "node").join(one.select("node", "keys"), "node")
     wanted = stash(wanted, "wanted")
     n_wanted = wanted.count()
 
@@ -180,28 +195,42 @@ def link_rows(docs: DataFrame, likeness: float = LIKENESS, shingle: int = SHINGL
     known = texts.mapInArrow(sets, "node string, set binary").dropDuplicates(["node"])
     known = stash(known.join(wanted.select("node", "copies", "keys"), "node"), "sets")
 
-    block = F.pmod(F.xxhash64(F.lit(9), "node"), F.col("blocks")).cast("int")
-    spread = members.withColumn("block", block)
-    spread = spread.select("bucket", "tree", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    spread = spread.select("bucket", "tree", "node", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    full = spread.join(known, "node")
-
-    def compare(table):
-        import pyarrow as pa
-
-        block_of = np.array(table.column("block").to_pylist())
-        lo, hi, tree = table.column("lo")[0].as_py(), table.column("hi")[0].as_py(), table.column("tree")[0].as_py()
-        name = table.column("node").to_pylist()
-        keys = [np.frombuffer(k.as_py(), np.uint64) for k in table.column("keys")]
-        found = [np.frombuffer(s.as_py(), np.uint64) for s in table.column("set")]
-        copies = np.array(table.column("copies").to_pylist(), np.int64)
-        at = np.arange(len(name))
-        left, right = at[block_of == lo], None if lo == hi else at[block_of == hi]
-        texts, docs_, root = compare_block(left, right, keys, found, copies, tree, likeness)
-        hit = np.flatnonzero(texts)
-        return pa.table({"node": pa.array([name[i] for i in hit], pa.string()), "root": pa.array([name[root[i]] for i in hit], pa.string()), "texts": pa.array(texts[hit]), "links": pa.array(docs_[hit])})
-
-    links = stash(full.groupBy("bucket", "lo", "hi").applyInArrow(compare, "node string, root string, texts long, links long"), "links")
+    def compare_at(length: int):
+        def compare(table):
+            import pyarrow as pa
+
+            block_of = np.array(table.column("block").to_pylist())
+            lo, hi, tree = table.column("lo")[0].as_py(), table.column("hi")[0].as_py(), table.column("tree")[0].as_py()
+            name = table.column("node").to_pylist()
+            sigs = np.stack([np.frombuffer(k.as_py(), np.uint32) for k in table.column("keys")]).reshape(len(name), trees, depth)
+            found = [np.frombuffer(s.as_py(), np.uint64) for s in table.column("set")]
+            copies = np.array(table.column("copies").to_pylist(), np.int64)
+            at = np.arange(len(name))
+            left, right = at[block_of == lo], None if lo == hi else at[block_of == hi]
+            texts, docs_, root, expected = compare_block(left, right, sigs, found, copies, tree, length, likeness)
+            hit = np.flatnonzero(texts)
+            return pa.table({"node": pa.array([name[i] for i in hit], pa.string()), "root": pa.array([name[root[i]] for i in hit], pa.string()), "texts": pa.array(texts[hit]), "links": pa.array(docs_[hit]), "expected": pa.array([list(e) for e in expected[hit]], pa.list_(pa.float64()))})
+
+        return compare
+
+    levels, done, met, to_expect = [], None, 0, [0.0] * depth
+    for length in range(depth, least - 1, -1):
+        entries, counted = known_buckets.get(length) or buckets(length)
+        if done is not None:  # the same texts met at a longer prefix: all their pairs have been compared
+            counted = counted.join(done, ["n", "who", "who2"], "left_anti")
+        members = entries.join(counted.drop("who", "who2", "total", "n"), "bucket").withColumn("block", F.pmod(F.xxhash64(F.lit(9), "node"), F.col("blocks")).cast("int"))
+        spread = members.select("bucket", "tree", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        spread = spread.select("bucket", "tree", "node", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+        found = spread.join(known, "node").groupBy("bucket", "lo", "hi").applyInArrow(compare_at(length), "node string, root string, texts long, links long, expected array<double>")
+        levels.append(stash(found, "links"))
+        row = levels[-1].agg(F.sum("texts"), *[F.sum(F.get("expected", F.lit(k))) for k in range(depth)]).first()
+        met, to_expect = met + (row[0] or 0) / 2, [x + (y or 0.0) for x, y in zip(to_expect, row[1:], strict=True)]
+        if met >= recall * to_expect[length - 1]:
+            break
+        done = counted.select("n", "who", "who2") if done is None else done.union(counted.select("n", "who", "who2"))
+    links = levels[0]
+    for more in levels[1:]:
+        links = links.union(more)
     roots = components(links.where("node <> root").select("node", "root"), "node", "root")
     per = links.groupBy("node").agg(F.sum("texts").alias("n_text_links"), F.sum("links").alias("n_links"))
     info = nodes.join(per, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

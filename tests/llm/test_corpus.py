@@ -283,11 +283,30 @@ def test_kneser_ney_of_order_three_matches_plain_python(spark, empty, shard_rows
     assert kneser_ney.score(empty, kneser_ney.train(empty, order=3)).count() == 0
 
 
-def test_short_near_copies_meet_in_a_band():
-    """Eight of ten shingles shared: independent values meet in 99.96 of 100 pairs; XOR masks reached 99.4."""
+def test_short_near_copies_meet_in_the_forest():
+    """Eight of ten shingles shared: at the shortest prefix independent values meet in 99.96 of 100 pairs; XOR masks reached 99.4."""
     rng, f, met = np.random.default_rng(1), ngramjoin.factors(), 0
+    shape = (-1, ngramjoin.TREES, ngramjoin.DEPTH)
     for _ in range(6000):
         x = rng.integers(0, 1 << 64, 10, np.uint64)
-        a, b = (ngramjoin.prefixes(ngramjoin.signature(s, f), ngramjoin.TREES, ngramjoin.prefix_length(0.8)) for s in (x[:9], np.delete(x, 8)))
-        met += bool((a == b).any())
+        a, b = (ngramjoin.signature(s, f).reshape(shape) for s in (x[:9], np.delete(x, 8)))
+        met += bool((ngramjoin.shared_lengths(a, b[0]) >= ngramjoin.least_length(0.8)).any())
     assert met >= 0.998 * 6000
+
+
+def test_forest_compares_each_pair_at_its_longest_prefix_only():
+    rng, f = np.random.default_rng(2), ngramjoin.factors()
+    base = np.unique(rng.integers(0, 1 << 64, 60, np.uint64))
+    sets = [np.unique(np.delete(base, k)) for k in range(12)]
+    sigs = np.stack([ngramjoin.signature(s, f) for s in sets]).reshape(12, ngramjoin.TREES, ngramjoin.DEPTH)
+    links, expected = np.zeros(12, np.int64), 0.0
+    for length in range(ngramjoin.DEPTH, ngramjoin.least_length(0.8) - 1, -1):
+        for tree in range(ngramjoin.TREES):
+            paths = {}
+            for k in range(12):
+                paths.setdefault(sigs[k, tree, :length].tobytes(), []).append(k)
+            for rows in paths.values():
+                texts, _, _, sums = ngramjoin.compare_block(np.array(rows), None, sigs, sets, np.ones(12, np.int64), tree, length, 0.8)
+                links += texts
+                expected += sums[:, ngramjoin.DEPTH - 1].sum()
+    assert (links == 11).all() and 12 * 11 <= expected <= 12 * 11 * 1.01
