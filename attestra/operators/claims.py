@@ -170,10 +170,12 @@ def month_histogram(df: DataFrame, column: str) -> DataFrame:
 
 
 def floor_percentile(df: DataFrame, group: str, column: str, p: float) -> DataFrame:
-    """The element at min(n - 1, floor(n * p)) of each group's sorted values."""
+    """The element at min(n - 1, floor(n * p)) of each group's sorted values; equal values are counted before they are ranked."""
+    n = df.groupBy(group, column).agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(group)
-    r = df.withColumn("_r", F.row_number().over(w.orderBy(column)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    return r.where(F.col("_r") == F.least(F.col("_n") - 1, F.floor(F.col("_n") * p))).select(group, F.col(column).alias("value"))
+    r = n.withColumn("_upto", F.sum("_c").over(w.orderBy(column))).withColumn("_n", F.sum("_c").over(w))
+    at = F.least(F.col("_n") - 1, F.floor(F.col("_n") * p))
+    return r.where((F.col("_upto") > at) & (F.col("_upto") - F.col("_c") <= at)).select(group, F.col(column).alias("value"))
 
 
 def gate(metrics: DataFrame, baseline: DataFrame, higher_is_better: dict[str, bool], tolerance: float = 0.05, bounds: dict[str, dict] | None = None) -> DataFrame:

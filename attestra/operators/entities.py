@@ -65,10 +65,12 @@ def prefix_merges(mentions: DataFrame, least: int = 4) -> DataFrame:
 
 
 def tiers(entities: DataFrame, top: int = 5, wide: int = 5) -> DataFrame:
-    """Per label the top entities by mentions, and those in many documents."""
-    label = F.substring_index("entity_id", ":", 1)
-    w = Window.partitionBy(label).orderBy(F.desc("mentions"), "entity_id")
-    return entities.withColumn("rank", F.row_number().over(w)).withColumn("tier", F.when(F.col("rank") <= top, "top").when(F.col("documents") >= wide, "wide")).where("tier is not null").select("entity_id", "mentions", "documents", "tier")
+    """Per label the top entities by mentions, and those in many documents; ranks are cut before rows move."""
+    w = Window.partitionBy(F.substring_index("entity_id", ":", 1)).orderBy(F.desc("mentions"), "entity_id")
+    first = entities.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    first = first.select("entity_id", "mentions", "documents", F.lit("top").alias("tier"))
+    many = entities.where(F.col("documents") >= wide).join(F.broadcast(first.select("entity_id")), "entity_id", "left_anti")  # top rows of each label
+    return first.union(many.select("entity_id", "mentions", "documents", F.lit("wide")))
 
 
 def audit_tiers(entities: DataFrame, top: int = 100, wide: int = 5, wide_limit: int = 500, rare: int = 5, rare_limit: int = 2000) -> DataFrame:

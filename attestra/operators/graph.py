@@ -94,9 +94,10 @@ def neighbours(edges_: DataFrame) -> DataFrame:
 def neighbour_page(edges_: DataFrame, nodes_: DataFrame, per: int = 5, offset: int = 0) -> DataFrame:
     """Distinct neighbours of every entity, heaviest first, with their total."""
     pairs = neighbours(edges_).select("entity_id", "other").distinct().join(nodes_.select(F.col("entity_id").alias("other"), "weight"), "other")
-    w = Window.partitionBy("entity_id")
-    ranked = pairs.withColumn("rank", F.row_number().over(w.orderBy(F.desc("weight"), "other"))).withColumn("total", F.count(F.lit(1)).over(w))
-    return ranked.where(F.col("rank").between(offset + 1, offset + per)).select("entity_id", "other", "weight", "rank", "total")
+    rank = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("weight"), "other"))
+    ranked = pairs.withColumn("rank", rank).where(F.col("rank") <= offset + per).where(F.col("rank") > offset)  # the first lets Spark cut ranks before rows move
+    total = pairs.groupBy("entity_id").agg(F.count(F.lit(1)).alias("total"))
+    return ranked.join(total, "entity_id").select("entity_id", "other", "weight", "rank", "total")
 
 
 def within(edges_: DataFrame, set_: DataFrame) -> DataFrame:

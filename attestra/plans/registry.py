@@ -11,7 +11,7 @@ from attestra.operators import claims as cl
 from attestra.operators import entities as en
 from attestra.operators import graph as gr
 from attestra.plans import fixtures as fx
-from attestra.plans import claim_queries, entity_queries, facet_queries, graph_queries, more, source_queries, text_queries
+from attestra.plans import claim_queries, entity_queries, facet_queries, graph_queries, more, quality_queries, source_queries, text_queries
 from attestra.streaming import speaker as sp
 
 _QUERIES: dict = {}
@@ -30,11 +30,11 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {**_QUERIES, **more.QUERIES, **claim_queries.QUERIES, **source_queries.QUERIES, **text_queries.QUERIES, **entity_queries.QUERIES, **graph_queries.QUERIES, **facet_queries.QUERIES}
+    return {**_QUERIES, **more.QUERIES, **claim_queries.QUERIES, **source_queries.QUERIES, **text_queries.QUERIES, **entity_queries.QUERIES, **graph_queries.QUERIES, **facet_queries.QUERIES, **quality_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**_SQL, **more.SQL, **claim_queries.SQL, **source_queries.SQL, **text_queries.SQL, **entity_queries.SQL, **graph_queries.SQL, **facet_queries.SQL}
+    return {**_SQL, **more.SQL, **claim_queries.SQL, **source_queries.SQL, **text_queries.SQL, **entity_queries.SQL, **graph_queries.SQL, **facet_queries.SQL, **quality_queries.SQL}
 
 
 def _stops() -> str:
