@@ -111,7 +111,10 @@ def folder(spark, tmp_path_factory):
 def test_stages_match_plain_python(spark, folder):
     path, items = folder
     docs = spark.read.parquet(f"{path}/documents.parquet")
-    plain = [None, plain_line_dedup, plain_near_copies, lambda rows: plain_decontaminate(rows, items), None]
+    def deduped(rows):  # a document that loses all its lines goes
+        return {d: t for d, t in plain_line_dedup(rows).items() if (t or "").strip() or not (rows[d] or "").strip()}
+
+    plain = [None, deduped, plain_near_copies, lambda rows: plain_decontaminate(rows, items), None]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "n-gram jaccard join", "benchmark decontamination", "mixing sources to target weights"]
     for (name, stage), want in zip(corpus_pipeline.STAGES, plain):
         before = {r["doc_id"]: r["text"] for r in docs.collect()}
@@ -151,3 +154,10 @@ def test_near_copies_leave_one_row_with_null_ids_and_repeated_rows(spark):
     assert sum((t or "").startswith("aw0") for _, t in got) == 1 and sum((t or "").startswith("dw0") for _, t in got) == 1
     assert sorted((i for i, t in got if t and t[0] in "bce")) == [1, 2, 4]
     assert sum(not t for _, t in got) == 4 and len(got) == 9
+
+
+def test_stages_take_empty_tables_and_nulls_in_any_column(spark, folder):
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", None, None, None), (1, None, "en", None, 3), (1, None, "en", None, 3)], DOCS)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.limit(0), folder[0]).count() == 0, name
+        assert stage(spark, odd, folder[0]).count() == 4, name
