@@ -33,10 +33,11 @@ OLD_DELETED, OLD_DISMISSED = "__hidden__", "__rejected__"
 
 
 def read_json(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejects): JSON documents with a fixed schema; what cannot be read goes to rejects (file, record), not lost."""
+    """(rows, rejects): JSON documents with a fixed schema; what cannot be read goes to rejects (file, record, parsed), parsed being what was understood of it."""
     raw = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("multiLine", multi_line).json(path)
     raw = raw.withColumn("file", F.col("_metadata.file_name"))
-    return raw.where("_bad is null").drop("_bad"), raw.where("_bad is not null").select("file", F.col("_bad").alias("record"))
+    known = F.to_json(F.struct(*[c for c in raw.columns if c not in ("_bad", "file")]))
+    return raw.where("_bad is null").drop("_bad"), raw.where("_bad is not null").select("file", F.col("_bad").alias("record"), known.alias("parsed"))
 
 
 def read_transcripts(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
