@@ -12,8 +12,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored 0.5 or more go; the model is fitted on the labelled rows of docs."""
+    """Documents scored 0.5 or more go; the model is fitted on the labelled rows of docs.
+
+    Null and empty texts are scored as empty ones. Where the labels are of one kind, or there are
+    none, the model cannot tell texts apart and rejects none.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if not model.weights.any():
+        return docs.select(*COLUMNS)
     return toxicity.score(docs, model).where("score < 0.5").select(*COLUMNS)
 
 
@@ -33,7 +39,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; null and empty texts hold none. Repeated rows share the decision."""
     spans = decontaminate.shared_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     gone = spans.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct()
     kept = docs.withColumn("_key", content_key(F.col("text"))).join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left_anti")
@@ -41,7 +47,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the words the mix takes of each."""
+    """All documents, with the words the mix takes of each; null and empty texts stay with none."""
     return mixture.mixed_documents(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
