@@ -124,7 +124,7 @@ def _entities(s: SparkSession, d: str) -> DataFrame:
 
 
 _EN = "with e as (select 'thing:p' || p_partkey entity_id, p_name || ' ' || p_partkey % 10 canonical, p_type, p_size mentions from part)"
-_SCORE = "case when canonical = 'small ring 3' then 3 when contains(canonical, '{q}') then 2 when contains(lower(p_type), '{q}') then 1 end"
+_SCORE = "case when canonical = '{q}' then 3 when contains(canonical, '{q}') then 2 when contains(lower(p_type), '{q}') then 1 end"
 _add("g1_entity_search", lambda s, d: bd.search_entities(_entities(s, d), " Eco ", 30).select("entity_id", "score", "matched_on"), f"{_EN} select entity_id, s score, case when s >= 2 then 'canonical' else 'alias' end matched_on from (select *, {_SCORE.format(q='eco')} s from e) where s is not null order by s desc, canonical, entity_id limit 30")
 _add("g4_index_search", lambda s, d: bd.search_index(_entities(s, d), "ring", "thing", ("role",), 500).select("entity_id", "position", "mentions"), f"{_EN} select entity_id, instr(canonical, 'ring')::int as position, mentions from e where contains(canonical, 'ring') order by position, mentions desc, canonical, entity_id limit 200")
 _some = lambda s: s.createDataFrame([("organization:s1",), ("person:c7",)], "entity_id string")

@@ -310,4 +310,8 @@ _add("d4_d5_day_parts", lambda s, d: fx.table(s, d, "events").select("event_id",
 # M: speakers
 _WEIGHT = " + ".join(f"case when contains(lower(text), '{p.replace(chr(39), chr(39) * 2)}') then {sp.WEIGHTS[k]} else 0 end" for k, ps in (("hedge", sp.HEDGES), ("evasion", sp.EVASIONS), ("absolute", sp.ABSOLUTES)) for p in ps)
 _add("m1_language_signals", lambda s, d: fx.table(s, d, "conversations").select("conv_id", "turn", F.round(sp.signal_weight(F.col("text")), 4).alias("weight")), f"select conv_id, turn, round(({_WEIGHT})::double, 4) weight from conversations")
-_add("m2_speaker_scores", lambda s, d: sp.score_batch(fx.table(s, d, "events").select(F.col("user_id").cast("string").alias("speaker"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "click", -0.03).when(F.col("event_type") == "purchase", 0.05).otherwise(0.0).alias("weight"))))
+_add(
+    "m2_speaker_scores",
+    lambda s, d: sp.score_batch(fx.table(s, d, "events").select(F.col("user_id").cast("string").alias("speaker"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "click", -0.03).when(F.col("event_type") == "purchase", 0.05).otherwise(0.0).alias("weight"))),
+    "select user_id::varchar speaker, count(*)::bigint utterances, round(list_reduce(list_prepend(0.7::double, list(case event_type when 'click' then -0.03 when 'purchase' then 0.05 else 0 end::double order by event_id)), lambda s, x: greatest(0, least(1, s + (0.5 - s) * 0.05 + x))), 6) score from events group by 1",
+)
