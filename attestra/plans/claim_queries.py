@@ -115,15 +115,20 @@ def _header(s: SparkSession, d: str) -> DataFrame:
 
 _add("i13_claims_index_header", _header, f"{_CD}, {_SDEPS}, {_HELD}, {_claim_rounds('t', 'held2', _PIN)} select count(distinct video_id)::bigint documents, count(*)::bigint claims, count(v)::bigint derived, true soon, true settled from held2 h join t{_LAST} t on h.claim_id = t.claim_id")
 _BOTH = f"{_CD}, {_SDEPS}, {_claim_rounds('b', 'claims', 'null')}, {_claim_rounds('a', 'claims', _PIN)}, j as (select b.claim_id, b.v bv, a.v av, {_PIN.replace('claim_id', 'b.claim_id')} pin from b{_LAST} b join a{_LAST} a on a.claim_id = b.claim_id)"
-_R5 = [F.round(c, 5).alias(c) for c in ("baseline", "assumed", "delta")]
+
+
+def _r5() -> list:
+    return [F.round(c, 5).alias(c) for c in ("baseline", "assumed", "delta")]
+
+
 _add(
     "i26_counterfactual",
-    lambda s, d: rs.counterfactual(_C(s, d), _D(s, d), _pins(s, d), 0.00051, epsilon=1e-9).select("claim_id", *_R5),
+    lambda s, d: rs.counterfactual(_C(s, d), _D(s, d), _pins(s, d), 0.00051, epsilon=1e-9).select("claim_id", *_r5()),
     f"{_BOTH} select claim_id, round(bv, 5) baseline, round(av, 5) assumed, round(av - coalesce(bv, av), 5) delta from j where av is not null and abs(av - coalesce(bv, av)) >= 0.00051",
 )
 _add(
     "i27_viewer_shifts",
-    lambda s, d: rs.viewer_shifts(_C(s, d), _D(s, d), _pins(s, d), _C(s, d).where("l_orderkey % 11 = 0").select("claim_id"), 0.00051, 0.00501, epsilon=1e-9).select("claim_id", *_R5, "row"),
+    lambda s, d: rs.viewer_shifts(_C(s, d), _D(s, d), _pins(s, d), _C(s, d).where("l_orderkey % 11 = 0").select("claim_id"), 0.00051, 0.00501, epsilon=1e-9).select("claim_id", *_r5(), "row"),
     f"""{_BOTH}, k as (select *, (av is null) <> (bv is null) ap, case when bv is null then av - 0.5 when av is null then 0.5 - bv else av - bv end dl, split_part(claim_id, '_', 2)::bigint % 11 = 0 asked from j where pin is null and (av is not null or bv is not null)),
 r as (select *, case when ap then 'appeared' when abs(dl) >= 0.00501 then 'shift' when asked then 'included' when abs(dl) >= 0.00051 then 'small' end as row from k) select claim_id, round(bv, 5) baseline, round(coalesce(av, bv), 5) assumed, round(case when row = 'included' then 0 else dl end, 5)::double delta, row from r where row is not null""",
 )
