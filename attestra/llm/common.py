@@ -50,6 +50,21 @@ def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
 
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame, rows: int, how: str = "left") -> DataFrame:
+    """left joined with right, which has each key once at most, where a key may hold most rows of left.
+
+    counts: (*keys, n), the rows of left per key; rows: all of them. Keys with more than a
+    10,000th of the rows (4,096 at least), fewer than 10,000 in number, are cut into blocks:
+    their rows are dealt by a hash of the row, and right is repeated for each block.
+    """
+    most = max(4096, rows // 10_000)
+    heavy = F.broadcast(counts.where(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("_blocks")))
+    one = F.coalesce("_blocks", F.lit(1))
+    mine = left.join(heavy, keys, "left").withColumn("_block", F.pmod(F.xxhash64(*[c for c in left.columns if c not in keys]), one).cast("int")).drop("_blocks")
+    other = right.join(heavy, keys, "left").withColumn("_block", F.explode(F.sequence(F.lit(0), one - 1))).drop("_blocks")
+    return mine.join(other, [*keys, "_block"], how).drop("_block")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; null counts as the empty text."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, content_key, small, stash
+from .common import BROADCAST_ROWS, content_key, small, spread_join, stash
 from .components import components
 
 #: Characters in a shingle, likeness, bands, rows in a band: a pair at the threshold meets with probability 0.995.
@@ -171,11 +171,15 @@ def line_classes(docs: DataFrame, **options) -> DataFrame:
     Null and empty texts have no lines; repeated rows share the decision. No rows: no rows.
     """
     lines, classes = similar_lines(docs, **options)
-    lines = lines.join(classes, ["a", "b"], "left").select("doc_id", "text_key", "line_no", F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    n = lines.count()
+    lines = spread_join(lines, classes, ["a", "b"], lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), n)
+    lines = lines.select("doc_id", "text_key", "line_no", F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
     lines = stash(lines, "rooted")
     place = F.struct("doc_id", "text_key", "line_no")
-    first = lines.groupBy("a", "b").agg(F.min(place).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    out = lines.join(first, ["a", "b"], "left").withColumn("keep", F.coalesce("keep", place))
+    first = lines.groupBy("a", "b").agg(F.min(place).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = stash(first, "first")
+    out = spread_join(lines, first.drop("n"), ["a", "b"], first.select("a", "b", "n"), n)
+    out = out.withColumn("keep", F.coalesce("keep", place))
     return out.select("doc_id", "text_key", "line_no", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.text_key").alias("keep_key"), F.col("keep.line_no").alias("keep_line_no"), place.eqNullSafe(F.col("keep")).alias("kept"))
 
 
