@@ -171,8 +171,11 @@ def line_classes(docs: DataFrame, **options) -> DataFrame:
     Null and empty texts have no lines; repeated rows share the decision. No rows: no rows.
     """
     lines, classes = similar_lines(docs, **options)
-    n = lines.count()
-    lines = spread_join(lines, classes, ["a", "b"], lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), n)
+    n, n_classes = lines.count(), classes.count()
+    if n_classes <= BROADCAST_ROWS:
+        lines = lines.join(F.broadcast(classes), ["a", "b"], "left")
+    else:
+        lines = spread_join(lines, classes, ["a", "b"], lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), n)
     lines = lines.select("doc_id", "text_key", "line_no", F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
     lines = stash(lines, "rooted")
     place = F.struct("doc_id", "text_key", "line_no")
