@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, kneser_ney, linededup, mixture, ngramjoin, toxicity, warc
+from . import bpe, chat, kneser_ney, linededup, merkle, mixture, ngramjoin, toxicity, warc
 from . import decontaminate as dc
 from . import fingerprint as fp
+from .common import UPPER
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -128,10 +129,38 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    received = F.when(tampered, F.translate("text", UPPER, UPPER.lower())).otherwise(F.col("text"))
+    out = merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], group="lang", order="doc_id", received={"text": received})
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(F.lower(F.hex("proof")).cast("binary"), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+OP11_SQL = r"""
+with recursive d as (select *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') low from documents),
+e as (select doc_id, lang, low, text, concat(coalesce(octet_length(encode(doc_id::varchar)) || ':' || doc_id, '-'), coalesce(octet_length(encode(source)) || ':' || source, '-'), coalesce(octet_length(encode(lang)) || ':' || lang, '-'), coalesce(octet_length(encode(n_chars::varchar)) || ':' || n_chars, '-')) head from d),
+x as (select doc_id, lang, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) leaf, sha256(head || coalesce(octet_length(encode(low)) || ':' || low, '-')) low_leaf from e),
+ids as (select distinct doc_id, list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::ubigint)), lambda a, b: list_reduce(list_prepend(xor(a, b), list_value(0, 0, 0, 0, 0, 0, 0, 0)::ubigint[]), lambda v, z: case when v % 2 = 1 then xor(v // 2, 3988292384::ubigint) else v // 2 end)) r from documents where doc_id is not null),
+l as (select x.doc_id, lang, leaf, case when xor(r, 4294967295::ubigint) % 3 = 0 then low_leaf else leaf end got, row_number() over (partition by lang order by x.doc_id nulls first, leaf) - 1 i, count(*) over (partition by lang) n from x left join ids on x.doc_id = ids.doc_id),
+t as (select lang, 0 lvl, i, n, leaf h from l union all select lang, lvl + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' order by i)) from t where n > 1 group by lang, lvl, n, i // 8),
+s as (select lang, h, row_number() over (order by lang nulls first) - 1 i, count(*) over () n from t where n = 1),
+u as (select 0 lvl, i, n, h from s union all select lvl + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' order by i)) from u where n > 1 group by lvl, n, i // 8),
+p as (select lang, i place, 0 lvl, i own, n, got g, '' sib from l
+  union all select p.lang, p.place, p.lvl + 1, p.own // 8, (p.n + 7) // 8, sha256(string_agg(case when t.i = p.own then p.g else t.h end, '' order by t.i)), p.sib || coalesce(string_agg(t.h, '' order by t.i) filter (t.i <> p.own), '')
+  from p join t on t.lang is not distinct from p.lang and t.lvl = p.lvl and t.i // 8 = p.own // 8 where p.n > 1 group by p.lang, p.place, p.lvl, p.own, p.n, p.sib, p.g),
+q as (select p.lang, p.place, 0 lvl, s.i own, s.n, p.g, p.sib, s.h subroot from p join s on s.lang is not distinct from p.lang where p.n = 1
+  union all select q.lang, q.place, q.lvl + 1, q.own // 8, (q.n + 7) // 8, sha256(string_agg(case when u.i = q.own then q.g else u.h end, '' order by u.i)), q.sib || coalesce(string_agg(u.h, '' order by u.i) filter (u.i <> q.own), ''), q.subroot
+  from q join u on u.lvl = q.lvl and u.i // 8 = q.own // 8 where q.n > 1 group by q.lang, q.place, q.lvl, q.own, q.n, q.sib, q.g, q.subroot)
+select l.doc_id, l.leaf, q.subroot, r.h root, sha256(q.sib) proof_sha256, q.g folded_root, q.g = r.h verified
+from l join q on q.lang is not distinct from l.lang and q.place = l.i and q.n = 1 cross join (select h from u where n = 1) r
+"""
+
+
 def queries() -> dict:
-    found = [op1_benchmark_decontamination, op2_source_mixture, op3_document_fingerprints, op4_warc_archives, op5_toxicity, op6_token_counts, op7_fuzzy_lines, op8_ngram_jaccard_join, op9_chat_format, op10_kneser_ney]
+    found = [op1_benchmark_decontamination, op2_source_mixture, op3_document_fingerprints, op4_warc_archives, op5_toxicity, op6_token_counts, op7_fuzzy_lines, op8_ngram_jaccard_join, op9_chat_format, op10_kneser_ney, op11_merkle_manifest]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_decontamination": OP1_SQL, "op4_warc_archives": OP4_SQL, "op8_ngram_jaccard_join": OP8_SQL, "op9_chat_format": OP9_SQL}
+    return {"op1_benchmark_decontamination": OP1_SQL, "op4_warc_archives": OP4_SQL, "op8_ngram_jaccard_join": OP8_SQL, "op9_chat_format": OP9_SQL, "op11_merkle_manifest": OP11_SQL}
