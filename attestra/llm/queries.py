@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, kneser_ney, linededup, merkle, mixture, ngramjoin, toxicity, warc
+from . import bpe, chat, kneser_ney, licenses, linededup, merkle, mixture, negatives, ngramjoin, toxicity, warc
 from . import decontaminate as dc
 from . import fingerprint as fp
 from .common import UPPER
@@ -157,10 +157,30 @@ from l join q on q.lang is not distinct from l.lang and q.place = l.i and q.n =
 """
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+OP12_SQL = """
+with r as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end l, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) q from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id a, b.vec_id b, a.l = b.l same, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::bigint s from r a join r b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+p as (select a, b, s from s where same qualify row_number() over (partition by a order by s desc, b) <= 5)
+select p.a anchor_id, p.b positive_id, (row_number() over (partition by p.a, p.b order by n.s desc, n.b))::int rank, n.b negative_id, p.s positive_score, n.s negative_score
+from p join s n on n.a = p.a and not n.same and 50 * p.s <= 100 * n.s and 100 * n.s <= 95 * p.s qualify row_number() over (partition by p.a, p.b order by n.s desc, n.b) <= 3
+"""
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", F.col("places").alias("n_base"), "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
 def queries() -> dict:
-    found = [op1_benchmark_decontamination, op2_source_mixture, op3_document_fingerprints, op4_warc_archives, op5_toxicity, op6_token_counts, op7_fuzzy_lines, op8_ngram_jaccard_join, op9_chat_format, op10_kneser_ney, op11_merkle_manifest]
+    found = [op1_benchmark_decontamination, op2_source_mixture, op3_document_fingerprints, op4_warc_archives, op5_toxicity, op6_token_counts, op7_fuzzy_lines, op8_ngram_jaccard_join, op9_chat_format, op10_kneser_ney, op11_merkle_manifest, op12_hard_negatives, op13_license_scan]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_decontamination": OP1_SQL, "op4_warc_archives": OP4_SQL, "op8_ngram_jaccard_join": OP8_SQL, "op9_chat_format": OP9_SQL, "op11_merkle_manifest": OP11_SQL}
+    return {"op1_benchmark_decontamination": OP1_SQL, "op4_warc_archives": OP4_SQL, "op8_ngram_jaccard_join": OP8_SQL, "op9_chat_format": OP9_SQL, "op11_merkle_manifest": OP11_SQL, "op12_hard_negatives": OP12_SQL}
