@@ -20,14 +20,18 @@ ABSOLUTES = ["never", "always", "100%", "every single", "nobody", "everyone"]
 WEIGHTS = {"hedge": -0.02, "evasion": -0.08, "absolute": -0.03, "self": -0.15, "graph": -0.2}
 
 
+#: What is in no word: all but ASCII letters, digits and _.
+NOT_WORD = "[^a-z0-9_]+"
+
+
 def entity_key(label: Column, canonical: Column) -> Column:
     """label:canonical, lower case, white space collapsed."""
     return F.concat_ws(":", label, F.regexp_replace(F.trim(F.lower(canonical)), r"\s+", " "))
 
 
-def token_set(text: Column, longer_than: int = 2, stop: list[str] | None = None) -> Column:
-    """Distinct lower-case word tokens above a length, without stop words."""
-    found = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: F.length(w) > longer_than))
+def token_set(text: Column, longer_than: int = 2, stop: list[str] | None = None, apart: str = "[^a-z0-9]+") -> Column:
+    """Distinct lower-case tokens above a length, without stop words; apart is the pattern between them (NOT_WORD keeps _ in them)."""
+    found = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), apart), lambda w: F.length(w) > longer_than))
     return F.array_except(found, F.array(*[F.lit(w) for w in stop])) if stop else found
 
 

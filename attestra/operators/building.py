@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attestra.functions import text as tx
 from attestra.operators import curation as cu
 from attestra.operators import graph as gr
+from attestra.operators import loops as lo
 
 # Words that begin the verdict part, and the verdicts in the order that they are tried.
 MARKERS = r"(?i)\b(verdict|summary|fact[- ]check|in conclusion|to sum up|final|recap)\b"
@@ -88,17 +89,32 @@ def entity_documents(rel: DataFrame) -> DataFrame:
     return entity_spans(rel).groupBy("entity_id", "transcript_id").agg(F.array_sort(F.collect_set("char_start")).alias("spans"))
 
 
+def answered_edges(answers: DataFrame, predicates: list[str]) -> DataFrame:
+    """(video_id, subject_id, predicate, object_id, cue_idx, confidence, fault) of each element of answers (video_id, json).
+
+    fault says what is wrong with an element, null if nothing: ids and predicate must be JSON strings, cue and
+    confidence JSON numbers. Answers that are no JSON array have no elements.
+    """
+    e = answers.select("video_id", F.explode(F.expr("try_variant_get(try_parse_json(json), '$', 'array<variant>')")).alias("e"))
+    kind = {c: F.expr(f"schema_of_variant(variant_get(e, '$.{c}', 'variant'))") for c in ("subjectId", "objectId", "predicate", "cueIndex", "confidence")}
+    text = lambda c: F.coalesce(kind[c] == "STRING", F.lit(False))
+    number = lambda c: F.coalesce(kind[c].rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.lit(False))
+    got = lambda c, t: F.expr(f"try_variant_get(e, '$.{c}', '{t}')")
+    fault = F.when(~(text("subjectId") & text("objectId")), "ids are no text").when(~text("predicate") | ~F.coalesce(got("predicate", "string").isin(predicates), F.lit(False)), "unknown predicate")
+    fault = fault.when(~number("cueIndex"), "cue is no number").when(~number("confidence"), "confidence is no number")
+    return e.select("video_id", got("subjectId", "string").alias("subject_id"), got("predicate", "string").alias("predicate"), got("objectId", "string").alias("object_id"), got("cueIndex", "double").alias("cue_idx"), got("confidence", "double").alias("confidence"), fault.alias("fault"))
+
+
 def external_edges(answers: DataFrame, cues: DataFrame, predicates: list[str]) -> DataFrame:
     """relations of answers (video_id, json) that name a cue: known predicates, typed fields, confidence within 0 and 1, provenance ai.
 
-    cues: (video_id, cue_idx, start, text). Answers that are no JSON array give none.
+    cues: (video_id, cue_idx, start, duration, text). Answers that are no JSON array give none; answered_edges says what others lack.
     """
-    body = F.from_json("json", "array<struct<subjectId:string,objectId:string,predicate:string,cueIndex:int,confidence:double>>", {"mode": "PERMISSIVE"})
-    e = answers.select("video_id", F.explode(body).alias("e")).select("video_id", "e.*").dropna().where(F.col("predicate").isin(predicates))
+    e = answered_edges(answers, predicates).where("fault is null and cue_idx = floor(cue_idx)").withColumn("cue_idx", F.col("cue_idx").cast("int"))
     before = Window.partitionBy("video_id").orderBy("cue_idx").rowsBetween(Window.unboundedPreceding, -1)
-    at = cues.select("video_id", F.col("cue_idx").alias("cueIndex"), F.col("start").alias("time_start"), F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("int").alias("char_start"), F.length("text").alias("n"))
-    j = e.join(at, ["video_id", "cueIndex"])
-    out = j.select(F.col("subjectId").alias("subject_id"), "predicate", F.col("objectId").alias("object_id"), F.col("video_id").alias("transcript_id"), "char_start", (F.col("char_start") + F.col("n")).alias("char_end"), "time_start", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "confidence")).alias("confidence"), F.lit("ai").alias("provenance"))
+    at = cues.select("video_id", "cue_idx", F.col("start").alias("time_start"), (F.col("start") + F.col("duration")).alias("time_end"), F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("int").alias("char_start"), F.length("text").alias("n"))
+    j = e.join(at, ["video_id", "cue_idx"])
+    out = j.select("subject_id", "predicate", "object_id", F.col("video_id").alias("transcript_id"), "char_start", (F.col("char_start") + F.col("n")).alias("char_end"), "time_start", "time_end", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "confidence")).alias("confidence"), F.lit("ai").alias("provenance"))
     return relation_id(out)
 
 
@@ -224,28 +240,11 @@ def verdict_truth(rel: DataFrame, verdicts: DataFrame, cues: DataFrame, floor: f
     return rel.join(last, ["video_id", "cue_idx"]).select("rel_id", "truth")
 
 
-def true_loops(rel: DataFrame, hops: int = 4, floor: float = 0.5) -> DataFrame:
-    """H8: (loop, edges, length): directed cycles of at most hops relations (rel_id, subject_id, object_id, truth) that are all held.
-
-    Each begins at its least node, so that a cycle is found once; other nodes appear once in it.
-    """
-    e = rel.where(F.col("truth") >= floor).select("rel_id", "subject_id", "object_id")
-    step = e.select(F.col("rel_id").alias("_r"), F.col("subject_id").alias("_s"), F.col("object_id").alias("_o"))
-    paths = e.select(F.col("subject_id").alias("first"), F.col("object_id").alias("last"), F.array("rel_id").alias("ids"), F.array("subject_id").alias("nodes"))
-    found = paths.where("first = last")
-    for _ in range(hops - 1):
-        paths = paths.where("last > first").join(step, F.col("last") == F.col("_s")).where(~F.array_contains("nodes", F.col("last")))
-        paths = paths.select("first", F.col("_o").alias("last"), F.concat("ids", F.array("_r")).alias("ids"), F.concat("nodes", F.array("last")).alias("nodes"))
-        found = found.union(paths.where("first = last"))
-    return found.select(F.array_join(F.array_sort("ids"), "#").alias("loop"), F.array_join("ids", ">").alias("edges"), F.size("ids").cast("long").alias("length")).dropDuplicates(["loop"])
-
-
 def conflict_report(rel: DataFrame, floor: float = 0.5) -> DataFrame:
-    """H9: (kind, a, b) of truth conflicts, excluding predicates and loops together."""
+    """H9: (kind, a, b) of truth conflicts, excluding predicates and loops of any length together; loops by derived truth where there is one."""
     one = gr.conflicts(rel).select(F.lit("truth").alias("kind"), F.col("true_rel").alias("a"), F.col("false_rel").alias("b"))
     two = gr.exclusive(rel, floor).select(F.lit("exclusive"), "left_rel", "right_rel")
-    loops = true_loops(rel.withColumn("truth", F.col("direct_truth")), 2, floor).select(F.lit("loop"), "loop", "edges")
-    return one.union(two).union(loops)
+    return one.union(two).union(lo.true_loops(rel, floor)[0].select(F.lit("loop"), "loop", "edges"))
 
 
 def novel_links(rel: DataFrame, least: int = 2, limit: int = 50) -> DataFrame:

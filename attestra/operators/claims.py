@@ -58,20 +58,27 @@ def opposed(a: Column, b: Column) -> Column:
 def routed(pairs: DataFrame, verdicts: DataFrame, claims: DataFrame) -> DataFrame:
     """Where a candidate pair goes by its verdict; without one it is pending.
 
-    A verdict of one claim said twice makes an agreement, unless the stances are opposed: then the
-    pair is dropped under a verdict of its own. Verdicts stand for the texts that they were given
-    on: where verdicts has left_hash and right_hash, they must be the texts' sha1.
+    A verdict is found whichever way round its pair is stored. One of the same claim said twice makes
+    an agreement, unless the stances are opposed: then the pair is dropped under a verdict of its own.
+    Verdicts stand for the texts that they were given on: a left_hash or right_hash that verdicts
+    has must be its text's sha1, a null one says nothing. Broken presuppositions (kind) are
+    contradictions by themselves and take no verdict.
     """
     side = lambda s: claims.select(F.col("claim_id").alias(s), F.col("stance").alias(f"_{s}_stance"), F.sha1(F.coalesce("text", F.lit(""))).alias(f"_{s}_hash"))
-    j = pairs.join(verdicts, ["left", "right"], "left").join(side("left"), "left", "left").join(side("right"), "right", "left")
+    mechanical = F.coalesce(F.col("kind") == "broken-presupposition", F.lit(False)) if "kind" in pairs.columns else F.lit(False)
+    turned = F.col("left") > F.col("right")
+    known = verdicts if "left_hash" in verdicts.columns else verdicts.withColumn("left_hash", F.lit(None).cast("string")).withColumn("right_hash", F.lit(None).cast("string"))
+    known = known.withColumn("_lo_hash", F.when(turned, F.col("right_hash")).otherwise(F.col("left_hash"))).withColumn("_hi_hash", F.when(turned, F.col("left_hash")).otherwise(F.col("right_hash")))
+    known = known.withColumn("_lo", F.least("left", "right")).withColumn("_hi", F.greatest("left", "right")).drop("left", "right", "left_hash", "right_hash")
+    j = pairs.withColumn("_lo", F.least("left", "right")).withColumn("_hi", F.greatest("left", "right")).join(known, ["_lo", "_hi"], "left").join(side("left"), "left", "left").join(side("right"), "right", "left")
+    lo, hi = F.when(turned, F.col("_right_hash")).otherwise(F.col("_left_hash")), F.when(turned, F.col("_left_hash")).otherwise(F.col("_right_hash"))
+    fresh = F.coalesce(F.col("_lo_hash") == lo, F.lit(True)) & F.coalesce(F.col("_hi_hash") == hi, F.lit(True))
+    j = j.withColumn("verdict", F.when(fresh & ~mechanical, F.col("verdict")))
     v = F.col("verdict")
-    if "left_hash" in verdicts.columns:
-        fresh = (F.col("left_hash") == F.col("_left_hash")) & (F.col("right_hash") == F.col("_right_hash"))
-        j = j.withColumn("verdict", F.when(fresh, v)).drop("left_hash", "right_hash")
     apart = (v == "SAME-CLAIM") & opposed(F.col("_left_stance"), F.col("_right_stance"))
-    route = F.when(v.isNull(), "pending").when(v.isin("LOGICAL-CONTRADICTION", "DEBUNKS", "UNDERCUTS", "ALTERNATIVE"), "contradiction").when(apart, "dropped").when(v == "SAME-CLAIM", "agreement").otherwise("dropped")
+    route = F.when(mechanical, "contradiction").when(v.isNull(), "pending").when(v.isin("LOGICAL-CONTRADICTION", "DEBUNKS", "UNDERCUTS", "ALTERNATIVE"), "contradiction").when(apart, "dropped").when(v == "SAME-CLAIM", "agreement").otherwise("dropped")
     j = j.withColumn("route", route).withColumn("verdict", F.when(apart, "SAME-CLAIM-stance-mismatch").otherwise(v))
-    return j.drop("_left_stance", "_right_stance", "_left_hash", "_right_hash")
+    return j.drop("_left_stance", "_right_stance", "_left_hash", "_right_hash", "_lo_hash", "_hi_hash", "_lo", "_hi")
 
 
 def dropped_totals(routes: DataFrame) -> DataFrame:
@@ -183,7 +190,7 @@ def gate(metrics: DataFrame, baseline: DataFrame, higher_is_better: dict[str, bo
 
     bounds: name -> min, max (a breach is a regression), target_min, target_max (a warning only).
     A drift beyond the tolerance is regressed or improved by the metric's direction; one without
-    a direction is new, for information. Metrics without a baseline are new, without a value missing.
+    a direction is new, for information. Metrics without a baseline are new, without a value missing, without both ok.
     """
     j = metrics.join(baseline.select("name", F.col("value").alias("base")), "name", "full")
     value, none = F.col("value"), F.lit(None).cast("boolean")
@@ -199,6 +206,6 @@ def gate(metrics: DataFrame, baseline: DataFrame, higher_is_better: dict[str, bo
         better = F.when(F.col("name") == name, F.lit(up)).otherwise(better)
     moved = (value - F.col("base")) / F.greatest(F.lit(1.0), F.abs("base"))
     drift = F.when(F.abs(moved) <= tolerance, "ok").when(better.isNull(), "new").when((moved > 0) == better, "improved").otherwise("regressed")
-    status = F.when(value.isNull(), "missing").when(beyond("min", "max"), "regressed").when(F.col("base").isNull(), "new").otherwise(drift)
+    status = F.when(value.isNull(), F.when(F.col("base").isNull(), "ok").otherwise("missing")).when(beyond("min", "max"), "regressed").when(F.col("base").isNull(), "new").otherwise(drift)
     soft = F.when(beyond("min", "max") | value.isNull(), None).when(beyond("target_min", "target_max"), "beyond target")
     return j.select("name", "value", "base", status.alias("status"), soft.alias("warning"))

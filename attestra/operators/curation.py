@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from attestra.operators.reasoning import ensure_checkpoints
 
 # Titles before names, and words before nouns.
-TITLES = r"^(?:dr\.|dr|mr\.|mr|mrs\.|mrs|ms\.|ms|sir|dame|lord|lady|professor|prof\.|prof|rev\.|reverend|father|saint|st\.|st)\s+"
-DETERMINERS = r"^(?:the|a|an)\s+"
+TITLES = r"^(?:(?:dr\.|dr|mr\.|mr|mrs\.|mrs|ms\.|ms|sir|dame|lord|lady|professor|prof\.|prof|rev\.|reverend|father|saint|st\.|st)\s+)+"
+DETERMINERS = r"^(?:(?:the|a|an)\s+)+"
 #: Labels whose texts hold each other by chance.
 NO_SUBSTRINGS = ("date_time", "quantity")
 #: Labels whose short forms name one of a document's longer forms.
@@ -188,14 +188,10 @@ def bracketed(entities: DataFrame, handled: DataFrame) -> DataFrame:
 
 
 def normal_form(canonical: Column, label: Column) -> Column:
-    """Lower case, without titles (of persons), determiners, a final possessive and punctuation but hyphens; at most eight words in front go."""
+    """Lower case, without titles (of persons), determiners, a final possessive and punctuation but hyphens."""
     s = F.trim(F.lower(canonical))
-    bare = s
-    for _ in range(8):
-        bare = F.regexp_replace(bare, TITLES, "")
-    s = F.when(label == "person", bare).otherwise(s)
-    for _ in range(8):
-        s = F.regexp_replace(s, DETERMINERS, "")
+    s = F.when(label == "person", F.regexp_replace(s, TITLES, "")).otherwise(s)
+    s = F.regexp_replace(s, DETERMINERS, "")
     s = F.regexp_replace(F.regexp_replace(s, "'s$", ""), r"[^\p{L}\p{N}\s-]", "")
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 

@@ -44,16 +44,18 @@ def type_checked(rel: DataFrame) -> DataFrame:
     return rel.where(ok)
 
 
-def upsert(rel: DataFrame) -> DataFrame:
+def upsert(rel: DataFrame, order: str | None = None) -> DataFrame:
     """one row per rel_id: highest confidence; provenance "both" where sources differ.
 
-    Subject, predicate, object and span are in the rel_id and so the same in all its rows; the
-    truth is that of the surest row, ties by the greater truth.
+    Subject, predicate, object and span are in the rel_id and so the same in all its rows. The truth
+    is that of the first row by the order column, the one stored before, null or not; without an
+    order, that of the surest row, ties by the greater truth.
     """
     kept = [F.first(c).alias(c) for c in ("subject_id", "predicate", "object_id", "transcript_id", "char_start", "char_end", "time_start")]
+    stored = F.min_by(F.struct("direct_truth"), order)["direct_truth"].alias("direct_truth") if order else None
     truth = F.max(F.struct("confidence", F.col("direct_truth").isNotNull(), "direct_truth"))["direct_truth"].alias("direct_truth")
     provenance = F.when(F.min("provenance") != F.max("provenance"), "both").otherwise(F.min("provenance")).alias("provenance")
-    return rel.groupBy("rel_id").agg(*kept, truth, F.max("confidence").alias("confidence"), provenance)
+    return rel.groupBy("rel_id").agg(*kept, truth if stored is None else stored, F.max("confidence").alias("confidence"), provenance)
 
 
 def nodes(rel: DataFrame) -> DataFrame:

@@ -85,10 +85,24 @@ def validation_report(checked: DataFrame) -> DataFrame:
 
 
 def pair_summary(pairs: DataFrame, claims: DataFrame, cut: int = 80) -> DataFrame:
-    """Pairs with summary: both texts, each cut, with what joins them."""
-    side = lambda s: claims.select(F.col("claim_id").alias(s), F.when(F.length("text") > cut, F.concat(F.substring("text", 1, cut - 1), F.lit("…"))).otherwise(F.col("text")).alias(f"_{s}"))
-    j = pairs.join(side("left"), "left").join(side("right"), "right")
-    return j.withColumn("summary", F.format_string("%s — %s: %s", "_left", "kind", "_right")).drop("_left", "_right")
+    """Pairs (left, right, kind) with summary, a text for each kind; a pair of another kind keeps its own.
+
+    pair: both texts, each cut, and truths, with subkind; broken-presupposition: the same of what is presupposed;
+    cross-video: documents, stances, similarity and the first three shared_entities, by cosine or by words (reason).
+    Missing truths are 0, missing stances "?". claims: claim_id, video_id, text, truth, stance.
+    """
+    short = F.when(F.length("text") > cut, F.concat(F.substring("text", 1, cut - 1), F.lit("…"))).otherwise(F.col("text"))
+    side = lambda s: claims.select(F.col("claim_id").alias(s), *[c.alias(f"_{s}_{n}") for n, c in (("text", short), ("truth", F.coalesce("truth", F.lit(0.0))), ("stance", F.coalesce("stance", F.lit("?"))), ("video", F.col("video_id")))])
+    has = lambda c, t: F.col(c) if c in pairs.columns else F.lit(None).cast(t)
+    j = pairs.join(side("left"), "left", "left").join(side("right"), "right", "left")
+    two = F.format_string('"%s" contradicts "%s" but both asserted true (%.2f vs %.2f) [%s]', "_left_text", "_right_text", "_left_truth", "_right_truth", F.coalesce(has("subkind", "string"), F.lit("logical")))
+    broken = F.format_string('"%s" (%.2f) presupposes "%s" which has low truth (%.2f)', "_left_text", "_left_truth", "_right_text", "_right_truth")
+    shared, like = F.array_join(F.slice(has("shared_entities", "array<string>"), 1, 3), ", "), has("similarity", "double")
+    who = [F.col(c) for c in ("_left_video", "_left_stance", "_right_video", "_right_stance")]
+    near = F.format_string("%s %s vs %s %s — cos=%.2f — shared: %s (pending verify)", *who, like, shared)
+    words = F.format_string("%s %s vs %s %s — shared: %s — jaccard=%.2f (%s)", *who, shared, like, has("reason", "string"))
+    text = F.when(F.col("kind") == "pair", two).when(F.col("kind") == "broken-presupposition", broken).when(F.col("kind") == "cross-video", F.when(has("reason", "string") == "cosine", near).otherwise(words)).otherwise(has("summary", "string"))
+    return j.withColumn("summary", text).drop(*[f"_{s}_{n}" for s in ("left", "right") for n in ("text", "truth", "stance", "video")])
 
 
 def verification_queue(pairs: DataFrame, claims: DataFrame, verdicts: DataFrame, shards: int, kind: str | None = None, mechanical: tuple[str, ...] = ("broken-presupposition", "manual")) -> DataFrame:

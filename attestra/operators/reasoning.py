@@ -2,32 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.operators import claims as cl
 from attestra.operators import graph as gr
+from attestra.operators.components import ensure_checkpoints
 
 #: Rounds at most, change of any value below which rounds end, rounds between checkpoints.
 ROUNDS, EPSILON, KEEP_EACH = 50, 0.001, 4
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Use spark.checkpoint.dir; only a local session without one gets a folder of its own."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    sc.setCheckpointDir(found)
-
-
 def settle(state: DataFrame, step: Callable[[DataFrame], DataFrame], key: str, value: str = "value", rounds: int = ROUNDS, epsilon: float = EPSILON) -> tuple[DataFrame, int, float]:
     """(state, rounds taken, greatest last change): step repeated until no value changes by more than epsilon.
 

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.operators import claims as cl
+from attestra.operators import components as co
 from attestra.operators import graph as gr
 from attestra.operators import reasoning as rs
+from attestra.operators import sweeps as sw
 from attestra.plans import fixtures as fx
 
 QUERIES: dict = {}
@@ -63,6 +65,42 @@ _add(
 )
 
 
+def _ordered_parts(s: SparkSession, d: str) -> DataFrame:
+    about = _C(s, d).select(F.col("claim_id").alias("subject_id"), "confidence", F.col("truth").alias("anchor"), F.col("l_linenumber").alias("row"))
+    return _parts(s, d).join(about, "subject_id").select("rel_id", "subject_id", "object_id", "confidence", "anchor", "row")
+
+
+def _line_sweeps(n: int, lines: int = 7) -> str:
+    """CTEs of n sweeps over relations between the lines of an order, each line renewed after the one before it."""
+    parts, last = ["s0 as materialized (select source || '>' || target rel_id, l_orderkey o, l_linenumber n, confidence c, truth a, truth v from deps join claims on claim_id = source)"], "s0"
+    for k in range(n):
+        for line in range(2, lines + 1):
+            name = f"s{k * 10 + line}"
+            near = f"select *, case when lag(n) over w = n - 1 then lag(v) over w end pv, lag(c) over w pc, case when lead(n) over w = n + 1 then lead(v) over w end nv, lead(c) over w nc from {last} window w as (partition by o order by n)"
+            mean = "(coalesce(pv * pc, 0) + coalesce(nv * nc, 0)) / nullif(case when pv is null then 0 else pc end + case when nv is null then 0 else nc end, 0)"
+            parts.append(f"{name} as materialized (select rel_id, o, n, c, a, case when n = {line} then coalesce(case when a is null then m when m is null then a else 0.6 * a + 0.4 * m end, v) else v end v from (select *, {mean} m from ({near})))")
+            last = name
+    return ", ".join(parts) + f", settled as (select * from {last})"
+
+
+_add("h4_truth_in_row_order", lambda s, d: sw.relation_sweeps(_ordered_parts(s, d), "row", 3, -1.0)[0].select("rel_id", F.round("value", 6).alias("value")), f"{_CD}, {_line_sweeps(3)} select rel_id, round(v, 6) as value from settled")
+
+
+def _changed_labels(s: SparkSession, d: str) -> DataFrame:
+    """Components after some orders lost a link and others gained one to a common node."""
+    e = _D(s, d).select(F.col("source").alias("u"), F.col("target").alias("v"))
+    gone, new = e.where("u like '%7\\_4'"), e.where("u like '%0\\_3'").select("u", F.lit("a hub").alias("v"))
+    labels, touched = co.relabelled(co.weak(e), e.join(gone, ["u", "v"], "left_anti").union(new), new, gone)
+    return labels.join(touched.withColumn("touched", F.lit(True)), "component", "left").select("node", "component", F.coalesce("touched", F.lit(False)).alias("touched"))
+
+
+_add(
+    "h5_labels_after_changes",
+    _changed_labels,
+    f"{_CD.replace('with ', 'with recursive ', 1)}, e as (select source u, target v from deps where source not like '%7\\_4' escape '\\' union all select source, 'a hub' from deps where source like '%0\\_3' escape '\\'), b as (select u, v from e union select v, u from e), r(n, m) as (select u, u from b union select b.v, m from r join b on r.n = b.u), c as (select n node, min(m) component from r group by 1), rb(n, m) as (select source, source from deps union select target, target from deps union select b.v, m from rb join (select source u, target v from deps union select target, source from deps) b on rb.n = b.u), cb as (select n node, min(m) component from rb group by 1), g as (select source x from deps where source like '%7\\_4' escape '\\'), ad as (select source x from deps where source like '%0\\_3' escape '\\' union select 'a hub'), t as (select node from cb where component in (select component from cb where node in (from g)) union select x from ad) select node, component, component in (select component from c where node in (from t)) touched from c",
+)
+
+
 # Claims under overrides
 def _fields(s: SparkSession, d: str) -> DataFrame:
     c = _C(s, d).where("l_orderkey % 13 = 0")
@@ -93,6 +131,7 @@ _SDEPS = f"sdeps as materialized (select source, target, kind, coalesce({_SUB},
 _PIN = "case when split_part(claim_id, '_', 2)::bigint % 11 = 0 and split_part(claim_id, '_', 3) = '2' then 0.9 end"
 _HELD = "held as (select c.*, l_orderkey % 13 = 0 fo from claims c where not (l_orderkey % 17 = 0 and l_linenumber = 3)), held2 as (select * replace (case when fo and l_linenumber = 2 then 'opinion' else kind end as kind, case when fo and l_linenumber < 4 then 'denies' else stance end as stance), concat_ws(',', case when fo and l_linenumber = 2 then 'kind' end, case when fo and l_linenumber < 4 then 'stance' end) fields from held)"
 _LAST = CLAIM_ROUNDS
+_add("i7_truth_in_row_order", lambda s, d: sw.claim_sweeps(_C(s, d), _D(s, d), epsilon=0.0)[0].select("claim_id", F.round("value", 5).alias("value")), f"{_CD}, {_SDEPS}, {_claim_rounds('t', 'claims', 'null')} select claim_id, round(v, 5) as value from t{_LAST}")
 _add("i7_claim_truth", lambda s, d: rs.claim_truth(_C(s, d), _D(s, d), None, 50, 1e-9)[0].select("claim_id", F.round("value", 5).alias("value")), f"{_CD}, {_SDEPS}, {_claim_rounds('t', 'claims', 'null')} select claim_id, round(v, 5) as value from t{_LAST}")
 
 
@@ -177,6 +216,25 @@ def _routes(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("i20_i21_routes_by_text_hash", lambda s, d: _routes(s, d).groupBy("route", "verdict").agg(F.count(F.lit(1)).alias("n")), f"{_CD}, {_VEC}, {_VP}, {_ROUTES} select {_ROUTE} route, case when verdict = 'SAME-CLAIM' and opp then 'SAME-CLAIM-stance-mismatch' else verdict end verdict, count(*)::bigint n from ro group by 1, 2")
+
+
+def _either_way(s: SparkSession, d: str) -> DataFrame:
+    """Verdicts of dependencies' pairs: some are stored the other way round, have no hashes, or were given on other texts."""
+    n = F.substring_index("source", "_", -1).cast("int")
+    t = lambda c, side: _C(s, d).select(F.col("claim_id").alias(c), F.sha1("text").alias(f"_{side}"))
+    p = _D(s, d).withColumn("n", n).join(t("source", "a"), "source").join(t("target", "b"), "target")
+    stale = lambda c: F.when(F.col("n") == 6, F.lit("older")).when(F.col("n") != 5, F.col(c))
+    turned = F.col("n") % 2 == 0
+    verdicts = p.where("n <> 7").select(F.when(turned, F.col("target")).otherwise(F.col("source")).alias("left"), F.when(turned, F.col("source")).otherwise(F.col("target")).alias("right"), F.when(F.col("n") == 3, "SAME-CLAIM").otherwise("DEBUNKS").alias("verdict"), F.when(turned, stale("_b")).otherwise(stale("_a")).alias("left_hash"), F.when(turned, F.col("_a")).when(F.col("n") != 5, F.col("_b")).alias("right_hash"))
+    pairs = _D(s, d).select(F.col("source").alias("left"), F.col("target").alias("right"), F.when(F.col("kind") == "presupposes", "broken-presupposition").otherwise("cross-video").alias("kind"))
+    return cl.routed(pairs, verdicts, _C(s, d)).select("left", "right", "verdict", "route")
+
+
+_add(
+    "i20_i21_verdicts_either_way",
+    _either_way,
+    f"{_CD}, x as (select source, target, deps.kind, split_part(source, '_', 3)::int n, a.stance || b.stance in ('assertsdenies', 'deniesasserts') opp from deps join claims a on a.claim_id = source join claims b on b.claim_id = target), y as (select *, case when n in (6, 7) or kind = 'presupposes' then null when n = 3 then 'SAME-CLAIM' else 'DEBUNKS' end v from x) select source as \"left\", target as \"right\", case when v = 'SAME-CLAIM' and opp then 'SAME-CLAIM-stance-mismatch' else v end verdict, case when kind = 'presupposes' then 'contradiction' when v is null then 'pending' when v = 'DEBUNKS' then 'contradiction' when opp then 'dropped' else 'agreement' end route from y",
+)
 _add("i23_dropped_totals", lambda s, d: cl.dropped_totals(_routes(s, d)), f"{_CD}, {_VEC}, {_VP}, {_ROUTES} select case when verdict = 'SAME-CLAIM' and opp then 'SAME-CLAIM-stance-mismatch' else verdict end verdict, count(*)::bigint n from ro where {_ROUTE} in ('dropped', 'agreement') group by 1")
 
 

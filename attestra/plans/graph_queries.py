@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestra.operators import building as bd
 from attestra.operators import graph as gr
+from attestra.operators import loops as lo
 from attestra.plans import fixtures as fx
 from attestra.plans import text_queries as tq
 
@@ -102,14 +103,20 @@ def _answers(s: SparkSession, d: str) -> DataFrame:
     c = fx.cues(s, d)
     k = F.col("cue_idx")
     one = F.struct(F.lit("person:a").alias("subjectId"), F.lit("thing:b").alias("objectId"), F.when(k % 3 == 0, "denies").when(k % 3 == 1, "endorses").otherwise("likes").alias("predicate"), F.when(k % 5 == 4, k + 100_000).otherwise(k).alias("cueIndex"), F.when(k % 7 != 6, k / 4.0 - 0.5).alias("confidence"))
-    body = c.groupBy("video_id").agg(F.to_json(F.collect_list(one)).alias("json"))
+    text = F.when(k % 11 == 10, F.replace(F.to_json(one), F.lit('"person:a"'), F.lit("5"))).when(k % 13 == 12, F.regexp_replace(F.to_json(one), r'"cueIndex":(\d+)', '"cueIndex":"$1"')).otherwise(F.to_json(one))
+    body = c.groupBy("video_id").agg(F.concat(F.lit("["), F.array_join(F.collect_list(text), ","), F.lit(', null, 7]')).alias("json"))
     return body.withColumn("json", F.when(F.col("video_id").like("%3"), "no json").otherwise(F.col("json")))
 
 
 _add(
     "f14_external_edges",
-    lambda s, d: bd.external_edges(_answers(s, d), fx.cues(s, d), ["denies", "endorses"]).select("rel_id", "time_start", "confidence", "provenance"),
-    f"with {fx.CUES}, c as (select *, coalesce(sum(length(text) + 1) over (partition by video_id order by cue_idx rows between unbounded preceding and 1 preceding), 0)::int s from cues) select 'person:a|' || case when cue_idx % 3 = 0 then 'denies' else 'endorses' end || '|thing:b|' || video_id || ':' || s || '-' || (s + length(text)) rel_id, cue_idx * 4.0::double time_start, greatest(0, least(1, cue_idx / 4.0 - 0.5))::double confidence, 'ai' provenance from c where video_id not like '%3' and cue_idx % 3 < 2 and cue_idx % 5 < 4 and cue_idx % 7 < 6",
+    lambda s, d: bd.external_edges(_answers(s, d), fx.cues(s, d), ["denies", "endorses"]).select("rel_id", "time_start", "time_end", "confidence", "provenance"),
+    f"with {fx.CUES}, c as (select *, coalesce(sum(length(text) + 1) over (partition by video_id order by cue_idx rows between unbounded preceding and 1 preceding), 0)::int s from cues) select 'person:a|' || case when cue_idx % 3 = 0 then 'denies' else 'endorses' end || '|thing:b|' || video_id || ':' || s || '-' || (s + length(text)) rel_id, cue_idx * 4.0::double time_start, cue_idx * 4.0::double + 4 time_end, greatest(0, least(1, cue_idx / 4.0 - 0.5))::double confidence, 'ai' provenance from c where video_id not like '%3' and cue_idx % 3 < 2 and cue_idx % 5 < 4 and cue_idx % 7 < 6 and cue_idx % 11 < 10 and cue_idx % 13 < 12",
+)
+_add(
+    "f14_faults_of_answers",
+    lambda s, d: bd.answered_edges(_answers(s, d), ["denies", "endorses"]).groupBy("video_id").agg(F.count("fault").alias("faults"), F.count(F.lit(1)).alias("edges")),
+    f"with {fx.CUES} select video_id, 2 + count(*) filter (cue_idx % 3 = 2 or cue_idx % 7 = 6 or cue_idx % 11 = 10 or cue_idx % 13 = 12)::bigint faults, 2 + count(*)::bigint edges from cues where video_id not like '%3' group by 1",
 )
 _add(
     "f15_enrichment_input",
@@ -211,8 +218,32 @@ _NODE = "'q:' || lpad(({})::varchar, 8, '0')"
 _LOOP = f"le as (select {_NODE.format('p_partkey')} s, {_NODE.format('case when p_partkey % 4 = 3 then p_partkey - 3 else p_partkey + 1 end')} o, 'e' || p_partkey id, case when p_partkey % 12 = 5 then 0.2 else 0.9 end t from part union all select {_NODE.format('p_partkey')}, {_NODE.format('p_partkey + 2')}, 'f' || p_partkey, 0.8 from part where p_partkey % 4 = 0 union all select {_NODE.format('p_partkey')}, {_NODE.format('p_partkey - 1')}, 'g' || p_partkey, 0.7 from part where p_partkey % 4 = 1 and p_partkey % 3 = 0), he as (select * from le where t >= 0.5)"
 _add(
     "h8_true_loops",
-    lambda s, d: bd.true_loops(loop_edges(s, d), 4).select("loop", "length"),
-    f"with recursive {_LOOP}, pa(f, l, ids, ns) as (select s, o, [id], [s] from he union all select f, o, list_append(ids, id), list_append(ns, l) from pa join he on s = l where l > f and not list_contains(ns, l) and len(ids) < 4) select distinct array_to_string(list_sort(ids), '#') loop, len(ids)::bigint length from pa where f = l",
+    lambda s, d: lo.true_loops(loop_edges(s, d))[0].select("loop", "length"),
+    f"with recursive {_LOOP}, pa(f, l, ids, ns) as (select s, o, [id], [s] from he union all select f, o, list_append(ids, id), list_append(ns, l) from pa join he on s = l where l > f and not list_contains(ns, l)) select distinct array_to_string(list_sort(ids), '#') loop, len(ids)::bigint length from pa where f = l",
+)
+
+
+def long_loop_edges(s: SparkSession, d: str) -> DataFrame:
+    """Rings of fifty parts with a chord; every third ring is broken, by derived truth, and some truth is derived only."""
+    p, k = fx.table(s, d, "part"), F.col("p_partkey")
+    node = lambda x: F.concat(F.lit("q:"), F.lpad(x.cast("string"), 8, "0"))
+    broken = (F.floor(k / 50) % 3 == 2) & (k % 50 == 30)
+    ring = p.select(node(k).alias("subject_id"), node(F.when(k % 50 == 49, k - 49).otherwise(k + 1)).alias("object_id"), F.concat(F.lit("e"), k).alias("rel_id"), F.when(k % 7 == 3, 0.2).otherwise(0.9).alias("direct_truth"), F.when(broken, 0.3).when(k % 7 == 3, 0.8).alias("derived_truth"))
+    chord = p.where("p_partkey % 50 = 10").select(node(k), node(k + 20), F.concat(F.lit("f"), k), F.when(F.floor(k / 50) % 2 == 0, 0.8), F.lit(None).cast("double"))
+    return ring.union(chord)
+
+
+_LONG = f"""ll as (select {_NODE.format('p_partkey')} s, {_NODE.format('case when p_partkey % 50 = 49 then p_partkey - 49 else p_partkey + 1 end')} o, 'e' || p_partkey id, case when (p_partkey // 50) % 3 = 2 and p_partkey % 50 = 30 then 0.3 when p_partkey % 7 = 3 then 0.8 else 0.9 end t from part
+  union all select {_NODE.format('p_partkey')}, {_NODE.format('p_partkey + 20')}, 'f' || p_partkey, case when (p_partkey // 50) % 2 = 0 then 0.8 end from part where p_partkey % 50 = 10), he as (select * from ll where t >= 0.5)"""
+_add(
+    "h8_long_loops",
+    lambda s, d: lo.true_loops(long_loop_edges(s, d))[0].select("loop", "length"),
+    f"with recursive {_LONG}, pa(f, l, ids, ns) as (select s, o, [id], [s] from he union all select f, o, list_append(ids, id), list_append(ns, l) from pa join he on s = l where l > f and not list_contains(ns, l)) select distinct array_to_string(list_sort(ids), '#') loop, len(ids)::bigint length from pa where f = l",
+)
+_add(
+    "h8_loop_components",
+    lambda s, d: lo.loop_components(long_loop_edges(s, d)),
+    f"with recursive {_LONG}, re(s, o) as (select s, o from he union select re.s, he.o from re join he on re.o = he.s), c as (select a.s n, min(a.o) component from re a join re b on a.s = b.o and a.o = b.s group by 1) select x.component, count(distinct he.s)::bigint nodes, count(*)::bigint relations from he join c x on he.s = x.n join c y on he.o = y.n and x.component = y.component group by 1",
 )
 
 
@@ -225,7 +256,7 @@ _EXC = " union all ".join(f"select a.r l from x a join x b using (subject_id, ob
 _add(
     "h9_conflict_report",
     _h9,
-    f"{_R}, {_LOOP}, t as (select distinct subject_id, predicate, object_id, rel_id, direct_truth v from rel where direct_truth is not null), c as (select a.rel_id l from t a join t b using (subject_id, predicate, object_id) where a.v >= 0.5 and b.v < 0.5), x as (select subject_id, object_id, predicate, min(rel_id) r from rel where direct_truth >= 0.2 group by 1, 2, 3), y as ({_EXC}), z as (select distinct least(a.id, b.id) || '#' || greatest(a.id, b.id) l from le a join le b on a.o = b.s and b.o = a.s and a.t >= 0.2 and b.t >= 0.2) select 'truth' kind, count(*)::bigint n, count(distinct l)::bigint lefts from c having count(*) > 0 union all select 'exclusive', count(*), count(distinct l) from y having count(*) > 0 union all select 'loop', count(*), count(distinct l) from z having count(*) > 0",
+    f"with recursive {fx.REL}, {_LOOP}, t as (select distinct subject_id, predicate, object_id, rel_id, direct_truth v from rel where direct_truth is not null), c as (select a.rel_id l from t a join t b using (subject_id, predicate, object_id) where a.v >= 0.5 and b.v < 0.5), x as (select subject_id, object_id, predicate, min(rel_id) r from rel where direct_truth >= 0.2 group by 1, 2, 3), y as ({_EXC}), ls as (select * from le where t >= 0.2), pa(f, l, ids, ns) as (select s, o, [id], [s] from ls union all select f, o, list_append(ids, id), list_append(ns, l) from pa join ls on s = l where l > f and not list_contains(ns, l)), z as (select distinct array_to_string(list_sort(ids), '#') l from pa where f = l) select 'truth' kind, count(*)::bigint n, count(distinct l)::bigint lefts from c having count(*) > 0 union all select 'exclusive', count(*), count(distinct l) from y having count(*) > 0 union all select 'loop', count(*), count(distinct l) from z having count(*) > 0",
 )
 _NOVEL = f"""{_R}, en as (select subject_id e, object_id o, rel_id, transcript_id t, confidence c from rel union all select object_id, subject_id, rel_id, transcript_id, confidence from rel), nr as materialized (select distinct e, o m from en), tt as materialized (select distinct e, t from en),
 sn as (select x.e a, y.e b, count(*) sn from nr x join nr y using (m) where x.e < y.e group by 1, 2), st as (select x.e a, y.e b, count(*) st from tt x join tt y using (t) where x.e < y.e group by 1, 2),

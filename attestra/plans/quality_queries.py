@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestra.functions import text as tx
 from attestra.operators import catalog as kt
 from attestra.operators import quality as ql
 from attestra.plans import claim_queries as cq
@@ -80,7 +81,29 @@ _add("i41_accepted_claims", lambda s, d: ql.accepted_claims(_checked(s, d).withC
 
 # I18, I30-I32, I34-I39
 _K2 = "case when length(text) > 22 then text[1:21] || '…' else text end"
-_add("i18_pair_summaries", lambda s, d: ql.pair_summary(fq.pairs(s, d).drop("summary"), _C(s, d), 22).select("left", "right", "summary"), f"{_CD}, t as (select claim_id, {_K2} x from claims) select source \"left\", target \"right\", a.x || ' — ' || kind || ': ' || b.x summary from deps join t a on a.claim_id = source join t b on b.claim_id = target")
+
+
+def _kinds(s: SparkSession, d: str) -> DataFrame:
+    """Dependencies as pairs of all kinds."""
+    k = F.when(F.col("kind") == "contradicts", "pair").when(F.col("kind") == "presupposes", "broken-presupposition").when(F.col("kind") == "supports", "cross-video").otherwise("manual")
+    near = F.col("source").like("%2")
+    shared = _C(s, d).select(F.col("claim_id").alias("left"), F.concat("entities", F.array(F.lit("thing:a"), F.lit("thing:b"))).alias("shared_entities"))
+    p = fx.dependencies(s, d).select(F.col("source").alias("left"), F.col("target").alias("right"), k.alias("kind"), tx.subkind(F.col("rationale")).alias("subkind"), F.when(near, "cosine").otherwise("strong-overlap").alias("reason"), (F.length("source") / 40.0).alias("similarity"), F.lit("by hand").alias("summary"))
+    return p.join(shared, "left")
+
+
+def _two(x: str) -> str:
+    return f"round(coalesce({x}, 0)::decimal(18, 6), 2)::decimal(18, 2)"
+
+
+_add(
+    "i18_pair_summaries",
+    lambda s, d: ql.pair_summary(_kinds(s, d), _C(s, d).withColumn("stance", F.nullif("stance", F.lit("uncertain"))), 22).select("left", "right", "summary"),
+    f"""{_CD}, t as (select *, {_K2} x, case when stance = 'uncertain' then '?' else stance end st from claims) select source "left", target "right", case kind when 'contradicts' then '"' || a.x || '" contradicts "' || b.x || '" but both asserted true (' || {_two('a.truth')} || ' vs ' || {_two('b.truth')} || ') [' || coalesce(nullif(lower(regexp_extract(rationale, '^\\s*\\[(logical|debunks|alternative|undercuts)\\]', 1)), ''), 'logical') || ']'
+  when 'presupposes' then '"' || a.x || '" (' || {_two('a.truth')} || ') presupposes "' || b.x || '" which has low truth (' || {_two('b.truth')} || ')'
+  when 'supports' then a.video_id || ' ' || a.st || ' vs ' || b.video_id || ' ' || b.st || case when source like '%2' then ' — cos=' || {_two('length(source) / 40.0')} || ' — shared: ' || a.entities[1] || ', ' || a.entities[2] || ', thing:a (pending verify)' else ' — shared: ' || a.entities[1] || ', ' || a.entities[2] || ', thing:a — jaccard=' || {_two('length(source) / 40.0')} || ' (strong-overlap)' end else 'by hand' end summary
+  from deps join (select claim_id, x, st, truth, video_id, entities from t) a on a.claim_id = source join (select claim_id, x, st, truth, video_id from t) b on b.claim_id = target""",
+)
 
 
 def _verdict_rows(s: SparkSession, d: str) -> DataFrame:
@@ -265,12 +288,12 @@ _add(
 
 
 def _m4(s: SparkSession, d: str) -> DataFrame:
-    said = fx.table(s, d, "conversations").select(F.concat_ws("/", F.col("conv_id").cast("string"), "role").alias("speaker"), F.col("turn").alias("seq"), F.col("text"))
-    names = fx.table(s, d, "customer").select(F.concat(F.lit("person:c"), "c_custkey").alias("entity_id"), fx._pick(["that", "dans", "nicht", "para", "thing"], F.col("c_custkey")).alias("canonical"))
+    said = fx.table(s, d, "conversations").select(F.concat_ws("/", F.col("conv_id").cast("string"), "role").alias("speaker"), F.col("turn").alias("seq"), F.replace("text", F.lit(" "), F.lit(" _")).alias("text"))
+    names = fx.table(s, d, "customer").select(F.concat(F.lit("person:c"), "c_custkey").alias("entity_id"), fx._pick(["_that", "dans", "_nicht", "_para", "thing"], F.col("c_custkey")).alias("canonical"))
     return sc.graph_contradictions(said, fx.relationships(s, d), names)
 
 
-_add("m4_graph_contradictions", _m4, f"with {fx.REL}, h as (select ['that', 'dans', 'nicht', 'para', 'thing'][1 + c_custkey % 5] tok, min(rel_id) r from rel join customer on subject_id = 'person:c' || c_custkey where direct_truth < 0.5 group by 1), u as (select distinct conv_id || '/' || role speaker, turn seq, unnest([x for x in string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+') if length(x) > 3]) tok from conversations) select speaker, seq, min(r) rel_id, -0.2::double weight from u join h using (tok) group by 1, 2")
+_add("m4_graph_contradictions", _m4, f"with {fx.REL}, h as (select ['_that', 'dans', '_nicht', '_para', 'thing'][1 + c_custkey % 5] tok, min(rel_id) r from rel join customer on subject_id = 'person:c' || c_custkey where direct_truth < 0.5 group by 1), u as (select distinct conv_id || '/' || role speaker, turn seq, unnest([x for x in string_split_regex(lower(coalesce(replace(text, ' ', ' _'), '')), '[^a-z0-9_]+') if length(x) > 3]) tok from conversations) select speaker, seq, min(r) rel_id, -0.2::double weight from u join h using (tok) group by 1, 2")
 
 
 def _m5(s: SparkSession, d: str) -> DataFrame:

@@ -67,12 +67,13 @@ select p.video_id, p.pos, c.cue_idx, c.cue_idx * 4.0::double as time from p asof
 )
 _TOK = "list_distinct([x for x in string_split_regex(lower(text), '[^a-z0-9]+') if length(x) > {n}])"
 for _n, _name, _stop in ((2, "b7_tokens", None), (2, "b8_tokens_without_stop_words", tx.STOP_WORDS), (3, "b9_long_tokens", None)):
-    _expr = _TOK.format(n=_n)
+    _apart, _said = ("[^a-z0-9]+", "text") if _n == 2 else (tx.NOT_WORD, "replace(text, ' ', '_ ')")
+    _expr = _TOK.format(n=_n).replace("text", _said).replace("[^a-z0-9]+", _apart)
     if _stop:
         _expr = f"[x for x in {_expr} if not list_contains({_stops()}, x)]"
     _add(
         _name,
-        lambda s, d, n=_n, stop=_stop: fx.claims(s, d).select("claim_id", F.array_join(F.array_sort(tx.token_set(F.col("text"), n, stop)), " ").alias("tokens")),
+        lambda s, d, n=_n, stop=_stop, text=_said, apart=_apart: fx.claims(s, d).select("claim_id", F.array_join(F.array_sort(tx.token_set(F.expr(text), n, stop, apart)), " ").alias("tokens")),
         f"with {fx.LI}, {fx.CLAIMS} select claim_id, array_to_string(list_sort({_expr}), ' ') tokens from claims",
     )
 _add(
@@ -156,6 +157,11 @@ _ALLOWED = " or ".join(f"predicate = '{p}' and split_part(subject_id, ':', 1) in
 _CHECK = f"(predicate not in ({', '.join(map(repr, gr.ARGUMENTS))}) or instr(subject_id, ':') <= 1 or instr(object_id, ':') <= 1 or {_ALLOWED})"
 _rel = fx.relationships
 _add("f3_type_check", lambda s, d: gr.type_checked(_rel(s, d)).groupBy("predicate").agg(F.count(F.lit(1)).alias("n")), f"with {fx.REL} select predicate, count(*)::bigint n from rel where {_CHECK} group by 1")
+_add(
+    "f5_upsert_after_stored",
+    lambda s, d: gr.upsert(_rel(s, d).withColumn("stored", F.struct("confidence", "provenance", F.coalesce("direct_truth", F.lit(-1.0)))), "stored").select("rel_id", "confidence", "direct_truth", "provenance"),
+    f"with {fx.REL} select rel_id, max(confidence) confidence, arg_min({{'t': direct_truth}}, {{'c': confidence, 'p': provenance, 't': coalesce(direct_truth, -1)}}).t direct_truth, case when min(provenance) <> max(provenance) then 'both' else min(provenance) end provenance from rel group by 1",
+)
 _add("f5_relationship_upsert", lambda s, d: gr.upsert(_rel(s, d)), f"with {fx.REL} select rel_id, subject_id, predicate, object_id, transcript_id, char_start, char_end, time_start, max({{'c': confidence, 'k': direct_truth is not null, 't': direct_truth}}).t direct_truth, max(confidence) confidence, case when min(provenance) <> max(provenance) then 'both' else min(provenance) end provenance from rel group by 1, 2, 3, 4, 5, 6, 7, 8")
 _add("f9_entity_index", lambda s, d: _rel(s, d).groupBy(F.col("object_id").alias("entity_id")).agg(F.countDistinct("transcript_id").alias("documents"), F.count(F.lit(1)).alias("mentions")), f"with {fx.REL} select object_id entity_id, count(distinct transcript_id)::bigint documents, count(*)::bigint mentions from rel group by 1")
 _add("f10_entity_documents", lambda s, d: _rel(s, d).groupBy(F.col("object_id").alias("entity_id"), "transcript_id").agg(F.array_join(F.array_sort(F.collect_set("char_start")).cast("array<string>"), ",").alias("spans")), f"with {fx.REL} select object_id entity_id, transcript_id, array_to_string(list_sort(list_distinct(list(char_start)))::varchar[], ',') spans from rel group by 1, 2")
@@ -286,16 +292,16 @@ _add("l6_floor_percentile", lambda s, d: cl.floor_percentile(_C(s, d), "kind", "
 
 
 def _metrics(c: DataFrame) -> DataFrame:
-    m = c.agg(F.count(F.lit(1)).cast("double").alias("claims"), F.round(F.count("truth") / F.count(F.lit(1)) * 100, 2).alias("truth_coverage"), F.round(F.count_if(F.col("stance") == "denies") / F.count(F.lit(1)) * 100, 2).alias("denies_share"))
-    return m.unpivot([], ["claims", "truth_coverage", "denies_share"], "name", "value")
+    m = c.agg(F.count(F.lit(1)).cast("double").alias("claims"), F.round(F.count("truth") / F.count(F.lit(1)) * 100, 2).alias("truth_coverage"), F.round(F.count_if(F.col("stance") == "denies") / F.count(F.lit(1)) * 100, 2).alias("denies_share"), F.lit(None).cast("double").alias("unknown"))
+    return m.unpivot([], ["claims", "truth_coverage", "denies_share", "unknown"], "name", "value")
 
 
 _add(
     "l3_l8_metric_gate",
     lambda s, d: cl.gate(_metrics(_C(s, d)), _metrics(_C(s, d).where("l_orderkey % 2 = 0")), {"denies_share": False, "truth_coverage": True}, 0.001, {"truth_coverage": {"min": 1.0, "target_min": 99.0}}),
     f"""{_CD}, m as (select 'all' k, * from claims union all select 'base', * from claims where l_orderkey % 2 = 0), a as (select k, count(*)::double n, round(count(truth) / count(*) * 100, 2) t, round(count(*) filter (stance = 'denies') / count(*) * 100, 2) d from m group by 1),
-u as (select k, 'claims' as name, n v from a union all select k, 'truth_coverage', t from a union all select k, 'denies_share', d from a), j as (select x.name, x.v, y.v b, (x.v - y.v) / greatest(1, abs(y.v)) w from u x join u y on x.name = y.name and x.k = 'all' and y.k = 'base')
-select name, v as value, b as base, case when name = 'truth_coverage' and v < 1 then 'regressed' when abs(w) <= 0.001 then 'ok' when name = 'claims' then 'new' when (w > 0) = (name = 'truth_coverage') then 'improved' else 'regressed' end status, case when name = 'truth_coverage' and v >= 1 and v < 99 then 'beyond target' end warning from j""",
+u as (select k, 'claims' as name, n v from a union all select k, 'truth_coverage', t from a union all select k, 'denies_share', d from a union all select k, 'unknown', null from a), j as (select x.name, x.v, y.v b, (x.v - y.v) / greatest(1, abs(y.v)) w from u x join u y on x.name = y.name and x.k = 'all' and y.k = 'base')
+select name, v as value, b as base, case when v is null and b is null then 'ok' when name = 'truth_coverage' and v < 1 then 'regressed' when abs(w) <= 0.001 then 'ok' when name = 'claims' then 'new' when (w > 0) = (name = 'truth_coverage') then 'improved' else 'regressed' end status, case when name = 'truth_coverage' and v >= 1 and v < 99 then 'beyond target' end warning from j""",
 )
 
 # K: catalogue

@@ -12,16 +12,36 @@ def _trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"^[\s ﻿]+|[\s ﻿]+$", "")
 
 
+# Two decimal entities that are the halves of one character beyond 65,535.
+HALVES = r"&#(5529[6-9]|55[3-9]\d\d|56[0-2]\d\d|563[01]\d);&#(563[2-9]\d|56[4-9]\d\d|57[0-2]\d\d|573[0-3]\d|5734[0-3]);"
+
+
+def _char(code: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
+
+
 def decode_entities(text: Column) -> Column:
-    """The five named entities, then decimal ones, each number once."""
+    """The five named entities, then decimal ones of any length; two halves make one character, a lone half U+FFFD.
+
+    Numbers beyond Unicode count modulo 65,536. &#38; comes last, as what it makes is not read again.
+    """
     for name, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")):
         text = F.replace(text, F.lit(name), F.lit(char))
 
-    def put(acc: Column, code: Column) -> Column:
-        char = F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
-        return F.replace(acc, F.concat(F.lit("&#"), code, F.lit(";")), char)
+    def join(acc: Column, pair: Column) -> Column:
+        high, low = F.regexp_extract(pair, HALVES, 1).cast("int"), F.regexp_extract(pair, HALVES, 2).cast("int")
+        return F.replace(acc, pair, _char((high - 55296) * 1024 + (low - 56320) + 65536))
 
-    return F.aggregate(F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(\d{1,6});"), F.lit(1))), text, put)
+    def put(acc: Column, code: Column) -> Column:
+        number = code.try_cast("decimal(38,0)")
+        number = F.when(number > 1114111, number % 65536).otherwise(number)
+        char = F.when(number.between(55296, 57343), F.lit("\ufffd")).otherwise(_char(number))
+        return F.coalesce(F.replace(acc, F.concat(F.lit("&#"), code, F.lit(";")), char), acc)
+
+    text = F.aggregate(F.array_distinct(F.regexp_extract_all(text, F.lit(HALVES), F.lit(0))), text, join)
+    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(\d+);"), F.lit(1)))
+    ampersand = lambda c: c.rlike("^0*38$")
+    return F.aggregate(F.concat(F.filter(codes, lambda c: ~ampersand(c)), F.filter(codes, ampersand)), text, put)
 
 
 def timed_text_cues(rows: DataFrame, column: str = "xml") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.functions.text import WEIGHTS, token_set
+from attestra.functions.text import NOT_WORD, WEIGHTS, token_set
 from attestra.streaming.speaker import DECAY, MIDDLE, START, score_stream
 
 #: Sequence numbers in a range: a range's utterances are folded in one row.
@@ -49,7 +49,7 @@ def graph_contradictions(utterances: DataFrame, rel: DataFrame, names: DataFrame
     """
     low = rel.where("direct_truth < 0.5").select("rel_id", F.explode(F.array("subject_id", "object_id")).alias("entity_id"))
     held = low.join(names.select("entity_id", F.lower("canonical").alias("token")), "entity_id").groupBy("token").agg(F.min("rel_id").alias("rel_id"))
-    said = utterances.select("speaker", "seq", F.explode(token_set(F.col("text"), 3)).alias("token"))
+    said = utterances.select("speaker", "seq", F.explode(token_set(F.col("text"), 3, None, NOT_WORD)).alias("token"))
     return said.join(held, "token").groupBy("speaker", "seq").agg(F.min("rel_id").alias("rel_id")).withColumn("weight", F.lit(WEIGHTS["graph"]))
 
 
