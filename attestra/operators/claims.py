@@ -108,6 +108,20 @@ def vector_pairs(claims: DataFrame, vectors: DataFrame, near: float = 0.55, stri
     return j.where(((F.col("similarity") >= near) & against) | (F.col("similarity") >= strict)).select("left", "right", F.size(both).alias("shared"), F.round("similarity", 6).alias("similarity"), F.lit("cosine").alias("reason"))
 
 
+def candidate_pairs(claims: DataFrame, vectors: DataFrame, near: float = 0.55, strict: float = 0.70, floor: float = 0.1, overlap: int = 2, prefix: str = "", block: int = 2000) -> DataFrame:
+    """I16: pairs of different documents' claims that share an entity, by the cosine where both have a vector, else by words.
+
+    vectors: (claim_id, vec), null ones count as missing. (left, right, shared, similarity, reason) as of
+    vector_pairs and cross_document. The rule is chosen for each pair: claims with a vector meet those without by their words.
+    """
+    has = vectors.where("vec is not null").select("claim_id").distinct()
+    by_vector = vector_pairs(claims.withColumn("entities", F.filter("entities", lambda e: e.startswith(prefix))), vectors.where("vec is not null"), near, strict, block)
+    words = cross_document(claims, prefix, floor, overlap, block)
+    side = lambda c: has.select(F.col("claim_id").alias(c), F.lit(True).alias(f"_{c}"))
+    words = words.join(side("left"), "left", "left").join(side("right"), "right", "left").where("not (coalesce(_left, false) and coalesce(_right, false))").drop("_left", "_right")
+    return by_vector.unionByName(words)
+
+
 def manual_contradictions(custom: DataFrame, claims: DataFrame, dismissed: DataFrame) -> DataFrame:
     """operators' pairs (left, right) both of whose claims exist and that nobody dismissed."""
     ids = claims.select("claim_id")

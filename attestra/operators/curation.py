@@ -60,16 +60,35 @@ def corpus(named: DataFrame) -> DataFrame:
     return k.groupBy("entity_id", "label", "norm").agg(F.max(F.struct(F.length("canonical"), "canonical"))["canonical"].alias("canonical"), F.count(F.lit(1)).alias("total"), F.count_distinct("video_id").alias("documents"))
 
 
+def rarest_part(short: DataFrame, long: DataFrame, on: list[str], name: str, parts: str) -> tuple[DataFrame, DataFrame]:
+    """(short names, index of long names), both with _g: what holds a short name has its rarest part, so names meet on that alone.
+
+    parts: the column of both with a name's parts. Of a short name's parts the one is taken that the
+    fewest long names of the same `on` have; one that none has leaves it without partners.
+    """
+    index = long.withColumn("_g", F.explode(F.array_distinct(parts))).drop(parts)
+    counts = index.groupBy(*on, "_g").agg(F.count(F.lit(1)).alias("_c"))
+    of = short.select(*on, name, F.explode(F.array_distinct(parts)).alias("_g")).distinct().join(counts, [*on, "_g"], "left")
+    rare = of.groupBy(*on, name).agg(F.min(F.struct(F.coalesce("_c", F.lit(0)).alias("c"), "_g"))["_g"].alias("_g"))
+    return short.drop(parts).join(rare, [*on, name]), index
+
+
+def _grams(norm: str) -> Column:
+    """The runs of three characters of a name that is not shorter."""
+    return F.transform(F.sequence(F.lit(1), F.length(norm) - 2), lambda i: F.substring(F.col(norm), i, F.lit(3)))
+
+
 def substring_pairs(named: DataFrame, not_same: DataFrame) -> DataFrame:
     """(shorter, longer, together): entities of a label that share a document and of which one's name holds the other's.
 
-    Pairs are made within documents, never within a label. Names of two characters or fewer, labels
+    Pairs are made within documents, never within a label, where the longer name has the shorter
+    one's rarest run of three characters. Names of two characters or fewer, labels
     of NO_SUBSTRINGS and pairs marked as not the same (a, b) are left out.
     """
     norm = F.regexp_replace(F.trim(F.lower("canonical")), r"\s+", " ")
-    k = named.where(~F.col("label").isin(list(NO_SUBSTRINGS))).select("video_id", "label", norm.alias("norm")).distinct()
-    short = k.where(F.length("norm") > 2).select("video_id", "label", F.col("norm").alias("s"))
-    p = short.join(k, ["video_id", "label"]).where((F.length("s") < F.length("norm")) & F.contains("norm", "s"))
+    k = named.where(~F.col("label").isin(list(NO_SUBSTRINGS))).select("video_id", "label", norm.alias("norm")).distinct().where(F.length("norm") > 2).withColumn("_p", _grams("norm"))
+    short, index = rarest_part(k.withColumnRenamed("norm", "s"), k, ["video_id", "label"], "s", "_p")
+    p = short.join(index, ["video_id", "label", "_g"]).where((F.length("s") < F.length("norm")) & F.contains("norm", "s"))
     p = p.groupBy(F.concat_ws(":", "label", "s").alias("shorter"), F.concat_ws(":", "label", "norm").alias("longer")).agg(F.count(F.lit(1)).alias("together"))
     apart = not_same.select(pair_key(F.col("a"), F.col("b")).alias("_p"))
     return p.withColumn("_p", pair_key(F.col("shorter"), F.col("longer"))).join(apart, "_p", "left_anti").drop("_p")
@@ -171,8 +190,9 @@ def shortened(named: DataFrame, handled: DataFrame, document_merges: DataFrame,
     first = F.get("toks", F.lit(0))
     why = F.when(~F.col("label").isin(list(SHORTENED)), "label").when(F.coalesce("_h", "_d", F.lit(False)), "handled").when((F.size("toks") == 0) | F.exists("toks", lambda t: F.length(t) < 3), "short").when((F.size("toks") == 1) & first.isin(common), "common")
     e = e.withColumn("why", why).withColumn("_in", F.concat(F.lit(" "), F.array_join("toks", " "), F.lit(" ")))
-    y = e.where((F.col("n") >= least) & (first != "the")).select("video_id", "label", F.col("key").alias("target"), F.col("_in").alias("_yin"), F.col("_h").alias("_yh"))
-    p = e.where("why is null").join(y, ["video_id", "label"]).where((F.col("key") != F.col("target")) & F.contains("_yin", "_in"))
+    y = e.where((F.col("n") >= least) & (first != "the")).select("video_id", "label", F.col("key").alias("target"), F.col("_in").alias("_yin"), F.col("_h").alias("_yh"), "toks")
+    short, index = rarest_part(e.where("why is null").select("video_id", "label", "key", "_in", "toks"), y, ["video_id", "label"], "key", "toks")
+    p = short.join(index, ["video_id", "label", "_g"]).where((F.col("key") != F.col("target")) & F.contains("_yin", "_in"))
     p = p.groupBy("video_id", F.col("key").alias("source")).agg(F.count(F.lit(1)).alias("m"), F.min("target").alias("target"), F.bool_or(F.coalesce("_yh", F.lit(False))).alias("_yh"))
     apart = not_same.select(pair_key(F.col("a"), F.col("b")).alias("_p"), F.lit(True).alias("_a")).distinct()
     p = p.withColumn("_p", pair_key(F.col("source"), F.col("target"))).join(apart, "_p", "left")

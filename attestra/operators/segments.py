@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestra.operators.components import ensure_checkpoints
+
 # Words whose full stop ends no sentence.
 ABBREVIATIONS = ["mr", "mrs", "ms", "dr", "sen", "rep", "gov", "pres", "st", "jr", "sr", "vs", "etc", "inc", "co", "ltd"]
 SPACE = r" \t\n\r\x0B\f ".encode().decode("unicode_escape")
@@ -165,11 +167,28 @@ def in_windows(mentions: DataFrame, windows: DataFrame, width: int = 500, least:
 
 
 def mention_pairs(held: DataFrame, cap: int = 10) -> DataFrame:
-    """Of each window the pairs (a, b) of mentions whose middles are nearest, at most cap; ties in text order."""
-    side = lambda x: held.select("video_id", "window", F.col("mention_id").alias(x), F.struct("start", "mention_id").alias(f"_{x}"), ((F.col("start") + F.col("end")) / 2).alias(f"_m{x}"))
-    p = side("a").join(side("b"), ["video_id", "window"]).where("_a < _b").withColumn("distance", F.abs(F.col("_ma") - F.col("_mb")))
-    rank = F.row_number().over(Window.partitionBy("video_id", "window").orderBy("distance", "_a", "_b"))
-    return p.withColumn("rank", rank).where(F.col("rank") <= cap).select("video_id", "window", "rank", "a", "b", "distance")
+    """Of each window the pairs (a, b) of mentions whose middles are nearest, at most cap; ties in text order.
+
+    Mentions are sorted by their middles and each looks a few places ahead: a pair n places apart has
+    n (n + 1) / 2 - 1 pairs inside it that are no farther apart, so the nearest lie close. Pairs farther
+    on matter only where they equal the last distance; those meet by an equi-join on the middle. Of
+    mentions with one middle only the first cap + 1 can be in a result.
+    """
+    ensure_checkpoints(held.sparkSession)
+    reach = max(n for n in range(1, cap + 2) if n * (n + 1) // 2 - 1 < cap)
+    where = ["video_id", "window"]
+    m = held.select(*where, "mention_id", F.struct("start", "mention_id").alias("key"), ((F.col("start") + F.col("end")) / 2).alias("mid"))
+    m = m.withColumn("_r", F.row_number().over(Window.partitionBy(*where, "mid").orderBy("key"))).where(F.col("_r") <= cap + 1).drop("_r")
+    along = Window.partitionBy(*where).orderBy("mid", "key")
+    ahead = F.array(*[F.lead(F.struct("key", "mid"), n).over(along) for n in range(1, reach + 1)])
+    m = m.withColumn("place", F.row_number().over(along)).withColumn("ahead", ahead).checkpoint()
+    near = m.select(*where, F.col("key").alias("x"), "mid", F.explode(F.array_compact("ahead")).alias("o")).select(*where, "x", F.col("o.key").alias("y"), (F.col("o.mid") - F.col("mid")).alias("distance"))
+    last = near.withColumn("_r", F.row_number().over(Window.partitionBy(*where).orderBy("distance"))).where(F.col("_r") == cap).select(*where, F.col("distance").alias("last"))
+    left = m.join(last, where).select(*where, F.col("key").alias("x"), F.col("place").alias("px"), (F.col("mid") + F.col("last")).alias("mid"), "last")
+    ties = left.join(m.select(*where, "mid", F.col("key").alias("y"), "place"), [*where, "mid"]).where(F.col("place") > F.col("px") + reach).select(*where, "x", "y", F.col("last").alias("distance"))
+    p = near.union(ties).select(*where, F.least("x", "y").alias("_a"), F.greatest("x", "y").alias("_b"), "distance")
+    rank = F.row_number().over(Window.partitionBy(*where).orderBy("distance", "_a", "_b"))
+    return p.withColumn("rank", rank).where(F.col("rank") <= cap).select(*where, "rank", F.col("_a.mention_id").alias("a"), F.col("_b.mention_id").alias("b"), "distance")
 
 
 def participants(pairs: DataFrame) -> DataFrame:

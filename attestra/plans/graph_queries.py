@@ -58,8 +58,8 @@ def resolved(s: SparkSession, d: str) -> DataFrame:
     return bd.mention_entities(_mentions(s, d), _no_merges(s), _closed(s, d), _dead(s, d))
 
 
-_RES = f"""{tq._DOCS}, {tq._TOKS}, {tq._MEN}, m2 as (select *, case when length(surface) > 9 then surface[1:9] else surface end c from me), m3 as (select *, label || ':' || lower(c) k from m2), rs as (select * from (select *, case when k like '%s' then k[1:length(k) - 1] else k end entity_id from m3) where entity_id not in (select k from m3 where k like '%ing')),
-eg as (select video_id, mention_id sm, lead(mention_id) over (partition by video_id order by start) om, ['met_with', 'works_for', 'located_in', 'accused_of'][1 + length(surface) % 4] predicate, start, "end" from me),
+_RES = f"""{tq._DOCS}, {tq._TOKS}, {tq._MEN.replace(" me as (", " me as materialized (", 1).replace("me as (", "me as materialized (", 1) if tq._MEN.startswith("me as (") else tq._MEN.replace(" me as (", " me as materialized (", 1)}, m2 as (select *, case when length(surface) > 9 then surface[1:9] else surface end c from me), m3 as (select *, label || ':' || lower(c) k from m2), rs as materialized (select * from (select *, case when k like '%s' then k[1:length(k) - 1] else k end entity_id from m3) where not exists (from (select distinct k from m3 where k like '%ing') x where x.k = entity_id)),
+eg as materialized (select video_id, mention_id sm, lead(mention_id) over (partition by video_id order by start) om, ['met_with', 'works_for', 'located_in', 'accused_of'][1 + length(surface) % 4] predicate, start, "end" from me),
 dr as (select eg.*, a.entity_id s, b.entity_id o from eg join rs a on a.video_id = eg.video_id and a.mention_id = sm join rs b on b.video_id = eg.video_id and b.mention_id = om where a.entity_id <> b.entity_id)"""
 _OK = "(predicate not in ('met_with', 'works_for', 'located_in') or predicate = 'met_with' and split_part(s, ':', 1) in ('person', 'organization') and split_part(o, ':', 1) in ('person', 'organization') or predicate = 'works_for' and split_part(s, ':', 1) = 'person' and split_part(o, ':', 1) = 'organization' or predicate = 'located_in' and split_part(s, ':', 1) <> 'technology' and split_part(o, ':', 1) in ('location', 'facility'))"
 _add(
