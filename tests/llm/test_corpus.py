@@ -60,15 +60,17 @@ def test_decontamination_odd_rows(spark, odd, empty):
     assert decontaminate.decontaminate(odd, items.limit(0)).where("contaminated").count() == 0
 
 
-def test_mixture_bounds(spark, odd, empty):
-    rows = mixture.mixed_documents(odd, block=64).collect()
+@pytest.mark.parametrize(("block", "apart"), [(None, 1), (64, 2 * 64)])
+def test_mixture_bounds(spark, odd, empty, block, apart):
+    """A source's take is off its target by a slot or two at most; slots are of one word in small tables."""
+    rows = mixture.mixed_documents(odd, block=block).collect()
     assert len(rows) == 10 and mixture.mixed_documents(empty).count() == 0
     assert all(0 <= r["taken"] <= 3 * r["size"] for r in rows)
     per = {}
     for r in rows:
         t = per.setdefault(r["source"], [0, r["target"], r["source_size"]])
         t[0] += r["taken"]
-    assert all(abs(t - want) <= 1 and want <= 3 * size + 1e-6 for t, want, size in per.values())
+    assert all(abs(t - want) <= apart and want <= 3 * size + 1e-6 for t, want, size in per.values())
 
 
 def test_fingerprints_match_plain_python(spark, odd, empty):
@@ -309,4 +311,4 @@ def test_forest_compares_each_pair_at_its_longest_prefix_only():
                 texts, _, _, sums = ngramjoin.compare_block(np.array(rows), None, sigs, sets, np.ones(12, np.int64), tree, length, 0.8)
                 links += texts
                 expected += sums[:, ngramjoin.DEPTH - 1].sum()
-    assert (links == 11).all() and 12 * 11 <= expected <= 12 * 11 * 1.01
+    assert (links == 11).all() and 66 <= expected <= 66.7  # once a link
