@@ -223,3 +223,25 @@ def gate(metrics: DataFrame, baseline: DataFrame, higher_is_better: dict[str, bo
     status = F.when(value.isNull(), F.when(F.col("base").isNull(), "ok").otherwise("missing")).when(beyond("min", "max"), "regressed").when(F.col("base").isNull(), "new").otherwise(drift)
     soft = F.when(beyond("min", "max") | value.isNull(), None).when(beyond("target_min", "target_max"), "beyond target")
     return j.select("name", "value", "base", status.alias("status"), soft.alias("warning"))
+
+
+def counter_evidence(deps: DataFrame, subkinds: tuple[str, ...] = ("alternative", "undercuts")) -> DataFrame:
+    """(claim_id, source, subkind): what other claims of a document hold against a claim."""
+    against = deps.where("kind = 'contradicts'").withColumn("subkind", subkind(F.col("rationale")))
+    return against.where(F.col("subkind").isin(list(subkinds))).select(F.col("target").alias("claim_id"), "source", "subkind")
+
+
+def dependency_edges(deps: DataFrame, deleted: DataFrame) -> DataFrame:
+    """(source, target, kind) of dependencies neither of whose targets is deleted (claim_id)."""
+    return deps.join(deleted.select(F.col("claim_id").alias("target")), "target", "left_anti").select("source", "target", "kind")
+
+
+def edge_truth(citing: DataFrame) -> DataFrame:
+    """(edge, truth, n, claim_ids) of rows (edge, claim_id, truth): the mean truth of the claims that cite an edge; claims without truth don't count."""
+    held = citing.where("truth is not null")
+    return held.groupBy("edge").agg(F.avg("truth").alias("truth"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("claim_id")).alias("claim_ids"))
+
+
+def with_dependents(claims: DataFrame, deps: DataFrame) -> DataFrame:
+    """The claims that others depend on."""
+    return claims.join(deps.select(F.col("target").alias("claim_id")), "claim_id", "left_semi")

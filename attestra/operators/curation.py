@@ -339,3 +339,8 @@ def calibration_bundle(sections: dict[str, DataFrame], verdicts: DataFrame, limi
     for name, rows in sections.items():
         out = out.union(rows.orderBy(*rows.columns).limit(limit).select(F.lit(name), F.to_json(F.struct("*"))))
     return out
+
+
+def audit_log(entries: DataFrame, newest: int = 500, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """The newest entries of the log, newest first; ties by the later columns of the order."""
+    return entries.orderBy(*[F.desc(c) for c in order]).limit(newest)

@@ -104,3 +104,8 @@ def audit(entities_with_status: DataFrame) -> DataFrame:
         return F.count_if(F.col("status") == s).alias(s)
 
     return entities_with_status.groupBy(F.substring_index("entity_id", ":", 1).alias("label")).agg(F.count(F.lit(1)).alias("total"), n("deleted"), n("merged"), n("active"))
+
+
+def visible(mentions: DataFrame, hidden: list[str]) -> DataFrame:
+    """Mentions whose label is not hidden; those without a label stay."""
+    return mentions.where(~F.coalesce(F.col("label").isin(hidden), F.lit(False)))

@@ -291,3 +291,17 @@ def graph_seeds(results: DataFrame, cap: int = 60) -> DataFrame:
     top = first.orderBy("rank", "claim_id").limit(cap + 1).withColumn("place", F.row_number().over(Window.orderBy("rank", "claim_id")))  # of at most cap + 1 rows
     more = top.agg((F.count(F.lit(1)) > cap).alias("truncated"))
     return top.where(F.col("place") <= cap).crossJoin(F.broadcast(more)).select("claim_id", "place", "truncated")  # one row
+
+
+def truth_timeline(claims: DataFrame) -> DataFrame:
+    """Claims with a truth with mid, 2 truth - 1, and lo, hi, a band of the root of 1 - confidence around it, within -1 and 1."""
+    mid, wide = 2 * F.col("truth") - 1, F.sqrt(1 - F.col("confidence"))
+    one = lambda c: F.round(c, 6) + 0.0
+    return claims.where("truth is not null").withColumns({"mid": one(mid), "lo": one(F.greatest(F.lit(-1.0), mid - wide)), "hi": one(F.least(F.lit(1.0), mid + wide))})
+
+
+def weighted_terms(mentions: DataFrame, top: int = 80, cut: int = 32) -> DataFrame:
+    """(video_id, term, n, rank): each document's most mentioned surfaces, cut to a length; ties by the term."""
+    n = mentions.groupBy("video_id", F.substring("surface", 1, cut).alias("term")).agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("n"), "term"))
+    return n.withColumn("rank", rank).where(F.col("rank") <= top)

@@ -174,3 +174,8 @@ def novel_links(rel: DataFrame, least: int = 2, limit: int = 50) -> DataFrame:
     two = near.join(near.select(F.col("a").alias("b"), "m"), "m").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     known = ends.select(F.least("subject_id", "object_id").alias("a"), F.greatest("subject_id", "object_id").alias("b"))
     return two.where(F.col("shared") >= least).join(known, ["a", "b"], "left_anti").orderBy(F.desc("shared"), "a", "b").limit(limit)
+
+
+def relation_lines(rel: DataFrame) -> DataFrame:
+    """Relations with line, their reading: subject, predicate in words, object, provenance in brackets."""
+    return rel.withColumn("line", F.format_string("%s %s %s [%s]", "subject_id", F.translate("predicate", "_", " "), "object_id", "provenance"))

@@ -26,3 +26,9 @@ def reset_failed(rows: DataFrame) -> DataFrame:
     """Failed rows are pending again, without their last error."""
     failed = F.col("status").startswith("failed")
     return rows.withColumns({"status": F.when(failed, "pending").otherwise(F.col("status")), "last_error": F.when(~failed, F.col("last_error"))})
+
+
+def status_listing(records: DataFrame) -> DataFrame:
+    """(video_id, stages): each document's stages with the day on which they ran, by name."""
+    one = F.concat_ws("=", "stage", F.date_format("at", "yyyy-MM-dd"))
+    return records.groupBy("video_id").agg(F.array_sort(F.collect_list(one)).alias("stages"))

@@ -166,10 +166,21 @@ def subset_reasoning(claims: DataFrame, deps: DataFrame, documents: DataFrame, c
 
 # L
 def percentiles(df: DataFrame, group: list[str], column: str, at: dict[str, float]) -> DataFrame:
-    """Each group's element at min(n - 1, floor(n * p)): equal values are counted first, so only distinct ones are ranked."""
+    """Each group's element at min(n - 1, floor(n * p)): equal values are counted first, so only distinct ones are ranked.
+
+    Without groups the distinct values are dealt by ranges and the ranges' counts are summed up, so that no task sees them all.
+    """
     n = df.where(F.col(column).isNotNull()).groupBy(*group, column).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    r = n.withColumn("_upto", F.sum("_c").over(w.orderBy(column))).withColumn("_n", F.sum("_c").over(w))
+    if group:
+        w = Window.partitionBy(*group)
+        r = n.withColumn("_upto", F.sum("_c").over(w.orderBy(column))).withColumn("_n", F.sum("_c").over(w))
+    else:
+        rs.ensure_checkpoints(df.sparkSession)
+        dealt = n.repartitionByRange(column).withColumn("_part", F.spark_partition_id()).checkpoint()
+        sums = dealt.groupBy("_part").agg(F.sum("_c").alias("_s"))
+        w = Window.partitionBy(F.lit(0))  # a row for each range
+        sums = sums.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_s").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_s").over(w).alias("_n"))
+        r = dealt.join(F.broadcast(sums), F.col("_part") == F.col("_p")).withColumn("_upto", F.col("_before") + F.sum("_c").over(Window.partitionBy("_part").orderBy(column)))
     hit = lambda p: F.min(F.when(F.col("_upto") > F.least(F.col("_n") - 1, F.floor(F.col("_n") * p)), F.col(column)))
     return r.groupBy(*group).agg(*[hit(p).alias(name) for name, p in at.items()])
 
@@ -303,3 +314,13 @@ def gold_check(gold: DataFrame, current: DataFrame) -> DataFrame:
     reasons = F.array_compact(F.array(F.when(F.col("claims") < F.col("g_claims") * 0.7, "claims"), F.when((F.col("p50") > F.col("g_p50") * 2) & (F.col("g_p50") > 0), "p50"), F.when(F.col("denies") < F.col("g_denies") / 2, "denies"), F.when(F.col("contradicts") < F.col("g_contradicts") / 2, "contradicts")))
     status = F.when(F.col("_here").isNull(), "missing").when(F.size(reasons) > 0, "regressed").otherwise("ok")
     return j.select("video_id", status.alias("status"), F.array_join(F.when(F.col("_here"), reasons).otherwise(F.array().cast("array<string>")), ",").alias("reasons"))
+
+
+def documents_by_claims(documents: DataFrame, claims: DataFrame, having: bool = True) -> DataFrame:
+    """Documents (video_id, ...) that have one of the claims, or, without having, that have none."""
+    return documents.join(claims.select("video_id"), "video_id", "left_semi" if having else "left_anti")
+
+
+def extraction_summary(claims: DataFrame) -> DataFrame:
+    """(video_id, kind, n, with_truth): each document's claims by kind, and how many of them have a truth."""
+    return claims.groupBy("video_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.count("truth").alias("with_truth"))

@@ -233,3 +233,25 @@ def aligned(mentions: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]
     """C14: (mentions, documents): documents (video_id, text, rewritten) with applied, whether rewriting kept the length; the mentions of others are dropped."""
     flagged = docs.withColumn("applied", F.length("text") == F.length("rewritten"))
     return mentions.join(flagged.where("applied").select("video_id"), "video_id", "left_semi"), flagged
+
+
+def cue_offsets(cues: DataFrame) -> DataFrame:
+    """B1: cues (video_id, cue_idx, text) with char_start, where each begins in its document's text joined by line breaks, and n_chars."""
+    before = Window.partitionBy("video_id").orderBy("cue_idx").rowsBetween(Window.unboundedPreceding, -1)
+    return cues.withColumns({"char_start": F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("long"), "n_chars": F.length("text").cast("long")})
+
+
+def cue_at(cues: DataFrame, offsets: DataFrame) -> DataFrame:
+    """B2: (video_id, pos, cue_idx, time) of offsets (video_id, pos): the last cue that begins at or before each; without one: no row.
+
+    Cues and offsets are laid in one order and the last cue is carried on, so no cue meets all offsets.
+    """
+    at = cue_offsets(cues).select("video_id", F.col("char_start").alias("pos"), F.lit(0).alias("kind"), "cue_idx", "start")
+    both = at.unionByName(offsets.select("video_id", F.col("pos").cast("long").alias("pos"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("cue_idx"), F.lit(None).cast("double").alias("start")))
+    last = F.last(F.when(F.col("kind") == 0, F.struct("cue_idx", "start")), ignorenulls=True).over(Window.partitionBy("video_id").orderBy("pos", "kind", "cue_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return both.withColumn("at", last).where("kind = 1 and at is not null").select("video_id", "pos", F.col("at.cue_idx").alias("cue_idx"), F.col("at.start").alias("time"))
+
+
+def line_search(cues: DataFrame, text: str) -> DataFrame:
+    """Cues whose text holds the given one, whatever the case; an empty text finds none."""
+    return cues.where(F.lower("text").contains(text.lower()) if text.strip() else F.lit(False))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.functions import text as tx
+from attestra.operators import claims as cl
 from attestra.operators import dates, jobs
+from attestra.operators import facets as fa
+from attestra.operators import graph as gr
+from attestra.operators import quality as ql
 from attestra.plans import fixtures as fx
+from attestra.streaming import skeptic as sk
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -57,7 +62,7 @@ _add(
 # G, J: neighbourhoods and scopes
 _add("g14_one_hop", lambda s, d: fx.relationships(s, d).where("subject_id = 'person:c7' or object_id = 'organization:s3'").select("rel_id", "subject_id", "object_id"), f"with {fx.REL} select rel_id, subject_id, object_id from rel where subject_id = 'person:c7' or object_id = 'organization:s3'")
 _add("g12_induced_graph", lambda s, d: fx.relationships(s, d).where(F.split_part("subject_id", F.lit(":"), F.lit(1)).isin("person") & F.split_part("object_id", F.lit(":"), F.lit(1)).isin("organization", "person")).groupBy("predicate").agg(F.count(F.lit(1)).alias("n")), f"with {fx.REL} select predicate, count(*)::bigint n from rel where split_part(subject_id, ':', 1) = 'person' and split_part(object_id, ':', 1) in ('organization', 'person') group by 1")
-_add("g7_relationship_lines", lambda s, d: fx.relationships(s, d).select("rel_id", F.format_string("%s %s %s [%s]", "subject_id", F.translate("predicate", "_", " "), "object_id", "provenance").alias("line")), f"with {fx.REL} select rel_id, subject_id || ' ' || replace(predicate, '_', ' ') || ' ' || object_id || ' [' || provenance || ']' line from rel")
+_add("g7_relationship_lines", lambda s, d: gr.relation_lines(fx.relationships(s, d)).select("rel_id", "line"), f"with {fx.REL} select rel_id, subject_id || ' ' || replace(predicate, '_', ' ') || ' ' || object_id || ' [' || provenance || ']' line from rel")
 
 
 def _j14(s: SparkSession, d: str) -> DataFrame:
@@ -93,9 +98,7 @@ _add("j20_j22_claim_neighbourhood", _j21, f"{_CD}, s as (select claim_id from cl
 
 
 def _j24(s: SparkSession, d: str) -> DataFrame:
-    n = fx.mentions(s, d).groupBy("video_id", F.substring("surface", 1, 32).alias("term")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("video_id").orderBy(F.desc("n"), "term")
-    return n.withColumn("rank", F.row_number().over(w)).where("rank <= 80").select("video_id", "term", "n", "rank")
+    return fa.weighted_terms(fx.mentions(s, d)).select("video_id", "term", "n", "rank")
 
 
 _add("j24_terms_of_documents", _j24, f"with {fx.MENTIONS} select video_id, surface[1:32] term, count(*)::bigint n, row_number() over (partition by video_id order by count(*) desc, surface[1:32])::int rank from mentions group by 1, 2 qualify rank <= 80")
@@ -104,16 +107,16 @@ _add("j25_truth_labels", lambda s, d: _C(s, d).groupBy(tx.truth_label(F.col("tru
 # I: claims
 _add(
     "i11_counter_evidence",
-    lambda s, d: _D(s, d).withColumn("subkind", tx.subkind(F.col("rationale"))).where("kind = 'contradicts' and subkind in ('alternative', 'undercuts')").groupBy(F.col("target").alias("claim_id")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "source", "subkind"))), ",").alias("against")),
+    lambda s, d: cl.counter_evidence(_D(s, d)).groupBy("claim_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "source", "subkind"))), ",").alias("against")),
     f"{_CD} select target claim_id, string_agg(source || ' ' || k, ',' order by source || ' ' || k) against from (select *, regexp_extract(rationale, '^\\[(\\w+)\\]', 1) k from deps where kind = 'contradicts') where k in ('alternative', 'undercuts') group by 1",
 )
 _add(
     "i25_edge_truth",
-    lambda s, d: _C(s, d).where("truth is not null").groupBy(F.concat_ws("|", F.col("entities")[1], "kind", F.col("entities")[0]).alias("edge")).agg(F.round(F.avg("truth"), 6).alias("truth"), F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("claim_id")), ",").alias("claim_ids")),
+    lambda s, d: cl.edge_truth(_C(s, d).withColumn("edge", F.concat_ws("|", F.col("entities")[1], "kind", F.col("entities")[0]))).withColumns({"truth": F.round("truth", 6), "claim_ids": F.array_join("claim_ids", ",")}),
     f"{_CD} select entities[2] || '|' || kind || '|' || entities[1] edge, round(avg(truth), 6) truth, count(*)::bigint n, string_agg(claim_id, ',' order by claim_id) claim_ids from claims where truth is not null group by 1",
 )
-_add("i28_has_dependents", lambda s, d: _C(s, d).select("claim_id").join(_D(s, d).select(F.col("target").alias("claim_id")), "claim_id", "left_semi"), f"{_CD} select claim_id from claims where claim_id in (select target from deps)")
-_add("i33_documents_without_denials", lambda s, d: _C(s, d).select("video_id").distinct().join(_C(s, d).where("stance = 'denies' and kind = 'opinion' and l_linenumber >= 5").select("video_id"), "video_id", "left_anti"), f"{_CD} select distinct video_id from claims where video_id not in (select video_id from claims where stance = 'denies' and kind = 'opinion' and l_linenumber >= 5)")
+_add("i28_has_dependents", lambda s, d: cl.with_dependents(_C(s, d), _D(s, d)).select("claim_id"), f"{_CD} select claim_id from claims where claim_id in (select target from deps)")
+_add("i33_documents_without_denials", lambda s, d: ql.documents_by_claims(_C(s, d).select("video_id").distinct(), _C(s, d).where("stance = 'denies' and kind = 'opinion' and l_linenumber >= 5"), having=False), f"{_CD} select distinct video_id from claims where video_id not in (select video_id from claims where stance = 'denies' and kind = 'opinion' and l_linenumber >= 5)")
 # K: jobs
 NEEDS = [("fetched", None), ("nlp", "fetched"), ("claims", "nlp"), ("graph", "claims"), ("graph", "nlp")]
 _STAGES = {"fetched": (0, 97), "nlp": (1, 5), "claims": (2, 4), "graph": (3, 3)}
@@ -137,7 +140,7 @@ def _state(s: SparkSession, d: str) -> DataFrame:
 
 _add("k15_stage_state", _state, f"{_STATE} select * from st")
 _add("k17_work_list", lambda s, d: _state(s, d).where("stale and satisfied").groupBy("stage").agg(F.count(F.lit(1)).alias("n")), f"{_STATE} select stage, count(*)::bigint n from st where stale and satisfied group by 1")
-_add("k20_status_listing", lambda s, d: _records(s, d).groupBy("video_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "stage", F.date_format("at", "yyyy-MM-dd")))), " ").alias("stages")), f"with {_RECORDS} select video_id, string_agg(stage || '=' || strftime(at_, '%Y-%m-%d'), ' ' order by stage || '=' || strftime(at_, '%Y-%m-%d')) stages from rec group by 1")
+_add("k20_status_listing", lambda s, d: jobs.status_listing(_records(s, d)).withColumn("stages", F.array_join("stages", " ")), f"with {_RECORDS} select video_id, string_agg(stage || '=' || strftime(at_, '%Y-%m-%d'), ' ' order by stage || '=' || strftime(at_, '%Y-%m-%d')) stages from rec group by 1")
 _add("k10_k11_reset_progress", lambda s, d: jobs.reset_failed(fx.catalog(s, d)).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count("last_error").alias("errors")), f"with {fx.CATALOG} select case when status like 'failed%' then 'pending' else status end status, count(*)::bigint n, count(*) filter (status not like 'failed%' and last_error is not null)::bigint errors from catalog group by 1")
 
 
@@ -146,12 +149,10 @@ def _m3(s: SparkSession, d: str) -> DataFrame:
     t = fx.table(s, d, "conversations").select("conv_id", "role", "turn", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
     # a negation of every third utterance follows it, so that some speakers contradict themselves
     t = t.union(t.where("turn % 3 = 0").select("conv_id", "role", F.col("turn") + 1000, F.concat(F.lit("not "), "low")))
-    t = t.withColumn("at", F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn", "low")))
-    said = t.select(F.col("conv_id").alias("c"), F.col("role").alias("r"), F.col("at").alias("before"), F.col("low").alias("prior"))
-    base = t.withColumn("bare", F.when(F.col("low").startswith("not "), F.expr("substring(low, 5)")))
-    other = F.explode(F.array_compact(F.array(F.concat(F.lit("not "), "low"), "bare")))
-    hit = base.select("conv_id", "role", "turn", "at", other.alias("other")).join(said, (F.col("conv_id") == F.col("c")) & F.col("role").eqNullSafe(F.col("r")) & (F.col("other") == F.col("prior")) & (F.col("at") > F.col("before")) & (F.col("at") - F.col("before") <= 200))
-    return hit.groupBy("conv_id", "role", "turn").agg(F.count(F.lit(1)).alias("n"), F.round(F.count(F.lit(1)) * tx.WEIGHTS["self"], 4).alias("weight"))
+    t = t.withColumn("speaker", F.concat_ws("/", F.col("conv_id").cast("string"), F.coalesce("role", F.lit("?"))))
+    found = sk.self_contradictions(t.select("speaker", F.col("turn").alias("seq"), F.col("low").alias("text")))
+    named = t.select("speaker", "conv_id", "role").distinct()
+    return found.join(named, "speaker").select("conv_id", "role", F.col("seq").alias("turn"), "n", "weight")
 
 
 _add(

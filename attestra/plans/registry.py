@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.functions import text as tx
 from attestra.operators import catalog as kt
 from attestra.operators import claims as cl
+from attestra.operators import curation as cu
 from attestra.operators import entities as en
+from attestra.operators import facets as fa
 from attestra.operators import graph as gr
+from attestra.operators import quality as ql
+from attestra.operators import segments as sg
 from attestra.plans import fixtures as fx
 from attestra.plans import claim_queries, entity_queries, facet_queries, graph_queries, more, quality_queries, source_queries, text_queries
 from attestra.streaming import speaker as sp
@@ -44,18 +48,14 @@ def _stops() -> str:
 # B: text
 _add(
     "b1_cue_offsets",
-    lambda s, d: fx.cues(s, d).select("video_id", "cue_idx", F.coalesce(F.sum(F.length("text") + 1).over(Window.partitionBy("video_id").orderBy("cue_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("char_start"), F.length("text").cast("long").alias("n_chars")),
+    lambda s, d: sg.cue_offsets(fx.cues(s, d)).select("video_id", "cue_idx", "char_start", "n_chars"),
     f"with {fx.CUES} select video_id, cue_idx, coalesce(sum(length(text) + 1) over (partition by video_id order by cue_idx rows between unbounded preceding and 1 preceding), 0)::bigint char_start, length(text)::bigint n_chars from cues",
 )
 
 
 def _b2(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("video_id").orderBy("cue_idx").rowsBetween(Window.unboundedPreceding, -1)
-    c = fx.cues(s, d).withColumn("pos", F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0)).cast("long"))
-    probes = c.groupBy("video_id").agg(F.max("pos").alias("m")).select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m"), F.lit(97).cast("long"))).alias("pos"))
-    both = c.select("video_id", "pos", F.lit(0).alias("kind"), "cue_idx").unionByName(probes.select("video_id", "pos", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("cue_idx")))
-    at = F.last("cue_idx", ignorenulls=True).over(Window.partitionBy("video_id").orderBy("pos", "kind", "cue_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return both.withColumn("at", at).where("kind = 1").select("video_id", "pos", F.col("at").alias("cue_idx"), (F.col("at") * 4.0).alias("time"))
+    probes = sg.cue_offsets(fx.cues(s, d)).groupBy("video_id").agg(F.max("char_start").alias("m")).select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m"), F.lit(97).cast("long"))).alias("pos"))
+    return sg.cue_at(fx.cues(s, d), probes)
 
 
 _add(
@@ -81,7 +81,7 @@ _add(
     lambda s, d: fx.dependencies(s, d).join(fx.claims(s, d).select(F.col("claim_id").alias("source"), tx.token_set(F.col("text")).alias("a")), "source").join(fx.claims(s, d).select(F.col("claim_id").alias("target"), tx.token_set(F.col("text")).alias("b")), "target").select("source", "target", F.round(tx.jaccard(F.col("a"), F.col("b")), 6).alias("likeness")),
     f"with {fx.LI}, {fx.CLAIMS}, {fx.DEPS}, t as (select claim_id, {_TOK.format(n=2)} w from claims) select source, target, coalesce(round(len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(list_concat(a.w, b.w))), 0), 6), 0)::double likeness from deps join t a on source = a.claim_id join t b on target = b.claim_id",
 )
-_add("b11_line_search", lambda s, d: fx.cues(s, d).where(F.lower("text").contains("ing th")).select("video_id", "cue_idx"), f"with {fx.CUES} select video_id, cue_idx from cues where contains(lower(text), 'ing th')")
+_add("b11_line_search", lambda s, d: sg.line_search(fx.cues(s, d), "ING th").select("video_id", "cue_idx"), f"with {fx.CUES} select video_id, cue_idx from cues where contains(lower(text), 'ing th')")
 _add(
     "b12_b15_links_and_clock",
     lambda s, d: fx.cues(s, d).select("video_id", "cue_idx", tx.deep_link(F.col("video_id"), F.col("start") + 0.5).alias("link"), tx.clock(F.col("start")).alias("clock")),
@@ -99,7 +99,7 @@ _add(
     f"with {fx.MENTIONS}, {_USABLE} select label, norm, surface canonical from (select label, norm, surface, row_number() over (partition by label, norm order by length(surface) * 1000 + count(*) desc, surface) r from usable group by 1, 2, 3) where r = 1",
 )
 _add("c6_mention_ids", lambda s, d: en.numbered(en.usable(fx.mentions(s, d))).select("video_id", "ordinal", "mention_id"), f"with {fx.MENTIONS}, {_USABLE}, n as (select *, row_number() over (partition by video_id order by ordinal) k from usable) select video_id, ordinal, printf('m_%04d', k) mention_id from n")
-_add("c13_visible_mentions", lambda s, d: fx.mentions(s, d).where(~F.col("label").isin("event", "facility")).groupBy("video_id").agg(F.count(F.lit(1)).alias("n")), f"with {fx.MENTIONS} select video_id, count(*)::bigint n from mentions where label not in ('event', 'facility') group by 1")
+_add("c13_visible_mentions", lambda s, d: en.visible(fx.mentions(s, d), ["event", "facility"]).groupBy("video_id").agg(F.count(F.lit(1)).alias("n")), f"with {fx.MENTIONS} select video_id, count(*)::bigint n from mentions where label not in ('event', 'facility') group by 1")
 _add("e1_e2_corpus_entities", lambda s, d: en.corpus_entities(en.usable(fx.mentions(s, d))), f"with {fx.MENTIONS}, {_USABLE}, {_ENT} select * from ent")
 
 
@@ -148,7 +148,7 @@ _add(
     lambda s, d: en.latest(fx.table(s, d, "events").select("user_id", "event_type", "event_id", F.when(F.col("event_id") % 3 == 0, "remove").otherwise("set").alias("op"), "value"), ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id", "value"),
     "select user_id, event_type, event_id, value from (select *, row_number() over (partition by user_id, event_type order by event_id desc) r from events) where r = 1 and event_id % 3 <> 0",
 )
-_add("e30_audit_log", lambda s, d: fx.table(s, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(500).select("event_id", "user_id", "event_type"), "select event_id, user_id, event_type from events order by ts desc, event_id desc limit 500")
+_add("e30_audit_log", lambda s, d: cu.audit_log(fx.table(s, d, "events")).select("event_id", "user_id", "event_type"), "select event_id, user_id, event_type from events order by ts desc, event_id desc limit 500")
 
 # F, G, H: graph
 _NODES = "nodes as (select entity_id, count(*)::bigint weight from (select subject_id entity_id from rel union all select object_id from rel) group by 1)"
@@ -212,7 +212,7 @@ _C, _D = fx.claims, fx.dependencies
 _CD = f"with {fx.LI}, {fx.CLAIMS}, {fx.DEPS}"
 _SUB = "nullif(lower(regexp_extract(rationale, '^\\s*\\[(logical|debunks|alternative|undercuts)\\]', 1)), '')"
 _add("i5_subkinds", lambda s, d: _D(s, d).select("source", tx.subkind(F.col("rationale")).alias("subkind"), tx.without_subkind(F.col("rationale")).alias("rest")), f"{_CD} select source, {_SUB} subkind, regexp_replace(rationale, '^\\s*\\[(logical|debunks|alternative|undercuts)\\]\\s*', '') rest from deps")
-_add("i12_dependency_edges", lambda s, d: _D(s, d).join(_C(s, d).where("l_orderkey % 11 = 0").select(F.col("claim_id").alias("target")), "target", "left_anti").select("source", "target", "kind"), f"{_CD} select source, target, kind from deps where target not in (select claim_id from claims where l_orderkey % 11 = 0)")
+_add("i12_dependency_edges", lambda s, d: cl.dependency_edges(_D(s, d), _C(s, d).where("l_orderkey % 11 = 0")), f"{_CD} select source, target, kind from deps where target not in (select claim_id from claims where l_orderkey % 11 = 0)")
 _add("i13_index_header", lambda s, d: _C(s, d).agg(F.countDistinct("video_id").alias("documents"), F.count(F.lit(1)).alias("claims"), F.count("truth").alias("with_truth")), f"{_CD} select count(distinct video_id)::bigint documents, count(*)::bigint claims, count(truth)::bigint with_truth from claims")
 _add(
     "i14_pair_contradictions",
@@ -257,7 +257,7 @@ _add(
     lambda s, d: cl.undismissed(_D(s, d).select(F.col("source").alias("left"), F.col("target").alias("right"), "kind"), _D(s, d).where("kind = 'supports'").select(F.col("target").alias("left"), F.col("source").alias("right"))),
     f"{_CD} select source as left, target as right, kind from deps where kind <> 'supports'",
 )
-_add("i36_extraction_summary", lambda s, d: _C(s, d).groupBy("video_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.count("truth").alias("with_truth")), f"{_CD} select video_id, kind, count(*)::bigint n, count(truth)::bigint with_truth from claims group by 1, 2")
+_add("i36_extraction_summary", lambda s, d: ql.extraction_summary(_C(s, d)), f"{_CD} select video_id, kind, count(*)::bigint n, count(truth)::bigint with_truth from claims group by 1, 2")
 
 
 def _i7(s: SparkSession, d: str) -> DataFrame:
@@ -286,7 +286,7 @@ _add("j4_most_certain", lambda s, d: _C(s, d).where("truth is not null").orderBy
 _add("j5_degrees", lambda s, d: cl.degrees(_D(s, d)), f"{_CD} select claim_id, sum(o)::bigint out_degree, sum(i)::bigint in_degree from (select source claim_id, 1 o, 0 i from deps union all select target, 0, 1 from deps) group by 1")
 _add("j6_unit_histogram", lambda s, d: cl.unit_histogram(_C(s, d), "truth"), f"{_CD} select g::int bin, count(truth)::bigint n from range(10) t(g) left join claims on least(9, floor(truth * 10)) = g group by 1")
 _add("j8_month_histogram", lambda s, d: cl.month_histogram(_C(s, d), "published"), f"{_CD}, m as (select date_trunc('month', published) m from claims), g as (select unnest(generate_series((select min(m) from m)::timestamp, (select max(m) from m)::timestamp, interval 1 month)) m) select strftime(g.m, '%Y-%m') as month, count(m.m)::bigint n from g left join m on g.m = m.m group by 1")
-_add("j23_truth_timeline", lambda s, d: _C(s, d).where("truth is not null").select("claim_id", (F.round(2 * F.col("truth") - 1, 6) + 0.0).alias("mid"), (F.round(F.greatest(F.lit(-1.0), 2 * F.col("truth") - 1 - F.sqrt(1 - F.col("confidence"))), 6) + 0.0).alias("lo"), (F.round(F.least(F.lit(1.0), 2 * F.col("truth") - 1 + F.sqrt(1 - F.col("confidence"))), 6) + 0.0).alias("hi")), f"{_CD} select claim_id, round(2 * truth - 1, 6) + 0.0 mid, round(greatest(-1.0, 2 * truth - 1 - sqrt(1 - confidence)), 6) + 0.0 lo, round(least(1.0, 2 * truth - 1 + sqrt(1 - confidence)), 6) + 0.0 hi from claims where truth is not null")
+_add("j23_truth_timeline", lambda s, d: fa.truth_timeline(_C(s, d)).select("claim_id", "mid", "lo", "hi"), f"{_CD} select claim_id, round(2 * truth - 1, 6) + 0.0 mid, round(greatest(-1.0, 2 * truth - 1 - sqrt(1 - confidence)), 6) + 0.0 lo, round(least(1.0, 2 * truth - 1 + sqrt(1 - confidence)), 6) + 0.0 hi from claims where truth is not null")
 _add("j26_document_totals", lambda s, d: _C(s, d).groupBy("video_id").agg(F.count(F.lit(1)).alias("claims"), F.count("truth").alias("with_truth"), F.count_if(F.col("stance") == "denies").alias("denied")), f"{_CD} select video_id, count(*)::bigint claims, count(truth)::bigint with_truth, count(*) filter (stance = 'denies')::bigint denied from claims group by 1")
 _add("l6_floor_percentile", lambda s, d: cl.floor_percentile(_C(s, d), "kind", "confidence", 0.9), f"{_CD}, r as (select kind, confidence, row_number() over (partition by kind order by confidence) - 1 r, count(*) over (partition by kind) n from claims) select kind, confidence as value from r where r = least(n - 1, floor(n * 0.9))")
 
