@@ -9,6 +9,7 @@ from attestra.functions import text as tx
 from attestra.operators import curation as cu
 from attestra.operators import graph as gr
 from attestra.operators import loops as lo
+from attestra.operators.components import ensure_checkpoints
 
 # Words that begin the verdict part, and the verdicts in the order that they are tried.
 MARKERS = r"(?i)\b(verdict|summary|fact[- ]check|in conclusion|to sum up|final|recap)\b"
@@ -254,6 +255,7 @@ def novel_links(rel: DataFrame, least: int = 2, limit: int = 50) -> DataFrame:
     confidence of the relations that support the pair. That sum is made only for pairs which can
     still reach the first limit: the limit-th score without it bounds the others.
     """
+    ensure_checkpoints(rel.sparkSession)
     ends = rel.select(F.explode(F.array(F.struct(F.col("subject_id").alias("e"), F.col("object_id").alias("o")), F.struct(F.col("object_id").alias("e"), F.col("subject_id").alias("o")))).alias("x"), "rel_id", "transcript_id", "confidence").select("x.e", "x.o", "rel_id", "transcript_id", "confidence").where("e <> o")
     near = ends.select("e", F.col("o").alias("m")).distinct()
     told = ends.select("e", F.col("transcript_id").alias("t")).distinct()
@@ -262,7 +264,10 @@ def novel_links(rel: DataFrame, least: int = 2, limit: int = 50) -> DataFrame:
         return df.withColumnRenamed("e", "a").join(df.withColumnRenamed("e", "b"), on).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias(name))
 
     known = ends.select(F.least("e", "o").alias("a"), F.greatest("e", "o").alias("b")).distinct()
-    p = shared(near, "m", "shared_nodes").join(known, ["a", "b"], "left_anti").join(shared(told, "t", "shared_transcripts"), ["a", "b"], "left").fillna(0, ["shared_transcripts"])
+    p = shared(near, "m", "shared_nodes").join(known, ["a", "b"], "left_anti").checkpoint()
+    # transcripts are met by candidates only, never all with all of a transcript
+    both = p.select("a", "b").join(told.withColumnRenamed("e", "a"), "a").join(told.withColumnRenamed("e", "b"), ["b", "t"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared_transcripts"))
+    p = p.join(both, ["a", "b"], "left").fillna(0, ["shared_transcripts"])
     p = p.withColumn("base", (F.col("shared_nodes") * 2 + F.col("shared_transcripts")).cast("double")).where(F.col("shared_nodes") + F.col("shared_transcripts") >= least)
     most = ends.groupBy("e").agg(F.sum("confidence").alias("c"))
     p = p.join(most.select(F.col("e").alias("a"), F.col("c").alias("_ca")), "a").join(most.select(F.col("e").alias("b"), F.col("c").alias("_cb")), "b")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attestra.functions.text import PRONOUNS, subkind
 from attestra.operators import claims as cl
 from attestra.operators import reasoning as rs
+from attestra.operators import sweeps as sw
 
 # Kinds of claims, stances and dependencies.
 KINDS = ["empirical", "historical", "speculative", "opinion", "definitional"]
@@ -105,16 +106,18 @@ def pair_summary(pairs: DataFrame, claims: DataFrame, cut: int = 80) -> DataFram
     return j.withColumn("summary", text).drop(*[f"_{s}_{n}" for s in ("left", "right") for n in ("text", "truth", "stance", "video")])
 
 
-def verification_queue(pairs: DataFrame, claims: DataFrame, verdicts: DataFrame, shards: int, kind: str | None = None, mechanical: tuple[str, ...] = ("broken-presupposition", "manual")) -> DataFrame:
+def verification_queue(pairs: DataFrame, claims: DataFrame, verdicts: DataFrame, shards: int, kind: str | None = None, mechanical: tuple[str, ...] = ("broken-presupposition", "manual"), order: str | None = None) -> DataFrame:
     """Pairs without a verdict, with both texts, dealt in turn to shards; mechanical kinds need none.
 
-    Turns are by a hash of the pair, so no task has to number the whole queue; shards differ by chance only.
+    Turns are in the order of a column, or of the sorted pair; pairs are numbered over sorted ranges, so no task holds the queue.
     """
     p = pairs.where(~F.col("kind").isin(list(mechanical)))
     p = p.where(F.col("kind") == kind) if kind else p
     p = p.withColumn("lo", F.least("left", "right")).withColumn("hi", F.greatest("left", "right")).join(verdicts.select("lo", "hi"), ["lo", "hi"], "left_anti")
     side = lambda s: claims.select(F.col("claim_id").alias(s), F.col("text").alias(f"{s}_text"))
-    return p.join(side("left"), "left").join(side("right"), "right").withColumn("shard", F.pmod(F.crc32(F.concat_ws("|", "lo", "hi").cast("binary")), F.lit(shards)).cast("int")).drop("lo", "hi")
+    p = p.join(side("left"), "left").join(side("right"), "right").withColumn("order", F.struct(*([order] if order else []), "lo", "hi", "kind"))
+    rs.ensure_checkpoints(pairs.sparkSession)
+    return sw.numbered_rows(p).withColumn("shard", (F.col("row") % shards).cast("int")).drop("lo", "hi", "row")
 
 
 def strict_routes(routes: DataFrame, surfacing: tuple[str, ...] = ("LOGICAL-CONTRADICTION", "DEBUNKS")) -> DataFrame:
@@ -324,3 +327,15 @@ def documents_by_claims(documents: DataFrame, claims: DataFrame, having: bool =
 def extraction_summary(claims: DataFrame) -> DataFrame:
     """(video_id, kind, n, with_truth): each document's claims by kind, and how many of them have a truth."""
     return claims.groupBy("video_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.count("truth").alias("with_truth"))
+
+
+def reasoning_histograms(index: DataFrame, deps: DataFrame, contradictions: DataFrame) -> DataFrame:
+    """(section, bucket, n): claims by document, kind and stance (null: none), with direct and derived truth, dependencies, contradictions by kind.
+
+    index: video_id, kind, stance, truth, derived; contradictions: kind. The greatest moves are reasoning_moves'.
+    """
+    cells = [F.struct(F.lit(s).alias("section"), c.cast("string").alias("bucket")) for s, c in (("document", F.col("video_id")), ("kind", F.col("kind")), ("stance", F.coalesce("stance", F.lit("none"))))]
+    cells += [F.when(F.col(c).isNotNull(), F.struct(F.lit("truth").alias("section"), F.lit(name).alias("bucket"))) for c, name in (("truth", "direct"), ("derived", "derived"))]
+    rows = index.select(F.explode(F.array_compact(F.array(*cells))).alias("x")).select("x.section", "x.bucket")
+    rows = rows.union(deps.select(F.lit("dependencies"), F.lit("all"))).union(contradictions.select(F.lit("contradiction"), "kind"))
+    return rows.groupBy("section", "bucket").agg(F.count(F.lit(1)).alias("n"))

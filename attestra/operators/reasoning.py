@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from attestra.operators import claims as cl
 from attestra.operators import graph as gr
-from attestra.operators.components import ensure_checkpoints
+from attestra.operators import sweeps as sw
+from attestra.operators.components import ensure_checkpoints, weak
 
 #: Rounds at most, change of any value below which rounds end, rounds between checkpoints.
 ROUNDS, EPSILON, KEEP_EACH = 50, 0.001, 4
@@ -41,19 +42,12 @@ def relation_truth(edges: DataFrame, rounds: int = ROUNDS, epsilon: float = EPSI
     return settle(start, gr.propagate_round, "rel_id", "value", rounds, epsilon)
 
 
-def touched(edges: DataFrame, changed: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """H5: the relations that a change of others (rel_id) can reach: those in their connected parts."""
-    ensure_checkpoints(edges.sparkSession)
-    ends = edges.select("rel_id", F.explode(F.array("subject_id", "object_id")).alias("node")).distinct()
-    reached = edges.join(changed.select("rel_id"), "rel_id", "left_semi").select("rel_id").distinct().checkpoint()
-    size = reached.count()
-    for _ in range(rounds):
-        nodes = ends.join(reached, "rel_id", "left_semi").select("node").distinct()
-        reached = ends.join(nodes, "node", "left_semi").select("rel_id").distinct().checkpoint()
-        before, size = size, reached.count()
-        if size == before:
-            break
-    return edges.join(reached, "rel_id", "left_semi")
+def touched(edges: DataFrame, changed: DataFrame) -> DataFrame:
+    """H5: the relations that a change of others (rel_id) can reach, however far: those in their connected components."""
+    part = weak(edges, "subject_id", "object_id").select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+    named = edges.join(part, F.col("subject_id") == F.col("_n"), "left").withColumn("_c", F.coalesce("_c", "subject_id")).drop("_n")
+    reached = named.join(changed.select("rel_id"), "rel_id", "left_semi").select("_c").distinct()
+    return named.join(reached, "_c", "left_semi").drop("_c")
 
 
 def overridden(claims: DataFrame, fields: DataFrame, deletions: DataFrame, columns: tuple[str, ...] = ("text", "kind", "stance")) -> DataFrame:
@@ -67,8 +61,14 @@ def overridden(claims: DataFrame, fields: DataFrame, deletions: DataFrame, colum
     return j.withColumns({**{c: F.coalesce(f"_{c}", c) for c in columns}, "overridden_fields": names}).drop(*[f"_{c}" for c in columns])
 
 
-def claim_truth(claims: DataFrame, deps: DataFrame, pins: DataFrame | None = None, rounds: int = ROUNDS, epsilon: float = EPSILON) -> tuple[DataFrame, int, float]:
-    """(claim_id, confidence, anchor, value) after synchronous rounds; pins (claim_id, truth) stand in for the direct truth."""
+def claim_truth(claims: DataFrame, deps: DataFrame, pins: DataFrame | None = None, rounds: int = ROUNDS, epsilon: float = EPSILON, order: str | None = None) -> tuple[DataFrame, int, float]:
+    """(claim_id, confidence, anchor, value) after rounds; pins (claim_id, truth) stand in for the direct truth.
+
+    With order, a column of claims, claims are renewed one after the other in that order; else all at once, when a
+    round carries truth one step only.
+    """
+    if order:
+        return sw.claim_sweeps(claims, deps, pins, order, rounds, epsilon)
     c = claims.select("claim_id", "confidence", F.col("truth").alias("anchor"))
     if pins is not None:
         c = c.join(pins.select("claim_id", F.col("truth").alias("_p")), "claim_id", "left").withColumn("anchor", F.coalesce("_p", "anchor")).drop("_p")

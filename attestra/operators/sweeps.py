@@ -132,7 +132,7 @@ def relation_sweeps(edges: DataFrame, row: str = "row", sweeps: int = SWEEPS, ep
     kept = edges.select("rel_id", F.coalesce("subject_id", F.concat(F.lit("\0"), "rel_id")).alias("s"), F.coalesce("object_id", F.concat(F.lit("\0"), "rel_id")).alias("o"), F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("c"), F.col("anchor").cast("double").alias("anchor"), F.struct(row, "rel_id").alias("order"))
     part = (weak(kept, "s", "o") if labels is None else labels).select(F.col("node").alias("_n"), F.col("component").alias("_c"))
     kept = kept.join(part, F.col("s") == F.col("_n"), "left").withColumn("component", F.coalesce("_c", "s")).drop("_n", "_c")
-    kept = _numbered(kept)
+    kept = numbered_rows(kept)
     small, large = packed(kept, "component", most)
     small = small.checkpoint()
 
@@ -157,7 +157,7 @@ def relation_sweeps(edges: DataFrame, row: str = "row", sweeps: int = SWEEPS, ep
     return edges.join(values.checkpoint(), "rel_id", "left"), taken, last
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
+def numbered_rows(rows: DataFrame) -> DataFrame:
     """rows with a row number in the order of `order`: ranges are sorted and counted, no task sees all rows."""
     dealt = rows.repartitionByRange("order").sortWithinPartitions("order").withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
     counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
@@ -221,7 +221,7 @@ def claim_sweeps(claims: DataFrame, deps: DataFrame, pins: DataFrame | None = No
     kind = F.when(F.col("kind") == "contradicts", F.coalesce(subkind(F.col("rationale")), F.lit("logical"))).otherwise(F.col("kind"))
     links = deps.select("source", "target", kind.alias("how")).where("how <> 'elaborates'").checkpoint()
     part = weak(links, "source", "target").select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-    kept = _numbered(kept.join(part, F.col("claim_id") == F.col("_n"), "left").withColumn("component", F.coalesce("_c", "claim_id")).drop("_n", "_c"))
+    kept = numbered_rows(kept.join(part, F.col("claim_id") == F.col("_n"), "left").withColumn("component", F.coalesce("_c", "claim_id")).drop("_n", "_c"))
     small, large = packed(kept, "component", most)
     small = small.checkpoint()
     held = small.select(F.col("claim_id").alias("_id"), F.col("bucket").alias("at"))

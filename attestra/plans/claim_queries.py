@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestra.functions import text as tx
 from attestra.functions.text import STOP_WORDS
 from attestra.operators import claims as cl
 from attestra.operators import components as co
@@ -202,6 +203,11 @@ _add(
     lambda s, d: cl.candidate_pairs(_things(s, d), vectors(s, d).where("claim_id not like '%4'")).select("left", "right", "shared", F.round("similarity", 5).alias("similarity"), "reason"),
     f"{_CD}, {_VEC}, {_VP}, tk as (select claim_id, list_distinct([x for x in string_split_regex(lower(text), '[^a-z0-9]+') if length(x) > 2 and not list_contains({_STOP}, x)]) w from claims), wp as (select a.claim_id as left, b.claim_id as right, len(list_intersect(x.w, y.w)) / greatest(1, len(list_distinct(list_concat(x.w, y.w)))) j from claims a join claims b on a.entities[1] = b.entities[1] and a.video_id < b.video_id join tk x on x.claim_id = a.claim_id join tk y on y.claim_id = b.claim_id where a.stance || b.stance in ('assertsdenies', 'deniesasserts') and (a.l_linenumber in (3, 4, 6) or b.l_linenumber in (3, 4, 6))) select \"left\", \"right\", shared, round(sim, 5) similarity, 'cosine' reason from vp where \"left\" not like '%4' and \"right\" not like '%4' and (opp and sim >= 0.55 or sim >= 0.7) union all select \"left\", \"right\", 1, round(j, 5), 'jaccard' from wp where j >= 0.1",
 )
+_add(
+    "i17_cosines",
+    lambda s, d: fx.table(s, d, "embeddings").select("vec_id", F.when(F.col("vec_id") % 50 == 0, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding")).alias("x")).alias("a").join(fx.table(s, d, "embeddings").select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("y")), "vec_id").select("vec_id", F.round(tx.cosine(F.col("x"), F.col("y")), 5).alias("cosine")),
+    "select a.vec_id, round(case when a.vec_id % 50 = 0 then 0 else list_cosine_similarity(a.embedding::double[], b.embedding::double[]) end, 5) as cosine from embeddings a join embeddings b on b.vec_id = a.vec_id + 1",
+)
 _SHA = "sha1(coalesce({}, ''))"
 
 

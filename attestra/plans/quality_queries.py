@@ -118,6 +118,16 @@ def _latest(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("i30_verification_queue", lambda s, d: ql.verification_queue(fq.pairs(s, d), _C(s, d), _latest(s, d), 4, None, ("presupposes",)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("left_text") + F.length("right_text")).alias("chars"), F.count_distinct("shard").alias("shards")), f"{_CD} select deps.kind as kind, count(*)::bigint n, sum(length(a.text) + length(b.text))::bigint chars, 4::bigint shards from deps join claims a on a.claim_id = source join claims b on b.claim_id = target where deps.kind <> 'presupposes' and source not like '%4' group by 1")
+_add(
+    "i30_queue_in_turn",
+    lambda s, d: ql.verification_queue(fq.pairs(s, d), _C(s, d), _latest(s, d), 4, None, ("presupposes",)).select("left", "right", "shard"),
+    f"{_CD} select source as \"left\", target as \"right\", ((row_number() over (order by least(source, target), greatest(source, target), kind) - 1) % 4)::int shard from deps where kind <> 'presupposes' and source not like '%4'",
+)
+_add(
+    "i37_reasoning_histograms",
+    lambda s, d: ql.reasoning_histograms(_C(s, d).withColumns({"derived": F.when(F.col("l_linenumber") > 1, F.col("truth")), "stance": F.nullif("stance", F.lit("uncertain"))}), fx.dependencies(s, d), fq.pairs(s, d)),
+    f"{_CD} select 'document' section, video_id bucket, count(*)::bigint n from claims group by 2 union all select 'kind', kind, count(*) from claims group by 2 union all select 'stance', case when stance = 'uncertain' then 'none' else stance end, count(*) from claims group by 2 union all select 'truth', 'direct', count(truth) from claims having count(truth) > 0 union all select 'truth', 'derived', count(*) from claims where l_linenumber > 1 and truth is not null having count(*) > 0 union all select 'dependencies', 'all', count(*) from deps having count(*) > 0 union all select 'contradiction', kind, count(*) from deps group by 2",
+)
 _add("i31_verdict_merge", lambda s, d: _latest(s, d).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("seq")), f"{_CD} select 'UNDERCUTS' verdict, count(*)::bigint n, 2::int seq from deps where source like '%4'")
 _add("i32_strict_routes", lambda s, d: ql.strict_routes(cq._routes(s, d)).groupBy("route", "verdict").agg(F.count(F.lit(1)).alias("n")), f"{cq._CD}, {cq._VEC}, {cq._VP}, {cq._ROUTES} select case when verdict is null then 'pending' when verdict = 'DEBUNKS' then 'contradiction' when verdict = 'SAME-CLAIM' and not opp then 'agreement' else 'dropped' end route, case when verdict = 'SAME-CLAIM' and opp then 'SAME-CLAIM-stance-mismatch' else verdict end verdict, count(*)::bigint n from ro group by 1, 2")
 _add(
