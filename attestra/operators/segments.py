@@ -43,20 +43,81 @@ def sentences(docs: DataFrame) -> DataFrame:
     return rows.where(F.col("start") < F.col("end"))
 
 
-def merged_windows(spans: DataFrame, limit: int = 500) -> DataFrame:
-    """(video_id, window, start, end): consecutive spans joined while the whole is within limit."""
+#: Spans of a document from which on its cuts are found by doubling, not in one array.
+LONG = 2_000
+
+
+def greedy_groups(spans: DataFrame, limit: int) -> DataFrame:
+    """spans (video_id, s, e, ...) with group: consecutive ones joined while the whole is within limit, for documents of any length.
+
+    Spans don't overlap. Each span knows where the group that began with it would be cut: behind the last end
+    within limit, counted over one sorted run of ends and reaches. The cuts that count are those reached from the
+    first span; they are followed by doubling, so that the rounds are the logarithm of the groups.
+    """
+    ensure_checkpoints(spans.sparkSession)
+    of = Window.partitionBy("video_id")
+    n = spans.withColumn("_i", F.row_number().over(of.orderBy("s", "e"))).withColumn("_last", F.count(F.lit(1)).over(of)).checkpoint()
+    marks = n.select("video_id", F.col("e").alias("pos"), F.lit(0).alias("ask"), F.lit(None).cast("int").alias("_i"), "_last").union(n.select("video_id", F.col("s") + limit, F.lit(1), "_i", "_last"))
+    within = F.sum(1 - F.col("ask")).over(of.orderBy("pos", "ask").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    jump = marks.withColumn("within", within).where("ask = 1").select("video_id", "_i", (F.greatest(F.col("_i"), F.col("within")) + 1).cast("int").alias("to"), "_last").where("to <= _last").drop("_last").checkpoint()
+    starts = n.where("_i = 1").select("video_id", "_i").checkpoint()
+    while True:
+        found = starts.join(jump, ["video_id", "_i"]).select("video_id", F.col("to").alias("_i")).checkpoint()
+        if not found.limit(1).count():
+            break
+        starts = starts.union(found).checkpoint()
+        jump = jump.join(jump.select("video_id", F.col("_i").alias("to"), F.col("to").alias("_next")), ["video_id", "to"]).select("video_id", "_i", F.col("_next").alias("to")).checkpoint()
+    flagged = n.join(starts.withColumn("_start", F.lit(1)), ["video_id", "_i"], "left")
+    return flagged.withColumn("group", (F.sum(F.coalesce("_start", F.lit(0))).over(of.orderBy("_i")) - 1).cast("int")).drop("_start", "_last").withColumnRenamed("_i", "place")
+
+
+def _by_length(rows: DataFrame, long: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of documents of at most `long` rows, those of longer ones or None)."""
+    ensure_checkpoints(rows.sparkSession)
+    sized = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("video_id"))).checkpoint()
+    longer = sized.where(F.col("_n") > long).drop("_n")
+    return sized.where(F.col("_n") <= long).drop("_n"), longer if longer.limit(1).count() else None
+
+
+def merged_windows(spans: DataFrame, limit: int = 500, long: int = LONG) -> DataFrame:
+    """(video_id, window, start, end): consecutive spans joined while the whole is within limit.
+
+    Documents of up to `long` spans are cut in an array, longer ones by greedy_groups.
+    """
     from attestra.functions.text import merge_windows
 
-    per = spans.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start").alias("s"), F.col("end").alias("e")))).alias("spans"))
-    out = per.select("video_id", F.posexplode(merge_windows(F.col("spans"), limit)).alias("window", "w"))
-    return out.select("video_id", "window", F.col("w.s").alias("start"), F.col("w.e").alias("end"))
+    short, longer = _by_length(spans.select("video_id", F.col("start").alias("s"), F.col("end").alias("e")), long)
+    per = short.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
+    out = per.select("video_id", F.posexplode(merge_windows(F.col("spans"), limit)).alias("window", "w")).select("video_id", "window", F.col("w.s").alias("start"), F.col("w.e").alias("end"))
+    if longer is None:
+        return out
+    far = greedy_groups(longer, limit).groupBy("video_id", F.col("group").alias("window")).agg(F.min("s").alias("start"), F.max("e").alias("end"))
+    return out.union(far)
 
 
-def line_chunks(docs: DataFrame, limit: int = 800) -> DataFrame:
+def line_chunks(docs: DataFrame, limit: int = 800, long: int = LONG) -> DataFrame:
     """(video_id, chunk, start, text): lines joined by line breaks while within limit; a longer line stands alone, blank ones are left out.
 
-    A text without any other line is one chunk as it is.
+    A text without any other line is one chunk as it is. Texts of more than `long` lines are cut by greedy_groups.
     """
+    many = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))), F.lit(0)) > long
+    return _short_line_chunks(docs.where(~many), limit).union(_long_line_chunks(docs.where(many), limit))
+
+
+def _long_line_chunks(docs: DataFrame, limit: int) -> DataFrame:
+    of = Window.partitionBy("video_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    lines = docs.select("video_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    lines = lines.withColumn("start", F.coalesce(F.sum(F.length("text") + 1).over(of), F.lit(0)))
+    said = lines.where(F.regexp_replace("text", f"[{SPACE}]+", "") != "")
+    # as if blank lines were not there, so that a chunk's length is that of its lines and the breaks between them
+    said = said.withColumn("s", F.coalesce(F.sum(F.length("text") + 1).over(of), F.lit(0))).withColumn("e", F.col("s") + F.length("text"))
+    parts = F.array_sort(F.collect_list(F.struct("line", "text")))
+    out = greedy_groups(said, limit).groupBy("video_id", F.col("group").alias("chunk")).agg(F.min("start").cast("int").alias("start"), F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"))
+    blank = docs.join(said.select("video_id").distinct(), "video_id", "left_anti").select("video_id", F.lit(0).alias("chunk"), F.lit(0).alias("start"), "text")
+    return out.union(blank)
+
+
+def _short_line_chunks(docs: DataFrame, limit: int) -> DataFrame:
     lines = F.split("text", "\n")
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,t:string,open:boolean>>").alias("out"))
 
