@@ -123,7 +123,8 @@ def counter(path: str) -> Counter:
 def with_token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """docs plus n_bytes, n_tokens, over_limit; path names a vocabulary file that every worker can open.
 
-    Null texts count as empty. Columns of docs with those names are replaced.
+    Null texts count as empty. Repeated rows stay, each with its counts; an empty table stays empty. Columns of docs with
+    those names are replaced.
     """
 
     @F.pandas_udf("long")

@@ -96,7 +96,7 @@ def with_next(docs: DataFrame, columns: list[str], rows_each: int = 64, most: in
 
 
 def document_fingerprints(docs: DataFrame, keep: int = KEEP) -> DataFrame:
-    """doc_id, n_chars, sketch for every row, in the row's own terms; other columns are ignored."""
+    """doc_id, n_chars, sketch for every row, in the row's own terms; null texts count as empty, other columns are ignored."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select("doc_id", text.alias("text"), F.length(text).cast("long").alias("n_chars"), sketch(text, keep).alias("sketch"))
 

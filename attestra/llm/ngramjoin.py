@@ -79,7 +79,7 @@ def compare_block(left: np.ndarray, right: np.ndarray | None, sigs: np.ndarray,
 
     A pair counts in the first tree whose prefix of the length both share, and not at all if
     they share a longer one in any tree: then it was compared before. The last result is, for
-    each length, the sum over the links of 1 / the probability to meet at it.
+    each length, the sum over the links, each once, of 1 / the probability to meet at it.
     """
     n, depth = len(sets), sigs.shape[2]
     texts, docs, parent, expected = np.zeros(n, np.int64), np.zeros(n, np.int64), list(range(n)), np.zeros((n, depth))

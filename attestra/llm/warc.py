@@ -181,7 +181,8 @@ def pa_batch(columns: dict):
 def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
     """A row per record: archive, page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload.
 
-    Length and digest of a response are taken from its payload, which must match its header.
+    Length and digest of a response are taken from its payload, which must match its header. Archives without records, and a folder without archives,
+    give no rows.
     """
 
     def parse(batches):
