@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.functions.text import STOP_WORDS, jaccard, subkind, token_set
+from attestra.operators.components import ensure_checkpoints
 
 
 def with_ends(deps: DataFrame, claims: DataFrame) -> DataFrame:
@@ -86,36 +87,76 @@ def dropped_totals(routes: DataFrame) -> DataFrame:
     return routes.where("route in ('dropped', 'agreement')").groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
-def vector_pairs(claims: DataFrame, vectors: DataFrame, near: float = 0.55, strict: float = 0.70, block: int = 2000) -> DataFrame:
-    """I16 with vectors: claims of different documents that share an entity, by the cosine of their vectors.
+def usable_vectors(vectors: DataFrame) -> DataFrame:
+    """The (claim_id, vec) whose vectors have components, none of them null or not finite."""
+    return vectors.where("size(vec) > 0 and not exists(vec, x -> x is null or isnan(x) or abs(x) = double('inf'))")
+
+
+def unit_halves(vectors: DataFrame) -> DataFrame:
+    """(claim_id, n, head, rest, quarter_norm, half_norm) of usable vectors at length 1, their coordinates by falling mass.
 
-    Opposed stances need near, others strict. vectors: (claim_id, vec); claims without one are in
-    no pair here. Norms are divided out before the join; heavy entities are cut into blocks as in
-    cross_document, and a pair counts in the least entity it shares.
+    The mass of a coordinate is the sum of its squares over all vectors. head is the heavier half, rest the other;
+    quarter_norm is the length of what lies beyond the heaviest quarter, half_norm that of rest. A zero vector stays zero.
     """
-    unit = vectors.select("claim_id", F.expr("transform(vec, x -> cast(x as double))").alias("v")).withColumn("norm", F.sqrt(F.expr("aggregate(v, 0D, (s, x) -> s + x * x)")))
-    unit = unit.select("claim_id", F.when(F.col("norm") > 0, F.expr("transform(v, x -> x / norm)")).otherwise(F.col("v")).alias("v"))
-    c = claims.join(unit, "claim_id").select("video_id", "claim_id", "stance", F.array_distinct("entities").alias("entities"), "v").withColumn("entity", F.explode("entities"))
+    ensure_checkpoints(vectors.sparkSession)
+    v = usable_vectors(vectors).select("claim_id", F.expr("transform(vec, x -> cast(x as double))").alias("v")).withColumn("norm", F.sqrt(F.expr("aggregate(v, 0D, (s, x) -> s + x * x)")))
+    # the norm is an argument, not a name inside the lambda, where the optimizer would put its sum once per coordinate
+    v = v.select("claim_id", F.expr("zip_with(v, array_repeat(if(norm > 0, norm, 1D), size(v)), (x, n) -> x / n)").alias("v")).checkpoint()
+    mass = v.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum(F.col("x") * F.col("x")).alias("m")).orderBy(F.desc("m"), "i").collect()  # a row per coordinate
+    width = len(mass)
+    order = F.array(*[F.lit(r["i"]) for r in mass]).cast("array<int>")
+    v = v.select("claim_id", F.size("v").alias("n"), F.transform(order, lambda i: F.coalesce(F.get("v", i), F.lit(0.0))).alias("v"))
+    length = lambda beyond: F.sqrt(F.aggregate(F.slice("v", beyond + 1, max(0, width - beyond)), F.lit(0.0), lambda s, x: s + x * x))
+    half, quarter = width // 2, width // 4
+    return v.select("claim_id", "n", F.slice("v", 1, half).alias("head"), F.slice("v", half + 1, max(0, width - half)).alias("rest"), length(quarter).alias("quarter_norm"), length(half).alias("half_norm"), F.lit(quarter).alias("quarter"))
+
+
+def head_pairs(claims: DataFrame, halves: DataFrame, near: float = 0.55, strict: float = 0.70, block: int = 2000) -> DataFrame:
+    """(left, right, shared, so_far, least): pairs that may reach the cosine they need (least), by the heavier half of their coordinates.
+
+    What the coordinates beyond a prefix add is at most the product of the two lengths beyond it. The bound at the
+    heaviest quarter is looked at first, that at the half for what it leaves; so_far is the half's product.
+    Heavy entities are cut into blocks as in cross_document, and a pair counts in the least entity it shares.
+    """
+    c = claims.join(halves.drop("rest"), "claim_id").select("video_id", "claim_id", "stance", F.array_distinct("entities").alias("entities"), "n", "head", "quarter_norm", "half_norm", "quarter").withColumn("entity", F.explode("entities"))
     heavy = c.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)  # no more than a block-th of the rows
     c = c.join(F.broadcast(heavy.select("entity", F.ceil(F.col("n") / block).cast("int").alias("blocks"))), "entity", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     mine, others = F.pmod(F.xxhash64("claim_id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    a = c.select("entity", mine.alias("p"), others.alias("q"), F.col("video_id").alias("av"), F.col("claim_id").alias("left"), F.col("stance").alias("ast"), F.col("entities").alias("ae"), F.col("v").alias("x"))
-    b = c.select("entity", mine.alias("q"), others.alias("p"), F.col("video_id").alias("bv"), F.col("claim_id").alias("right"), F.col("stance").alias("bst"), F.col("entities").alias("be"), F.col("v").alias("y"))
-    both = F.array_intersect("ae", "be")
-    j = a.join(b, ["entity", "p", "q"]).where("av < bv").where(F.col("entity") == F.array_min(both))
-    j = j.withColumn("similarity", F.expr("aggregate(zip_with(x, y, (p, q) -> p * q), 0D, (s, z) -> s + z)"))
-    against = opposed(F.col("ast"), F.col("bst"))
-    return j.where(((F.col("similarity") >= near) & against) | (F.col("similarity") >= strict)).select("left", "right", F.size(both).alias("shared"), F.round("similarity", 6).alias("similarity"), F.lit("cosine").alias("reason"))
+
+    def side(k: str, name: str, me: str, other: str) -> DataFrame:
+        return c.select("entity", mine.alias(me), others.alias(other), F.col("claim_id").alias(name), *[F.col(x).alias(f"{k}_{x}") for x in ("video_id", "stance", "entities", "n", "head", "quarter_norm", "half_norm")], *(["quarter"] if k == "a" else []))
+
+    j = side("a", "left", "p", "q").join(side("b", "right", "q", "p"), ["entity", "p", "q"]).where("a_video_id < b_video_id and a_n = b_n")
+    both = F.array_intersect("a_entities", "b_entities")
+    j = j.where(F.col("entity") == F.array_min(both)).withColumn("least", F.when(opposed(F.col("a_stance"), F.col("b_stance")), min(near, strict)).otherwise(strict) - 1e-9)
+    dot = "aggregate(zip_with({0}, {1}, (x, y) -> x * y), 0D, (s, z) -> s + z)"
+    j = j.where(F.expr(dot.format("slice(a_head, 1, quarter)", "slice(b_head, 1, quarter)") + " + a_quarter_norm * b_quarter_norm >= least"))
+    j = j.withColumn("so_far", F.expr(dot.format("a_head", "b_head"))).where("so_far + a_half_norm * b_half_norm >= least")
+    return j.select("left", "right", F.size(both).alias("shared"), "so_far", "least")
+
+
+def vector_pairs(claims: DataFrame, vectors: DataFrame, near: float = 0.55, strict: float = 0.70, block: int = 2000) -> DataFrame:
+    """I16 with vectors: claims of different documents that share an entity, by the cosine of their vectors.
+
+    Opposed stances need near, others strict. vectors: (claim_id, vec), one per claim; claims without a usable one, and
+    vectors of different lengths, are in no pair here. Exact: pairs are dropped by bounds on the heavier half of
+    the coordinates (head_pairs), and the other half is fetched for those that are left only.
+    """
+    halves = unit_halves(vectors)
+    rest = lambda side, to: halves.select(F.col("claim_id").alias(side), F.col("rest").alias(to))
+    j = head_pairs(claims, halves, near, strict, block).join(rest("left", "_x"), "left").join(rest("right", "_y"), "right")
+    j = j.withColumn("similarity", F.col("so_far") + F.expr("aggregate(zip_with(_x, _y, (p, q) -> p * q), 0D, (s, z) -> s + z)"))
+    return j.where("similarity >= least").select("left", "right", "shared", F.round("similarity", 6).alias("similarity"), F.lit("cosine").alias("reason"))
 
 
 def candidate_pairs(claims: DataFrame, vectors: DataFrame, near: float = 0.55, strict: float = 0.70, floor: float = 0.1, overlap: int = 2, prefix: str = "", block: int = 2000) -> DataFrame:
     """I16: pairs of different documents' claims that share an entity, by the cosine where both have a vector, else by words.
 
-    vectors: (claim_id, vec), null ones count as missing. (left, right, shared, similarity, reason) as of
+    vectors: (claim_id, vec), unusable ones count as missing. (left, right, shared, similarity, reason) as of
     vector_pairs and cross_document. The rule is chosen for each pair: claims with a vector meet those without by their words.
     """
-    has = vectors.where("vec is not null").select("claim_id").distinct()
-    by_vector = vector_pairs(claims.withColumn("entities", F.filter("entities", lambda e: e.startswith(prefix))), vectors.where("vec is not null"), near, strict, block)
+    has = usable_vectors(vectors).select("claim_id").distinct()
+    by_vector = vector_pairs(claims.withColumn("entities", F.filter("entities", lambda e: e.startswith(prefix))), vectors, near, strict, block)
     words = cross_document(claims, prefix, floor, overlap, block)
     side = lambda c: has.select(F.col("claim_id").alias(c), F.lit(True).alias(f"_{c}"))
     words = words.join(side("left"), "left", "left").join(side("right"), "right", "left").where("not (coalesce(_left, false) and coalesce(_right, false))").drop("_left", "_right")

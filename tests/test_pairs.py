@@ -3,7 +3,9 @@
 import random
 import time
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from attestra.operators import claims as cl
 from attestra.operators import curation as cu
@@ -61,3 +63,39 @@ def test_candidates_by_vectors_or_words(spark):
     vectors = spark.createDataFrame([("v1:a", [1.0, 0.0]), ("v2:b", [0.0, 1.0]), ("v3:c", [1.0, 0.1]), ("v4:d", None)], "claim_id string, vec array<double>")
     got = {(r["left"], r["right"]): r["reason"] for r in cl.candidate_pairs(claims, vectors).collect()}
     assert got == {("v1:a", "v3:c"): "cosine", ("v2:b", "v4:d"): "jaccard"}
+
+
+def test_cosines_by_halves_match_all_with_all(spark):
+    """Bounds on half of the coordinates drop nine of ten pairs, and none that belongs to the result."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 32))
+    vecs = np.concatenate([base, base + rng.normal(size=base.shape) * 0.6, rng.normal(size=(120, 32))])
+    rows = [(f"v{k % 9}", f"c{k:03d}", ["asserts", "denies", "uncertain"][k % 3], ["hub", f"e{k % 5}"]) for k in range(200)]
+    claims = spark.createDataFrame([*rows, ("v0", "zero", "asserts", ["hub"]), ("v1", "bad", "denies", ["hub"]), ("v2", "short", "denies", ["hub"]), ("v3", "none", "denies", ["hub"])], "video_id string, claim_id string, stance string, entities array<string>")
+    made = [(r[1], [float(x) for x in v]) for r, v in zip(rows, vecs, strict=True)]
+    odd = [("zero", [0.0] * 32), ("bad", [None, *[1.0] * 31]), ("short", [1.0] * 31), ("none", [float("nan")] * 32)]
+    vectors = spark.createDataFrame([*made, *odd], "claim_id string, vec array<double>")
+    got = {(r["left"], r["right"]): (r["shared"], r["similarity"]) for r in cl.vector_pairs(claims, vectors, block=60).collect()}
+    unit, want, met = vecs / np.linalg.norm(vecs, axis=1, keepdims=True), {}, 0
+    for i, a in enumerate(rows):
+        for k, b in enumerate(rows):
+            if a[0] < b[0]:
+                met += 1
+                sim = float(unit[i] @ unit[k])
+                if sim >= (0.55 if {a[2], b[2]} == {"asserts", "denies"} else 0.7):
+                    want[a[1], b[1]] = (1 + (a[3][1] == b[3][1]), sim)
+    assert len(want) > 20 and got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-5 for k in want)
+    assert cl.head_pairs(claims, cl.unit_halves(vectors), block=60).count() < met / 5
+
+
+def test_few_products_on_the_sample_vectors(spark):
+    """On the sample's vectors, which have no clusters, less than a tenth of the pairs need their full product."""
+    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").cast("string").alias("claim_id"), F.col("embedding").alias("vec"))
+    claims = v.select("claim_id", F.col("claim_id").alias("video_id"), F.element_at(F.array(*[F.lit(x) for x in ("asserts", "denies", "uncertain")]), (F.col("claim_id").cast("int") % 3 + 1)).alias("stance"), F.array(F.lit("e")).alias("entities"))
+    n = v.count()
+    assert cl.head_pairs(claims, cl.unit_halves(v)).count() < n * (n - 1) / 2 / 10
+
+
+def test_no_vectors(spark):
+    claims = spark.createDataFrame([("v", "c", "asserts", ["e"])], "video_id string, claim_id string, stance string, entities array<string>")
+    assert cl.vector_pairs(claims, spark.createDataFrame([], "claim_id string, vec array<double>")).count() == 0
