@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.operators import building as bd
 from attestra.operators import graph as gr
 from attestra.operators import loops as lo
+from attestra.operators.components import ensure_checkpoints
+from attestra.operators.substrings import SubstringIndex
 from attestra.plans import fixtures as fx
 from attestra.plans import text_queries as tq
 
@@ -266,3 +270,21 @@ su as (select a, b, sum(c) s from (select distinct a, b, rel_id, c from p join e
 select a, b, sn::bigint shared_nodes, st::bigint shared_transcripts, round(coalesce(s, 0), 6) support, round(base + 0.1 * coalesce(s, 0), 6) score, a || ' <-?-> ' || b || '  score=' || round((base + 0.1 * coalesce(s, 0))::decimal(18, 6), 2)::decimal(18, 2) || '  shared=' || sn || '+' || st line from p left join su using (a, b) order by score desc, a, b limit 50"""
 _add("h10_h11_novel_links", lambda s, d: bd.novel_links(_rel(s, d)).drop("line"), f"select * exclude (line) from ({_NOVEL})")
 _add("h11_novel_lines", lambda s, d: bd.novel_links(_rel(s, d)).select("line"), f"select line from ({_NOVEL})")
+
+
+# Substring search through an index that a second update changes
+def _indexed(s: SparkSession, d: str) -> DataFrame:
+    ensure_checkpoints(s)
+    index = SubstringIndex(s, f"{s.sparkContext._jsc.sc().getCheckpointDir().get()}/names-{uuid.uuid4().hex}", 16)
+    names = fx.table(s, d, "part").select(F.col("p_partkey").cast("string").alias("key"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    index.update(names)
+    k = F.col("key").cast("long")
+    index.update(names.where(k % 7 < 2).select("key", F.when(k % 7 == 0, F.concat(F.reverse("text"), F.lit(" Steel")))).toDF("key", "text"))
+    return index.search("STEEL").select("key", "position")
+
+
+_add(
+    "g4_indexed_search",
+    _indexed,
+    "with p as (select p_partkey k, p_name || ' ' || p_type t from part), q as (select k, case when k % 7 = 0 then reverse(t) || ' Steel' else t end t from p where k % 7 <> 1) select k::varchar as key, (strpos(lower(t), 'steel') - 1)::int as position from q where contains(lower(t), 'steel')",
+)
