@@ -134,7 +134,8 @@ def link_rows(docs: DataFrame, likeness: float = LIKENESS, shingle: int = SHINGL
     that share a path of full depth are compared first; then, level by level, those that share
     a shorter one and no longer one. How many links a level has missed is estimated from the
     likeness of those found, each standing for 1 / its probability to meet so deep; when those
-    found reach the target recall, no shorter prefixes are tried.
+    found reach the target recall, no shorter prefixes are tried. While nothing has been found,
+    nothing is known of what is missed, and all prefixes down to the shortest are tried.
     """
     least, m = least_length(likeness, trees, depth, recall), factors(trees, depth)
 
@@ -225,7 +226,7 @@ def link_rows(docs: DataFrame, likeness: float = LIKENESS, shingle: int = SHINGL
         levels.append(stash(found, "links"))
         row = levels[-1].agg(F.sum("texts"), *[F.sum(F.get("expected", F.lit(k))) for k in range(depth)]).first()
         met, to_expect = met + (row[0] or 0) / 2, [x + (y or 0.0) for x, y in zip(to_expect, row[1:], strict=True)]
-        if met >= recall * to_expect[length - 1]:
+        if met and met >= recall * to_expect[length - 1]:
             break
         done = counted.select("n", "who", "who2") if done is None else done.union(counted.select("n", "who", "who2"))
     links = levels[0]

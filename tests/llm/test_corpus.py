@@ -312,3 +312,21 @@ def test_forest_compares_each_pair_at_its_longest_prefix_only():
                 links += texts
                 expected += sums[:, ngramjoin.DEPTH - 1].sum()
     assert (links == 11).all() and 66 <= expected <= 66.7  # once a link
+
+
+def test_forest_goes_on_while_it_has_found_nothing(spark):
+    """The only pair of a table shares no path of full depth: it is found at a shorter one."""
+    f, rng = ngramjoin.factors(), np.random.default_rng(8)
+    words = np.array([f"w{k}" for k in range(5000)])
+    for _ in range(2000):
+        a = list(rng.choice(words, 60))
+        b = [*a[:30], "other", *a[31:]]
+        sets = [ngramjoin.shingle_hashes(x, ngramjoin.SHINGLE) for x in (a, b)]
+        like = len(np.intersect1d(*sets)) / len(np.union1d(*sets))
+        x, y = (ngramjoin.signature(s, f).reshape(ngramjoin.TREES, ngramjoin.DEPTH) for s in sets)
+        if like >= ngramjoin.LIKENESS and not (x == y).all(1).any() and (x[:, :5] == y[:, :5]).all(1).any():
+            break
+    else:
+        raise AssertionError("no such pair")
+    docs = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, "quite another text of some words")], "doc_id long, text string")
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngramjoin.link_rows(docs).collect()} == {1: (1, 1), 2: (1, 1), 3: (3, 0)}
