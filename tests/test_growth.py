@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from attestra.operators import claims as cl
 from attestra.operators import components as co
 from attestra.operators import reasoning as rs
 from attestra.operators import sweeps as sw
@@ -94,3 +95,59 @@ def test_dependencies_lead_to_the_line_before_only(spark, tmp_path):
     got = fx.dependencies(spark, str(tmp_path)).select("source", "target", "kind")
     assert {tuple(r) for r in got.collect()} == {("v7:c_7_2", "v7:c_7_1", "elaborates"), ("v7:c_7_5", "v7:c_7_4", "contradicts")}
     assert got._jdf.queryExecution().executedPlan().toString().count("Join") == 0
+
+
+@pytest.mark.parametrize("most", [5, 200_000])
+def test_agreement_cap_in_blocks(spark, most):
+    rng = random.Random(most)
+    rows = sorted({(f"v{a:02d}:c{rng.randrange(40)}", f"v{b:02d}:c{rng.randrange(40)}") for a, b in (sorted(rng.sample(range(12), 2)) for _ in range(400))})
+    n, want = {}, set()
+    for l, r in sorted(rows, key="|".join):
+        a, b = l[:3], r[:3]
+        if n.get(a, 0) < 4 and n.get(b, 0) < 4:
+            n[a], n[b] = n.get(a, 0) + 1, n.get(b, 0) + 1
+            want.add((l, r))
+    pairs = spark.createDataFrame([(l, r, l[:3], r[:3]) for l, r in rows], "left string, right string, left_video string, right_video string")
+    assert {(r["left"], r["right"]) for r in rs.agreement_cap(pairs, most=most).collect()} == want
+
+
+def test_agreements_in_sorted_order_take_few_jobs(spark):
+    """Every document's turn comes after that of the one before: rounds over all pairs took one for each document."""
+    pairs = spark.range(60).alias("a").join(spark.range(60).alias("b"), F.col("a.id") < F.col("b.id")).select(F.format_string("v%02d", "a.id").alias("left_video"), F.format_string("v%02d", "b.id").alias("right_video"))
+    pairs = pairs.select(F.concat("left_video", F.lit(":c")).alias("left"), F.concat("right_video", F.lit(":c")).alias("right"), "left_video", "right_video").coalesce(1).cache()
+    assert jobs(spark, "agreements", lambda: rs.agreement_cap(pairs).count()) < 40
+
+
+def pair_rows(df, *columns):
+    return {tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.select(*columns).collect()}
+
+
+def test_classes_of_vectors_and_whole_vectors_give_the_same_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    vecs = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(12)] + [[0.0] * 8, [1.0, 2.0], [-0.0] * 8]
+    claims = spark.createDataFrame([(f"v{k % 7}", f"c{k:03d}", rng.choice(["asserts", "denies", "uncertain", None]), [f"e{rng.randrange(4)}", f"e{rng.randrange(4)}"], f"t{k}") for k in range(150)], "video_id string, claim_id string, stance string, entities array<string>, tag string")
+    vectors = spark.createDataFrame([(f"c{k:03d}", rng.choice(vecs)) for k in range(140)] + [("c149", [float("nan")]), ("c148", None)], "claim_id string, vec array<double>")
+    columns = ("left", "right", "shared", "similarity", "left_tag", "right_tag")
+    few = pair_rows(cl.vector_pairs(claims, vectors, block=20, carry=("tag",)), *columns)
+    monkeypatch.setattr(cl, "FEW_VECTORS", 0)
+    assert few and few == pair_rows(cl.vector_pairs(claims, vectors, block=20, carry=("tag",)), *columns)
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning")
+
+
+def test_pairs_are_not_shuffled_for_their_vectors_and_texts(spark):
+    claims = spark.createDataFrame([(f"v{k}", f"c{k}", "asserts", ["e"], "text", f"h{k}") for k in range(6)], "video_id string, claim_id string, stance string, entities array<string>, text string, text_hash string")
+    vectors = spark.createDataFrame([(f"c{k}", [1.0, 0.0]) for k in range(5)], "claim_id string, vec array<double>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        p = cl.vector_pairs(claims, vectors, carry=("stance", "text_hash"))
+        assert exchanges(p) <= 8  # claims by id twice a side, by entity once a side
+        verdicts = p.select("left", "right", F.lit("SAME-CLAIM").alias("verdict"), F.col("left_text_hash").alias("left_hash"), F.when(F.col("left") == "c0", "old").otherwise(F.col("right_text_hash")).alias("right_hash"))
+        routes = cl.routed(p, verdicts, claims)
+        assert exchanges(routes) <= 2 * exchanges(p) + 2
+        assert {r["route"]: r["count"] for r in routes.groupBy("route").count().collect()} == {"pending": 4, "agreement": 6}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
