@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestra.operators import claims as cl
 from attestra.operators import components as co
+from attestra.operators import facets as fa
 from attestra.operators import reasoning as rs
 from attestra.operators import sweeps as sw
 from attestra.plans import fixtures as fx
@@ -151,3 +152,27 @@ def test_pairs_are_not_shuffled_for_their_vectors_and_texts(spark):
         assert {r["route"]: r["count"] for r in routes.groupBy("route").count().collect()} == {"pending": 4, "agreement": 6}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_claim_neighbourhood_is_that_of_all_links(spark):
+    rng = random.Random(3)
+    claims = spark.createDataFrame([(f"c{k:02d}", f"v{k % 9}", [f"e{k % 5}"], rng.choice([None, [], ["r1"], ["r2", "r1"], ["r3", "r2", "r2"], [f"r{k}"], [None]])) for k in range(60)], "claim_id string, video_id string, entities array<string>, relationships array<string>")
+    pick = lambda: f"c{rng.randrange(66):02d}"
+    deps = spark.createDataFrame([(pick(), pick(), rng.choice(["supports", "contradicts"])) for _ in range(60)], "source string, target string, kind string")
+    pairs = spark.createDataFrame([(pick(), pick()) for _ in range(20)], "left string, right string")
+    seeds = [fa.seeds_of(claims, kind, key) for kind, key in (("entity", "e2"), ("document", "v7"), ("claim", "c63"), ("claim", "c01"))]
+    links = fa.claim_links(claims, deps, pairs)
+    want = fa.merged_neighbourhoods([fa.neighbourhood(claims, links, s) for s in seeds])
+    got = fa.claim_neighbourhood(claims, deps, pairs, seeds[0].union(seeds[1]).union(seeds[2]).union(seeds[3]))
+    for g, w in zip(got, want, strict=True):
+        assert sorted(map(tuple, g.collect())) == sorted(map(tuple, w.collect()))
+
+
+def test_claim_graph_nodes_need_no_pair_of_claims(spark):
+    """All 4,000 claims cite one relation: all pairs would be 16 million rows, those of the seed's links alone 4,000."""
+    claims = spark.range(4000).select(F.format_string("c%04d", "id").alias("claim_id"), F.array(F.lit("r")).alias("relationships"))
+    none = spark.createDataFrame([], "source string, target string, kind string")
+    nodes, edges = fa.claim_neighbourhood(claims, none, none.select(F.col("source").alias("left"), F.col("target").alias("right")), claims.where("claim_id < 'c1000'").select("claim_id"))
+    assert nodes.groupBy("distance").count().orderBy("distance").collect() == [(0, 1000), (1, 3000)]
+    assert "Join Inner" not in nodes._jdf.queryExecution().optimizedPlan().toString()
+    assert edges.count() == 1000 * 3999
