@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from attestra.operators import building as bd
 from attestra.operators import claims as cl
 from attestra.operators import components as co
 from attestra.operators import facets as fa
@@ -176,3 +177,39 @@ def test_claim_graph_nodes_need_no_pair_of_claims(spark):
     assert nodes.groupBy("distance").count().orderBy("distance").collect() == [(0, 1000), (1, 3000)]
     assert "Join Inner" not in nodes._jdf.queryExecution().optimizedPlan().toString()
     assert edges.count() == 1000 * 3999
+
+
+def test_relation_rounds_move_no_names(spark, monkeypatch):
+    """Rounds see numbers for rows and nodes, and deal rows twice at most, besides the nodes' sums."""
+    seen, real = [], rs.gr.propagate_round
+
+    def watched(state, *args, **kwargs):
+        out = real(state, *args, **kwargs)
+        seen.append((state.schema["rel_id"].dataType.typeName(), exchanges(out)))
+        return out
+
+    monkeypatch.setattr(rs.gr, "propagate_round", watched)
+    rows = [("r1", "a", "b", 0.9, 1.0), ("r2", "b", "a", 0.8, None), ("r3", "b", "c", 0.7, 0.2), ("r4", "c", "c", 0.5, None), (None, "p", None, 1.0, 0.4), ("r6", "p", "q", 0.3, None)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out, taken, change = rs.relation_truth(spark.createDataFrame(rows, "rel_id string, subject_id string, object_id string, confidence double, anchor double"), 2, 0.0)
+        got = {r["rel_id"]: r["value"] for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert taken == 2 and all(kind == "long" and n <= 6 for kind, n in seen)
+    r1, r2, r3 = 1.0, (0.9 * 1.0 + 0.7 * 0.2) / 1.6, 0.12 + 0.4 * 1.0
+    assert got.keys() == {"r1", "r2", "r3", "r4", "r6"} and got["r6"] is None
+    assert abs(got["r1"] - (0.6 + 0.4 * (0.8 * r2 + 0.7 * r3) / 1.5)) < 1e-9
+    assert abs(got["r2"] - (0.9 * (0.6 + 0.4 * 0.2) + 0.7 * r3) / 1.6) < 1e-9
+
+
+def test_novel_links_leave_weak_entities_out(spark, monkeypatch):
+    """Pairs of entities that cannot reach the first ones are not made, and the result is that of all pairs."""
+    rng = random.Random(9)
+    rel = [(f"s{a}", f"m{rng.randrange(40)}", f"t{rng.randrange(30)}") for a in range(8) for _ in range(30)] + [(f"x{k}", f"m{k % 40}", f"t{k % 30}") for k in range(200)]
+    df = spark.createDataFrame([(s, o, t, f"r{k}", 0.5) for k, (s, o, t) in enumerate(rel)], "subject_id string, object_id string, transcript_id string, rel_id string, confidence double")
+    whole = bd.novel_links(df, limit=5).collect()
+    monkeypatch.setattr(bd, "PROBED", 8)
+    assert bd.novel_links(df, limit=5).collect() == whole
+    monkeypatch.setattr(bd, "PROBED", 0)
+    assert bd.novel_links(df, limit=5).collect() == whole
