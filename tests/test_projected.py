@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from attestra.operators import building as bd
+from attestra.operators import quality as ql
 from attestra.sources import captions as cp
 
 
@@ -17,3 +19,22 @@ def test_timed_text_is_read_once(spark):
     assert got == [("gap", 0, 3.0, 4.0, " w"), ("new", 0, 0.0, 0.9, "a A b > c"), ("new", 1, 1.0, 0.9, "a B b > c"), ("new", 2, 2.0, 0.9, "a C b > c"), ("old", 0, 1.5, 0.0, "x < y\n")]
     # one pass each for the shapes, the spans, and per shape the halves and the decimal entities
     assert plan(out).count("regexp_extract_all") <= 7
+
+
+def test_claims_meet_their_text_last(spark):
+    span = "array<struct<transcript_id:string,char_start:int,char_end:int,time_start:double,time_end:double,quote:string>>"
+    kind = f"video_id string, claim_id string, text string, kind string, stance string, confidence double, truth double, rationale string, entities array<string>, relationships array<string>, evidence {span}, dependencies array<struct<target:string,kind:string>>"
+    one = lambda k, quote, entity: ("v", f"v:{k}", "t", "opinion", "denies", 0.5, None, "r", [entity], ["r1"], [("v", 1, 3, 0.0, 1.0, quote)], [])
+    claims = spark.createDataFrame([one(1, "bc", "person:a"), one(2, "xx", "person:b"), one(3, "bc", "person:b")], kind)
+    texts = spark.createDataFrame([("v", "abcd")], "video_id string, text string")
+    out = ql.claim_errors(claims, texts, spark.createDataFrame([("v", "person:a")], "video_id string, entity_id string"), spark.createDataFrame([("v", "r1")], "video_id string, rel_id string"))
+    assert {r["claim_id"]: r["errors"] for r in out.collect()} == {"v:1": [], "v:2": ["entity-unknown", "evidence-quote"], "v:3": ["entity-unknown"]}
+    last = next(line for line in plan(out).splitlines() if "Join LeftOuter" in line)
+    assert "claim_id" not in last  # else each claim is shuffled with its document's whole text
+
+
+def test_pages_of_few_entities_shuffle_no_relations(spark):
+    rel = spark.createDataFrame([("r1", "a", "p", "b", "v1", 4.9), ("r2", "b", "q", "b", "v2", 1.0), ("r3", "c", "p", "d", "v1", 0.0)], "rel_id string, subject_id string, predicate string, object_id string, transcript_id string, time_start double")
+    out = bd.entity_page(rel, spark.createDataFrame([("b",), ("b",)], "entity_id string"))
+    assert sorted((r["entity_id"], r["rel_id"], r["counterpart"]) for r in out.collect()) == [("b", "r1", "a"), ("b", "r2", "b")]
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
