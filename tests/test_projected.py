@@ -3,10 +3,12 @@
 import random
 
 import pytest
+from pyspark.sql.functions import udf
 
 from attestra.operators import building as bd
 from attestra.operators import claims as cl
 from attestra.operators import quality as ql
+from attestra.operators import segments as sg
 from attestra.sources import captions as cp
 
 
@@ -72,3 +74,37 @@ def test_pairs_with_verdicts_look_nothing_up(spark):
     out = cl.routed(pairs, None, spark.createDataFrame([], "claim_id string, stance string, text string"))
     assert [(r["route"], r["verdict"]) for r in out.orderBy("left", "right").collect()] == [("dropped", "SAME-CLAIM-stance-mismatch"), ("agreement", "SAME-CLAIM"), ("pending", None), ("contradiction", "DEBUNKS"), ("dropped", "IRRELEVANT")]
     assert "Join" not in plan(out)
+
+
+def test_texts_are_cut_where_they_lie(spark, monkeypatch):
+    monkeypatch.setattr(sg, "TOKEN_ROWS", 2)
+    docs = spark.createDataFrame([("a", "One. \U0001f600 two!\n\n Mr. X? "), ("b", None), ("c", " \n"), ("d", "etc. x")], "video_id string, text string")
+    words = sg.tokens(docs)
+    got = sorted((r["video_id"], r["token_idx"], r["start"], r["end"], r["token"]) for r in words.collect())
+    assert got == [("a", 0, 0, 4, "One."), ("a", 1, 5, 6, "\U0001f600"), ("a", 2, 7, 11, "two!"), ("a", 3, 14, 17, "Mr."), ("a", 4, 18, 20, "X?"), ("d", 0, 0, 4, "etc."), ("d", 1, 5, 6, "x")]
+    assert "Window" not in plan(words)
+    cut = sg.sentences(docs)
+    assert sorted(tuple(r) for r in cut.collect()) == [("a", 0, 4), ("a", 5, 11), ("a", 14, 20), ("d", 0, 6)]
+    assert "substring" not in plan(cut) and "Repartition" in plan(cut)  # no piece has its whole text beside it
+
+
+def test_mentions_meet_their_windows_once(spark):
+    mentions = spark.createDataFrame([("v", "m1", 0, 3), ("v", "m2", 5, 9), ("v", "m3", 600, 603)], "video_id string, mention_id string, start int, end int")
+    out = sg.in_windows(mentions, spark.createDataFrame([("v", 0, 0, 20), ("v", 1, 590, 620)], "video_id string, window int, start int, end int"))
+    assert sorted(r["mention_id"] for r in out.collect()) == ["m1", "m2"]
+    assert plan(out).count("Join") == 1
+
+
+def test_both_ends_of_edges_meet_mentions_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        made.add(1)
+        return x
+
+    ids = spark.createDataFrame([("v", "m1", "person:a"), ("v", "m2", "person:b")], "video_id string, mention_id string, entity_id string").coalesce(1)
+    ids = ids.withColumn("entity_id", udf(count, "string")("entity_id"))
+    edges = spark.createDataFrame([("v", "e1", "met_with", "m1", "m2"), ("v", "e2", "met_with", "m1", "m3")], "video_id string, edge_id string, predicate string, subject_mention_id string, object_mention_id string")
+    out = bd.document_relations(edges, ids, None, False)
+    assert [(r["edge_id"], r["subject_id"], r["object_id"]) for r in out.collect()] == [("e1", "person:a", "person:b")]
+    assert made.value == 2
