@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from dataclasses import dataclass
+from itertools import chain, compress, islice
 from urllib.parse import unquote, urlsplit
 
 import numpy as np
@@ -19,7 +20,9 @@ from .common import shared_path, stash
 #: Tokens or distinct n-grams in a shard of the model.
 SHARD_ROWS = 2_000_000
 #: Bytes of text, and n-grams, that a task has in memory at a time.
-PIECE_BYTES, HELD_GRAMS = 2 << 20, 2_000_000
+PIECE_BYTES, HELD_GRAMS = 4 << 20, 2_000_000
+#: Words whose identifiers a task keeps between pieces, about.
+KEPT_WORDS = 120_000
 #: A token no text holds, as words have no white space.
 END = b"\n"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -27,7 +30,9 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 def tokens_of(text: bytes | None) -> list[bytes]:
     """Words by ASCII white space with A-Z lowered, then the end."""
-    return [*(text or b"").lower().split(), END]
+    words = (text or b"").lower().split()
+    words.append(END)
+    return words
 
 
 def _hash(word: bytes) -> int:
@@ -118,21 +123,20 @@ class Arrays:
     def get(self, name: str, kind) -> np.ndarray:
         if name not in self.maps:
             path = f"{self.root}/{name}"
-            self.maps[name] = np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, kind)
+            self.maps[name] = np.asarray(np.memmap(path, kind, "r")) if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, kind)
         return self.maps[name]
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Identifiers of word hashes, -1 where unknown."""
         out = np.full(len(hashes), -1, np.int64)
-        shards = len(self.m.vocab_sizes)
-        at = shard_of_hash(hashes, shards)
-        for k in np.unique(at):
-            here = np.flatnonzero(at == k)
+        order = np.argsort(hashes)  # shards follow each other, and searches stay close to the last one
+        hashes, shards = hashes[order], len(self.m.vocab_sizes)
+        for k, here in by_shard(shard_of_hash(hashes, shards), shards):
             keys = self.get(f"vocab-{k}.key", np.uint64)
             if len(keys):
                 pos = np.minimum(np.searchsorted(keys, hashes[here]), len(keys) - 1)
                 good = keys[pos] == hashes[here]
-                out[here[good]] = pos[good] + self.base[k]
+                out[order[here[good]]] = pos[good] + self.base[k]
         return out
 
     def by_id(self, what: str, ids: np.ndarray) -> np.ndarray:
@@ -146,28 +150,45 @@ class Arrays:
                 out[here] = a[ids[here] - self.base[k]]
         return out
 
-    def grams(self, cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of n-grams of known words, and the (total, n1, n2, n3) of their contexts, which must be known too."""
-        k, hot = len(cols), np.array(self.m.hot, np.int64)
-        count, stats = np.zeros(len(cols[0]), np.int64), np.tile(np.array([1, 1, 0, 0], np.int64), (len(cols[0]), 1))
-        at, key, ctx = shard_of_gram(cols, self.m.shards, hot), name_of(cols), name_of(cols[:-1])
+    def _found(self, name: str, key: str, wanted: np.ndarray, values: str, kind) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the ascending names a table has, and their values."""
+        keys = self.get(f"{name}.{key}", np.uint64)
+        if not len(keys):
+            return np.zeros(len(wanted), bool), np.zeros((0, 4) if values == "stats" else 0, kind)
+        pos = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        good = keys[pos] == wanted
+        v = self.get(f"{name}.{values}", kind)
+        return good, (v.reshape(-1, 4) if values == "stats" else v)[pos[good]]
+
+    def counts(self, k: int, names: np.ndarray, shards: np.ndarray) -> np.ndarray:
+        """Counts of n-grams by ascending names and their shards; 0 where unknown."""
+        out = np.zeros(len(names), np.int64)
+        for j, here in by_shard(shards, self.m.shards):
+            good, n = self._found(f"grams{k}-{j}", "key", names[here], "n", np.uint8)
+            out[here[good]] = n
+            big = here[out[here] == 255]
+            if len(big):
+                good, n = self._found(f"grams{k}-{j}", "bigkey", names[big], "bign", np.uint32)
+                out[big[good]] = n
+        return out
 
-        def fill(out, here, name, field, values, kind):
-            keys = self.get(f"{name}.{field}", np.uint64)
-            if len(keys):
-                wanted = (key if field in ("key", "bigkey") else ctx)[here]
-                pos = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-                good = keys[pos] == wanted
-                v = self.get(f"{name}.{values}", kind)
-                out[here[good]] = (v.reshape(-1, 4) if out.ndim == 2 else v)[pos[good]]
+    def contexts(self, k: int, names: np.ndarray, shards: np.ndarray, hot: np.ndarray) -> np.ndarray:
+        """(total, n1, n2, n3) of known contexts of n-grams by ascending names, their shards, and whether they are hot."""
+        out = np.tile(np.array([1, 1, 0, 0], np.int64), (len(names), 1))
+        for j, here in by_shard(shards, self.m.shards):
+            good, s = self._found(f"grams{k}-{j}", "ctx", names[here], "stats", np.uint32)
+            out[here[good]] = s
+        here = np.flatnonzero(hot)
+        good, s = self._found(f"hot{k}", "ctx", names[here], "stats", np.int64)
+        out[here[good]] = s
+        return out
 
-        for j in np.unique(at):
-            here = np.flatnonzero(at == j)
-            fill(count, here, f"grams{k}-{j}", "key", "n", np.uint8)
-            fill(count, here[count[here] == 255], f"grams{k}-{j}", "bigkey", "bign", np.uint32)
-            fill(stats, here, f"grams{k}-{j}", "ctx", "stats", np.uint32)
-        fill(stats, np.flatnonzero(is_hot(cols, hot)), f"hot{k}", "ctx", "stats", np.int64)
-        return count, stats
+
+def by_shard(at: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
+    """(shard, its rows in their order), by one pass over the rows."""
+    order = np.argsort(at.astype(np.uint16) if shards < 1 << 16 else at, kind="stable")
+    found, first = np.unique(at[order], return_index=True)
+    return list(zip(found.tolist(), np.split(order, first[1:]), strict=True)) if len(at) else []
 
 
 def shard_of_hash(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -178,54 +199,80 @@ def shard_of_hash(hashes: np.ndarray, shards: int) -> np.ndarray:
 def name_of(cols: list[np.ndarray]) -> np.ndarray:
     """64-bit names of rows of identifiers: exact up to two, hashed beyond."""
     out = cols[0].astype(np.uint64)
-    if len(cols) > 1:
-        out = (out << np.uint64(32)) | cols[1].astype(np.uint64)
-    for c in cols[2:]:
-        out = mix(mix(mix(out) + c.astype(np.uint64)))
+    for k, c in enumerate(cols[1:], 2):
+        out = longer(out, c, k)
     return out
 
 
+def longer(names: np.ndarray, last: np.ndarray, k: int) -> np.ndarray:
+    """The names of runs of k identifiers from those of the run without the last one."""
+    return (names << np.uint64(32)) | last.astype(np.uint64) if k == 2 else mix(mix(mix(names) + last.astype(np.uint64)))
+
+
 def is_hot(cols: list[np.ndarray], hot: np.ndarray) -> np.ndarray:
     """Whether all words of the contexts are frequent: a frequent context has no others."""
     return np.logical_and.reduce([np.isin(c, hot) for c in cols[:-1]])
 
 
 def shard_of_gram(cols: list[np.ndarray], shards: int, hot: np.ndarray) -> np.ndarray:
-    by = mix(name_of(cols[:-1]))
-    by = np.where(is_hot(cols, hot), mix(by + cols[-1].astype(np.uint64)), by)
+    return shard_by(mix(name_of(cols[:-1])), cols[-1], is_hot(cols, hot), shards)
+
+
+def shard_by(by: np.ndarray, last: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
+    by = np.where(hot, mix(by + last.astype(np.uint64)), by)
     return ((by >> np.uint64(7)) % np.uint64(shards)).astype(np.int64)
 
 
+def _joined(cols: list[np.ndarray], bits: int) -> np.ndarray:
+    out = cols[0].astype(np.uint64)
+    for c in cols[1:]:
+        out = (out << np.uint64(bits)) | c.astype(np.uint64)
+    return out
+
+
 def summed(cols: list[np.ndarray], n: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
     """The distinct rows of identifiers in ascending order, and the sums of n (of 1) over each."""
     bits = max(int(c.max(initial=1)).bit_length() for c in cols)
-    if len(cols) * bits <= 64:
-        keys = [sum(c.astype(np.uint64) << np.uint64(bits * (len(cols) - 1 - i)) for i, c in enumerate(cols))]
-    else:
-        keys = [name_of(cols[:2]), *cols[2:]]
-    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
-    keys = [x[order] for x in keys]
-    new = np.ones(len(order), bool)
-    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in keys])
+    wide = 64 // bits
+    key, order = _joined(cols[:wide], bits), None
+    for c in [None, *cols[wide:]]:
+        if c is not None:  # the place of the run so far, and the next identifier
+            key = (np.cumsum(new).astype(np.uint64) << np.uint64(32)) | c[order].astype(np.uint64)
+        by = np.argsort(key)
+        key, order = key[by], by if order is None else order[by]
+        new = np.ones(len(order), bool)
+        new[1:] = key[1:] != key[:-1]
     starts = np.flatnonzero(new)
     n = np.ones(len(order), np.int64) if n is None else n[order].astype(np.int64)
     return [c[order[starts]] for c in cols], np.add.reduceat(n, starts) if len(starts) else n
 
 
+class _Numbers(dict):
+    """A number for each word, new ones as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Numberer:
-    """Words of a batch to small numbers, and those to the model's identifiers."""
+    """Words to small numbers, and those to the model's identifiers; words that come often are kept for the next batch."""
 
     def __init__(self, arrays: Arrays):
-        self.arrays = arrays
+        self.arrays, self.known, self.ids = arrays, _Numbers(), np.zeros(0, np.int64)
 
     def __call__(self, texts: list[bytes | None], most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Identifiers of all tokens, or of the first most of each text, and the number of them of each text."""
-        lists = [tokens_of(t)[:most] for t in texts]
-        flat = [w for ws in lists for w in ws]
-        local = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-        numbers = np.fromiter(map(local.__getitem__, flat), np.int64, len(flat))
-        hashes = np.fromiter(map(_hash, local), np.uint64, len(local))
-        return self.arrays.ids(hashes)[numbers], np.fromiter(map(len, lists), np.int64, len(lists))
+        lists = [tokens_of(t) if most is None else tokens_of(t)[:most] for t in texts]
+        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+        numbers = np.fromiter(map(self.known.__getitem__, chain.from_iterable(lists)), np.int64, lengths.sum())
+        new = np.fromiter(map(_hash, islice(self.known, len(self.ids), None)), np.uint64, len(self.known) - len(self.ids))
+        self.ids = np.concatenate([self.ids, self.arrays.ids(new)])
+        found = self.ids[numbers]
+        if len(self.known) > KEPT_WORDS:
+            often = np.bincount(numbers, minlength=len(self.ids)) > 1
+            self.known, self.ids = _Numbers(zip(compress(self.known, often), range(len(self.ids)))), self.ids[often]
+        return found, lengths
 
 
 def _windows(ids: np.ndarray, lengths: np.ndarray, begin: int, k: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -378,9 +425,7 @@ def train(docs: DataFrame, shard_rows: int = SHARD_ROWS, order: int = 2) -> Mode
 
     def dealt_rows(cols, n):
         at = shard_of_gram(cols, p_shards, hot)
-        by = np.argsort(at, kind="stable")
-        cuts = np.searchsorted(at[by], np.arange(p_shards + 1))
-        return [(j, squeeze(*[c[o] for c in cols], n[o])) for j in range(p_shards) if len(o := by[cuts[j] : cuts[j + 1]])]
+        return [(j, squeeze(*[c[o] for c in cols], n[o])) for j, o in by_shard(at, p_shards)]
 
     def counter(k):
         def count_grams(table):
@@ -447,31 +492,41 @@ def train(docs: DataFrame, shard_rows: int = SHARD_ROWS, order: int = 2) -> Mode
 
 
 def log_probabilities(model: Model, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """log10 of the model's and of the base probability of each token, and the token counts."""
+    """log10 of the model's and of the base probability of each token, and the token counts.
+
+    Each distinct word and run is looked up once; the contexts of a level are the distinct runs that the level below found.
+    """
     a, v = arrays_of(model), model.vocab
-    count = a.by_id("count", ids)
-    base = np.log10((count + 0.1) / (model.tokens + 0.1 * (v + 1)))
+    words, at = np.unique(ids, return_inverse=True)
+    of_word = a.by_id("count", words)
+    base, count = np.log10((of_word + 0.1) / (model.tokens + 0.1 * (v + 1)))[at], of_word[at]
     if not model.types:
         return np.full(len(ids), -math.log10(v + 1)), base, count
-    cont = a.by_id("before", ids)
-    d = np.array([0, *model.discounts[0]])
-    p = np.maximum(cont - d[np.minimum(cont, 3)], 0) / model.types + model.word_gamma / (v + 1)
-    windows, place = _windows(ids, lengths, v, model.order)
-    found = ids >= 0  # the run of the level below that ends in the token
+    cont = a.by_id("before", words)
+    d, often = np.array([0, *model.discounts[0]]), np.array(model.hot, np.int64)
+    p = (np.maximum(cont - d[np.minimum(cont, 3)], 0) / model.types + model.word_gamma / (v + 1))[at]
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    # the distinct runs of the level below by ascending names, the begin being the last word, and which of them ends in a token
+    known = np.append(words[words >= 0], v)
+    names, hot, run = known.astype(np.uint64), np.isin(known, often), at - int((words < 0).sum())
     for k in range(2, model.order + 1):
-        known = np.concatenate([[False], found[:-1]])
-        known = np.where(place == k - 2, known if k > 2 else model.docs > 0, known & (place > k - 2))
-        here = np.flatnonzero(known)
-        cols = [c[here] for c in windows[-k:]]
-        new = cols[-1] < 0
-        cols[-1] = np.where(new, v + 1, cols[-1])  # no n-gram has it
-        key, at, back = np.unique(name_of(cols), return_index=True, return_inverse=True)
-        n, s = a.grams([c[at] for c in cols])
-        n, s = n[back], s[back]
+        before = np.concatenate([[-1], run[:-1]])
+        before[place < k - 2] = -1
+        if k == 2:
+            before[place == 0] = len(known) - 1 if model.docs else -1
+        here = np.flatnonzero(before >= 0)
+        context, last = before[here], np.where(ids[here] < 0, v + 1, ids[here])  # no n-gram has v + 1
+        name, one, back = np.unique(longer(names[context], last, k), return_index=True, return_inverse=True)
+        of, end, by = context[one], last[one], mix(names)
+        n = a.counts(k, name, shard_by(by[of], end, hot[of], model.shards))
+        s = a.contexts(k, names, shard_by(by, by, np.zeros(len(by), bool), model.shards), hot)
         d = np.array([0, *model.discounts[k - 1]])
-        p[here] = np.maximum(n - d[np.minimum(n, 3)], 0) / s[:, 0] + s[:, 1:] @ d[1:] / s[:, 0] * p[here]
-        found = np.zeros(len(ids), bool)
-        found[here] = n > 0
+        p[here] = (np.maximum(n - d[np.minimum(n, 3)], 0) / s[of, 0])[back] + (s[:, 1:] @ d[1:] / s[:, 0])[context] * p[here]
+        good = n > 0
+        run = np.full(len(ids), -1, np.int64)
+        run[here] = np.where(good, np.cumsum(good) - 1, -1)[back]
+        names, hot = name[good], hot[of][good]
+        hot[hot] = np.isin(end[good][hot], often)
     return np.log10(p), base, count
 
 
