@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +14,10 @@ from .components import components
 
 #: Characters in a shingle, likeness, bands, rows in a band: a pair at the threshold meets with probability 0.995.
 SHINGLE, LIKENESS, BANDS, ROWS = 7, 0.8, 10, 4
+#: What is trimmed from lines.
+EDGES = " \t\r\x0b\f"
+#: Shingles that one generated row hashes.
+STRIDE = 8
 #: Lines outside a bucket's main component that are held in one row, about.
 BLOCK = 32
 #: 64-bit words of a set's bitmap.
@@ -26,8 +32,10 @@ def _masks(n: int) -> list[int]:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, line_no, line, a, b) of every line with other than white space; a and b name its trimmed text."""
-    rows = docs.select("doc_id", content_key(F.col("text")).alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    rows = rows.withColumn("line", F.btrim("line", F.lit(" \t\r\x0b\f"))).where("line <> ''")
+    rows = docs.select("doc_id", content_key(F.col("text")).alias("text_key"), "text")  # beside the split, each line would hash the whole text
+    rows = rows.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    blank = reduce(or_, (F.startswith("line", F.lit(c)) | F.endswith("line", F.lit(c)) for c in EDGES))
+    rows = rows.withColumn("line", F.when(blank, F.btrim("line", F.lit(EDGES))).otherwise(F.col("line"))).where("line <> ''")
     return rows.withColumn("a", F.xxhash64("line")).withColumn("b", F.xxhash64(F.lit(1), "line"))
 
 
@@ -43,28 +51,31 @@ def _shingle(code: Column, at: Column, shingle: int) -> Column:
 def band_keys(lines: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(key, a, b): a row per band of every distinct line.
 
-    One generated row per shingle, hashed once; the hash also deals shingles to bands, and a
-    band's signature is the least hash of its shingles under each mask. Equal lines meet
+    A generated row makes the hashes of STRIDE shingles in a row, all of a line's shingles in
+    all; a band's signature is the least hash of them under each of its masks. Equal lines meet
     first, and the minima are taken where they met, so signatures are not shuffled.
     """
     once = lines.groupBy("a", "b").agg(F.first("line").alias("line"))
-    code = once.select("a", "b", F.encode("line", "utf-32").alias("code"), F.length("line").alias("n"))
-    cut = code.select("a", "b", "code", F.explode(_starts(F.col("n"), shingle)).alias("i"))
-    hashed = cut.select("a", "b", F.hash(_shingle(F.col("code"), F.col("i"), shingle)).alias("h"))
-    least = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{j}") for j, m in enumerate(_masks(rows))]
-    sig = hashed.groupBy("a", "b", F.pmod(F.col("h"), F.lit(bands)).alias("band")).agg(*least)
-    return sig.select("a", "b", F.xxhash64("band", *[f"m{j}" for j in range(rows)]).alias("key"))
+    code = once.select("a", "b", F.encode("line", "utf-32").alias("code"), F.greatest(F.length("line") - shingle, F.lit(0)).alias("last"))
+    cut = code.select("a", "b", "code", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STRIDE))).alias("i"))
+    # beyond the line's end the last shingle comes again, which changes no minimum
+    at = [F.least(F.col("i") + t, F.col("last")) * _BYTES + 1 for t in range(STRIDE)]
+    hashed = cut.select("a", "b", *[F.hash(_shingle(F.col("code"), k, shingle)).alias(f"h{t}") for t, k in enumerate(at)])
+    least = [F.min(F.least(*[F.col(f"h{t}").bitwiseXOR(F.lit(m)) for t in range(STRIDE)])).alias(f"m{j}") for j, m in enumerate(_masks(bands * rows))]
+    sig = hashed.groupBy("a", "b").agg(*least)
+    keys = [F.xxhash64(F.lit(k), *[f"m{j}" for j in range(k * rows, (k + 1) * rows)]) for k in range(bands)]
+    return sig.select("a", "b", F.explode(F.array(*keys)).alias("key"))
 
 
 def bitmaps(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(x, bits) of texts (x, line): bits is an array of WORDS longs with one bit for each shingle's hash."""
-    code = texts.select("x", F.encode("line", "utf-32").alias("code"), F.length("line").alias("n"))
-    cut = code.select("x", "code", F.explode(_starts(F.col("n"), shingle)).alias("i"))
-    hashed = cut.select("x", F.xxhash64(_shingle(F.col("code"), F.col("i"), shingle)).alias("h"))
+    """(x, bits, places) of texts (x, line): an array of WORDS longs with one bit for each shingle's hash, and how many shingles there are, repeats counted."""
+    code = texts.select("x", F.encode("line", "utf-32").alias("code"), F.greatest(F.length("line") - shingle, F.lit(0)).alias("last"))
+    cut = code.select("x", "code", "last", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
+    hashed = cut.select("x", "last", F.xxhash64(_shingle(F.col("code"), F.col("i") * _BYTES + 1, shingle)).alias("h"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned("h", 32), F.lit(64)).cast("int"))
-    placed = hashed.select("x", F.pmod("h", F.lit(WORDS)).alias("word"), bit.alias("bit"))
-    words = placed.groupBy("x").agg(*[F.bit_or(F.when(F.col("word") == j, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{j}") for j in range(WORDS)])
-    return words.select("x", F.array(*[f"w{j}" for j in range(WORDS)]).alias("bits"))
+    placed = hashed.select("x", "last", F.pmod("h", F.lit(WORDS)).alias("word"), bit.alias("bit"))
+    words = placed.groupBy("x", "last").agg(*[F.bit_or(F.when(F.col("word") == j, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{j}") for j in range(WORDS)])
+    return words.select("x", F.array(*[f"w{j}" for j in range(WORDS)]).alias("bits"), (F.col("last") + 1).alias("places"))
 
 
 def _may_be_alike(x: Column, y: Column, sizes: Column, likeness: float) -> Column:
@@ -85,7 +96,7 @@ def bucket_members(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
     """
     found = stash(band_keys(lines_of(docs), shingle, bands, rows), "bands")
     shared = stash(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "buckets")
-    many = found.join(small(shared, shared.count(), 5 * BROADCAST_ROWS), "key").withColumn("x", F.concat_ws(":", "a", "b"))
+    many = stash(found.join(small(shared, shared.count(), 5 * BROADCAST_ROWS), "key").withColumn("x", F.concat_ws(":", "a", "b")), "many")
     heads = many.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "x").alias("rank"), "x")).alias("h")).select("key", F.col("h.x").alias("head"))
     return stash(many.join(heads, "key").select("key", "x", "a", "b", "head"), "members")
 
@@ -104,15 +115,20 @@ def similar_lines(docs: DataFrame, likeness: float = LIKENESS, shingle: int = SH
     lines = stash(lines.select("doc_id", "text_key", "line_no", "a", "b", "x", F.when(F.col("x").isNotNull(), F.col("line")).alias("line")), "occurrences")
     texts = stash(lines.where("x is not null").groupBy("x").agg(F.first("line").alias("line")), "texts")
 
+    bits = stash(bitmaps(texts, shingle), "bits")
+
     def grams(line: Column) -> Column:
         code = F.encode(line, "utf-32")
         at = _starts(F.length(line), shingle)
         return F.array_distinct(F.get(F.transform(F.array(code), lambda c: F.transform(at, lambda i: F.xxhash64(_shingle(c, i, shingle)))), F.lit(0)))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Of (x, y) those alike. Pairs bring the text of x; each y has its set made once."""
-        right = pairs.select("y").distinct().join(texts.withColumnRenamed("x", "y"), "y").select("y", grams(F.col("line")).alias("sy"))
-        both = pairs.join(texts, "x").join(right, "y")
+        """Of (x, y) those alike, of which bitmaps rule out most others. Pairs left bring the text of x, and each y has its set made once."""
+        near = pairs.join(bits, "x").join(bits.toDF("y", "bits_y", "places_y"), "y")
+        near = near.where(_may_be_alike(F.col("bits"), F.col("bits_y"), F.col("places") + F.col("places_y"), likeness))
+        near = stash(near.select("x", "y"), "near")
+        right = near.select("y").distinct().join(texts.withColumnRenamed("x", "y"), "y").select("y", grams(F.col("line")).alias("sy"))
+        both = near.join(texts, "x").join(right, "y")
         # a lambda over the array of one set, so that the set of x is made once a pair
         return both.where(F.exists(F.array(grams(F.col("line"))), lambda sx: _alike(sx, F.col("sy"), likeness))).select("x", "y")
 
@@ -121,8 +137,8 @@ def similar_lines(docs: DataFrame, likeness: float = LIKENESS, shingle: int = SH
 
         Lines outside the bucket's largest component are held in arrays of about BLOCK, and every
         member of the bucket meets each array once: no row per pair, and no pair inside the
-        largest component. A pair with several buckets is compared in the first of them, and its
-        sets are intersected where their bitmaps do not rule it out.
+        largest component. Bitmaps come first: sets are made only of lines that have a partner
+        whose bitmap does not rule it out. A pair with several buckets is compared in the first of them.
         """
         by_root = apart.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
         main = by_root.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"))
@@ -130,8 +146,16 @@ def similar_lines(docs: DataFrame, likeness: float = LIKENESS, shingle: int = SH
         held = apart.join(main, "key").select("key", "x", "root", "blocks", (F.col("root") != F.col("main")).alias("out"))
         keys = apart.groupBy("x").agg(F.collect_list("key").alias("keys"))  # a key per band at most
         own = texts.join(keys, "x")
-        held = stash(held.join(own.join(bitmaps(own, shingle), "x"), "x"), "held")
-        outer = held.where("out").withColumn("block", F.pmod(F.xxhash64(F.lit(9), "x"), F.col("blocks")))
+        held = stash(held.join(own.join(bits, "x"), "x"), "held")
+        block = F.pmod(F.xxhash64(F.lit(9), "x"), F.col("blocks")).alias("block")
+        thin = held.where("out").groupBy("key", block).agg(F.collect_list(F.struct("x", "root", "bits", "places", "keys")).alias("others"))
+        met = held.select("key", "x", "root", "bits", "places", "keys", "out").join(thin, "key").withColumn("o", F.explode("others")).drop("others")
+        met = met.where((F.col("o.root") != F.col("root")) & (~F.col("out") | (F.col("x") < F.col("o.x"))))
+        met = met.where(_may_be_alike(F.col("bits"), F.col("o.bits"), F.col("places") + F.col("o.places"), likeness))
+        met = met.where(F.array_min(F.array_intersect("keys", "o.keys")) == F.col("key"))
+        ends = stash(met.select("key", F.explode(F.array("x", "o.x")).alias("x")).distinct(), "ends")
+        held = held.join(ends, ["key", "x"], "left_semi")
+        outer = held.where("out").withColumn("block", block)
         outer = outer.groupBy("key", "block").agg(F.collect_list(F.struct("x", "root", "keys", "bits", grams(F.col("line")).alias("set"))).alias("others"))
         both = held.join(outer, "key").select("key", "x", "root", "out", "keys", "bits", "others", F.array(grams(F.col("line"))).alias("sets"))
 
@@ -146,7 +170,7 @@ def similar_lines(docs: DataFrame, likeness: float = LIKENESS, shingle: int = SH
         found = both.select("root", F.explode(F.array_distinct(linked)).alias("other"))
         return found.select(F.least("root", "other").alias("x"), F.greatest("root", "other").alias("y")).distinct()
 
-    tested = members.select("x", F.col("head").alias("y")).where("x <> y").distinct()
+    tested = members.where("x <> head").select(F.least("x", "head").alias("x"), F.greatest("x", "head").alias("y")).distinct()
     roots = components(stash(verified(stash(tested, "pairs")), "links"), "x", "y")
     # heads have met all members of their buckets, so only the other members are left
     now = members.where("x <> head").join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
