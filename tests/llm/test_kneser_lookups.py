@@ -46,3 +46,18 @@ def test_kept_words_do_not_change_identifiers(spark, monkeypatch):
         assert np.concatenate([number([t])[0] for t in texts]).tolist() == whole.tolist()
         assert len(number.known) <= max(kept, 51)
     assert (whole == -1).any()
+
+
+def test_first_tokens_are_those_of_the_whole_text():
+    texts = [None, b"", b" \n", b"A", b"a B", b"\t a  B c ", b"a b c d " * 50]
+    for t in texts:
+        for most in (1, 2, 3, 4):
+            assert kn.first_tokens(t, most) == kn.tokens_of(t)[:most]
+
+
+def test_distinct_values_and_their_places():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 5000):
+        v = rng.integers(0, 300, n).astype(np.uint64) << np.uint64(40)
+        found, one, back = kn.distinct(v)
+        assert (found == np.unique(v)).all() and (v[one] == found).all() and (found[back] == v).all()
